@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,7 +63,7 @@ def slices(batches, column: str, limit: int = 8 << 20):
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+        sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
         total, begin = 0, 0
         for i, size in enumerate(sizes.tolist()):
             if total and total + size > limit:
@@ -74,3 +75,42 @@ def slices(batches, column: str, limit: int = 8 << 20):
 
 def field_ddl(df: DataFrame, *names: str) -> str:
     return ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
+
+
+_CLEAN = np.full(256, 32, np.uint8)
+_CLEAN[48:58] = np.arange(48, 58)
+_CLEAN[97:123] = np.arange(97, 123)
+_CLEAN[65:91] = np.arange(97, 123)
+_CLEAN[128:] = np.arange(128, 256)
+
+
+def words_of(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Lower-case words (letters, digits, non-ASCII) of all texts and the index of each word's text."""
+    buf, offs = text_bytes(pc.utf8_lower(column))
+    clean = pa.StringArray.from_buffers(len(offs) - 1, pa.py_buffer((offs - offs[0]).astype(np.int32)), pa.py_buffer(_CLEAN[buf[offs[0] : offs[-1]]]))
+    parts = pc.split_pattern(clean, " ")
+    words, owner = parts.flatten(), pc.list_parent_indices(parts)
+    real = pc.not_equal(words, "")
+    return words.filter(real), owner.filter(real).to_numpy()
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of every word, the same in every process."""
+    buf, offs = text_bytes(words)
+    size = np.diff(offs)
+    if not len(size):
+        return np.zeros(0, np.uint64)
+    powers = np.cumprod(np.full(int(size.max()) + 1, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
+    place = np.arange(offs[-1] - offs[0]) - np.repeat(offs[:-1] - offs[0], size)
+    terms = (buf[offs[0] : offs[-1]].astype(np.uint64) + np.uint64(1)) * powers[place]
+    total = np.zeros(len(size), np.uint64)
+    real = size > 0
+    total[real] = np.add.reduceat(terms, (offs[:-1] - offs[0])[real]) if real.any() else 0
+    return mixed(total + size.astype(np.uint64))
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijective finaliser that spreads every input bit over the whole word."""
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+    return x ^ (x >> np.uint64(33))
