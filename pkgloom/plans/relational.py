@@ -145,9 +145,9 @@ def _(v: Views):
     return joins.blocked_packages(v.owners, v.supplier.where("s_suppkey % 4 = 0").selectExpr("s_suppkey AS owner", "concat('reason', s_suppkey % 3) AS reason"))
 
 
-@query("c13_uncategorized", "SELECT package, rank FROM packages WHERE package NOT IN (SELECT package FROM categories WHERE relevance < 1) ORDER BY rank DESC, package LIMIT 50")
+@query("c13_uncategorized", "SELECT package, rank FROM packages WHERE package NOT IN (SELECT package FROM categories WHERE relevance < 5e-1) ORDER BY rank DESC, package LIMIT 50")
 def _(v: Views):
-    return joins.uncategorized(v.packages.select("package", "rank"), v.categories.where("relevance < 1"), 50)
+    return joins.uncategorized(v.packages.select("package", "rank"), v.categories.where("relevance < 0.5"), 50)
 
 
 @query("c14_related_by_keyword", """WITH sums AS (SELECT a.package, b.package AS related, sum(a.weight * b.weight) AS score FROM keywords a JOIN keywords b USING (keyword) JOIN packages p ON p.package = b.package AND p.downloads > 500 WHERE a.package <> b.package GROUP BY ALL HAVING sum(a.weight * b.weight) > 200)
@@ -289,12 +289,12 @@ def _(v: Views):
 
 
 @query("d19_dep_weighted_size", """WITH c AS (SELECT DISTINCT depender AS package, package AS dep, kind, optional FROM uses), s AS (SELECT package AS dep, downloads * 1000 AS size, rank / 100 AS commonality, downloads % 700 = 0 AS is_macro FROM packages)
-SELECT package, round(sum(size * CASE WHEN NOT optional THEN 1e0 WHEN kind < 2 THEN 25e-2 ELSE 15e-2 END * (1 - commonality) * CASE WHEN is_macro THEN 1e-1 ELSE 1e0 END * CASE WHEN kind = 0 THEN 1e0 WHEN kind = 1 AND NOT optional AND size > 1000000 THEN 1e0 ELSE 1e-1 END), 3) AS typical,
-round(sum(CASE WHEN NOT optional AND NOT is_macro AND kind = 0 THEN size * (1 - commonality) * (1 - commonality) ELSE 0e0 END), 3) AS minimal FROM c JOIN s USING (dep) GROUP BY package""")
+SELECT package, round(sum(size * CASE WHEN NOT optional THEN 1e0 WHEN kind < 2 THEN 25e-2 ELSE 15e-2 END * (1 - commonality) * CASE WHEN is_macro THEN 1e-1 ELSE 1e0 END * CASE WHEN kind = 0 THEN 1e0 WHEN kind = 1 AND NOT optional AND size > 1000000 THEN 1e0 ELSE 1e-1 END), 0) AS typical,
+round(sum(CASE WHEN NOT optional AND NOT is_macro AND kind = 0 THEN size * (1 - commonality) * (1 - commonality) ELSE 0e0 END), 0) AS minimal FROM c JOIN s USING (dep) GROUP BY package""")
 def _(v: Views):
     c = v.uses.selectExpr("depender AS package", "package AS dep", "CASE kind WHEN 0 THEN 'runtime' WHEN 1 THEN 'build' ELSE 'dev' END AS kind", "NOT optional AS is_default", "kind < 2 AS direct").distinct()
     s = v.packages.selectExpr("package AS dep", "downloads * 1000 AS size", "rank / 100 AS commonality", "downloads % 700 = 0 AS is_macro")
-    return rounded(agg.dep_weighted_size(c, s), "typical", "minimal", places=3)
+    return rounded(agg.dep_weighted_size(c, s), "typical", "minimal", places=0)
 
 
 @query("d20_release_counts", f"""WITH r AS (SELECT *, lag(compat) OVER (PARTITION BY package ORDER BY sort_key, release) AS prev FROM keyed WHERE NOT yanked)
