@@ -13,9 +13,14 @@ from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table. Long texts make default Arrow batches large, so Python workers get theirs in smaller ones."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+BATCH_BYTES = 8 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a folder of our own only where the session names none."""
     where = spark.conf.get("spark.checkpoint.dir", None)
@@ -58,8 +63,9 @@ def text_bytes(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offsets
 
 
-def slices(batches, column: str, limit: int = 8 << 20):
+def slices(batches, column: str, limit: int = 4 << 20):
     """Split record batches by rows, so that each piece holds about ``limit`` text bytes (one row at least)."""
+    pa.set_memory_pool(pa.system_memory_pool())  # gives freed memory back between tasks of a reused worker
     for batch in batches:
         if not batch.num_rows:
             continue
