@@ -123,3 +123,94 @@ def code_stats(files: DataFrame) -> DataFrame:
     lines = files.withColumn("language", language).where(F.col("language").isNotNull() & ~skipped).select("package", "language", F.explode(F.split("content", "\n")).alias("line")).withColumn("line", F.trim("line")).where("line != ''")
     comment = F.when(F.col("language").isin("Python", "Bash"), F.col("line").startswith("#")).otherwise(F.col("line").rlike(r"^(//|/\*|\*)"))
     return lines.groupBy("package", "language").agg(F.count_if(~comment).alias("code"), F.count_if(comment).alias("comments"))
+
+
+def clean_keyword(c: Column, weight: Column, stop_words: list[str]) -> Column:
+    """(keyword, weight) without edge punctuation and language affixes; null if nothing is left; stop words weigh a tenth."""
+    k = F.regexp_replace(F.regexp_replace(F.lower(c), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""), r"^rust-|-rs$", "")
+    return F.when((k != "") & ~k.isin("rust", "rs") & (weight > 1e-4), F.struct(k.alias("keyword"), (weight * F.when(k.isin(*stop_words), 0.1).otherwise(1.0)).alias("weight")))
+
+
+def namespace_prefix(c: Column) -> Column:
+    """The first part of a name of more than one letter, without tool affixes."""
+    parts = F.filter(F.split(F.regexp_replace(F.lower(c), r"^(rust[-_]|cargo[-_]|lib)", ""), "[-_]"), lambda p: F.length(p) > 1)
+    return F.get(parts, F.lit(0))
+
+
+def unprefix(c: Column) -> Column:
+    """A name without its language affix."""
+    return F.regexp_replace(c, r"^rust[-_]|[-_]rs$|_rust$", "")
+
+
+def min_compiler(edition: Column, resolver: Column, features: Column, declared: Column) -> Column:
+    """The lowest compiler a manifest allows, from edition, resolver, feature syntax and the declared version."""
+    return F.greatest(
+        F.when(edition >= 2024, 85).when(edition >= 2021, 56).when(edition >= 2018, 31).otherwise(1), F.when(resolver == "2", 51).when(resolver == "3", 84).otherwise(1),
+        F.when(F.exists(F.flatten(F.map_values(features)), lambda f: f.startswith("dep:") | f.contains("?")), 60).otherwise(1),
+        F.coalesce(F.regexp_extract(declared, r"^1\.([0-9]+)", 1).try_cast("int"), F.lit(1)),
+    )
+
+
+def fix_category_slugs(packages: DataFrame, taxonomy: DataFrame, n: int = 5) -> DataFrame:
+    """Known slugs of packages (package, categories array), colons and case repaired, deepest first, then as declared."""
+    c = packages.select("package", F.posexplode("categories").alias("place", "raw"))
+    c = c.withColumn("slug", F.regexp_replace(F.regexp_replace(F.lower(F.trim("raw")), r"\s+", "-"), r"(?<!:):(?!:)", "::"))
+    known = c.join(taxonomy.select("slug", "depth"), "slug").dropDuplicates(["package", "slug"])
+    picked = known.groupBy("package").agg(F.transform(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("depth")).alias("d"), "place", "slug"))), 1, n), lambda s: s["slug"]).alias("slugs"))  # a package declares a handful
+    return packages.select("package").join(picked, "package", "left")
+
+
+def override_categories(packages: DataFrame, rules: list[tuple[str, str, list[str]]]) -> DataFrame:
+    """Rewrite a slug where any of a rule's keywords is present. ``packages``: package, slug, keywords array; rules (from, to, keywords)."""
+    out = F.col("slug")
+    for old, new, words in rules:
+        out = F.when((F.col("slug") == old) & F.arrays_overlap("keywords", F.array(*map(F.lit, words))), new).otherwise(out)
+    return packages.select("package", out.alias("slug"))
+
+
+def non_dep_features(features: Column) -> Column:
+    """Features that only name other features, are not hidden and not the default."""
+    names = F.map_keys(features)
+    fine = F.map_filter(features, lambda k, v: ~k.startswith("_") & (k != "default") & F.forall(v, lambda f: F.array_contains(names, f)))
+    return F.sort_array(F.map_keys(fine))
+
+
+def freshness_class(popularity: Column, is_latest: Column, lost: Column, deprecated: Column) -> Column:
+    """B38."""
+    return F.when(deprecated | lost, "obsolete").when(is_latest & (popularity < 0.33), "verynew").when(popularity >= 0.75, "common").when(popularity >= 0.33, "outdated").otherwise("obsolete")
+
+
+def package_kinds(packages: DataFrame) -> DataFrame:
+    """Kind flags from manifest columns package, name, has_bin, has_lib, links, proc_macro, categories, readme."""
+    app = F.col("has_bin") & (~F.col("has_lib") | F.array_contains("categories", "command-line-utilities"))
+    return packages.select(
+        "package", "has_bin", "has_lib", app.alias("is_app"), (F.col("name").endswith("-sys") | F.col("links").isNotNull()).alias("is_sys"), F.col("proc_macro").alias("is_proc_macro"),
+        (F.array_contains("categories", "no-std") | F.coalesce(F.col("readme").rlike(r"(?i)#?!?\[no_std\]|\bno[_-]std\b"), F.lit(False))).alias("is_no_std"),
+    )
+
+
+def log_to_verdict(logs: DataFrame, rules: DataFrame) -> DataFrame:
+    """Build-log lines (JSON messages) to one verdict per package, version and compiler.
+
+    ``logs``: compiler, line; ``rules``: prefix, verdict, rank (a short table).
+    An error whose message begins with a rule's prefix gives its verdict, the
+    strongest of a build counts; a build without an error is verified.
+    """
+    m = F.from_json("line", "STRUCT<reason: STRING, package_id: STRING, success: BOOLEAN, message: STRUCT<level: STRING, message: STRING>>")
+    p = logs.select("compiler", m.alias("m")).where("m.package_id IS NOT NULL").select("compiler", "m.*").withColumns({"package": F.regexp_extract("package_id", r"^(\S+) (\S+)", 1), "version": F.regexp_extract("package_id", r"^(\S+) (\S+)", 2)})
+    errors = p.where("message.level = 'error'").select("package", "version", "compiler", F.col("message.message").alias("text"))
+    ruled = errors.join(F.broadcast(rules), F.col("text").startswith(F.col("prefix"))).groupBy("package", "version", "compiler").agg(F.max(F.struct("rank", "verdict")).alias("r"))
+    fine = p.groupBy("package", "version", "compiler").agg(F.bool_or("success").alias("ok"), F.count_if(F.col("message.level") == "error").alias("n_errors"))
+    verdict = F.when(F.col("r").isNotNull(), F.col("r.verdict")).when(F.col("n_errors") > 0, "N").when(F.coalesce("ok", F.lit(False)), "Y").otherwise("N")
+    return fine.join(ruled, ["package", "version", "compiler"], "left").select("package", "version", "compiler", verdict.alias("verdict"))
+
+
+def clean_packages(packages: DataFrame) -> DataFrame:
+    """Normalised origin, links without repeats, kind of host and name checks of a package table (package, name, repository, homepage, documentation)."""
+    repo = parse_repo(F.col("repository"))
+    home = F.when(~F.coalesce(same_url(F.col("homepage"), F.col("repository")), F.lit(False)), F.col("homepage"))
+    docs = F.when(~F.coalesce(same_url(F.col("documentation"), F.col("homepage")), F.lit(False)) & ~F.coalesce(same_url(F.col("documentation"), F.col("repository")), F.lit(False)), F.col("documentation"))
+    return packages.select(
+        "package", F.concat(F.lit("registry:"), F.lower("name")).alias("origin"), F.col("name").rlike("^[A-Za-z0-9_-]+$").alias("is_valid"), namespace_prefix(F.col("name")).alias("namespace"),
+        repo["host"].alias("repo_host"), repo["owner"].alias("repo_owner"), home.alias("homepage"), docs.alias("documentation"), url_domain(home).alias("domain"),
+    )
