@@ -157,3 +157,11 @@ def synonym_candidates(keywords: DataFrame, least: int = 2) -> DataFrame:
 def keyword_page(keywords: DataFrame, packages: DataFrame, n: int = 250) -> DataFrame:
     """Per keyword its packages by base score."""
     return top_n(keywords.select("keyword", "package").distinct().join(packages.select("package", "rank"), "package"), ["keyword"], [F.desc("rank"), F.col("package")], n).select("keyword", "package", "pos")
+
+
+def normalise_query(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
+    """Every word of a query in keyword form, replaced by its synonym where it has one."""
+    words = queries.select("query_id", F.posexplode(F.split(F.trim("text"), r"\s+")).alias("place", "word")).withColumn("find", F.regexp_replace(F.lower("word"), "_", "-"))
+    best = synonyms.groupBy("find").agg(F.max_by("replace", F.struct("relevance", "replace")).alias("replace"))
+    new = words.join(best, "find", "left").withColumn("w", F.coalesce("replace", "find"))
+    return new.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "w"))), lambda s: s["w"]), " ").alias("text"))  # a query's words

@@ -129,3 +129,58 @@ SELECT query_id, keyword, score FROM (SELECT *, sum(length(keyword) + 1) OVER (P
 def _(v: Views):
     r = v.results.join(v.keywords.selectExpr("package AS doc_id", "keyword").distinct(), "doc_id")
     return rounded(agg.top_result_keywords(r), "score", places=2)
+
+
+@query("g2_enabled_dependencies", """WITH dd AS (SELECT DISTINCT l_orderkey AS release, 'Dep' || CAST(l_partkey % 20 AS VARCHAR) AS dep, l_partkey % 20 < 12 AS optional FROM lineitem), wanted AS (SELECT o_orderkey AS release, o_orderkey % 4 AS f FROM orders)
+SELECT release, dep FROM dd WHERE NOT optional UNION SELECT d.release, d.dep FROM dd d JOIN wanted w ON w.release = d.release WHERE optional AND (d.dep = 'Dep' || CAST(w.f AS VARCHAR) OR d.dep = 'Dep' || CAST(w.f + 4 AS VARCHAR))""")
+def _(v: Views):
+    from ..operators import graph
+
+    deps = v.lineitem.selectExpr("l_orderkey AS release", "concat('Dep', l_partkey % 20) AS dep", "l_partkey % 20 < 12 AS optional").distinct()
+    # Feature f<n> enables a dependency and feature g<n>, which enables another one.
+    f = v.orders.selectExpr("o_orderkey AS release", "o_orderkey % 4 AS f")
+    features = f.selectExpr("release", "concat('f', f) AS feature", "concat('dep', f) AS enables").unionByName(f.selectExpr("release", "concat('f', f) AS feature", "concat('g', f) AS enables")).unionByName(f.selectExpr("release", "concat('g', f) AS feature", "concat('dep', f + 4) AS enables"))
+    wanted = f.selectExpr("release", "concat('f', f) AS feature")
+    return graph.enabled_dependencies(v.orders.selectExpr("o_orderkey AS release"), features, deps, wanted).select("release", "dep")
+
+
+@query("b28_min_compiler", "SELECT p_partkey AS package, greatest(CASE p_size % 4 WHEN 0 THEN 1 WHEN 1 THEN 31 WHEN 2 THEN 56 ELSE 85 END, CASE p_size % 3 WHEN 1 THEN 51 WHEN 2 THEN 84 ELSE 1 END, CASE WHEN p_size % 5 = 0 THEN 60 ELSE 1 END, CASE WHEN p_size % 2 = 0 THEN p_size ELSE 1 END) AS min_compiler FROM part")
+def _(v: Views):
+    p = v.part.selectExpr("p_partkey AS package", "CASE p_size % 4 WHEN 0 THEN 2015 WHEN 1 THEN 2018 WHEN 2 THEN 2021 ELSE 2024 END AS edition", "CASE p_size % 3 WHEN 1 THEN '2' WHEN 2 THEN '3' END AS resolver", "map('std', array(CASE WHEN p_size % 5 = 0 THEN 'dep:x' ELSE 'y' END)) AS features", "CASE WHEN p_size % 2 = 0 THEN concat('1.', p_size) END AS declared")
+    return p.select("package", clean.min_compiler(F.col("edition"), F.col("resolver"), F.col("features"), F.col("declared")).alias("min_compiler"))
+
+
+@query("b34_override_categories", "SELECT package, CASE WHEN slug = 'SMALL' AND package % 3 = 0 THEN 'tiny' WHEN slug = 'ECONOMY' AND package % 2 = 0 THEN 'budget' ELSE slug END AS slug FROM categories")
+def _(v: Views):
+    c = v.categories.selectExpr("package", "slug", "array(concat('k', package % 3), concat('m', package % 2)) AS keywords")
+    return clean.override_categories(c, [("ECONOMY", "budget", ["m0"]), ("SMALL", "tiny", ["k0"])])
+
+
+@query("b39_package_kinds", "SELECT p_partkey AS package, p_size % 2 = 0 AS has_bin, p_size % 3 > 0 AS has_lib, p_size % 2 = 0 AND (p_size % 3 = 0 OR p_size % 5 = 0) AS is_app, p_size % 7 = 0 AS is_sys, p_size % 11 = 0 AS is_proc_macro, p_size % 13 = 0 AS is_no_std FROM part")
+def _(v: Views):
+    p = v.part.selectExpr("p_partkey AS package", "p_name AS name", "p_size % 2 = 0 AS has_bin", "p_size % 3 > 0 AS has_lib", "CASE WHEN p_size % 7 = 0 THEN 'z' END AS links", "p_size % 11 = 0 AS proc_macro", "array(CASE WHEN p_size % 5 = 0 THEN 'command-line-utilities' ELSE 'x' END, CASE WHEN p_size % 13 = 0 THEN 'no-std' ELSE 'y' END) AS categories", "'' AS readme")
+    return clean.package_kinds(p)
+
+
+@query("b40_log_to_verdict", """WITH e AS (SELECT user_id % 40 AS p, CAST(floor(value) AS INT) % 5 AS ver, event_type AS compiler, event_id % 4 AS k FROM events), g AS (SELECT p, ver, compiler, max(CASE WHEN k = 0 THEN 2 WHEN k = 1 THEN 1 ELSE 0 END) AS r, count(*) FILTER (WHERE k < 2) AS n, bool_or(k = 2) AS ok FROM e GROUP BY ALL)
+SELECT 'p' || p AS package, '1.0.' || ver AS version, compiler, CASE WHEN r = 2 THEN 'X' WHEN r = 1 THEN 'n' WHEN n > 0 THEN 'N' WHEN ok THEN 'Y' ELSE 'N' END AS verdict FROM g""")
+def _(v: Views):
+    text = "CASE event_id % 4 WHEN 0 THEN 'cannot find macro x' WHEN 1 THEN 'failed to select a version for y' ELSE 'unused import' END"
+    m = v.events.selectExpr("event_type AS compiler", "CAST(CAST(floor(value) AS INT) % 5 AS STRING) AS ver", "user_id % 40 AS p", "event_id % 4 AS k", f"{text} AS t")
+    line = F.to_json(F.struct(F.lit("compiler-message").alias("reason"), F.concat(F.lit("p"), F.col("p").cast("string"), F.lit(" 1.0."), F.col("ver")).alias("package_id"), (F.col("k") == 2).alias("success"), F.struct(F.when(F.col("k") < 2, "error").otherwise("warning").alias("level"), F.col("t").alias("message")).alias("message")))
+    rules = v.spark.createDataFrame([("cannot find", "X", 2), ("failed to select", "n", 1)], "prefix string, verdict string, rank int")
+    return clean.log_to_verdict(m.select("compiler", line.alias("line")), rules)
+
+
+@query("j6_code_stats", "SELECT source AS package, 'Python' AS language, count(*) FILTER (WHERE NOT starts_with(l, '#')) AS code, count(*) FILTER (WHERE starts_with(l, '#')) AS comments FROM (SELECT source, trim(unnest(string_split(text, chr(10)))) AS l FROM documents WHERE doc_id % 3 > 0) x WHERE l <> '' GROUP BY source")
+def _(v: Views):
+    return clean.code_stats(v.documents.selectExpr("source AS package", "concat(CASE WHEN doc_id % 3 = 0 THEN 'tests/' ELSE 'src/' END, doc_id, '.py') AS path", "text AS content"))
+
+
+@query("t13_normalise_query", "SELECT event_id, CASE event_type WHEN 'error' THEN 'failure' ELSE event_type END || ' x-y' AS q FROM events")
+def _(v: Views):
+    from ..operators import text
+
+    q = v.events.selectExpr("event_id AS query_id", "concat(upper(event_type), ' X_Y') AS text")
+    synonyms = v.spark.createDataFrame([("error", "failure", 1.0)], "find string, replace string, relevance double")
+    return text.normalise_query(q, synonyms).select(F.col("query_id").alias("event_id"), F.col("text").alias("q"))
