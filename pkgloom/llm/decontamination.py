@@ -10,6 +10,9 @@ some ``window`` consecutive words of it (all of them in a shorter item) agree
 in at least ``similarity`` of the places with the words at the same distance in
 the document.
 
+Whichever single word of seven is changed, some mask misses it; a passage is
+found as soon as one mask lands on unchanged words.
+
 Edge cases: null and empty texts have no words; an item of fewer words than the
 shortest mask (five) is never found; repeated item or document ids are treated
 as one; one row per (document, item) whatever the number of hits.
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, mixed, slices, word_hashes, words_of
 
-MASKS = ("11111", "1101011", "110010101", "11000101001")
+MASKS = ("11111", "110111", "111011", "1110111", "1101011", "11000101001")  # the longest last
 SPREAD = 64  # most positions that share one context
 
 
