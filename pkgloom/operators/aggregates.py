@@ -60,8 +60,9 @@ def replacements(changes: DataFrame, least: float = 20, n: int = 4) -> DataFrame
 def dependency_changes(history: DataFrame, as_of: Column) -> DataFrame:
     """Replacement, removal and joint-addition weights from the dependency sets of consecutive commits.
 
-    ``history``: repo, committed, deps array. Only the first addition of a
-    package counts, and only removals that are never undone.
+    ``history``: repo, committed, deps array, cut to a repository's last
+    thousand commits by the caller. Only the first addition of a package counts,
+    and only removals that are never undone.
     """
     w = Window.partitionBy("repo").orderBy("committed")
     h = history.withColumn("older", F.coalesce(F.lag("deps").over(w), F.array().cast("array<string>")))

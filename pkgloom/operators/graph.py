@@ -97,14 +97,14 @@ def pagerank(edges: DataFrame, initial: DataFrame, damping: float = 0.85, rounds
     """
     e = edges.select("src", "dst").distinct()
     e = e.withColumn("n", F.count("*").over(Window.partitionBy("src")))
-    total = initial.agg(F.sum("score").alias("all"))
-    start = initial.crossJoin(F.broadcast(total)).select("node", (F.col("score") / F.col("all")).alias("share"))  # one row
+    total = initial.agg(F.sum("score")).scalar()
+    start = initial.select("node", (F.col("score") / total).alias("share"))
     now = start.withColumn("score", F.col("share"))
     for i in range(rounds):
         out = now.join(e.select(F.col("src").alias("node"), "dst", "n"), "node", "left")
         spread = out.where("dst IS NOT NULL").groupBy(F.col("dst").alias("node")).agg(F.sum(damping * F.col("score") / F.col("n")).alias("got"))
-        pool = out.where("dst IS NULL").agg(F.coalesce(F.sum(damping * F.col("score")), F.lit(0.0)).alias("pool"))
-        now = now.join(spread, "node", "left").crossJoin(F.broadcast(pool)).select("node", "share", ((1 - damping) * F.col("score") + F.coalesce("got", F.lit(0.0)) + F.col("pool") * F.col("share")).alias("score"))  # pool is one row
+        pool = out.where("dst IS NULL").agg(F.coalesce(F.sum(damping * F.col("score")), F.lit(0.0))).scalar()
+        now = now.join(spread, "node", "left").select("node", "share", ((1 - damping) * F.col("score") + F.coalesce("got", F.lit(0.0)) + pool * F.col("share")).alias("score"))
         if (i + 1) % settle_every == 0:
             now = settled(now)
     return now.select("node", "score")
