@@ -10,7 +10,11 @@ from .registry import query, rounded
 from .views import Views
 
 AS_OF = "2001-08-01"
-DAY = F.lit(AS_OF).cast("date")
+
+
+def day():
+    return F.lit(AS_OF).cast("date")
+
 INCIDENTS = [
     {"start": "1997-03-01", "end": "1997-05-31", "headroom": 5, "lookaround": 400, "names": None},
     {"start": "1999-01-01", "end": "1999-12-31", "headroom": 2, "lookaround": 300, "names": list(range(0, 50))},
@@ -41,7 +45,7 @@ def _(v: Views):
 @query("w4_downloads_last_30", f"""WITH d AS (SELECT *, max(day) OVER (PARTITION BY package) AS last FROM daily WHERE n > 0 AND day <= DATE '{AS_OF}'), s AS (SELECT package, sum(n) AS n FROM d WHERE last >= DATE '{AS_OF}' - 7 AND day > last - 30 GROUP BY package)
 SELECT p.package, coalesce(s.n, downloads / 3) AS downloads FROM packages p LEFT JOIN s ON s.package = p.package""")
 def _(v: Views):
-    return ts.downloads_last_30(v.daily, DAY, v.packages.selectExpr("package", "downloads AS recent"))
+    return ts.downloads_last_30(v.daily, day(), v.packages.selectExpr("package", "downloads AS recent"))
 
 
 @query("w5_weekly", "WITH d AS (SELECT *, CAST(floor(date_diff('day', day, max(day) OVER (PARTITION BY package)) / 7) AS INT) AS week FROM daily) SELECT package, week, sum(n) AS n FROM d WHERE week < 52 GROUP BY ALL")
@@ -72,13 +76,13 @@ r AS (SELECT package, round((800 + tw) / (900 + pw) * least(sqrt(pw), 10), 6) AS
 f AS (SELECT package, 'short' AS list, ratio1 AS ratio FROM r ORDER BY ratio1 DESC, package LIMIT 20), g AS (SELECT package, 'long' AS list, ratio4 AS ratio FROM r WHERE package NOT IN (SELECT package FROM f) ORDER BY ratio4 DESC, package LIMIT 20)
 SELECT * FROM f UNION ALL SELECT * FROM g""")
 def _(v: Views):
-    return ts.trending(v.daily, DAY, 20)
+    return ts.trending(v.daily, day(), 20)
 
 
 @query("w10_active_dependers")
 def _(v: Views):
     uses = v.lineitem.join(v.orders, F.col("l_orderkey") == F.col("o_orderkey")).selectExpr("o_custkey AS package", "o_orderkey AS release", "l_partkey AS dep")
-    return ts.active_dependers(v.releases, uses, v.owners.select("package", "owner"), DAY)
+    return ts.active_dependers(v.releases, uses, v.owners.select("package", "owner"), day())
 
 
 @query("w11_traction", """WITH m AS (SELECT package AS dep, CAST(date_trunc('month', day) AS DATE) AS month, sum(n) AS users, sum(version % 2) AS removed, sum(version % 3) AS expired, count(*) AS crates FROM daily GROUP BY ALL),
