@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mixed, slices, text_bytes, word_hashes
+from .common import cut, mixed, slices, small_batches, text_bytes, word_hashes
 
 ROWS, BANDS = 6, 40
 SKETCH_BITS = 512
@@ -161,23 +161,44 @@ def _unpack(block: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 
 
 def components(links: DataFrame, most: int = 60) -> DataFrame:
-    """(c, comp): every node of ``links`` (a, b) with the smallest node it is connected with, by large and small stars."""
+    """(c, comp): every node of ``links`` (a, b) with the smallest node it is connected with.
+
+    Large and small stars in turn (each a minimum per node and a join) until
+    every edge points at a root, that is until no target has an edge of its own.
+    """
     edges = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
-    last = None
     for _ in range(most):
+        if edges.join(edges.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
+            break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").unionByName(least.select("a", F.col("m").alias("b"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        edges = cut(small, "edges")
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == last:
-            break
-        last = state
+        small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        edges = cut(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
     return edges.groupBy(F.col("a").alias("c")).agg(F.min("b").alias("comp")).unionByName(edges.select(F.col("b").alias("c"), F.col("b").alias("comp")).distinct())
 
 
+def _maybe(rows: DataFrame, ids: DataFrame, bits: int = 26) -> DataFrame:
+    """Rows whose id may be among ``ids``: a bit map of fixed size (8 MB) in front of the join that decides.
+
+    It keeps the texts of all other documents out of that join's shuffle; with
+    more ids than the map can tell apart it lets more rows pass, never fewer.
+    """
+    slot = lambda c: F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(11)), 64 - bits)
+    words = ids.select(slot(ids.columns[0]).alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(slot & 63 AS INT))")).alias("bits")).toArrow()
+    table = np.zeros(1 << (bits - 6), np.int64)
+    table[words["word"].to_numpy()] = words["bits"].to_numpy()
+    handle = rows.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("slot").to_numpy()
+            yield batch.filter(pa.array((handle.value[at >> 6] >> (at & 63)) & 1 > 0)).drop_columns(["slot"])
+
+    return rows.withColumn("slot", slot("id")).mapInArrow(run, rows.schema)
+
+
 def _estimate() -> Column:
     """Jaccard similarity from the XOR of two odd sketches of ``ROWS * BANDS`` samples."""
     odd = sum((F.bit_count(F.get("s1", F.lit(i)).bitwiseXOR(F.get("s2", F.lit(i)))) for i in range(SKETCH_BITS // 64)), F.lit(0))
@@ -185,10 +206,10 @@ def _estimate() -> Column:
     return 1 + F.lit(SKETCH_BITS / (4.0 * ROWS * BANDS)) * F.log(inside)
 
 
-def link(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 3, percent: int = 85, rounds: int = 2, small: int = 8) -> DataFrame:
+def link(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 3, percent: int = 85, rounds: int = 1, small: int = 8) -> DataFrame:
     """Per row: ``key``, ``n_shingles``, ``component_id`` (smallest key reachable) and ``kept`` (the key is that smallest)."""
     id_type = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    rows = small_batches(docs).select(F.col(key).alias("id"), F.col(text).alias("text"))
     signed = cut(rows.mapInArrow(_signatures(k), f"id {id_type}, n bigint, k1 bigint, k2 bigint, bands array<bigint>, sketch array<bigint>").withColumn("c", _class_id()), "signatures")
     classes = cut(signed.where("n > 0").groupBy("c").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
     buckets = classes.select("c", F.explode("bands").alias("key")).repartition("key")
@@ -196,7 +217,7 @@ def link(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 3, p
     near = members.select("c").distinct()
     sketches = cut(classes.join(near, "c").select("c", "rep", "sketch"), "sketches")
     needed = sketches.select(F.col("rep").alias("_id")).distinct()
-    sets = rows.join(needed, F.col("id").eqNullSafe(F.col("_id")), "left_semi").select("text").mapInArrow(_sets(k), "n bigint, k1 bigint, k2 bigint, set array<bigint>").withColumn("c", _class_id())
+    sets = _maybe(rows, needed).join(needed, F.col("id").eqNullSafe(F.col("_id")), "left_semi").select("text").mapInArrow(_sets(k), "n bigint, k1 bigint, k2 bigint, set array<bigint>").withColumn("c", _class_id())
     sets = cut(sets.join(near, "c", "left_semi").dropDuplicates(["c"]).select("c", "n", "set"), "sets")
     least = percent / 100 - MARGIN
 
@@ -231,11 +252,12 @@ def link(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 3, p
     large = active.where(F.col("size") > small).join(sets, "c")
     member = F.struct("c", "comp", "set")
 
-    def blocks(df: DataFrame, per: int, name: str) -> DataFrame:
-        return df.groupBy("key", F.pmod(F.xxhash64("c", F.lit(7)), F.ceil(F.col("size") / per)).alias("block")).agg(F.collect_list(member).alias(name)).drop("block")
+    def blocks(df: DataFrame, n: Column, per: int, name: str) -> DataFrame:
+        """Rows of about ``per`` of a bucket's ``n`` members each, dealt by a hash."""
+        return df.groupBy("key", F.pmod(F.xxhash64("c", F.lit(7)), F.ceil(n / per)).alias("block")).agg(F.collect_list(member).alias(name)).drop("block")
 
-    outside = blocks(large.where(F.col("comp") != F.col("top.comp")), 128, "left")
-    faced = outside.join(blocks(large, 64, "right"), "key").select("left", "right").mapInArrow(_block_links(percent), "a bigint, b bigint")
+    outside = blocks(large.where(F.col("comp") != F.col("top.comp")), F.col("size") - F.col("top.part"), 128, "left")
+    faced = outside.join(blocks(large, F.col("size"), 64, "right"), "key").select("left", "right").mapInArrow(_block_links(percent), "a bigint, b bigint")
     links = cut(links.unionByName(tail).unionByName(faced), "links")
     comp = components(links)
     reps = classes.select("c", "rep").join(comp, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
