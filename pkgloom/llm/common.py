@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -13,11 +14,15 @@ from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. Long texts make default Arrow batches large, so Python workers get theirs in smaller ones."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df`` itself. Long texts make default Arrow batches large, so the session's Python workers get theirs in smaller ones."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 BATCH_BYTES = 8 << 20
 
 
@@ -63,9 +68,20 @@ def text_bytes(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offsets
 
 
+def lean() -> None:
+    """Let a reused Python worker give freed memory back: large arrays are mapped on their own, the rest is trimmed."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, which would otherwise grow
+        libc.malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def slices(batches, column: str, limit: int = 4 << 20):
     """Split record batches by rows, so that each piece holds about ``limit`` text bytes (one row at least)."""
-    pa.set_memory_pool(pa.system_memory_pool())  # gives freed memory back between tasks of a reused worker
+    lean()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -77,6 +93,7 @@ def slices(batches, column: str, limit: int = 4 << 20):
                 total, begin = 0, i
             total += size
         yield batch.slice(begin)
+    lean()
 
 
 def field_ddl(df: DataFrame, *names: str) -> str:
