@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, field_ddl, slices
+from .common import cut, field_ddl, slices, small_batches
 
 TAG = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 # Fixed values of HTML: elements without end, with raw text, inside a line, and those never holding main text.
@@ -167,7 +167,7 @@ def _parse(keep: tuple[str, ...]):
 def extract(pages: DataFrame, html: str = "html", url: str = "url", keep: tuple[str, ...] = ("page_id", "url"), least_pages: int = 5, least_share: float = 0.2) -> DataFrame:
     """``keep`` columns plus ``text`` (blocks joined by newlines) and ``n_chars`` of every page."""
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
-    rows = pages.select(*keep, F.col(html).alias("html"), host.alias("host"), F.xxhash64(F.col(html), F.col(url), *keep).alias("uid"))
+    rows = small_batches(pages).select(*keep, F.col(html).alias("html"), host.alias("host"), F.xxhash64(F.col(html), F.col(url), *keep).alias("uid"))
     ddl = f"{field_ddl(pages, *keep)}, host string, uid bigint, blocks array<struct<text:string,path:array<bigint>>>, hashes array<bigint>, content bigint"
     parsed = cut(rows.mapInArrow(_parse(keep), ddl), "pages")
     distinct = parsed.groupBy("host", "content").agg(F.first("hashes").alias("hashes"))
@@ -176,7 +176,11 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", keep: tuple[
     templates = seen.where(F.col("n") >= least_pages).join(sizes, "host").where(F.col("n") >= F.lit(least_share) * F.col("pages")).select("host", "hash")
     own = parsed.select("host", "uid", F.explode(F.array_distinct(F.flatten("blocks.path"))).alias("hash")).distinct()
     gone = own.join(templates, ["host", "hash"]).groupBy("uid").agg(F.collect_set("hash").alias("gone"))  # a page's own subtrees at most
-    out = parsed.drop("hashes").join(gone, "uid", "left")
+    # Pages without a removable container keep all blocks; their texts stay out of the join's shuffle.
+    bare = F.size(F.flatten("blocks.path")) == 0
+    columns = [*keep, "uid", "blocks"]
+    joined = parsed.where(~bare).select(*columns).join(gone, "uid", "left").select(*columns, "gone")
+    out = joined.unionByName(parsed.where(bare).select(*columns, F.lit(None).cast("array<bigint>").alias("gone")))
     left = F.filter("blocks", lambda b: F.col("gone").isNull() | ~F.coalesce(F.arrays_overlap(b["path"], F.col("gone")), F.lit(False)))
     text = F.array_join(F.transform(left, lambda b: b["text"]), "\n")
     return out.select(*keep, text.alias("text")).withColumn("n_chars", F.length("text").cast("bigint"))
