@@ -11,29 +11,27 @@ from pkgloom.llm import bpe, decontamination, near_dedup, secrets, toxicity
 from pkgloom.llm.common import cut, fold, table
 from pkgloom.llm.queries import tokenizer_path
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below one half. The model learns from the labelled rows outside fold 0."""
     key = F.col("doc_id")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), fold(key) != 0, fold(key) == 1)
-    return toxicity.predict(docs, model, keep=(*[c for c in COLUMNS if c != "text"], "text")).where("predicted = 0").select(*COLUMNS)
+    return toxicity.remove(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word shingles at a similarity of 0.8 or more."""
-    return near_dedup.remove(docs).select(*COLUMNS)
+    return near_dedup.remove(docs).select(*docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark passage."""
-    return decontamination.remove(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+    return decontamination.remove(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with its secrets replaced by a mark and ``n_chars`` counted anew."""
-    return secrets.redact(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("bigint"), F.col("n_chars"))).select(*COLUMNS)
+    return secrets.redact(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("bigint"), F.col("n_chars"))).select(*docs.columns)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

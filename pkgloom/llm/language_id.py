@@ -27,10 +27,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import field_ddl, slices, text_bytes
+from .common import field_ddl, slices, small_batches, text_bytes
 
 START = 10  # what stands before a text's first byte
-WINDOW = 1 << 20
+WINDOW = 1 << 18
 
 
 @dataclass
@@ -83,7 +83,7 @@ def train(docs: DataFrame, is_training: Column, text: str = "text", lang: str =
     ``max_grams`` (the most frequent 4-grams) bounds what reaches the driver,
     ``model_mb`` the compiled table.
     """
-    rows = docs.where(is_training & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 20)).alias("h"))
+    rows = small_batches(docs).where(is_training & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 20)).alias("h"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
@@ -186,4 +186,4 @@ def predict(docs: DataFrame, model: PpmModel, text: str = "text", keep: tuple[st
                 score = np.where(known, 1 / np.exp2(-np.minimum(gap, 1000)).sum(1), 0.0)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(names[best], pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
 
-    return docs.select(*keep, text).mapInArrow(run, f"{field_ddl(docs, *keep)}, lang_pred string, score double")
+    return small_batches(docs).select(*keep, text).mapInArrow(run, f"{field_ddl(docs, *keep)}, lang_pred string, score double")
