@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mixed, slices, word_hashes, words_of
+from .common import cut, mixed, slices, small_batches, word_hashes, words_of
 
 MASKS = ("11111", "110111", "111011", "1110111", "1101011", "11000101001")  # the longest last
 SPREAD = 64  # most positions that share one context
@@ -67,8 +67,9 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "
     """
     spark = docs.sparkSession
     ids, item_type = docs.schema[key].dataType.simpleString(), benchmark.schema[item].dataType.simpleString()
-    bench = cut(benchmark.select(F.col(item).alias("item_id"), F.col(text).alias("text")).mapInArrow(_bench_rows, f"item_id {item_type}, words array<bigint>, seeds array<struct<key:bigint,pos:int>>"), "bench")
-    keys = bench.select("item_id", "words", F.explode("seeds").alias("s")).select("item_id", "words", F.col("s.key").alias("key"), F.col("s.pos").alias("item_pos"))
+    bench = cut(benchmark.select(F.col(item).alias("item_id"), F.col(text).alias("text")).mapInArrow(_bench_rows, f"item_id {item_type}, words array<bigint>, seeds array<struct<key:bigint,pos:int>>").withColumn("uid", F.xxhash64("item_id", "words")), "bench")
+    keys = bench.select("uid", F.explode("seeds").alias("s")).select("uid", F.col("s.key").alias("key"), F.col("s.pos").alias("item_pos"))
+    items = bench.groupBy("uid").agg(F.first("item_id").alias("item_id"), F.first("words").alias("words"))
     count = keys.count()
     bits = min(map_bits, max(16, int(np.ceil(np.log2(16 * max(count, 1))))))
     slots = keys.select(F.shiftrightunsigned("key", 64 - bits).alias("slot")).distinct()
@@ -112,10 +113,10 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "
                 rows["seeds"].append([{"key": int(k), "pos": int(p - lo)} for k, p in zip(key_of[a:b].view(np.int64), at[a:b], strict=True)])
             yield pa.RecordBatch.from_arrays([batch.column("_key").take(pa.array(rows["row"])), pa.array(rows["ctx_start"], pa.int32()), pa.array(rows["ctx"], pa.list_(pa.int64())), pa.array(rows["seeds"], pa.list_(pa.struct([("key", pa.int64()), ("pos", pa.int32())])))], ["_key", "ctx_start", "ctx", "seeds"])
 
-    found = docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).mapInArrow(hits, f"_key {ids}, ctx_start int, ctx array<bigint>, seeds array<struct<key:bigint,pos:int>>")
+    found = small_batches(docs).select(F.col(key).alias("_key"), F.col(text).alias("text")).mapInArrow(hits, f"_key {ids}, ctx_start int, ctx array<bigint>, seeds array<struct<key:bigint,pos:int>>")
     seeds = found.select("_key", "ctx_start", "ctx", F.explode("seeds").alias("s")).select("_key", "ctx_start", "ctx", F.col("s.key").alias("key"), F.col("s.pos").alias("pos"))
     joined = seeds.join(F.broadcast(keys) if count <= broadcast_rows else keys, "key")
-    diagonals = joined.groupBy("_key", "item_id", "ctx_start", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.first("ctx").alias("ctx"), F.first("words").alias("words"))
+    diagonals = joined.groupBy("_key", "uid", "ctx_start", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.first("ctx").alias("ctx")).join(items, "uid")
     length = F.least(F.lit(window), F.size("words"))
     lo, hi = F.greatest(F.lit(0), -F.col("shift")), F.least(F.size("words"), F.size("ctx") - F.col("shift"))
     same = F.transform(F.sequence("lo", F.col("hi") - 1), lambda t: (F.get("ctx", t + F.col("shift")) == F.get("words", t)).cast("int"))
