@@ -20,6 +20,8 @@ the library does; repeated rows are encoded alike.
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,11 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import field_ddl, mixed, slices, text_bytes
+from .common import field_ddl, mixed, slices, small_batches, text_bytes
 
 MASK_BITS = 8  # a cut every 256 bytes on average
 MOST = 4096  # bytes of a chunk at most, but for a character's rest
-MEMO = 150_000  # words, and chunks up to a tenth of that, remembered by a task
+MEMO = 150_000  # pre-tokens, and chunks up to a tenth of that, remembered by a task
+# Fixed values of the tokenizer: its normaliser and its pre-token pattern.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+UNUSUAL = re.compile("[^\x00-\x7fÀ-ÖØ-öø-ÿ]")
+PRETOKEN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \t\n\r\x0b\x0ca-zß-öø-ÿ0-9]+")
 
 
 def chunk_ends(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -84,79 +91,121 @@ def _chunk_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 class Encoder:
-    """Encodes chunks and joins with a memo of words; one per task."""
+    """Encodes chunks and joins. It remembers the ids of pre-tokens; one per task.
+
+    Texts of ASCII and Latin-1 letters are lower-cased and cut into pre-tokens
+    by the tokenizer's own pattern, spelled out for these letters; any other
+    word, and one with a special token in it, goes to the tokenizer whole.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_padding(), self.tokenizer.no_truncation()
-        if self.tokenizer.encode("a b", add_special_tokens=False).ids != self.tokenizer.encode("a\n \tb ", add_special_tokens=False).ids or self.tokenizer.decoder is not None:
-            raise ValueError("chunk joins need a tokenizer that drops white space and decodes by joining tokens")
-        self.words: dict[bytes, tuple[bytes, bytes, int]] = {}
+        self.tokenizer = t = Tokenizer.from_file(path)
+        t.no_padding(), t.no_truncation()
+        spec = json.loads(t.to_str())
+        shape = (spec["decoder"], spec["normalizer"], spec["pre_tokenizer"]["pretokenizers"][0]["pattern"], spec["model"]["end_of_word_suffix"])
+        if shape != (None, NORMALIZER, {"Regex": PATTERN}, "</w>"):
+            raise ValueError("chunk joins need a tokenizer with word ends that lower-cases, drops white space and decodes by joining tokens")
+        self.names = [(t.id_to_token(i) or "").encode() for i in range(t.get_vocab_size(with_added_tokens=True))]
+        self.last = np.array([n.endswith(b"</w>") for n in self.names])
+        self.specials = [x["content"] for x in spec["added_tokens"]]
+        self.units: dict[str, tuple[bytes, bytes]] = {}
         self.chunks: dict[bytes, tuple] = {}
 
-    def learn(self, words: list[bytes]) -> None:
-        new = list(dict.fromkeys(w for w in words if w not in self.words))
-        if len(self.words) + len(new) > MEMO:
-            self.words.clear()
-            new = list(dict.fromkeys(words))
-        for a in range(0, len(new), 4096):
-            part = new[a : a + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.words[w] = (np.array(e.ids, "<u4").tobytes(), self.tokenizer.decode(e.ids, skip_special_tokens=False).encode() if e.ids else b"", len(e.ids))
-
-    def chunk(self, data: bytes) -> tuple:
-        """(head, ids, decoded, tail) with the pieces of the words cut at either end; ids None if the chunk has no white space."""
-        known = self.chunks.get(data)
-        if known is None:
-            words = data.split()
-            if not words:
-                known = (b"", b"", b"", b"")
-            else:
-                open_start, open_end = not data[:1].isspace(), not data[-1:].isspace()
-                if len(words) == 1 and open_start and open_end:
-                    known = (data, None, b"", b"")
-                else:
-                    head = words.pop(0) if open_start else b""
-                    tail = words.pop() if open_end else b""
-                    known = (head, *self.plain(words), tail)
-            if len(self.chunks) > MEMO // 10:
-                self.chunks.clear()
-            self.chunks[data] = known
-        return known
-
-    def plain(self, words: list[bytes]) -> tuple[bytes, bytes]:
-        try:
-            parts = [self.words[w] for w in words]
-        except KeyError:
-            self.learn(words)
-            parts = [self.words[w] for w in words]
-        return b"".join([p[0] for p in parts]), b" ".join([p[1] for p in parts if p[2]])
-
-    def encode(self, chunks: list[bytes], shared: dict[bytes, tuple]) -> tuple[bytes, bytes]:
-        """Ids and decoded text of a document given as its chunks, joins repaired."""
-        ids, text, word = [], [], b""
+    def _whole(self, word: str) -> tuple[bytes, bytes]:
+        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return np.array(ids, "<u4").tobytes(), b" ".join([self.names[i] for i in ids])
+
+    def cut(self, data: bytes) -> list[str]:
+        """The units of a text between white space: pre-tokens, or ``\\0`` and a word to encode whole."""
+        text = data.decode()
+        if not UNUSUAL.search(text) and not any(x in text for x in self.specials):
+            return PRETOKEN.findall(text.lower())
+        out: list[str] = []
+        for word in data.split():
+            w = word.decode()
+            plain = not UNUSUAL.search(w) and not any(x in w for x in self.specials)
+            out += PRETOKEN.findall(w.lower()) if plain else ["\0" + w]
+        return out
+
+    def learn(self, lists: list[list[str]]) -> None:
+        """Remember all units of ``lists``; the pre-tokens among them are encoded in one text, as each ends with a word end."""
+        new = list({u for units in lists for u in units if u not in self.units})
+        if len(self.units) + len(new) > MEMO:
+            self.units.clear()
+            new = list({u for units in lists for u in units})
+        plain = [u for u in new if u[0] != "\0"]
+        for a in range(0, len(plain), 2048):
+            part = plain[a : a + 2048]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(part):
+                self.units.update((u, self._whole(u)) for u in part)
+                continue
+            coded, names = ids.tobytes(), [self.names[i] for i in ids.tolist()]
+            for u, lo, hi in zip(part, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                self.units[u] = (coded[4 * lo : 4 * hi], b" ".join(names[lo:hi]))
+        self.units.update((u, self._whole(u[1:])) for u in new if u[0] == "\0")
+
+    def render(self, units: list[str]) -> tuple[bytes, bytes]:
+        found = [self.units[u] for u in units]
+        return b"".join([f[0] for f in found]), b" ".join([f[1] for f in found if f[1]])
+
+    def chunk_all(self, chunks: list[bytes]) -> None:
+        """Encode chunks not known yet: (head, ids, decoded, tail), head and tail being the pieces of words cut at either end; ids None without white space."""
+        if len(self.chunks) > MEMO // 10:
+            self.chunks.clear()
+        parts = []
         for data in chunks:
-            head, own, decoded, tail = shared.get(data) or self.chunk(data)
-            word += head
-            if own is None:
+            if data in self.chunks:
                 continue
+            words = data.split(None, 1)
+            if not words:
+                self.chunks[data] = (b"", b"", b"", b"")
+            elif len(words) == 1 and data == words[0]:
+                self.chunks[data] = (data, None, b"", b"")
+            else:
+                head = b"" if data[:1].isspace() else words[0]
+                rest = data[len(head) :]
+                tail = b"" if data[-1:].isspace() else rest.rsplit(None, 1)[-1]
+                parts.append((data, head, self.cut(rest[: len(rest) - len(tail)]), tail))
+        self.learn([p[2] for p in parts])
+        for data, head, units, tail in parts:
+            self.chunks[data] = (head, *self.render(units), tail)
+
+    def documents(self, docs: list[list[bytes]], shared: dict[bytes, tuple]) -> list[tuple[bytes, bytes]]:
+        """Ids and decoded text of documents given as their chunks. Words cut by chunk ends are joined and encoded anew."""
+        self.chunk_all(list({c for chunks in docs for c in chunks if c not in shared}))
+        plans, joins = [], []
+        for chunks in docs:
+            plan, word = [], b""
+            for data in chunks:
+                head, ids, decoded, tail = shared.get(data) or self.chunks[data]
+                word += head
+                if ids is None:
+                    continue
+                if word:
+                    joins.append(self.cut(word))
+                    plan.append(joins[-1])
+                plan.append((ids, decoded))
+                word = tail
             if word:
-                i, d = self.plain([word])
-                ids.append(i), text.append(d)
-            ids.append(own), text.append(decoded)
-            word = tail
-        if word:
-            i, d = self.plain([word])
-            ids.append(i), text.append(d)
-        return b"".join(ids), b" ".join([t for t in text if t])
-
-
-def shared_chunks(docs: DataFrame, path: str, text: str = "text", dictionary_bytes: int = 8 << 20) -> dict[bytes, tuple]:
+                joins.append(self.cut(word))
+                plan.append(joins[-1])
+            plans.append(plan)
+        self.learn(joins)
+        out = []
+        for plan in plans:
+            parts = [p if isinstance(p, tuple) else self.render(p) for p in plan]
+            out.append((b"".join([p[0] for p in parts]), b" ".join([p[1] for p in parts if p[1]])))
+        return out
+
+
+def shared_chunks(docs: DataFrame, path: str, text: str = "text", dictionary_bytes: int = 4 << 20) -> dict[bytes, tuple]:
     """The recurring chunks that save most, encoded once: chunk -> (head, ids, decoded, tail)."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(text).alias("text"))
+    rows = small_batches(docs).select(F.col(text).alias("text"))
     counts = rows.mapInArrow(_chunk_counts, "hash bigint, size bigint, n bigint").groupBy("hash").agg(F.max("size").alias("size"), F.sum("n").alias("n")).where("n > 1")
     top = counts.orderBy(F.desc((F.col("n") - 1) * F.col("size")), "hash").limit(dictionary_bytes >> (MASK_BITS + 1)).toArrow()
     size = np.cumsum(top["size"].to_numpy())
@@ -176,14 +225,16 @@ def shared_chunks(docs: DataFrame, path: str, text: str = "text", dictionary_byt
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
         for batch in batches:
-            done = [(c, *encoder.chunk(c)) for c in batch.column("chunk").to_pylist()]
+            chunks = batch.column("chunk").to_pylist()
+            encoder.chunk_all(chunks)
+            done = [(c, *encoder.chunks[c]) for c in chunks]
             yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], pa.binary()) for i in range(5)], ["chunk", "head", "ids", "decoded", "tail"])
 
     found = rows.mapInArrow(texts, "chunk binary").distinct().mapInArrow(encoded, "chunk binary, head binary, ids binary, decoded binary, tail binary").toArrow()
     return {r["chunk"]: (r["head"], r["ids"], r["decoded"], r["tail"]) for r in found.to_pylist()}
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = True, dictionary_bytes: int = 8 << 20) -> DataFrame:
+def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = True, dictionary_bytes: int = 4 << 20) -> DataFrame:
     """``keep`` columns plus ``n_tokens``, ``ids`` (array<int>, if asked), ``ids_sha256`` and ``decoded_sha256``."""
     handle = docs.sparkSession.sparkContext.broadcast(shared_chunks(docs, path, text, dictionary_bytes))
 
@@ -192,17 +243,11 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
         for batch, buf, offs, begins, ends in _pieces(batches):
             data = buf.tobytes()
             stops = np.searchsorted(ends, offs[1:], "right").tolist()
-            begins, ends = begins.tolist(), ends.tolist()
-            chunks = [data[a:b] for a, b in zip(begins, ends, strict=True)]
-            unknown = [w for c in dict.fromkeys(chunks) if c not in shared for w in c.split()]
-            encoder.learn(list(dict.fromkeys(unknown)))
-            n, ids, one, two, first = [], [], [], [], 0
-            for stop in stops:
-                coded, decoded = encoder.encode(chunks[first:stop], shared)
-                first = stop
-                n.append(len(coded) // 4)
-                one.append(hashlib.sha256(coded).hexdigest()), two.append(hashlib.sha256(decoded).hexdigest())
-                ids.append(np.frombuffer(coded, "<u4").astype(np.int32) if with_ids else None)
+            chunks = [data[a:b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
+            done = encoder.documents([chunks[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)], shared)
+            n = [len(coded) // 4 for coded, _ in done]
+            one, two = [hashlib.sha256(coded).hexdigest() for coded, _ in done], [hashlib.sha256(decoded).hexdigest() for _, decoded in done]
+            ids = [np.frombuffer(coded, "<u4").astype(np.int32) for coded, _ in done] if with_ids else []
             extra = [pa.array(ids, pa.list_(pa.int32()))] if with_ids else []
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(n, pa.int64()), *extra, pa.array(one), pa.array(two)], [*keep, "n_tokens", *["ids"] * with_ids, "ids_sha256", "decoded_sha256"])
 
