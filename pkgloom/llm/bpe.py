@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 
 from .common import field_ddl, mixed, slices, small_batches, text_bytes
 
-MASK_BITS = 8  # a cut every 256 bytes on average
-MOST = 4096  # bytes of a chunk at most, but for a character's rest
-MEMO = 150_000  # pre-tokens, and chunks up to a tenth of that, remembered by a task
+MASK_BITS = 10  # a cut every 1024 bytes on average
+MOST = 16_384  # bytes of a chunk at most, but for a character's rest
+MEMO = 400_000  # pre-tokens, and chunks up to a fortieth of that, remembered by a task
 # Fixed values of the tokenizer: its normaliser and its pre-token pattern.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -110,12 +110,16 @@ class Encoder:
         self.names = [(t.id_to_token(i) or "").encode() for i in range(t.get_vocab_size(with_added_tokens=True))]
         self.last = np.array([n.endswith(b"</w>") for n in self.names])
         self.specials = [x["content"] for x in spec["added_tokens"]]
-        self.units: dict[str, tuple[bytes, bytes]] = {}
+        self.units: dict[str, bytes] = {}  # ids of a unit
+        self.decoded: dict[str, bytes] = {}
+        self.silent = False  # whether some unit has no ids
         self.chunks: dict[bytes, tuple] = {}
 
-    def _whole(self, word: str) -> tuple[bytes, bytes]:
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes(), b" ".join([self.names[i] for i in ids])
+    def _learn_whole(self, words: dict[str, str]) -> None:
+        for unit, word in words.items():
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+            self.units[unit], self.decoded[unit] = np.array(ids, "<u4").tobytes(), b" ".join([self.names[i] for i in ids])
+            self.silent = self.silent or not ids
 
     def cut(self, data: bytes) -> list[str]:
         """The units of a text between white space: pre-tokens, or ``\\0`` and a word to encode whole."""
@@ -133,7 +137,7 @@ class Encoder:
         """Remember all units of ``lists``; the pre-tokens among them are encoded in one text, as each ends with a word end."""
         new = list({u for units in lists for u in units if u not in self.units})
         if len(self.units) + len(new) > MEMO:
-            self.units.clear()
+            self.units.clear(), self.decoded.clear()
             new = list({u for units in lists for u in units})
         plain = [u for u in new if u[0] != "\0"]
         for a in range(0, len(plain), 2048):
@@ -141,20 +145,21 @@ class Encoder:
             ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) != len(part):
-                self.units.update((u, self._whole(u)) for u in part)
+                self._learn_whole({u: u for u in part})
                 continue
             coded, names = ids.tobytes(), [self.names[i] for i in ids.tolist()]
             for u, lo, hi in zip(part, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                self.units[u] = (coded[4 * lo : 4 * hi], b" ".join(names[lo:hi]))
-        self.units.update((u, self._whole(u[1:])) for u in new if u[0] == "\0")
+                self.units[u], self.decoded[u] = coded[4 * lo : 4 * hi], b" ".join(names[lo:hi])
+        self._learn_whole({u: u[1:] for u in new if u[0] == "\0"})
 
     def render(self, units: list[str]) -> tuple[bytes, bytes]:
-        found = [self.units[u] for u in units]
-        return b"".join([f[0] for f in found]), b" ".join([f[1] for f in found if f[1]])
+        if self.silent:
+            units = [u for u in units if self.units[u]]
+        return b"".join(map(self.units.__getitem__, units)), b" ".join(map(self.decoded.__getitem__, units))
 
     def chunk_all(self, chunks: list[bytes]) -> None:
         """Encode chunks not known yet: (head, ids, decoded, tail), head and tail being the pieces of words cut at either end; ids None without white space."""
-        if len(self.chunks) > MEMO // 10:
+        if len(self.chunks) > MEMO // 40:
             self.chunks.clear()
         parts = []
         for data in chunks:
