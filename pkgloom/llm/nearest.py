@@ -3,16 +3,19 @@
 Vectors are rotated by a fixed random orthogonal matrix and dealt to lists by
 their nearest centroid (k-means on a bounded sample; every vector is indexed).
 A list's vectors are packed in rows of at most ``PACK``, column blocks side by
-side. A query visits its ``probes`` nearest lists. There, partial distances
-over the first column blocks are scaled up; a candidate whose partial distance
-already exceeds what a candidate at the current tenth-best distance would show,
-by the margin of a hypothesis test, is abandoned. Survivors get the exact
-distance on the original vectors.
+side. A query visits its ``probes`` nearest lists first, and then every other
+list that may hold a vector as near as the ``k``-th found: a list's vectors lie
+on their centroid's side of the plane halfway to the query's nearest centroid,
+so the distance to that plane excludes lists without a loss. There, partial
+distances over the first column blocks are scaled up; a candidate whose partial
+distance already exceeds what a candidate at the current tenth-best distance
+would show, by the margin of a hypothesis test, is abandoned. Survivors get the
+exact distance on the original vectors. Only the test can miss a neighbour.
 
 Edge cases: null, zero or non-finite vectors, vectors with null components and
 those of another than the most frequent dimension take no part; ties go to the
 smaller id; repeated ids appear once, at their smallest distance; with fewer
-than ``k`` candidates all of the probed ones are returned.
+than ``k`` candidates all of them are returned.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import cut
+
 PACK, QUERIES, STEP, SALT = 1024, 64, 16, 16
 EPSILON = 2.1  # margin of the hypothesis test
 
@@ -68,6 +73,16 @@ def _nearest(x: np.ndarray, centroids: np.ndarray, k: int) -> np.ndarray:
     return np.argsort(d, axis=1, kind="stable")[:, :k]
 
 
+def _least(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """A distance that no vector of a list (columns) can fall below for a row of ``x``, less a slack for rounding."""
+    norms = (centroids**2).sum(1)
+    d = norms[None, :] - 2 * x @ centroids.T
+    own = d.argmin(1)
+    gap = np.stack([np.sqrt(((centroids - c) ** 2).sum(1)) for c in centroids[own]])
+    slack = 1e-9 * ((x**2).sum(1)[:, None] + norms.max())
+    return np.maximum(0.0, (d - d[np.arange(len(x)), own][:, None] - slack) / np.where(gap > 0, 2 * gap, np.inf))
+
+
 def _matrix(column: pa.Array, kind) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(len(column), -1)
 
@@ -98,20 +113,26 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, vector: str = "emb
                     out.append((int(own[p[0]]), int(ids[p[0]]) % SALT, _binary(ids[p]), _binary(x[p].astype(np.float32)), _binary(turned[p])))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["list", "salt", "ids", "x", "turned"])
 
-    def probing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = handle.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, ids = _matrix(batch.column("v"), np.float64), batch.column("id").to_numpy()
-            near = _nearest(x, ix.centroids, ix.probes)
-            out = []
-            for c in np.unique(near):
-                rows = np.flatnonzero((near == c).any(1))
-                for a in range(0, len(rows), QUERIES):
-                    p = rows[a : a + QUERIES]
-                    out += [(int(c), s, _binary(ids[p]), _binary(x[p])) for s in range(SALT)]
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["list", "salt", "qids", "q"])
+    def probing(further: bool):
+        """Queries of the lists they visit: the nearest ones, or ``further`` those of the others that ``limit`` does not exclude."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ix = handle.value
+            for batch in (b.slice(a, 1024) for b in batches for a in range(0, b.num_rows, 1024)):
+                x, ids, limit = _matrix(batch.column("v"), np.float64), batch.column("id").to_numpy(), batch.column("limit").to_numpy()
+                visits = np.zeros((len(ids), len(ix.centroids)), bool)
+                np.put_along_axis(visits, _nearest(x, ix.centroids, ix.probes), True, 1)
+                if further:
+                    visits = ~visits & (_least(x, ix.centroids) <= limit[:, None] * (1 + 1e-6))
+                out = []
+                for c in np.flatnonzero(visits.any(0)):
+                    rows = np.flatnonzero(visits[:, c])
+                    for a in range(0, len(rows), QUERIES):
+                        p = rows[a : a + QUERIES]
+                        out += [(int(c), s, _binary(ids[p]), _binary(x[p]), _binary(limit[p])) for s in range(SALT)]
+                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["list", "salt", "qids", "q", "limits"])
+
+        return run
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix, best = handle.value, {}
@@ -121,11 +142,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, vector: str = "emb
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.float64())], ["query_id", "id", "score"])
 
         for batch in batches:
-            for ids, x, turned, qids, q in zip(*(batch.column(c).to_pylist() for c in ("ids", "x", "turned", "qids", "q")), strict=True):
-                ids, qids = np.frombuffer(ids, np.int64), np.frombuffer(qids, np.int64)
+            for ids, x, turned, qids, q, limits in zip(*(batch.column(c).to_pylist() for c in ("ids", "x", "turned", "qids", "q", "limits")), strict=True):
+                ids, qids, limits = np.frombuffer(ids, np.int64), np.frombuffer(qids, np.int64), np.frombuffer(limits)
                 x, turned, q = np.frombuffer(x, np.float32).reshape(len(ids), -1), np.frombuffer(turned, np.float32).reshape(len(ids), -1), np.frombuffer(q).reshape(len(qids), -1)
                 for i, qid in enumerate(qids.tolist()):
-                    best[qid] = _scan(best.get(qid, []), qid, q[i], ids, x, turned, ix.rotation, k)
+                    best[qid] = _scan(best.get(qid, []), qid, q[i], ids, x, turned, ix.rotation, k, limits[i])
                 if len(best) > 100_000:
                     yield found()
                     best.clear()
@@ -133,21 +154,31 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, vector: str = "emb
             yield found()
 
     lists = fine.select("id", "v").mapInArrow(packed, "list int, salt int, ids binary, x binary, turned binary")
-    queries = fine.where("is_query").select("id", "v").mapInArrow(probing, "list int, salt int, qids binary, q binary")
-    pairs = lists.join(queries, ["list", "salt"]).mapInArrow(scanned, "query_id bigint, id bigint, score double")
-    once = pairs.groupBy("query_id", "id").agg(F.min("score").alias("score"))
-    ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(key), "score")
+    queries = fine.where("is_query").select("id", "v")
+
+    def visited(queries: DataFrame, further: bool) -> DataFrame:
+        blocks = queries.mapInArrow(probing(further), "list int, salt int, qids binary, q binary, limits binary")
+        return lists.join(blocks, ["list", "salt"]).mapInArrow(scanned, "query_id bigint, id bigint, score double")
+
+    def ranked(pairs: DataFrame) -> DataFrame:
+        once = pairs.groupBy("query_id", "id").agg(F.min("score").alias("score"))
+        return once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))).where(F.col("rank") <= k)
+
+    first = cut(ranked(visited(queries.withColumn("limit", F.lit(float("inf"))), False)), "nearest")
+    limits = first.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("limit"))
+    rest = visited(queries.join(limits, "id", "left").withColumn("limit", F.coalesce("limit", F.lit(float("inf")))), True)
+    return ranked(first.drop("rank").unionByName(rest)).select("query_id", "rank", F.col("id").alias(key), "score")
 
 
-def _scan(best: list, qid: int, q: np.ndarray, ids: np.ndarray, x: np.ndarray, turned: np.ndarray, rotation: np.ndarray, k: int) -> list:
-    """Merge the pack's nearest into ``best``, a sorted list of at most k (distance, id)."""
+def _scan(best: list, qid: int, q: np.ndarray, ids: np.ndarray, x: np.ndarray, turned: np.ndarray, rotation: np.ndarray, k: int, limit: float) -> list:
+    """Merge the pack's nearest, as far as ``limit``, into ``best``, a sorted list of at most k (distance, id)."""
     dims, spun = len(q), (q @ rotation).astype(np.float32)
     alive = np.flatnonzero(ids != qid)
     for a in range(0, len(alive), 256):  # in pieces, so that later ones see a tighter bound
         part = alive[a : a + 256]
-        if len(best) == k:
-            bound, partial = best[-1][0] ** 2, np.zeros(len(part), np.float32)
+        bound = min(limit, best[-1][0] if len(best) == k else np.inf) ** 2
+        if bound < np.inf:
+            partial = np.zeros(len(part), np.float32)
             for d in range(0, dims, STEP):
                 block = turned[part, d : d + STEP] - spun[d : d + STEP]
                 partial = partial + (block * block).sum(1)

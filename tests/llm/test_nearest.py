@@ -35,3 +35,24 @@ def test_unfit_vectors_ties_and_few_rows(spark):
     got = nearest.search(df, F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r["rank"], r.vec_id) for r in got] == [(0, 1, 1), (0, 2, 2), (0, 3, 100), (100, 1, 1), (100, 2, 2), (100, 3, 0)]
     assert nearest.search(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_recall_where_most_lists_are_not_probed(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((20, 24)) * 30
+    for x in (rng.standard_normal((3000, 64)), centres[rng.integers(0, 20, 3000)] + rng.standard_normal((3000, 24))):
+        x, ids = x.astype(np.float32).astype(float), np.arange(3000)
+        rows = spark.createDataFrame(pd.DataFrame({"vec_id": ids, "embedding": x.tolist()})).selectExpr("vec_id", "CAST(embedding AS array<float>) AS embedding")
+        index = nearest.fit(nearest.valid(rows, "embedding"), "embedding", "vec_id", lists=40)
+        assert index.probes == 10
+        got = nearest.search(rows, F.col("vec_id") % 50 == 0, index=index).toPandas()
+        want = brute(x, ids, range(0, 3000, 50))
+        assert sum(len(set(g.vec_id) & set(want[q])) for q, g in got.groupby("query_id")) >= 0.97 * 600
+
+
+def test_no_vector_of_a_list_is_nearer_than_its_bound():
+    rng = np.random.default_rng(5)
+    x, centroids = rng.standard_normal((2000, 3)) * 5, rng.standard_normal((30, 3)) * 5
+    own, least = nearest._nearest(x, centroids, 1)[:, 0], nearest._least(x[:50], centroids)
+    d = np.sqrt(((x[:50, None] - x[None]) ** 2).sum(2))
+    assert (d >= least[:, own]).all() and (least > 5).mean() > 0.2
