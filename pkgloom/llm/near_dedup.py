@@ -164,11 +164,13 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
     """(c, comp): every node of ``links`` (a, b) with the smallest node it is connected with.
 
     Large and small stars in turn (each a minimum per node and a join) until
-    every edge points at a root, that is until no target has an edge of its own.
+    every edge points at a root, that is until no node has two targets and no
+    target has an edge of its own.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
     for _ in range(most):
-        if edges.join(edges.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
+        ends = edges.select(F.col("a").alias("c"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(edges.select(F.col("b").alias("c"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+        if ends.groupBy("c").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where((F.col("out") > 1) | (F.col("out") > 0) & (F.col("into") > 0)).isEmpty():
             break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))

@@ -62,3 +62,16 @@ def test_repeated_rows_null_keys_and_empty_tables(spark):
     got = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in near_dedup.link(df).collect())
     assert got == [(0, 0, True), (1, 1, True), (1, 1, True), (2, 1, False), (3, 3, True)]
     assert near_dedup.link(df.limit(0)).count() == 0
+
+
+def test_components_of_few_links(spark):
+    rng = random.Random(1)
+    chain = rng.sample(range(100), 5)
+    graphs = [[(3, 1), (3, 2)], [(1, 3), (2, 3), (4, 2)], list(zip(chain, chain[1:])), [(9, 8), (7, 8), (5, 4), (6, 5), (6, 3)], [(1, 1), (2, 1), (1, 2)]]
+    for links in graphs:
+        want = {}
+        for a, b in links:
+            group = {a, b}.union(*(g for g in want.values() if {a, b} & g))
+            want.update(dict.fromkeys(group, group))
+        got = near_dedup.components(spark.createDataFrame(links, "a long, b long")).collect()
+        assert sorted((r.c, r.comp) for r in got) == sorted((c, min(g)) for c, g in want.items()), links
