@@ -4,8 +4,8 @@ Every page is read once into blocks of text, each with the hashes of the
 container elements around it. A hash covers the element's tag and the tags and
 texts below it. Spark counts each hash per host over pages of different
 content (copies of one page count once); a subtree found on at least
-``least_pages`` such pages and ``least_share`` of the host's is a site template
-and its blocks go. Beside that, elements that are never main text by their tag,
+``least_pages`` such pages, however large the host, is a site template and its
+blocks go. Beside that, elements that are never main text by their tag,
 role, class or id go at once. If a page marks its article (``article``,
 ``main``, role main), only what is inside counts, and there only containers
 (not paragraphs or headings themselves) can be templates, so a sentence that
@@ -164,16 +164,15 @@ def _parse(keep: tuple[str, ...]):
     return run
 
 
-def extract(pages: DataFrame, html: str = "html", url: str = "url", keep: tuple[str, ...] = ("page_id", "url"), least_pages: int = 5, least_share: float = 0.2) -> DataFrame:
+def extract(pages: DataFrame, html: str = "html", url: str = "url", keep: tuple[str, ...] = ("page_id", "url"), least_pages: int = 5) -> DataFrame:
     """``keep`` columns plus ``text`` (blocks joined by newlines) and ``n_chars`` of every page."""
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     rows = small_batches(pages).select(*keep, F.col(html).alias("html"), host.alias("host"), F.xxhash64(F.col(html), F.col(url), *keep).alias("uid"))
     ddl = f"{field_ddl(pages, *keep)}, host string, uid bigint, blocks array<struct<text:string,path:array<bigint>>>, hashes array<bigint>, content bigint"
     parsed = cut(rows.mapInArrow(_parse(keep), ddl), "pages")
     distinct = parsed.groupBy("host", "content").agg(F.first("hashes").alias("hashes"))
-    sizes = distinct.groupBy("host").agg(F.count("*").alias("pages"))
     seen = distinct.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n"))
-    templates = seen.where(F.col("n") >= least_pages).join(sizes, "host").where(F.col("n") >= F.lit(least_share) * F.col("pages")).select("host", "hash")
+    templates = seen.where(F.col("n") >= least_pages).select("host", "hash")
     own = parsed.select("host", "uid", F.explode(F.array_distinct(F.flatten("blocks.path"))).alias("hash")).distinct()
     gone = own.join(templates, ["host", "hash"]).groupBy("uid").agg(F.collect_set("hash").alias("gone"))  # a page's own subtrees at most
     # Pages without a removable container keep all blocks; their texts stay out of the join's shuffle.

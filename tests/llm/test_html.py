@@ -41,5 +41,14 @@ def test_copies_of_one_article_stay(spark):
     assert {r.text for r in got} == {"The same article everywhere."} and len(got) == 30
 
 
+def test_unmarked_block_on_few_pages_of_a_large_host(spark):
+    promo = "<div class=box><p>Try our new plan</p></div>"
+    page = lambda i: f"<body><div><p>Own words of page {i}</p></div>{promo if i % 40 == 0 or i == 1 else ''}{'<div><p>Only four times</p></div>' if i % 100 == 7 else ''}</body>"
+    rows = [(i, "http://large.example/x", page(i)) for i in range(400)]
+    got = {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {t for i, t in got.items() if i % 100 == 7} == {f"Own words of page {i}\nOnly four times" for i in (7, 107, 207, 307)}
+    assert all(t == f"Own words of page {i}" for i, t in got.items() if i % 100 != 7)
+
+
 def test_empty_table(spark):
     assert html_extraction.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
