@@ -11,10 +11,9 @@ that took no part in the counts turns it into a score.
 
 Word counts are gathered from the labelled training rows by Spark, exact copies
 once; ``max_labels`` bounds the labelled rows (about that many, by a hash of the
-key), so that their labels can be broadcast. The n-grams
-that reach the driver are bounded by ``max_grams`` (most frequent first; an
-n-gram seen once is left to the backoff), the calibration rows by
-``max_calibration`` (by a hash of the key).
+key), so that their labels can be broadcast. Every n-gram of these rows counts,
+also one seen once; the calibration rows are bounded by ``max_calibration`` (by
+a hash of the key).
 
 Edge cases: a null or wordless text has evidence 0 and the score of the curve
 there; if one class has no training row every score is 0 (no toxic row) or 1;
@@ -184,7 +183,7 @@ def evidence_of(docs: DataFrame, model: KneserNeyPair, keep: tuple[str, ...], te
     return small_batches(docs).select(*dict.fromkeys((*keep, text))).mapInArrow(run, f"{field_ddl(docs, *keep)}, `{name}` double")
 
 
-def train(docs: DataFrame, labels: DataFrame, is_training: Column, calibrate: Column, text: str = "text", key: str = "doc_id", label: str = "toxic", max_labels: int = 1_000_000, max_grams: int = 1_000_000, max_calibration: int = 20_000) -> KneserNeyPair:
+def train(docs: DataFrame, labels: DataFrame, is_training: Column, calibrate: Column, text: str = "text", key: str = "doc_id", label: str = "toxic", max_labels: int = 1_000_000, max_calibration: int = 20_000) -> KneserNeyPair:
     """``is_training`` rows with a label are learned from; those where ``calibrate`` holds fit the curve only."""
     marks = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg((F.max(F.col(label).cast("int")) > 0).alias("toxic"))
     share = min(1.0, max_labels / max(1, marks.count()))
@@ -194,8 +193,8 @@ def train(docs: DataFrame, labels: DataFrame, is_training: Column, calibrate: Co
     digests = texts.join(F.broadcast(sample), "_key").groupBy(F.xxhash64("text").alias("digest")).agg(F.min("_key").alias("_key"), F.max("toxic").alias("toxic"))
     rows = small_batches(texts).join(F.broadcast(digests.groupBy("_key").agg(F.max("toxic").alias("toxic"))), "_key")
     words = rows.where(~F.col("calibrate")).select("text", "toxic").mapInArrow(_word_counts, "word string, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    grams = words.mapInArrow(_gram_counts, "gram long, n0 long, n1 long").groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(F.col("n0") + F.col("n1") > 1)
-    top = grams.orderBy(F.desc(F.col("n0") + F.col("n1")), "gram").limit(max_grams).toArrow().sort_by("gram")
+    grams = words.mapInArrow(_gram_counts, "gram long, n0 long, n1 long").groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    top = grams.toArrow().sort_by("gram")
     count = np.stack([top["n0"].to_numpy(), top["n1"].to_numpy()], 1).astype(np.float64)
     if not count[:, 0].sum() or not count[:, 1].sum():
         return KneserNeyPair(constant=float(count[:, 1].sum() > 0))

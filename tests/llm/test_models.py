@@ -148,3 +148,9 @@ def test_decontamination(spark):
     assert wide == want
 
 
+def test_toxicity_counts_ngrams_seen_once(spark):
+    df = spark.createDataFrame([(1, "plain words here"), (2, "zyxwvu"), (3, "other plain words"), (4, "zyxwvu plain")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 0), (4, 1)], "doc_id long, toxic int")
+    model = toxicity.train(df, labels, F.col("doc_id") < 3, F.lit(False))
+    top = toxicity._keys(*toxicity._positions(pa.array(["zyxwvu"]))[:2], toxicity.ORDER)
+    assert set(top[top > 0]) <= set(model.grams[-1]) and model.word_evidence(pa.array(["zyxwvu"]))[0] > 0 > model.word_evidence(pa.array(["plain"]))[0]
