@@ -100,17 +100,17 @@ def field_ddl(df: DataFrame, *names: str) -> str:
     return ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
 
 
-_CLEAN = np.full(256, 32, np.uint8)
-_CLEAN[48:58] = np.arange(48, 58)
-_CLEAN[97:123] = np.arange(97, 123)
-_CLEAN[65:91] = np.arange(97, 123)
-_CLEAN[128:] = np.arange(128, 256)
+CLEAN = np.full(256, 32, np.uint8)
+CLEAN[48:58] = np.arange(48, 58)
+CLEAN[97:123] = np.arange(97, 123)
+CLEAN[65:91] = np.arange(97, 123)
+CLEAN[128:] = np.arange(128, 256)
 
 
 def words_of(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Lower-case words (letters, digits, non-ASCII) of all texts and the index of each word's text."""
     buf, offs = text_bytes(pc.utf8_lower(column))
-    clean = pa.StringArray.from_buffers(len(offs) - 1, pa.py_buffer((offs - offs[0]).astype(np.int32)), pa.py_buffer(_CLEAN[buf[offs[0] : offs[-1]]]))
+    clean = pa.StringArray.from_buffers(len(offs) - 1, pa.py_buffer((offs - offs[0]).astype(np.int32)), pa.py_buffer(CLEAN[buf[offs[0] : offs[-1]]]))
     parts = pc.split_pattern(clean, " ")
     words, owner = parts.flatten(), pc.list_parent_indices(parts)
     real = pc.not_equal(words, "")

@@ -96,21 +96,75 @@ def test_toxicity_without_a_class(spark):
     assert toxicity.train(df, labels.limit(0), F.lit(True), F.lit(False)).constant == 0.0
 
 
-def test_distributions_of_the_kneser_ney_pair_sum_to_one():
+def plain_kneser_ney(texts):
+    """Probability of a symbol after a history, per class, by the textbook's sums over dictionaries."""
+    words = [[(chr(toxicity.EDGE) + w + chr(toxicity.EDGE)) for t, c in texts if c == j for w in t.split()] for j in (0, 1)]
+    raw = [{}, {}]
+    for j in (0, 1):
+        for w in words[j]:
+            for i in range(1, len(w)):
+                g = w[max(0, i - toxicity.ORDER + 1) : i + 1]
+                raw[j][g] = raw[j].get(g, 0) + 1
+    every = set(raw[0]) | set(raw[1])
+    tables = {}
+    for order in range(toxicity.ORDER, 0, -1):
+        longer = {g for g in (every if order == toxicity.ORDER else set(tables[order + 1])) if len(g) > order} if order < toxicity.ORDER else set()
+        grams = {g for g in every if len(g) == order} | {g[1:] for g in longer}
+        tables[order] = {}
+        for g in grams:
+            counts = []
+            for j in (0, 1):
+                up = [h for h in longer if h[1:] == g]
+                counts.append(raw[j].get(g, 0) + sum(tables[order + 1][h][j] > 0 for h in up))
+            pooled = sum(raw[j].get(g, 0) for j in (0, 1)) + sum(sum(tables[order + 1][h][2:]) > 0 for h in [h for h in longer if h[1:] == g])
+            tables[order][g] = (*counts, pooled)
+
+    def probability(j, history, symbol):
+        p = 1 / 256
+        for order in range(1, toxicity.ORDER + 1):
+            if len(history) < order - 1:
+                break
+            context = history[len(history) - order + 1 :]
+            row = {g: (c[2] if order <= toxicity.SHARED else c[j]) for g, c in tables[order].items() if g[:-1] == context}
+            row = {g: c for g, c in row.items() if c}
+            if row:
+                total = sum(row.values())
+                p = max(row.get(context + symbol, 0) - toxicity.DISCOUNT, 0) / total + toxicity.DISCOUNT * len(row) / total * p
+        return p
+
+    return probability
+
+
+def test_kneser_ney_equals_the_plain_sums(spark):
     rng = np.random.default_rng(3)
-    words = pa.array(["".join(rng.choice(list("abc"), rng.integers(1, 8))) for _ in range(400)])
-    data, place, owner = toxicity._positions(words)
-    longest = np.zeros(len(data), np.int64)
-    for order in range(2, toxicity.ORDER + 1):
-        longest = np.where(place >= order - 1, toxicity._keys(data, place, order), longest)
-    keys, inverse = np.unique(longest[place > 0], return_inverse=True)
-    toxic = (np.arange(len(words)) % 3 == 0)[owner][place > 0]
-    count = np.stack([np.bincount(inverse, ~toxic), np.bincount(inverse, toxic)], 1).astype(float)
-    model = toxicity._fit(keys, count)
-    assert [len(g) for g in model.grams] == sorted(len(g) for g in model.grams)
-    for share in model.share:
-        assert (share >= 0).all() and (share <= 1).all()
-    assert np.isfinite(model.word_evidence(pa.array(["abc", "zzz", "a"]))).all()
+    texts = [(" ".join("".join(rng.choice(list("abc"), rng.integers(1, 9))) for _ in range(12)), i % 3 == 0) for i in range(9)] + [("zyxwvu", True)]
+    rows = spark.createDataFrame([(t, bool(c)) for t, c in texts], "text string, toxic boolean")
+    counts = rows.mapInArrow(toxicity._counted, "gram bigint, n0 bigint, n1 bigint").groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    table = toxicity.kneser_ney(counts)
+    plain = plain_kneser_ney([(t, int(c)) for t, c in texts])
+    number = lambda g: int.from_bytes(g.encode("latin-1"), "big")
+    histories = ["\x02", "\x02a", "\x02ab", "abcab", "\x02zyx", "zyxwv", "qqqqq"]
+    symbols = [chr(c) for c in range(1, 256)]
+    grams = {(h + s)[-toxicity.ORDER :]: (h, s) for h in histories for s in symbols}
+    got = {r.gram: (r.p0, r.p1) for r in toxicity.probabilities(spark.createDataFrame([(number(g),) for g in grams], "gram bigint"), table).collect()}
+    for g, (h, s) in grams.items():
+        assert got[number(g)] == pytest.approx((plain(0, h, s), plain(1, h, s)), rel=1e-9), (h, s)
+    for h in histories:
+        for j in (0, 1):
+            assert sum(got[number((h + s)[-toxicity.ORDER :])][j] for s in symbols) + plain(j, h, "\0") == pytest.approx(1)
+
+
+def test_both_ways_of_toxicity_score_alike(spark):
+    texts = ["plain words here", "zyxwvu", "other plain words, und ÄRGER", "zyxwvu plain", None, "", "?!", "plain " * 40_000, "x" * 70_000, "zyxwvu"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({"score": F.lit("mine"), "evidence": F.lit(1), "digest": F.lit(2), "gram": F.lit(3)})
+    labels = spark.createDataFrame([(0, 0), (1, 1), (2, 0), (3, 1), (3, 0), (None, 1)], "doc_id long, toxic int")
+    model = toxicity.train(df, labels, F.col("doc_id") < 3, F.lit(False))
+    one = {r.doc_id: r.e for r in toxicity.evidence_of(df, model, ("doc_id",), name="e").collect()}
+    two = {r.doc_id: r.e for r in toxicity.evidence_of(df, model, ("doc_id",), name="e", most=0).collect()}
+    assert one.keys() == two.keys() and one == pytest.approx(two, rel=1e-5, abs=1e-9)
+    assert one[1] == one[9] > 0 > one[0] and one[4] == one[5] == one[6] == 0
+    assert toxicity.remove(df, model).columns == df.columns
+    assert toxicity.predict(df.limit(0), model).count() == 0
 
 
 def contaminated(doc, item, window=15, similarity=0.8):
@@ -146,11 +200,3 @@ def test_decontamination(spark):
     assert decontamination.find(rows, bench.limit(0)).count() == 0 and decontamination.find(rows.limit(0), bench).count() == 0
     wide = {(r.doc_id, r.item_id) for r in decontamination.find(rows, bench, broadcast_rows=0).collect()}
     assert wide == want
-
-
-def test_toxicity_counts_ngrams_seen_once(spark):
-    df = spark.createDataFrame([(1, "plain words here"), (2, "zyxwvu"), (3, "other plain words"), (4, "zyxwvu plain")], "doc_id long, text string")
-    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 0), (4, 1)], "doc_id long, toxic int")
-    model = toxicity.train(df, labels, F.col("doc_id") < 3, F.lit(False))
-    top = toxicity._keys(*toxicity._positions(pa.array(["zyxwvu"]))[:2], toxicity.ORDER)
-    assert set(top[top > 0]) <= set(model.grams[-1]) and model.word_evidence(pa.array(["zyxwvu"]))[0] > 0 > model.word_evidence(pa.array(["plain"]))[0]

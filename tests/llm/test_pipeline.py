@@ -18,7 +18,7 @@ def folder(tmp_path_factory):
     """The smallest tables with copies, a leak, secrets and null rows added."""
     out = tmp_path_factory.mktemp("sf")
     for f in Path("/root/testdata/sf0.001").glob("*.parquet"):
-        shutil.copy(f, out / f.name)
+        shutil.copyfile(f, out / f.name)
     docs, bench = pd.read_parquet(out / "documents.parquet"), pd.read_parquet(out / "benchmark.parquet")
     clean = docs.text[5]
     more = [clean, clean + " tail", "Some words first. " + bench.text[3] + " And after.", 'x token = "abcdef1234567890" y', None, ""]
