@@ -10,17 +10,20 @@ some ``window`` consecutive words of it (all of them in a shorter item) agree
 in at least ``similarity`` of the places with the words at the same distance in
 the document.
 
-Whichever single word of seven is changed, some mask misses it; a passage is
-found as soon as one mask lands on unchanged words.
-
-Edge cases: null and empty texts have no words; an item of fewer words than the
-shortest mask (five) is never found; repeated item or document ids are treated
-as one; one row per (document, item) whatever the number of hits.
+The masks leave no gap: whichever words of a window of seven to fifteen are
+changed, as long as it is accepted, some mask lands on unchanged words. Items of
+five or six words have shorter masks of their own, items of fewer words must
+agree in all of them and are hashed whole; documents are hashed under those
+masks only if the benchmark holds such items.
+
+Edge cases: null and empty texts have no words, and items without words are
+never found; repeated item or document ids are treated as one; one row per
+(document, item) whatever the number of hits.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +32,9 @@ from pyspark.sql import functions as F
 
 from .common import cut, mixed, slices, small_batches, word_hashes, words_of
 
-MASKS = ("11111", "110111", "111011", "1110111", "1101011", "11000101001")  # the longest last
+MASKS = ("11111", "111011", "1101011", "1111001", "1111", "10111", "11011", "11101", "111", "11", "1")
+LONG, MIDDLE = range(4), range(4, 8)  # masks of items from seven words on, and of five or six words
+LONGEST = max(map(len, MASKS))
 SPREAD = 64  # most positions that share one context
 
 
@@ -46,17 +51,25 @@ def _seeds(hashes: np.ndarray, owner: np.ndarray, mask: str, number: int) -> tup
     return at, mixed(key[at])
 
 
+def masks_of(words: int) -> Sequence[int]:
+    """Numbers of the masks of an item of so many words."""
+    return LONG if words >= 7 else MIDDLE if words >= 5 else [i for i, m in enumerate(MASKS) if m == "1" * words]
+
+
 def _bench_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         words, owner = words_of(batch.column("text"))
         hashes = word_hashes(words)
         first = np.searchsorted(owner, np.arange(batch.num_rows + 1))
         seeds: list[list] = [[] for _ in range(batch.num_rows)]
+        size = np.diff(first)
         for number, mask in enumerate(MASKS):
             for at, key in zip(*_seeds(hashes, owner, mask, number), strict=True):
-                seeds[owner[at]].append({"key": int(key.view(np.int64)), "pos": int(at - first[owner[at]])})
+                if number not in masks_of(size[owner[at]]):
+                    continue
+                seeds[owner[at]].append({"key": int(key.view(np.int64)), "pos": int(at - first[owner[at]]), "mask": number})
         lists = [hashes[a:b].view(np.int64) for a, b in zip(first[:-1], first[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array(lists, pa.list_(pa.int64())), pa.array(seeds, pa.list_(pa.struct([("key", pa.int64()), ("pos", pa.int32())])))], ["item_id", "words", "seeds"])
+        yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array(lists, pa.list_(pa.int64())), pa.array(seeds, pa.list_(pa.struct([("key", pa.int64()), ("pos", pa.int32()), ("mask", pa.int32())])))], ["item_id", "words", "seeds"])
 
 
 def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item: str = "item_id", window: int = 15, similarity: float = 0.8, map_bits: int = 25, broadcast_rows: int = 2_000_000) -> DataFrame:
@@ -67,8 +80,10 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "
     """
     spark = docs.sparkSession
     ids, item_type = docs.schema[key].dataType.simpleString(), benchmark.schema[item].dataType.simpleString()
-    bench = cut(benchmark.select(F.col(item).alias("item_id"), F.col(text).alias("text")).mapInArrow(_bench_rows, f"item_id {item_type}, words array<bigint>, seeds array<struct<key:bigint,pos:int>>").withColumn("uid", F.xxhash64("item_id", "words")), "bench")
-    keys = bench.select("uid", F.explode("seeds").alias("s")).select("uid", F.col("s.key").alias("key"), F.col("s.pos").alias("item_pos"))
+    bench = cut(benchmark.select(F.col(item).alias("item_id"), F.col(text).alias("text")).mapInArrow(_bench_rows, f"item_id {item_type}, words array<bigint>, seeds array<struct<key:bigint,pos:int,mask:int>>").withColumn("uid", F.xxhash64("item_id", "words")), "bench")
+    keys = bench.select("uid", F.explode("seeds").alias("s")).select("uid", F.col("s.key").alias("key"), F.col("s.pos").alias("item_pos"), F.col("s.mask").alias("mask"))
+    masks = sorted(r["mask"] for r in keys.select("mask").distinct().collect())  # at most as many as there are masks
+    keys = keys.drop("mask")
     items = bench.groupBy("uid").agg(F.first("item_id").alias("item_id"), F.first("words").alias("words"))
     count = keys.count()
     bits = min(map_bits, max(16, int(np.ceil(np.log2(16 * max(count, 1))))))
@@ -85,14 +100,14 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "
         for batch in slices(batches, "text", 4 << 20):
             words, owner = words_of(batch.column("text"))
             hashes = word_hashes(words)
-            at, number, key_of = [], [], []
-            for m, mask in enumerate(MASKS):
-                p, k = _seeds(hashes, owner, mask, m)
+            at, key_of = [], []
+            for m in masks:
+                p, k = _seeds(hashes, owner, MASKS[m], m)
                 ok = known[(k >> np.uint64(64 - bits)).astype(np.int64)]
-                at.append(p[ok]), number.append(np.full(ok.sum(), m)), key_of.append(k[ok])
-            at, key_of = np.concatenate(at), np.concatenate(key_of)
-            if not len(at):
+                at.append(p[ok]), key_of.append(k[ok])
+            if not any(map(len, at)):
                 continue
+            at, key_of = np.concatenate(at), np.concatenate(key_of)
             order = np.argsort(at, kind="stable")
             at, key_of = at[order], key_of[order]
             first = np.searchsorted(owner, np.arange(batch.num_rows + 1))
@@ -106,7 +121,7 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "
             rows = {"row": [], "ctx_start": [], "ctx": [], "seeds": []}
             for a, b in zip(begins, [*begins[1:], len(at)], strict=True):
                 doc = owner[at[a]]
-                lo, hi = max(at[a] - reach, first[doc]), min(at[b - 1] + len(MASKS[-1]) + reach, first[doc + 1])
+                lo, hi = max(at[a] - reach, first[doc]), min(at[b - 1] + LONGEST + reach, first[doc + 1])
                 rows["row"].append(doc)
                 rows["ctx_start"].append(lo - first[doc])
                 rows["ctx"].append(hashes[lo:hi].view(np.int64))

@@ -1,5 +1,6 @@
 """Learned operators: exact code lengths, held-out accuracy, edge cases."""
 
+import itertools
 import math
 
 import numpy as np
@@ -181,22 +182,37 @@ def contaminated(doc, item, window=15, similarity=0.8):
 def test_decontamination(spark):
     rng = np.random.default_rng(5)
     word = lambda: f"w{rng.integers(3000)}"
-    items = [[word() for _ in range(n)] for n in (40, 20, 7, 15, 33, 3)]
+    items = [[word() for _ in range(n)] for n in (40, 20, 7, 15, 33, 3, 1, 6)]
     docs = [[word() for _ in range(300)] for _ in range(60)]
     for i, doc in enumerate(docs[:40]):
-        item = list(items[i % 5])
+        item = list(items[i % 8])
         for p in range(3, len(item), 7):
             if i % 3 == 0:
                 item[p] = "changed"
         at = rng.integers(250)
-        doc[at : at + len(item)] = item if i % 4 else item[: max(5, len(item) // 2)]
+        doc[at : at + len(item)] = item if i % 7 else item[: max(5, len(item) // 2)]
     bench = spark.createDataFrame([(i, " ".join(t).upper()) for i, t in enumerate(items)] + [(77, None), (78, "")], "item_id long, text string")
     rows = spark.createDataFrame([(i, ", ".join(t)) for i, t in enumerate(docs)] + [(900, None), (901, ""), (None, " ".join(items[0]))], "doc_id long, text string").withColumn("item_id", F.lit("clash"))
     got = {(r.doc_id, r.item_id) for r in decontamination.find(rows, bench).collect()}
-    want = {(i, j) for i, d in enumerate(docs) for j, t in enumerate(items) if len(t) >= 5 and contaminated(d, t)} | {(None, 0)}
+    want = {(i, j) for i, d in enumerate(docs) for j, t in enumerate(items) if contaminated(d, t)} | {(None, 0)}
     assert got == want
     kept = {r.doc_id for r in decontamination.remove(rows, bench).collect()}
     assert kept == {i for i in [*range(60), 900, 901]} - {d for d, _ in want}
     assert decontamination.find(rows, bench.limit(0)).count() == 0 and decontamination.find(rows.limit(0), bench).count() == 0
     wide = {(r.doc_id, r.item_id) for r in decontamination.find(rows, bench, broadcast_rows=0).collect()}
     assert wide == want
+
+
+def test_every_accepted_substitution_leaves_a_seed():
+    for words in range(1, 16):
+        most = max(k for k in range(words) if words - k >= 0.8 * words)
+        masks = [[i for i, bit in enumerate(decontamination.MASKS[m]) if bit == "1"] for m in decontamination.masks_of(words)]
+        for changed in itertools.combinations(range(words), most):
+            assert any(all(s + i not in changed for i in mask) for mask in masks for s in range(words - mask[-1])), (words, changed)
+
+
+def test_short_items_with_a_changed_word(spark):
+    rows = [(e, " ".join(f"q{e}x" if j == e else f"w{j}" for j in range(n))) for n in (5,) for e in range(5)] + [(10 + e, " ".join("zz" if j == e else f"v{j}" for j in range(6))) for e in range(6)] + [(20, "before one two after"), (21, "one three two")]
+    bench = spark.createDataFrame([(1, "w0 w1 w2 w3 w4"), (2, "v0 v1 v2 v3 v4 v5"), (3, "one two")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.find(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {(e, 1) for e in range(5)} | {(10 + e, 2) for e in range(6)} | {(20, 3)}
