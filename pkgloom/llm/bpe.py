@@ -33,7 +33,8 @@ from .common import field_ddl, mixed, slices, small_batches, text_bytes
 
 MASK_BITS = 10  # a cut every 1024 bytes on average
 MOST = 16_384  # bytes of a chunk at most, but for a character's rest
-MEMO = 400_000  # pre-tokens, and chunks up to a fortieth of that, remembered by a task
+UNIT_BYTES, CHUNK_BYTES = 72 << 20, 16 << 20  # what a task may remember of pre-tokens and of chunks
+ENTRY = 320  # bytes that a remembered entry takes beside its text
 # Fixed values of the tokenizer: its normaliser and its pre-token pattern.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -114,11 +115,13 @@ class Encoder:
         self.decoded: dict[str, bytes] = {}
         self.silent = False  # whether some unit has no ids
         self.chunks: dict[bytes, tuple] = {}
+        self.unit_bytes = self.chunk_bytes = 0
 
     def _learn_whole(self, words: dict[str, str]) -> None:
         for unit, word in words.items():
             ids = self.tokenizer.encode(word, add_special_tokens=False).ids
             self.units[unit], self.decoded[unit] = np.array(ids, "<u4").tobytes(), b" ".join([self.names[i] for i in ids])
+            self.unit_bytes += len(unit) + len(self.units[unit]) + len(self.decoded[unit]) + ENTRY
             self.silent = self.silent or not ids
 
     def cut(self, data: bytes) -> list[str]:
@@ -136,8 +139,9 @@ class Encoder:
     def learn(self, lists: list[list[str]]) -> None:
         """Remember all units of ``lists``; the pre-tokens among them are encoded in one text, as each ends with a word end."""
         new = list({u for units in lists for u in units if u not in self.units})
-        if len(self.units) + len(new) > MEMO:
+        if self.unit_bytes + len(new) * ENTRY > UNIT_BYTES:
             self.units.clear(), self.decoded.clear()
+            self.unit_bytes = 0
             new = list({u for units in lists for u in units})
         plain = [u for u in new if u[0] != "\0"]
         for a in range(0, len(plain), 2048):
@@ -150,6 +154,7 @@ class Encoder:
             coded, names = ids.tobytes(), [self.names[i] for i in ids.tolist()]
             for u, lo, hi in zip(part, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
                 self.units[u], self.decoded[u] = coded[4 * lo : 4 * hi], b" ".join(names[lo:hi])
+            self.unit_bytes += sum(map(len, part)) + 2 * len(coded) + len(part) * ENTRY
         self._learn_whole({u: u[1:] for u in new if u[0] == "\0"})
 
     def render(self, units: list[str]) -> tuple[bytes, bytes]:
@@ -159,8 +164,9 @@ class Encoder:
 
     def chunk_all(self, chunks: list[bytes]) -> None:
         """Encode chunks not known yet: (head, ids, decoded, tail), head and tail being the pieces of words cut at either end; ids None without white space."""
-        if len(self.chunks) > MEMO // 40:
+        if self.chunk_bytes > CHUNK_BYTES:
             self.chunks.clear()
+            self.chunk_bytes = 0
         parts = []
         for data in chunks:
             if data in self.chunks:
@@ -177,7 +183,9 @@ class Encoder:
                 parts.append((data, head, self.cut(rest[: len(rest) - len(tail)]), tail))
         self.learn([p[2] for p in parts])
         for data, head, units, tail in parts:
-            self.chunks[data] = (head, *self.render(units), tail)
+            ids, decoded = self.render(units)
+            self.chunks[data] = (head, ids, decoded, tail)
+            self.chunk_bytes += len(data) + len(ids) + len(decoded) + ENTRY
 
     def documents(self, docs: list[list[bytes]], shared: dict[bytes, tuple]) -> list[tuple[bytes, bytes]]:
         """Ids and decoded text of documents given as their chunks. Words cut by chunk ends are joined and encoded anew."""
