@@ -26,16 +26,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .spans import counted, listed, matches, ordered, overlaps, replaced
+from .spans import clear_of, counted, let, listed, matches, ordered, replaced
 
 KINDS = ("email", "ip", "card", "phone")
 OCTET = "0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"  # possessive: no recursion
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 LOOSE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?(?:\[at\]|\(at\)|@)\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\.|\[dot\]|\(dot\))\x20?[A-Za-z]{2,24})+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:\[at\]|\(at\)|@)\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\[dot\]|\(dot\))\x20?[A-Za-z]{2,})++",
     "ip": r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:.])",
     "card": r"(?<![0-9])[0-9]{4}(?:[\x20-]?[0-9]{4}){2}[\x20-]?[0-9]{2,4}(?![0-9])",
     "phone": r"(?<![0-9+])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
@@ -67,21 +67,19 @@ def base_spans(text: Column) -> Column:
 
 
 def _candidates(text: Column, base: Column) -> Column:
-    """Base spans and loose matches that overlap none of them, with the labelers' votes as a bit pattern."""
-    loose = F.concat(*[matches(text, LOOSE[k], k, text.rlike(CHEAP[k])) for k in KINDS])
-    extra = F.filter(loose, lambda s: ~overlaps(s, base))
+    """Base spans and loose matches that overlap none of them, with the labelers' votes as a bit pattern; no values, which are personal."""
+    loose = ordered(F.concat(*[matches(text, LOOSE[k], k, text.rlike(CHEAP[k])) for k in KINDS]), KINDS)
 
     def voted(strict: bool):
         def vote(s: Column) -> Column:
-            before = F.substring(text, F.greatest(s["start"] - REACH + 1, F.lit(1)).cast("int"), F.least(s["start"], F.lit(REACH)).cast("int"))
-            around = F.concat(F.substring(text, s["start"].cast("int"), F.when(s["start"] > 0, 1).otherwise(0)), F.lit("|"), F.substring(text, (s["end"] + 1).cast("int"), F.lit(1)))
+            around = F.concat(F.right(s["before"], F.lit(1)), F.lit("|"), s["after"])
             by_kind = lambda table, value: F.coalesce(*[F.when(s["kind"] == k, value.rlike(table[k])) for k in KINDS], F.lit(False))
-            bits = F.lit(1 if strict else 0) + F.when(by_kind(GAZETTEER, s["value"]), 2).otherwise(0) + F.when(by_kind(CONTEXT, before), 4).otherwise(0) + F.when(around.rlike(r"^[\s(\[\"'<,;:]?\|[\s)\]\"'>,;:.!?]?$"), 8).otherwise(0)
+            bits = F.lit(1 if strict else 0) + F.when(by_kind(GAZETTEER, s["value"]), 2).otherwise(0) + F.when(by_kind(CONTEXT, s["before"]), 4).otherwise(0) + F.when(around.rlike(r"^[\s(\[\"'<,;:]?\|[\s)\]\"'>,;:.!?]?$"), 8).otherwise(0)
             size = F.least(F.floor(F.length(s["value"]) / 8), F.lit(4)).cast("int")
-            return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), bits.alias("votes"), size.alias("size"))
+            return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), bits.alias("votes"), size.alias("size"))
         return vote
 
-    return F.concat(F.transform(base, voted(True)), F.transform(extra, voted(False)))
+    return F.concat(F.transform(base, voted(True)), F.transform(clear_of(loose, base), voted(False)))
 
 
 def reliabilities(counts: dict[tuple[str, int], int], rounds: int = 60) -> dict[tuple[str, int], float]:
@@ -134,9 +132,11 @@ def classifier(counts: dict[tuple[str, int, int], int], soft: dict[tuple[str, in
 
 
 def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.5) -> DataFrame:
-    """``keep`` columns plus ``base`` and ``spans``, arrays of (kind, start, end, value); spans also carry the model's additions."""
-    rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("base", base_spans(F.col("_text")))
-    rows = cut(rows.select(*keep, "base", _candidates(F.col("_text"), F.col("base")).alias("cands")), "pii")
+    """``keep`` columns plus ``base`` and ``spans``, arrays of (kind, start, end); spans also carry the model's additions."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    place = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
+    found = let(base_spans(body), lambda base: F.struct(F.transform(base, place).alias("base"), _candidates(body, base).alias("cands")))
+    rows = cut(docs.select(*keep, found.alias("_found")).select(*keep, "_found.base", "_found.cands"), "pii")
     counted_rows = rows.where(F.size("cands") > 0).select(F.explode("cands").alias("c")).groupBy("c.kind", "c.votes", "c.size").agg(F.count("*").alias("n")).collect()
     counts = {(r["kind"], r["votes"], r["size"]): r["n"] for r in counted_rows}  # kinds x 16 votes x 5 lengths at most
     by_votes: dict[tuple[str, int], int] = {}
@@ -146,13 +146,12 @@ def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
     accepted = [F.lit(f"{k}:{v}:{z}") for (k, v, z), p in sorted(model.items()) if p >= threshold and not v & 1]
     patterns = F.array(*accepted) if accepted else F.expr("CAST(array() AS array<string>)")
     added = F.filter("cands", lambda c: (c["votes"].bitwiseAND(1) == 0) & F.array_contains(patterns, F.concat_ws(":", c["kind"], c["votes"].cast("string"), c["size"].cast("string"))))
-    plain = F.transform(added, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["value"].alias("value")))
-    return rows.select(*keep, "base", ordered(F.concat("base", plain), KINDS).alias("spans"))
+    return rows.select(*keep, "base", ordered(F.concat("base", F.transform(added, place)), KINDS).alias("spans"))
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[PII]") -> DataFrame:
     """All rows and columns with the base spans in ``text`` replaced; null texts stay null."""
-    return docs.withColumn(text, replaced(F.col(text), base_spans(F.coalesce(F.col(text), F.lit(""))), mark))
+    return docs.withColumn(text, let(base_spans(F.coalesce(F.col(text), F.lit(""))), lambda base: replaced(F.col(text), base, mark)))
 
 
 def digest(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

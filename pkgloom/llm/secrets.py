@@ -2,9 +2,9 @@
 
 Base kinds are key assignments, access keys and long hex runs. Further
 candidates are runs of 20 or more key characters holding a digit and a letter.
-A window of ``WINDOW`` characters slides over each; entering and leaving
-characters update the counts and the sum of c * log2(c), so every step costs
-the same. The highest window entropy is held against the threshold of the
+A window of ``WINDOW`` characters slides over each; the counts of the entering
+and the leaving character update the sum of c * log2(c), so every step costs
+the same, and a text of any length is scanned in time that grows with it. The highest window entropy is held against the threshold of the
 narrowest character class the candidate fits (hex, letters and digits, base64).
 Candidates on the allow list (UUIDs, paths, addresses of pages, dotted or
 counting texts, placeholders) and those that a base span covers add nothing.
@@ -15,10 +15,12 @@ one); repeated rows are scanned alike; other columns are left alone.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spans import counted, listed, matches, ordered, overlaps, replaced
+from .spans import clear_of, counted, let, listed, matches, ordered, plain, replaced
 
 KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
@@ -27,9 +29,9 @@ CLASSES = (("^[0-9A-Fa-f]+$", 3.0), ("^[0-9A-Za-z]+$", 3.6), ("^[0-9A-Za-z+/_=-]
 ALLOWED = (
     "^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$",
     "^[+-]?[0-9]+([eE][+-]?[0-9]+)?$",
-    "^/?([A-Za-z_-]+/){2,}[A-Za-z0-9_-]*$",
+    "^/?(?:[A-Za-z_-]++/){2,}+[A-Za-z0-9_-]*$",
     "(?i)example|placeholder|changeme|x{4,}|0123456789|abcdefgh",
-    "^[A-Za-z]+([_-][A-Za-z]+)*[_-]?[0-9]{1,4}$",
+    "^[A-Za-z]++(?:[_-][A-Za-z]++)*+[_-]?[0-9]{1,4}$",
 )
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ASSIGN_VALUE = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
@@ -45,33 +47,22 @@ def base_spans(text: Column) -> Column:
     return ordered(F.concat(assign, access, hexes), KINDS)
 
 
-def _plogp(c: Column) -> Column:
-    return F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
+def window_entropy(value: Column, window: int = WINDOW) -> Column:
+    """The highest Shannon entropy (bits) of any ``window`` characters of an ASCII text; 0 for a shorter one."""
+    plogp = [c * math.log2(c) if c > 1 else 0.0 for c in range(window + 2)]
+    up = F.array(*[F.lit(b - a) for a, b in zip(plogp, plogp[1:], strict=False)])  # a further one of c equal characters
+    codes = F.transform(F.filter(F.split(value, ""), lambda c: c != ""), lambda c: F.ascii(c))
+    zero = F.struct(F.expr("CAST(array() AS array<int>)").alias("held"), F.lit(0.0).alias("s"), F.lit(0.0).alias("best"))
+    count = lambda held, x: F.size(F.filter(held, lambda y: y == x))
+    full = lambda acc: F.size(acc["held"]) == window
+    highest = lambda acc: F.greatest(acc["best"], F.when(full(acc), math.log2(window) - acc["s"] / window).otherwise(0.0))
 
+    def step(acc: Column, x: Column) -> Column:
+        rest = F.when(full(acc), F.slice(acc["held"], 2, window)).otherwise(acc["held"])
+        left = F.when(full(acc), F.get(up, count(rest, F.get(acc["held"], F.lit(0))))).otherwise(0.0)
+        return F.struct(F.array_append(rest, x).alias("held"), (acc["s"] - left + F.get(up, count(rest, x))).alias("s"), highest(acc).alias("best"))
 
-def window_entropy(value: Column, window: int = WINDOW) -> Column:
-    """The highest Shannon entropy (bits) of any ``window`` characters of an ASCII text."""
-    codes = F.transform(F.split(value, ""), lambda c: F.ascii(c) + 1)
-    codes = F.filter(codes, lambda c: c > 1)
-    zero = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("s"), F.lit(0.0).alias("best"))
-
-    def put(counts: Column, at: Column, by: int) -> Column:
-        return F.concat(F.slice(counts, F.lit(1), at - 1), F.array(F.get(counts, at - 1) + by), F.slice(counts, at + 1, F.lit(128)))
-
-    def step(acc: Column, pair: Column) -> Column:
-        new, old = pair["new"], pair["old"]
-        n = F.get(acc["counts"], new - 1)
-        entered = put(acc["counts"], new, 1)
-        s = acc["s"] + _plogp(n + 1) - _plogp(n)
-        o = F.get(entered, old - 1)
-        counts = F.when(old > 0, put(entered, F.greatest(old, F.lit(1)), -1)).otherwise(entered)
-        s = F.when(old > 0, s - _plogp(o) + _plogp(o - 1)).otherwise(s)
-        full = F.lit(float(window))
-        entropy = F.when(pair["i"] >= window - 1, F.log2(full) - s / full).otherwise(F.lit(0.0))
-        return F.struct(counts.alias("counts"), s.alias("s"), F.greatest(acc["best"], entropy).alias("best"))
-
-    steps = F.transform(codes, lambda c, i: F.struct(c.alias("new"), F.when(i >= window, F.get(codes, i - window)).otherwise(F.lit(0)).alias("old"), i.alias("i")))
-    return F.aggregate(steps, zero, step, lambda acc: acc["best"])
+    return F.aggregate(codes, zero, step, highest)
 
 
 def entropy_spans(text: Column, base: Column) -> Column:
@@ -84,23 +75,26 @@ def entropy_spans(text: Column, base: Column) -> Column:
         allowed = F.lit(False)
         for p in ALLOWED:
             allowed = allowed | v.rlike(p)
-        return v.rlike("[0-9]") & v.rlike("[A-Za-z]") & ~allowed & ~overlaps(s, base) & (window_entropy(v) >= least)
+        return v.rlike("[0-9]") & v.rlike("[A-Za-z]") & ~allowed & (window_entropy(v) >= least - 1e-9)
 
-    return F.filter(found, secret)
+    return F.filter(clear_of(found, base), secret)
 
 
 def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns plus ``base`` and ``spans``, arrays of (kind, start, end, value)."""
-    rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    rows = rows.withColumn("base", base_spans(F.col("_text")))
-    return rows.withColumn("spans", ordered(F.concat("base", entropy_spans(F.col("_text"), F.col("base"))), KINDS)).drop("_text")
+    body = F.coalesce(F.col(text), F.lit(""))
+    return docs.select(*keep, _both(body).alias("_found")).select(*keep, plain(F.col("_found.base")).alias("base"), plain(F.col("_found.spans")).alias("spans"))
+
+
+def _both(text: Column) -> Column:
+    """(base, spans): base spans, and these with the entropy spans."""
+    return let(base_spans(text), lambda base: F.struct(base.alias("base"), ordered(F.concat(base, entropy_spans(text, base)), KINDS).alias("spans")))
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """All rows and columns, with every secret in ``text`` replaced by ``mark``; null texts stay null."""
-    rows = docs.withColumn("_base", base_spans(F.coalesce(F.col(text), F.lit(""))))
-    rows = rows.withColumn("_spans", ordered(F.concat("_base", entropy_spans(F.coalesce(F.col(text), F.lit("")), F.col("_base"))), KINDS))
-    return rows.withColumn(text, replaced(F.col(text), F.col("_spans"), mark)).drop("_base", "_spans")
+    body = F.coalesce(F.col(text), F.lit(""))
+    return docs.withColumn(text, let(_both(body), lambda both: replaced(F.col(text), both["spans"], mark)))
 
 
 def digest(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
