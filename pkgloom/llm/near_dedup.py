@@ -110,9 +110,15 @@ def _signatures(k: int):
     return run
 
 
-def _sets(k: int):
+def _sets(k: int, known):
+    """Shingle sets of the rows whose ``slot`` is set in the broadcast bit map ``known``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):
+            at = batch.column("slot").to_numpy()
+            batch = batch.filter(pa.array((known.value[at >> 6] >> (at & 63)) & 1 > 0))
+            if not batch.num_rows:
+                continue
             sets, offs = _shingles(batch.column("text"), k)
             some = np.flatnonzero(np.diff(offs))
             keys = np.zeros((batch.num_rows, 2), np.int64)
@@ -181,24 +187,21 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
     return edges.groupBy(F.col("a").alias("c")).agg(F.min("b").alias("comp")).unionByName(edges.select(F.col("b").alias("c"), F.col("b").alias("comp")).distinct())
 
 
-def _maybe(rows: DataFrame, ids: DataFrame, bits: int = 26) -> DataFrame:
-    """Rows whose id may be among ``ids``: a bit map of fixed size (8 MB) in front of the join that decides.
+def _slot(column: str, bits: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(column).cast("string"), F.lit("")), F.lit(11)), 64 - bits)
+
 
-    It keeps the texts of all other documents out of that join's shuffle; with
-    more ids than the map can tell apart it lets more rows pass, never fewer.
+def _bit_map(ids: DataFrame, bits: int = 26):
+    """A broadcast bit map of fixed size (8 MB) of the slots of ``ids``.
+
+    It keeps most other documents out of what follows; with more ids than the
+    map can tell apart it lets more rows pass, never fewer.
     """
-    slot = lambda c: F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(11)), 64 - bits)
-    words = ids.select(slot(ids.columns[0]).alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(slot & 63 AS INT))")).alias("bits")).toArrow()
+    slots = ids.select(_slot(ids.columns[0], bits).alias("slot"))
+    words = slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(slot & 63 AS INT))")).alias("bits")).toArrow()
     table = np.zeros(1 << (bits - 6), np.int64)
     table[words["word"].to_numpy()] = words["bits"].to_numpy()
-    handle = rows.sparkSession.sparkContext.broadcast(table)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.column("slot").to_numpy()
-            yield batch.filter(pa.array((handle.value[at >> 6] >> (at & 63)) & 1 > 0)).drop_columns(["slot"])
-
-    return rows.withColumn("slot", slot("id")).mapInArrow(run, rows.schema)
+    return ids.sparkSession.sparkContext.broadcast(table)
 
 
 def _estimate() -> Column:
@@ -218,8 +221,8 @@ def link(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 3, p
     members = cut(buckets.join(buckets.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key"), "members")
     near = members.select("c").distinct()
     sketches = cut(classes.join(near, "c").select("c", "rep", "sketch"), "sketches")
-    needed = sketches.select(F.col("rep").alias("_id")).distinct()
-    sets = _maybe(rows, needed).join(needed, F.col("id").eqNullSafe(F.col("_id")), "left_semi").select("text").mapInArrow(_sets(k), "n bigint, k1 bigint, k2 bigint, set array<bigint>").withColumn("c", _class_id())
+    # Texts of representatives, told apart by the bit map; what else passes it is no candidate or a copy, and goes by its class.
+    sets = rows.select("text", _slot("id", 26).alias("slot")).mapInArrow(_sets(k, _bit_map(sketches.select("rep"))), "n bigint, k1 bigint, k2 bigint, set array<bigint>").withColumn("c", _class_id())
     sets = cut(sets.join(near, "c", "left_semi").dropDuplicates(["c"]).select("c", "n", "set"), "sets")
     least = percent / 100 - MARGIN
 
