@@ -23,7 +23,7 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

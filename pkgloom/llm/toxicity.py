@@ -43,7 +43,7 @@ ORDER, SHARED, DISCOUNT = 6, 2, 0.75
 MIXED, MOST = 0.02, 30.0
 EDGE = 2
 SMALL = 1 << 16  # keys of at most two symbols: a table of so many rows at most
-FLUSH = 1 << 20
+FLUSH, SLICE = 1 << 20, 1 << 20
 MASKS = np.array([(1 << 8 * k) - 1 for k in range(ORDER + 1)], np.int64)
 
 
@@ -67,16 +67,28 @@ def windows_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text", 8 << 20):
-        keys, owner = windows_of(batch.column("text"))
+    """Windows and their counts per class, added up within a task as far as ``FLUSH`` windows go."""
+    keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def rows() -> pa.RecordBatch:
+        toxic = (keys & 1).astype(bool)
+        return pa.RecordBatch.from_arrays([pa.array(keys >> 1), pa.array(np.where(toxic, 0, sums)), pa.array(np.where(toxic, sums, 0))], ["gram", "n0", "n1"])
+
+    for batch in slices(batches, "text", SLICE):
+        grams, owner = windows_of(batch.column("text"))
         toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)[owner]
-        both, n = np.unique(keys << 1 | toxic, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(both >> 1), pa.array(np.where(both & 1, 0, n)), pa.array(np.where(both & 1, n, 0))], ["gram", "n0", "n1"])
+        more, n = np.unique(grams << 1 | toxic, return_counts=True)
+        both, inverse = np.unique(np.concatenate([keys, more]), return_inverse=True)
+        keys, sums = both, np.bincount(inverse, np.concatenate([sums, n])).astype(np.int64)
+        if len(keys) > FLUSH // 2:
+            yield rows()
+            keys, sums = keys[:0], sums[:0]
+    yield rows()
 
 
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[np.ndarray] = []
-    for batch in slices(batches, "text", 4 << 20):
+    for batch in slices(batches, "text", SLICE):
         held.append(np.unique(windows_of(batch.column("text"))[0]))
         if sum(map(len, held)) > FLUSH:
             held = [np.unique(np.concatenate(held))]
@@ -187,7 +199,7 @@ def evidence_of(docs: DataFrame, model: KneserNeyPair, keep: tuple[str, ...], te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = _Lookup(*handle.value)
-        for batch in slices(batches, text, 2 << 20):
+        for batch in slices(batches, text, SLICE):
             keys, owner = windows_of(batch.column(text))
             ends = np.flatnonzero(keys & 255 == EDGE)
             words = np.add.reduceat(lookup(keys).astype(np.float64), np.concatenate([[0], ends[:-1] + 1])) if len(ends) else np.zeros(0)
@@ -202,7 +214,7 @@ def _joined(docs: DataFrame, table: DataFrame, keep: tuple[str, ...], text: str,
     """The same by joins: the distinct words of every distinct text, their windows, and the table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", SLICE):
             keys, owner = windows_of(batch.column("text"))
             ends = np.flatnonzero(keys & 255 == EDGE)
             if not len(ends):
