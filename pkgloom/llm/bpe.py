@@ -33,7 +33,7 @@ from .common import field_ddl, mixed, slices, small_batches, text_bytes
 
 MASK_BITS = 10  # a cut every 1024 bytes on average
 MOST = 16_384  # bytes of a chunk at most, but for a character's rest
-UNIT_BYTES, CHUNK_BYTES = 72 << 20, 16 << 20  # what a task may remember of pre-tokens and of chunks
+UNIT_BYTES, CHUNK_BYTES = 48 << 20, 8 << 20  # what a task may remember of pre-tokens and of chunks
 ENTRY = 320  # bytes that a remembered entry takes beside its text
 # Fixed values of the tokenizer: its normaliser and its pre-token pattern.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
@@ -76,7 +76,7 @@ def _hashes(buf: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray
 
 def _pieces(batches: Iterator[pa.RecordBatch]):
     """Per slice: bytes, text offsets, chunk begins and ends, index of each text's first chunk."""
-    for batch in slices(batches, "text", 2 << 20):
+    for batch in slices(batches, "text", 1 << 20):
         buf, offs = text_bytes(batch.column("text"))
         buf, offs = buf[offs[0] : offs[-1]], offs - offs[0]
         ends = chunk_ends(buf, offs)
@@ -91,6 +91,23 @@ def _chunk_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array((ends - begins)[at]), pa.array(n)], ["hash", "size", "n"])
 
 
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    t.no_padding(), t.no_truncation()
+    return t
+
+
+def special_tokens(path: str) -> list[str]:
+    """The tokenizer's special tokens; an error if its joins can't be told to agree. The driver reads this once for all tasks."""
+    spec = json.loads(_tokenizer(path).to_str())
+    shape = (spec["decoder"], spec["normalizer"], spec["pre_tokenizer"]["pretokenizers"][0]["pattern"], spec["model"]["end_of_word_suffix"])
+    if shape != (None, NORMALIZER, {"Regex": PATTERN}, "</w>"):
+        raise ValueError("chunk joins need a tokenizer with word ends that lower-cases, drops white space and decodes by joining tokens")
+    return [x["content"] for x in spec["added_tokens"]]
+
+
 class Encoder:
     """Encodes chunks and joins. It remembers the ids of pre-tokens; one per task.
 
@@ -99,18 +116,11 @@ class Encoder:
     word, and one with a special token in it, goes to the tokenizer whole.
     """
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = t = Tokenizer.from_file(path)
-        t.no_padding(), t.no_truncation()
-        spec = json.loads(t.to_str())
-        shape = (spec["decoder"], spec["normalizer"], spec["pre_tokenizer"]["pretokenizers"][0]["pattern"], spec["model"]["end_of_word_suffix"])
-        if shape != (None, NORMALIZER, {"Regex": PATTERN}, "</w>"):
-            raise ValueError("chunk joins need a tokenizer with word ends that lower-cases, drops white space and decodes by joining tokens")
+    def __init__(self, path: str, specials: list[str]):
+        self.tokenizer = t = _tokenizer(path)
         self.names = [(t.id_to_token(i) or "").encode() for i in range(t.get_vocab_size(with_added_tokens=True))]
         self.last = np.array([n.endswith(b"</w>") for n in self.names])
-        self.specials = [x["content"] for x in spec["added_tokens"]]
+        self.specials = specials
         self.units: dict[str, bytes] = {}  # ids of a unit
         self.decoded: dict[str, bytes] = {}
         self.silent = False  # whether some unit has no ids
@@ -217,7 +227,7 @@ class Encoder:
 
 def shared_chunks(docs: DataFrame, path: str, text: str = "text", dictionary_bytes: int = 4 << 20) -> dict[bytes, tuple]:
     """The recurring chunks that save most, encoded once: chunk -> (head, ids, decoded, tail)."""
-    spark = docs.sparkSession
+    spark, specials = docs.sparkSession, special_tokens(path)
     rows = small_batches(docs).select(F.col(text).alias("text"))
     counts = rows.mapInArrow(_chunk_counts, "hash bigint, size bigint, n bigint").groupBy("hash").agg(F.max("size").alias("size"), F.sum("n").alias("n")).where("n > 1")
     top = counts.orderBy(F.desc((F.col("n") - 1) * F.col("size")), "hash").limit(dictionary_bytes >> (MASK_BITS + 1)).toArrow()
@@ -236,7 +246,7 @@ def shared_chunks(docs: DataFrame, path: str, text: str = "text", dictionary_byt
                 yield pa.RecordBatch.from_arrays([pa.array([buf[begins[i] : ends[i]].tobytes() for i in at], pa.binary())], ["chunk"])
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = Encoder(path, specials)
         for batch in batches:
             chunks = batch.column("chunk").to_pylist()
             encoder.chunk_all(chunks)
@@ -249,10 +259,10 @@ def shared_chunks(docs: DataFrame, path: str, text: str = "text", dictionary_byt
 
 def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = True, dictionary_bytes: int = 4 << 20) -> DataFrame:
     """``keep`` columns plus ``n_tokens``, ``ids`` (array<int>, if asked), ``ids_sha256`` and ``decoded_sha256``."""
-    handle = docs.sparkSession.sparkContext.broadcast(shared_chunks(docs, path, text, dictionary_bytes))
+    handle, specials = docs.sparkSession.sparkContext.broadcast(shared_chunks(docs, path, text, dictionary_bytes)), special_tokens(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shared = Encoder(path), handle.value
+        encoder, shared = Encoder(path, specials), handle.value
         for batch, buf, offs, begins, ends in _pieces(batches):
             data = buf.tobytes()
             stops = np.searchsorted(ends, offs[1:], "right").tolist()

@@ -55,7 +55,7 @@ def test_chunks_cover_texts_and_joins_are_exact(texts):
     buf, offs = text_bytes(pa.array(texts, pa.string()))
     ends = bpe.chunk_ends(buf, offs)
     assert set(offs[1:][np.diff(offs) > 0]) <= set(ends)
-    encoder, begin = bpe.Encoder(tokenizer_path()), 0
+    encoder, begin = bpe.Encoder(tokenizer_path(), bpe.special_tokens(tokenizer_path())), 0
     for text, a, b in zip(texts, offs[:-1], offs[1:], strict=True):
         inner = [int(x) for x in ends if a < x <= b]
         chunks = [buf[x:y].tobytes() for x, y in zip([a, *inner[:-1]], inner, strict=True)] if inner else []
