@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Licence families and how far they spread.
-VIRALITY = (("AGPL", 6), ("LGPL", 2), ("GPL", 5), ("CC-", 4), ("GFDL", 1), ("MIT", 0), ("Apache", 0), ("BSD", 0), ("ISC", 0), ("Zlib", 0), ("FTL", 0), ("Unlicense", 0), ("CC0", 0))
+VIRALITY = (("AGPL", 6), ("LGPL", 2), ("GPL", 5), ("CC-", 4), ("GFDL", 1), ("MIT", 0), ("Apache", 0), ("BSD", 0), ("ISC", 0), ("Zlib", 0), ("FTL", 0), ("MPL", 0), ("IJG", 0), ("CC0", 0))
 DEPRECATED = r"(?i)^(deprecated|obsolete|unmaintained|abandoned)\b|\b(is|has been|was) (deprecated|superseded|replaced)\b|(no longer maintained|\(deprecated\))\s*\.?$"
 PLACEHOLDER = r"(?i)placeholder|\breserved\b|reserving (the|this) (crate|package)? ?name|nothing (here|to see)|coming soon|^(todo|wip|test)\.?$"
 

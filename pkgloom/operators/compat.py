@@ -95,21 +95,20 @@ def assume_release_date(m: DataFrame, releases: DataFrame) -> DataFrame:
     return m.unionByName(new.join(m, ["package", "release", "compiler"], "left_anti"))
 
 
-def propagate(limits: DataFrame, deps: DataFrame, least: int = 25, most_rounds: int = 30) -> DataFrame:
+def propagate(limits: DataFrame, deps: DataFrame, least: int = 25) -> DataFrame:
     """M6: a release fails up to where its least demanding matching dependency release fails; raised to a fixpoint.
 
     ``limits``: release, newest_bad (null if none); ``deps``: release, dep_id,
     dep_release (every matching release). Limits only rise, so rounds end.
     """
     now = settled(limits.select("release", F.coalesce("newest_bad", F.lit(0)).alias("newest_bad")))
-    for _ in range(most_rounds):
+    while True:
         demand = deps.join(now.select(F.col("release").alias("dep_release"), F.col("newest_bad").alias("bad")), "dep_release").groupBy("release", "dep_id").agg(F.min("bad").alias("bad"))
         worst = demand.groupBy("release").agg(F.max("bad").alias("bad")).where(F.col("bad") >= least)
         new = settled(now.join(worst, "release", "left").select("release", F.greatest("newest_bad", F.coalesce("bad", F.lit(0))).alias("newest_bad")))
         if new.agg(F.sum("newest_bad")).first()[0] == now.agg(F.sum("newest_bad")).first()[0]:
             return new
         now = new
-    return now
 
 
 def export(newest: DataFrame) -> DataFrame:

@@ -18,31 +18,34 @@ KINDS = ("runtime", "build", "dev")  # strongest first
 def settled(df: DataFrame) -> DataFrame:
     """``df`` written to the session's shared folder and read again."""
     spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pkgloom-")
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:  # a single machine, as in tests
+        where = tempfile.mkdtemp(prefix="pkgloom-")
+        spark.conf.set("spark.checkpoint.dir", where)
     path = f"{where}/pkgloom-round-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dependency_closure(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
+def dependency_closure(edges: DataFrame) -> DataFrame:
     """G1: all transitive dependencies of every source with the strongest kind, and whether a path is default or direct.
 
     ``edges``: src, dst, kind (0 runtime, 1 build, 2 dev), optional. Dev edges
     count at the root only; below a build edge everything is build, below a dev
     edge dev. A state is (root, node, kind, default); states already seen are
-    not followed again, so cycles end.
+    not followed again, so cycles end, and there are finitely many. A round
+    writes its new states only.
     """
     e = edges.groupBy("src", "dst", "kind").agg(F.bool_and("optional").alias("optional"))
     front = settled(e.select(F.col("src").alias("root"), F.col("dst").alias("node"), "kind", (~F.col("optional")).alias("is_default"), F.lit(True).alias("direct")))
-    seen, rounds = front, 0
+    seen = front
     inner = e.where("kind < 2").select(F.col("src").alias("node"), F.col("dst").alias("next"), F.col("kind").alias("edge_kind"), "optional")
-    while rounds < most_rounds:
+    while True:
         step = front.join(inner, "node").where("root != next").select("root", F.col("next").alias("node"), F.greatest("kind", "edge_kind").alias("kind"), (F.col("is_default") & ~F.col("optional")).alias("is_default"), F.lit(False).alias("direct")).distinct()
         front = settled(step.join(seen, ["root", "node", "kind", "is_default"], "left_anti"))
         if front.isEmpty():
             break
-        seen = settled(seen.unionByName(front))
-        rounds += 1
+        seen = seen.unionByName(front)
     return seen.groupBy("root", "node").agg(F.min("kind").alias("kind"), F.max("is_default").alias("is_default"), F.max("direct").alias("direct"))
 
 
@@ -90,7 +93,7 @@ def global_popularity(usage: DataFrame, n_packages: int) -> DataFrame:
     return usage.select("package", "release", (F.col("n_dependents") / n_packages).alias("popularity"))
 
 
-def pagerank(edges: DataFrame, initial: DataFrame, damping: float = 0.85, rounds: int = 10, settle_every: int = 3) -> DataFrame:
+def pagerank(edges: DataFrame, initial: DataFrame, damping: float = 0.85, rounds: int = 10, settle_every: int = 1) -> DataFrame:
     """Importance spread along dependencies; a node keeps 1 - damping, sinks feed a pool dealt by the initial share.
 
     ``edges``: src, dst; ``initial``: node, score.

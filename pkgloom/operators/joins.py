@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+DIGITS = 6  # sums of floats depend on their order; they are rounded before a threshold or a rank sees them
+
 
 def top_n(df: DataFrame, by: list[str], order: list[Column], n: int, rank: str = "pos") -> DataFrame:
     """The first ``n`` rows of every group with their place from 1."""
@@ -93,7 +95,7 @@ def related_by_keyword(keywords: DataFrame, packages: DataFrame, min_downloads:
     """C14: per package the ``n`` packages with the largest sum of weight products over shared keywords."""
     other = keywords.join(packages.where(F.col("downloads") > min_downloads).select("package"), "package", "left_semi").select(F.col("package").alias("related"), "keyword", F.col("weight").alias("w2"))
     pairs = keywords.select("package", "keyword", F.col("weight").alias("w1")).join(other, "keyword").where("package != related")
-    sums = pairs.groupBy("package", "related").agg(F.sum(F.col("w1") * F.col("w2")).alias("score")).where(F.col("score") > min_weight)
+    sums = pairs.groupBy("package", "related").agg(F.round(F.sum(F.col("w1") * F.col("w2")), DIGITS).alias("score")).where(F.col("score") > min_weight)
     return top_n(sums, ["package"], [F.desc("score"), F.col("related")], n)
 
 
@@ -101,7 +103,7 @@ def related_categories(categories: DataFrame, min_weight: float, n: int = 6) ->
     """Per category the ``n`` that share most relevance over common packages."""
     other = categories.select("package", F.col("slug").alias("related"), F.col("relevance").alias("r2"))
     pairs = categories.join(other, "package").where("slug != related")
-    sums = pairs.groupBy("slug", "related").agg(F.sum(F.col("relevance") * F.col("r2")).alias("score")).where(F.col("score") > min_weight)
+    sums = pairs.groupBy("slug", "related").agg(F.round(F.sum(F.col("relevance") * F.col("r2")), DIGITS).alias("score")).where(F.col("score") > min_weight)
     return top_n(sums, ["slug"], [F.desc("score"), F.col("related")], n)
 
 

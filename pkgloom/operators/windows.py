@@ -32,7 +32,8 @@ def running_active_users(changes: DataFrame) -> DataFrame:
     ``changes``: dep, owner, day, delta. The delta of the capped balance is
     summed, so no grid of days and owners is needed.
     """
-    daily = changes.groupBy("dep", "owner", "day").agg(F.sum("delta").alias("delta"))
+    # One exchange serves the sums per day and the window over them.
+    daily = changes.repartition("dep", "owner").groupBy("dep", "owner", "day").agg(F.sum("delta").alias("delta"))
     w = Window.partitionBy("dep", "owner").orderBy("day")
     capped = F.least(F.round(F.sum("delta").over(w), 9), F.lit(1.0))
     step = daily.withColumn("now", capped).withColumn("step", F.col("now") - F.coalesce(F.lag("now").over(w), F.lit(0.0)))

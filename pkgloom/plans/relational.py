@@ -150,13 +150,13 @@ def _(v: Views):
     return joins.uncategorized(v.packages.select("package", "rank"), v.categories.where("relevance < 0.5"), 50)
 
 
-@query("c14_related_by_keyword", """WITH sums AS (SELECT a.package, b.package AS related, sum(a.weight * b.weight) AS score FROM keywords a JOIN keywords b USING (keyword) JOIN packages p ON p.package = b.package AND p.downloads > 500 WHERE a.package <> b.package GROUP BY ALL HAVING sum(a.weight * b.weight) > 200)
-SELECT package, related, round(score, 6) AS score, pos FROM (SELECT *, row_number() OVER (PARTITION BY package ORDER BY score DESC, related) AS pos FROM sums) r WHERE pos <= 15""")
+@query("c14_related_by_keyword", """WITH sums AS (SELECT a.package, b.package AS related, sum(a.weight * b.weight) AS score FROM keywords a JOIN keywords b USING (keyword) JOIN packages p ON p.package = b.package AND p.downloads > 500 WHERE a.package <> b.package GROUP BY ALL HAVING round(sum(a.weight * b.weight), 6) > 200)
+SELECT package, related, round(score, 6) AS score, pos FROM (SELECT *, row_number() OVER (PARTITION BY package ORDER BY round(score, 6) DESC, related) AS pos FROM sums) r WHERE pos <= 15""")
 def _(v: Views):
     return rounded(joins.related_by_keyword(v.keywords, v.packages, 500, 200), "score")
 
 
-@query("c15_related_categories", """WITH sums AS (SELECT a.slug, b.slug AS related, sum(a.relevance * b.relevance) AS score FROM categories a JOIN categories b USING (package) WHERE a.slug <> b.slug GROUP BY ALL HAVING sum(a.relevance * b.relevance) > 1)
+@query("c15_related_categories", """WITH sums AS (SELECT a.slug, b.slug AS related, sum(a.relevance * b.relevance) AS score FROM categories a JOIN categories b USING (package) WHERE a.slug <> b.slug GROUP BY ALL HAVING round(sum(a.relevance * b.relevance), 6) > 1)
 SELECT slug, related, round(score, 6) AS score, pos FROM (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY round(score, 6) DESC, related) AS pos FROM sums) r WHERE pos <= 6""")
 def _(v: Views):
     return rounded(joins.related_categories(v.categories, 1), "score")

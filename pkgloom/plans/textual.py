@@ -214,9 +214,9 @@ def _(v: Views):
     return rounded(scoring.combined_score(p).select("package", "score"), "score")
 
 
-@query("s5_dependency_freshness", "SELECT depender AS package, round(exp(sum(ln(2e-1 + 8e-1 * CASE WHEN kind = 0 THEN 1e0 WHEN optional THEN 8e-1 + 2e-1 * (package % 10) / 10 ELSE (package % 10) / 10 END))), 6) AS dep_freshness FROM uses WHERE kind < 2 AND depender % 5 = 0 GROUP BY depender")
+@query("s5_dependency_freshness", "SELECT depender AS package, round(exp(sum(ln(2e-1 + 8e-1 * CASE WHEN kind = 0 THEN 1e0 WHEN optional THEN 8e-1 + 2e-1 * (package % 10) / 10 ELSE (package % 10) / 10 END))), 6) AS dep_freshness FROM uses WHERE kind < 2 GROUP BY depender")
 def _(v: Views):
-    d = v.uses.where("kind < 2 AND depender % 5 = 0").selectExpr("depender AS package", "kind = 0 AS matches_latest", "optional", "(package % 10) / 10 AS popularity")
+    d = v.uses.where("kind < 2").selectExpr("depender AS package", "kind = 0 AS matches_latest", "optional", "(package % 10) / 10 AS popularity")
     return rounded(scoring.dependency_freshness(d), "dep_freshness")
 
 

@@ -51,7 +51,7 @@ def test_origins(spark):
 
 
 def test_licences_trains_and_keywords(spark):
-    assert column(spark, ["AGPL AND MIT", "FTL / GPL-2.0", "Apache/MIT AND LGPL", "Mystery"], clean.license_virality) == [6, 0, 2, None]
+    assert column(spark, ["AGPL AND MIT", "FTL / GPL-2.0", "Apache/MIT AND LGPL", "Mystery", "AGPL OR MIT", "MIT/Apache/LGPL", "MPL/LGPL", "IJG OR GPL-2.0"], clean.license_virality) == [6, 0, 2, None, 0, 0, 0, 0]
     assert column(spark, [dt.date(2015, 5, 15), dt.date(2015, 5, 14), dt.date(2016, 5, 15)], clean.release_train, "date") == [0, 0, 8]
     assert column(spark, ["FooBar baz", "test-CRATE", "Über_X"], clean.normalize_keyword) == ["foo-bar-baz", "test-crate", "über_x"]
     assert column(spark, ["https://www.a.org/x", "http://me.github.io", "https://raw.githubusercontent.com/x", "no"], clean.url_domain) == ["a.org", "github.io", None, None]
