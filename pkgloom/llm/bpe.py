@@ -23,6 +23,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -91,7 +92,9 @@ def _chunk_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array((ends - begins)[at]), pa.array(n)], ["hash", "size", "n"])
 
 
+@lru_cache(1)
 def _tokenizer(path: str):
+    """The tokenizer, read once by a Python worker."""
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
@@ -101,7 +104,7 @@ def _tokenizer(path: str):
 
 def special_tokens(path: str) -> list[str]:
     """The tokenizer's special tokens; an error if its joins can't be told to agree. The driver reads this once for all tasks."""
-    spec = json.loads(_tokenizer(path).to_str())
+    spec = json.loads(_tokenizer.__wrapped__(path).to_str())
     shape = (spec["decoder"], spec["normalizer"], spec["pre_tokenizer"]["pretokenizers"][0]["pattern"], spec["model"]["end_of_word_suffix"])
     if shape != (None, NORMALIZER, {"Regex": PATTERN}, "</w>"):
         raise ValueError("chunk joins need a tokenizer with word ends that lower-cases, drops white space and decodes by joining tokens")
