@@ -29,28 +29,46 @@ from pyspark.sql import functions as F
 
 from .common import cut, field_ddl, slices, small_batches
 
-TAG = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""", re.S)
+UNQUOTED = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
 # Fixed values of HTML: elements without end, with raw text, inside a line, and those never holding main text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math object canvas".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q ruby s samp small span strike strong sub sup time tt u var wbr img".split())
+RAW = frozenset("script style textarea title noscript iframe template svg".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q ruby s samp small span strike strong sub sup time tt u var wbr img math object canvas".split())
 NEVER = frozenset("nav header footer aside form button select dialog menu head".split())
 IMPLIED = {"li": ("li",), "p": ("p",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li dt dd td th tr html body article main figcaption caption".split())
+# Class and id names of boilerplate anywhere, and those that are so only outside the page's main part.
 MARKED = re.compile(
-    r"(?i)(?:^|[\s_-])(?:ads?|adverts?|advertisement|adsense|banners?|sponsor(?:ed)?|promo(?:tion)?s?|sidebars?|side-bar|nav(?:bar|igation)?|menus?|breadcrumbs?|header|masthead|footer|cookies?|consent|gdpr|notices?|alerts?|popup|modal|newsletter|subscribe|signup|login|comments?|replies|disqus|respond|share|sharing|social|related|recommended|pagination|pager|toolbar|widgets?|skip-link|copyright|legal)(?:$|[\s_-])"
+    r"(?i)(?:^|[\s_-])(?:ads?|adverts?|advertisement|adsense|sponsor(?:ed)?|sidebars?|side-bar|nav(?:bar|igation)?|menus?|breadcrumbs?|footer|cookies?|consent|gdpr|notices?|alerts?|popup|modal|newsletter|subscribe|signup|login|comments?|replies|disqus)(?:$|[\s_-])"
 )
+OUTSIDE = re.compile(r"(?i)(?:^|[\s_-])(?:banners?|promo(?:tion)?s?|header|masthead|respond|share|sharing|social|related|recommended|pagination|pager|toolbar|widgets?|skip-link|copyright|legal)(?:$|[\s_-])")
 ATTRIBUTE = re.compile(r"""(?i)\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu".split())
 
 
-def _marks(attributes: str) -> tuple[bool, bool]:
-    """Whether the element is boilerplate by its attributes, and whether it is the page's main part."""
+def _tags(page: str) -> Iterator[re.Match]:
+    """All comments and tags in turn. After a tag whose quotes never end, quotes mean nothing, so every part is read once."""
+    pattern, at, last = TAG, page.find("<"), page.rfind(">")
+    while at >= 0 and (at < last or page.startswith("<!--", at)):
+        m = pattern.match(page, at)
+        if m is None and pattern is TAG and re.match("/?[a-zA-Z]", page[at + 1 : at + 3]):
+            pattern = UNQUOTED
+            m = pattern.match(page, at)
+        if m is None:
+            at = page.find("<", at + 1)
+            continue
+        yield m
+        at = page.find("<", m.end())
+
+
+def _marks(attributes: str, inside: bool) -> tuple[bool, bool]:
+    """Whether the element is boilerplate by its attributes (``inside`` the main part or not), and whether it is the page's main part."""
     drop = main = False
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
-            drop = drop or bool(MARKED.search(value))
+            drop = drop or bool(MARKED.search(value)) or not inside and bool(OUTSIDE.search(value))
         elif name == "role":
             drop, main = drop or value.lower() in ROLES, main or value.lower() == "main"
         elif name == "hidden":
@@ -94,7 +112,7 @@ def blocks_of(page: str) -> tuple[list[tuple[str, list[int]]], list[int], int]:
                     b[2].append(value)
 
     at = 0
-    for m in TAG.finditer(page):
+    for m in _tags(page):
         if m.start() < at:
             continue
         if m.start() > at:
@@ -128,8 +146,8 @@ def blocks_of(page: str) -> tuple[list[tuple[str, list[int]]], list[int], int]:
             ends = ("p",)
         while ends and stack and stack[-1][0] in ends:
             close()
-        drop, main = _marks(m[3]) if m[3] else (False, False)
         up_drop, up_main = (stack[-1][3], stack[-1][4]) if stack else (False, False)
+        drop, main = _marks(m[3], up_main) if m[3] else (False, False)
         drop = (drop and tag not in ("html", "body", "article", "main")) or tag in NEVER and not (tag == "header" and up_main)
         main = main or tag in ("article", "main")
         any_main = any_main or (main and not up_drop)

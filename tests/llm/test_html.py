@@ -1,5 +1,6 @@
 import html as entities
 import re
+import time
 
 import pandas as pd
 
@@ -52,3 +53,18 @@ def test_unmarked_block_on_few_pages_of_a_large_host(spark):
 
 def test_empty_table(spark):
     assert html_extraction.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_names_within_the_article_and_clashing_columns(spark):
+    page = "<body><div class=header>Site</div><article><div class='header'><h1>Title</h1></div><p>Body <math>x</math></p><p>a &lt; b < c</p><div class='related'>More of it</div><div class='comments'>First!</div><aside>Side</aside></article></body>"
+    rows = spark.createDataFrame([(1, "http://a.example/", page), (1, "http://a.example/", page), (None, None, None)], "page_id long, url string, html string").selectExpr("*", "1 AS host", "2 AS uid", "3 AS blocks", "4 AS text", "5 AS content")
+    got = html_extraction.extract(rows).collect()
+    assert [r.text for r in got if r.page_id] == ["Title\nBody x\na < b < c\nMore of it"] * 2 and len(got) == 3
+
+
+def test_broken_pages_take_time_in_proportion():
+    begin = time.time()
+    for page in ('<a "' * 100_000, "<a '" * 100_000 + ">", "<" * 300_000, "<!-- " * 100_000, "</" * 200_000, "</" * 200_000 + ">", "<p>" * 100_000 + "x"):
+        html_extraction.blocks_of(page)
+    assert html_extraction.blocks_of('<p>one</p><p class="x>two</p><p>three</p>')[0][0][0] == "one"
+    assert time.time() - begin < 20
