@@ -96,6 +96,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, vector: str = "emb
     fine = valid(vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), is_query.alias("is_query")), "v")
     index = index or fit(fine, "v", "id")
     handle = vectors.sparkSession.sparkContext.broadcast(index)
+    exact = np.float32 if vectors.schema[vector].dataType.elementType.simpleString() == "float" else np.float64  # as given, without a loss
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = handle.value
@@ -110,7 +111,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, vector: str = "emb
             for part in np.split(order, np.flatnonzero(np.diff(own[order])) + 1):
                 for a in range(0, len(part), PACK):
                     p = part[a : a + PACK]
-                    out.append((int(own[p[0]]), int(ids[p[0]]) % SALT, _binary(ids[p]), _binary(x[p].astype(np.float32)), _binary(turned[p])))
+                    out.append((int(own[p[0]]), int(ids[p[0]]) % SALT, _binary(ids[p]), _binary(x[p].astype(exact)), _binary(turned[p])))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["list", "salt", "ids", "x", "turned"])
 
     def probing(further: bool):
@@ -144,7 +145,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, vector: str = "emb
         for batch in batches:
             for ids, x, turned, qids, q, limits in zip(*(batch.column(c).to_pylist() for c in ("ids", "x", "turned", "qids", "q", "limits")), strict=True):
                 ids, qids, limits = np.frombuffer(ids, np.int64), np.frombuffer(qids, np.int64), np.frombuffer(limits)
-                x, turned, q = np.frombuffer(x, np.float32).reshape(len(ids), -1), np.frombuffer(turned, np.float32).reshape(len(ids), -1), np.frombuffer(q).reshape(len(qids), -1)
+                x, turned, q = np.frombuffer(x, exact).reshape(len(ids), -1), np.frombuffer(turned, np.float32).reshape(len(ids), -1), np.frombuffer(q).reshape(len(qids), -1)
                 for i, qid in enumerate(qids.tolist()):
                     best[qid] = _scan(best.get(qid, []), qid, q[i], ids, x, turned, ix.rotation, k, limits[i])
                 if len(best) > 100_000:

@@ -56,3 +56,10 @@ def test_no_vector_of_a_list_is_nearer_than_its_bound():
     own, least = nearest._nearest(x, centroids, 1)[:, 0], nearest._least(x[:50], centroids)
     d = np.sqrt(((x[:50, None] - x[None]) ** 2).sum(2))
     assert (d >= least[:, own]).all() and (least > 5).mean() > 0.2
+
+
+def test_double_vectors_keep_their_precision(spark):
+    rows = [(i, [1.0 + i * 1e-9, 2.0]) for i in range(30)]
+    got = nearest.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, k=3).collect()
+    assert [(r.rank, r.vec_id) for r in sorted(got, key=lambda r: r.rank)] == [(1, 1), (2, 2), (3, 3)]
+    assert [r.score for r in sorted(got, key=lambda r: r.rank)] == [abs(rows[i][1][0] - 1.0) for i in (1, 2, 3)]
