@@ -1,4 +1,4 @@
-"""Cleaning jobs over packages, people and texts."""
+"""Cleaning jobs over packages, people and texts."""
 
 from __future__ import annotations
 
@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 # Licence families and how far they spread.
 VIRALITY = (("AGPL", 6), ("LGPL", 2), ("GPL", 5), ("CC-", 4), ("GFDL", 1), ("MIT", 0), ("Apache", 0), ("BSD", 0), ("ISC", 0), ("Zlib", 0), ("FTL", 0), ("MPL", 0), ("IJG", 0), ("CC0", 0))
-DEPRECATED = r"(?i)^(deprecated|obsolete|unmaintained|abandoned)\b|\b(is|has been|was) (deprecated|superseded|replaced)\b|(no longer maintained|\(deprecated\))\s*\.?$"
-PLACEHOLDER = r"(?i)placeholder|\breserved\b|reserving (the|this) (crate|package)? ?name|nothing (here|to see)|coming soon|^(todo|wip|test)\.?$"
 
 
 def url_domain(url: Column) -> Column:
@@ -38,11 +36,29 @@ def parse_repo(url: Column) -> Column:
     return F.when(ok, F.struct(host.alias("host"), parts[1].alias("owner"), name.alias("repo")))
 
 
-def repo_urls(repo: Column) -> Column:
-    """Canonical git, web and readme-base addresses."""
-    web = F.concat(F.lit("https://"), repo["host"], F.lit("/"), repo["owner"], F.lit("/"), repo["repo"])
-    tree = F.when(repo["host"].contains("gitlab"), "/-/blob/HEAD/").otherwise("/blob/HEAD/")
-    return F.when(repo.isNotNull(), F.struct(F.concat(web, F.lit(".git")).alias("git"), web.alias("http"), F.concat(web, tree).alias("readme_base")))
+def repo_urls(repo: Column, directory: Column | None = None, revision: Column | None = None) -> Column:
+    """Addresses to clone and browse a repository, bases of its readme's links and images, and its contributors.
+
+    ``directory`` has no slash at its begin (none: the root), ``revision`` is HEAD where there is none.
+    """
+    folder = F.lit("") if directory is None else F.coalesce(directory, F.lit(""))
+    at = F.lit("HEAD") if revision is None else F.coalesce(revision, F.lit("HEAD"))
+    path = F.concat(repo["owner"], F.lit("/"), repo["repo"])
+    base = F.concat(F.lit("https://"), repo["host"], F.lit("/"), path)
+    gitlab, bitbucket = repo["host"].startswith("gitlab."), repo["host"].startswith("bitbucket.")
+    web = F.concat(base, F.when(gitlab & repo["repo"].contains("/"), "/-").otherwise(""))  # nested groups
+    below = F.concat(F.lit("/"), at, F.lit("/"), folder, F.when((folder != "") & ~folder.endswith("/"), "/").otherwise(""))
+    view = F.when((folder != "") | (at != "HEAD"), F.concat(F.when(bitbucket, "/src/").otherwise("/tree/"), at, F.lit("/"), folder)).otherwise("")
+    return F.when(
+        repo.isNotNull(),
+        F.struct(
+            F.concat(base, F.when(bitbucket, "").otherwise(".git")).alias("git"),
+            F.concat(web, view).alias("http"),
+            F.concat(web, F.when(bitbucket, "/src").otherwise("/blob"), below).alias("readme_base"),
+            F.when(gitlab | bitbucket, F.concat(web, F.lit("/raw"), below)).otherwise(F.concat(F.lit("https://raw.githubusercontent.com/"), path, below)).alias("image_base"),
+            F.when(gitlab, F.concat(web, F.lit("/graphs/master"))).when(bitbucket, F.concat(base, F.lit("/commits/all"))).otherwise(F.concat(base, F.lit("/graphs/contributors"))).alias("contributors"),
+        ),
+    )
 
 
 def parse_origin(c: Column) -> Column:
@@ -58,8 +74,10 @@ def format_origin(s: Column) -> Column:
 
 
 def normalize_keyword(c: Column) -> Column:
-    """Lower case; ASCII ones in kebab case."""
-    kebab = F.lower(F.regexp_replace(F.regexp_replace(F.trim(c), r"(?<=[a-z0-9])(?=[A-Z])", "-"), r"[_\s./-]+", "-"))
+    """Lower case; ASCII ones in kebab case, but for names that begin like iOS."""
+    spelled = F.when(c.rlike("^(eBPF|iOS|LaTeX|iP|iM)"), F.lower(c)).otherwise(c)
+    cut = F.regexp_replace(spelled, "(?<=[a-z][0-9]{0,9})(?=[A-Z])|(?<=[A-Z][0-9]{0,9})(?=[A-Z][a-z])", "-")
+    kebab = F.lower(F.regexp_replace(F.regexp_replace(cut, "[^A-Za-z0-9]+", "-"), "^-|-$", ""))
     return F.when(c.rlike(r"[^\x00-\x7F]"), F.lower(c)).otherwise(kebab)
 
 
@@ -91,17 +109,6 @@ def readme_props(pages: DataFrame, key: str, html: str) -> DataFrame:
     return pages.select(key, n(r"(?i)<img\b(?![^>]*(?:badge|shields\.io))").alias("n_images"), n(r"(?i)<pre\b").alias("n_pre"), n(r"(?i)<h[1-6]\b").alias("n_sections"), n(r"(?i)<(?:li|tr)\b").alias("n_rows"), code.alias("code_len"), plain.alias("text_len"))
 
 
-def flag_packages(packages: DataFrame) -> DataFrame:
-    """Deprecated, squatted and autopublished packages by their description and version."""
-    d, v = F.coalesce(F.trim("description"), F.lit("")), F.lower(F.coalesce("version", F.lit("")))
-    return packages.select(
-        "package",
-        (d.rlike(DEPRECATED) | v.contains("deprecated")).alias("is_deprecated"),
-        (d.rlike(PLACEHOLDER) | v.contains("reserved") | v.contains("placeholder")).alias("is_placeholder"),
-        (d.startswith("Autogenerated") | d.startswith("Automatically generated")).alias("is_autopublished"),
-    )
-
-
 def license_report(closure: DataFrame, licenses: DataFrame) -> DataFrame:
     """The strongest licence in each package's closure (0 if none is known)."""
     lic = licenses.select("dep", license_virality(F.col("license")).alias("v"))
@@ -127,19 +134,21 @@ def code_stats(files: DataFrame) -> DataFrame:
 
 def clean_keyword(c: Column, weight: Column, stop_words: list[str]) -> Column:
     """(keyword, weight) without edge punctuation and language affixes; null if nothing is left; stop words weigh a tenth."""
-    k = F.regexp_replace(F.regexp_replace(F.lower(c), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""), r"^rust-|-rs$", "")
-    return F.when((k != "") & ~k.isin("rust", "rs") & (weight > 1e-4), F.struct(k.alias("keyword"), (weight * F.when(k.isin(*stop_words), 0.1).otherwise(1.0)).alias("weight")))
+    bare = F.regexp_replace(F.regexp_replace(c, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""), "(-rs)+$", "")
+    k = normalize_keyword(F.regexp_replace(bare, "^(rust-)+", ""))
+    return F.when((k != "") & ~k.isin("rust", "rs") & (weight > 1e-6), F.struct(k.alias("keyword"), (weight * F.when(k.isin(*stop_words), 0.1).otherwise(1.0)).alias("weight")))
 
 
 def namespace_prefix(c: Column) -> Column:
-    """The first part of a name of more than one letter, without tool affixes."""
-    parts = F.filter(F.split(F.regexp_replace(F.lower(c), r"^(rust[-_]|cargo[-_]|lib)", ""), "[-_]"), lambda p: F.length(p) > 1)
-    return F.get(parts, F.lit(0))
+    """The first part of a name of more than one letter, without tool affixes; the name if it has no such part."""
+    parts = F.filter(F.split(F.regexp_replace(c, "^(rust-)*(cargo-)*(lib)*", ""), "[-_]"), lambda p: F.length(p) > 1)
+    return F.coalesce(F.get(parts, F.lit(0)), c)
 
 
 def unprefix(c: Column) -> Column:
-    """A name without its language affix."""
-    return F.regexp_replace(c, r"^rust[-_]|[-_]rs$|_rust$", "")
+    """A name without its language affix: one at its begin with a separator, else one at its end, else one at its begin."""
+    begin, end = "^rust[-_]", "[-_]rs$"
+    return F.when(c.rlike(begin), F.regexp_replace(c, begin, "")).when(c.rlike(end), F.regexp_replace(c, end, "")).otherwise(F.regexp_replace(c, "^rust", ""))
 
 
 def min_compiler(edition: Column, resolver: Column, features: Column, declared: Column) -> Column:

@@ -118,7 +118,8 @@ def _(v: Views):
     return s.groupBy("total").agg(F.count("*").alias("n")).join(few, "total")
 
 
-@query("d17_name_capitalisation")
+@query("d17_name_capitalisation", r"""WITH s AS (SELECT source AS package, unnest(regexp_split_to_array(text, '[.!?\n]+\s*')) AS t FROM documents), w AS (SELECT package, unnest(a) AS word, generate_subscripts(a, 1) AS place FROM (SELECT package, regexp_split_to_array(t, '[^\p{L}\p{N}_-]+') AS a FROM s) x),
+v AS (SELECT package, word, sum(CASE WHEN place = 1 THEN 5e-1 ELSE 1e0 END) AS votes FROM w WHERE lower(word) = 'the' GROUP BY package, word) SELECT package, word AS spelling, votes FROM (SELECT *, row_number() OVER (PARTITION BY package ORDER BY votes DESC, word DESC) AS i FROM v) r WHERE i = 1""")
 def _(v: Views):
     s = v.documents.select(F.col("source").alias("package"), F.explode(F.split("text", r"[.!?\n]+\s*")).alias("text")).withColumn("name", F.lit("the"))
     return agg.name_capitalisation(s)

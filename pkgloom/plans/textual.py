@@ -258,12 +258,6 @@ def _(v: Views):
     return clean.readme_props(v.pages, "page_id", "html").select("page_id", "n_images", "n_pre", "n_sections", "n_rows")
 
 
-@query("j3_flag_packages", """WITH p AS (SELECT p_partkey AS package, CASE p_size % 6 WHEN 0 THEN 'Deprecated: use other' WHEN 1 THEN 'This is a placeholder for later' WHEN 2 THEN 'name reserved' WHEN 3 THEN 'Autogenerated bindings' ELSE p_name END AS d FROM part) SELECT package, d LIKE 'Deprecated%' AS is_deprecated, d LIKE '%placeholder%' OR d LIKE '%reserved%' AS is_placeholder, d LIKE 'Autogenerated%' AS is_autopublished FROM p""")
-def _(v: Views):
-    p = v.part.selectExpr("p_partkey AS package", "CASE p_size % 6 WHEN 0 THEN 'Deprecated: use other' WHEN 1 THEN 'This is a placeholder for later' WHEN 2 THEN 'name reserved' WHEN 3 THEN 'Autogenerated bindings' ELSE p_name END AS description", "'1.0.0' AS version")
-    return clean.flag_packages(p)
-
-
 @query("j4_license_report", """WITH p AS (SELECT p_partkey AS package, p_size % 4 AS l FROM part), u AS (SELECT DISTINCT depender AS package, package AS dep FROM uses), v AS (SELECT package, CASE l WHEN 0 THEN 0 WHEN 1 THEN 5 WHEN 2 THEN 2 ELSE 0 END AS vir FROM p)
 SELECT u.package, max(vir) AS virality FROM u JOIN v ON v.package = u.dep GROUP BY u.package""")
 def _(v: Views):
