@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import CLEAN, cut, field_ddl, mixed, slices, small_batches, text_bytes
+from .common import CLEAN, cut, field_ddl, mixed, slices, small_batches, text_bytes, words_of
 
 ORDER, SHARED, DISCOUNT = 6, 2, 0.75
 MIXED, MOST = 0.02, 30.0
@@ -66,30 +66,38 @@ def windows_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.repeat(np.arange(len(size), dtype=np.int32), size + 1)[real - 8]
 
 
+def _distinct_words(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of all texts, the place of every word among them, and every word's text."""
+    words, owner = words_of(column)
+    coded = words.dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(), owner
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows and their counts per class, added up within a task as far as ``FLUSH`` windows go."""
-    keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    keys, sums = np.zeros(0, np.int64), np.zeros((2, 0), np.int64)
 
     def rows() -> pa.RecordBatch:
-        toxic = (keys & 1).astype(bool)
-        return pa.RecordBatch.from_arrays([pa.array(keys >> 1), pa.array(np.where(toxic, 0, sums)), pa.array(np.where(toxic, sums, 0))], ["gram", "n0", "n1"])
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums[0]), pa.array(sums[1])], ["gram", "n0", "n1"])
 
     for batch in slices(batches, "text", SLICE):
-        grams, owner = windows_of(batch.column("text"))
+        words, ids, owner = _distinct_words(batch.column("text"))
         toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)[owner]
-        more, n = np.unique(grams << 1 | toxic, return_counts=True)
-        both, inverse = np.unique(np.concatenate([keys, more]), return_inverse=True)
-        keys, sums = both, np.bincount(inverse, np.concatenate([sums, n])).astype(np.int64)
+        times = np.bincount(ids * 2 + toxic, minlength=2 * len(words)).reshape(-1, 2)
+        grams, word = windows_of(words)
+        both, inverse = np.unique(np.concatenate([keys, grams]), return_inverse=True)
+        sums = np.stack([np.bincount(inverse, np.concatenate([sums[j], times[word, j]]), len(both)).astype(np.int64) for j in (0, 1)])
+        keys = both
         if len(keys) > FLUSH // 2:
             yield rows()
-            keys, sums = keys[:0], sums[:0]
+            keys, sums = keys[:0], sums[:, :0]
     yield rows()
 
 
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[np.ndarray] = []
     for batch in slices(batches, "text", SLICE):
-        held.append(np.unique(windows_of(batch.column("text"))[0]))
+        held.append(np.unique(windows_of(_distinct_words(batch.column("text"))[0])[0]))
         if sum(map(len, held)) > FLUSH:
             held = [np.unique(np.concatenate(held))]
             if len(held[0]) > FLUSH // 2:
@@ -200,11 +208,13 @@ def evidence_of(docs: DataFrame, model: KneserNeyPair, keep: tuple[str, ...], te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = _Lookup(*handle.value)
         for batch in slices(batches, text, SLICE):
-            keys, owner = windows_of(batch.column(text))
-            ends = np.flatnonzero(keys & 255 == EDGE)
+            distinct, ids, owner = _distinct_words(batch.column(text))
+            keys, _ = windows_of(distinct)
+            ends = np.flatnonzero(keys & 255 == EDGE)  # one a word
             words = np.add.reduceat(lookup(keys).astype(np.float64), np.concatenate([[0], ends[:-1] + 1])) if len(ends) else np.zeros(0)
-            n = np.bincount(owner[ends], minlength=batch.num_rows)
-            total = np.bincount(owner[ends], np.log1p(MIXED * np.expm1(np.minimum(words, MOST))), minlength=batch.num_rows)
+            share = np.log1p(MIXED * np.expm1(np.minimum(words, MOST)))
+            n = np.bincount(owner, minlength=batch.num_rows)
+            total = np.bincount(owner, share[ids], minlength=batch.num_rows)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(total / np.maximum(n, 1))], [*keep, name])
 
     return small_batches(docs).select(*dict.fromkeys((*keep, text))).mapInArrow(run, f"{field_ddl(docs, *keep)}, `{name}` double")
