@@ -39,7 +39,7 @@ VIEWS: dict[str, str] = {
     "paths": "SELECT concat('r', p_size) AS repo, p_partkey AS package, CASE WHEN p_partkey % 4 = 0 THEN concat('a', p_partkey) WHEN p_partkey % 4 = 1 THEN concat('a', p_partkey - 1, '/b', p_partkey) WHEN p_partkey % 4 = 2 THEN concat('a', p_partkey - 2, '/x/c', p_partkey) ELSE concat('z/y', p_partkey) END AS path FROM (SELECT p_partkey, p_partkey % 40 - p_partkey % 4 AS p_size FROM {part}) p",
     "months": "SELECT l_partkey AS dep, CAST(date_trunc('month', l_shipdate) AS DATE) AS month, sum(l_quantity) AS users FROM {lineitem} GROUP BY l_partkey, CAST(date_trunc('month', l_shipdate) AS DATE)",
     "excluded": "SELECT s_suppkey AS owner FROM {supplier} WHERE s_suppkey % 9 = 0",
-    "edges": "SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey WHERE a.l_linenumber = b.l_linenumber + 1 AND a.l_partkey > b.l_partkey AND a.l_partkey % 10 = b.l_partkey % 10 + 1",
+    "edges": "SELECT DISTINCT l_partkey AS src, CAST(floor(l_partkey / (l_linenumber + 1)) AS BIGINT) AS dst FROM {lineitem} WHERE l_partkey > l_linenumber",
 }
 
 
