@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, html_extraction, language_id, licenses, near_dedup, nearest, pii, secrets, toxicity
+from . import alignment, bpe, decontamination, exact_search, html_extraction, language_id, licenses, near_dedup, nearest, pii, resampling, secrets, toxicity
 from .common import fold, table
 
 
@@ -62,6 +62,18 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op13_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_nearest": op2_nearest,
@@ -73,6 +85,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_secrets": op9_secrets,
     "op10_html_extraction": op10_html_extraction,
+    "op11_resampling": op11_resampling,
+    "op12_alignment": op12_alignment,
+    "op13_exact_search": op13_exact_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -98,5 +113,17 @@ WITH RECURSIVE words AS (
 )
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
 FROM documents d JOIN comps USING (doc_id) LEFT JOIN sizes USING (doc_id)
+""",
+    "op13_exact_search": """
+WITH codes AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+    FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+    FROM codes q JOIN codes c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0
+), best AS (
+    SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs
+)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM best WHERE rank <= 5
 """,
 }
