@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, field_ddl, slices, small_batches
 
-SLICE = 2 << 20  # bytes of text in a slice
+SLICE = 512 << 10  # bytes of text in a slice; its row is half as large again
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -49,15 +49,16 @@ class Pair:
 
         spec = json.load(open(path_a, encoding="utf-8"))
         letters = byte_alphabet()
-        self.library = Tokenizer.from_file(path_a)
-        self.library.encode_special_tokens = True
-        self.library.no_padding(), self.library.no_truncation()
         ids = {bytes(letters[c] for c in entry): i for entry, i in spec["model"]["vocab"].items()}
-        size = max(self.library.get_vocab(with_added_tokens=True).values()) + 1
-        self.bytes_a = [b""] * size
+        self.bytes_a = [b""] * (1 + max([*ids.values(), *(t["id"] for t in spec["added_tokens"])]))
         for data, i in ids.items():
             self.bytes_a[i] = data
         self.quick = self._ranked(spec, ids)
+        self.library = None
+        if not self.quick:
+            self.library = Tokenizer.from_file(path_a)
+            self.library.encode_special_tokens = True
+            self.library.no_padding(), self.library.no_truncation()
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.bytes_b = [bytes([int(self.b.id_to_piece(i)[1:-1], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode() for i in range(self.b.vocab_size())]
         self.size_a, self.size_b = np.array([len(x) for x in self.bytes_a]), np.array([len(x) for x in self.bytes_b])
@@ -121,47 +122,50 @@ def aligned(pair: Pair, a: np.ndarray, b: np.ndarray) -> dict[str, np.ndarray]:
     return {"a": link_a, "b": link_b, "plain": plain, "end": end_a[last_a], "codes": codes, "code_end": np.cumsum(n_a + n_b)}
 
 
+SLICE_SCHEMA = pa.schema([("part", pa.int64()), ("docs", pa.binary()), ("n_links", pa.list_(pa.int64())), ("links", pa.binary()), ("plain_ids", pa.list_(pa.int32())), ("plain_n", pa.list_(pa.int64())), ("pairs", pa.list_(pa.int64())), ("pair_n", pa.list_(pa.int64()))])
 SLICE_DDL = "part bigint, docs binary, n_links array<bigint>, links binary, plain_ids array<int>, plain_n array<bigint>, pairs array<bigint>, pair_n array<bigint>"
 
 
+def sliced(batches: Iterator[pa.RecordBatch], path_a: str, path_b: str) -> Iterator[pa.RecordBatch]:
+    """A row for each slice of (key, text, part): its texts' results but for the counts, their links, and what the slice counts."""
+    pair = pair_of(path_a, path_b)
+    for piece in slices(batches, "text", SLICE):
+        texts = piece.column("text").fill_null("").to_pylist()
+        ids_a, ids_b = pair.encoded(texts)
+        real = [i for i, x in enumerate(ids_a) if x is not None]
+        n_a, n_b, groups, digest = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), [""] * len(texts)
+        links, pairs, pair_n, plain = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(pair.bytes_a), np.int64)
+        if real:
+            n_a[real], n_b[real] = [len(ids_a[i]) for i in real], [len(ids_b[i]) for i in real]
+            got = aligned(pair, np.concatenate([ids_a[i] for i in real]), np.concatenate([ids_b[i] for i in real]))
+            stops = np.cumsum([len(texts[i].encode()) + 1 for i in real])
+            upto = np.searchsorted(got["end"], stops) + 1  # groups to the end of each text
+            groups[real] = np.diff(upto, prepend=0)
+            spelled = pair.names[0].take(pa.array(got["codes"]))
+            offs, data = np.frombuffer(spelled.buffers()[1], np.int32), spelled.buffers()[2]
+            edges = [0, *offs[got["code_end"][upto - 1]].tolist()]
+            for i, lo, hi in zip(real, edges[:-1], edges[1:], strict=True):
+                digest[i] = hashlib.sha256(data[lo : hi - 1]).hexdigest()
+            fast = got["plain"]
+            plain = np.bincount(got["a"][fast], minlength=len(plain))
+            keys = got["a"][~fast].astype(np.int64) << 32 | got["b"][~fast]
+            pairs, at, pair_n = np.unique(keys, return_inverse=True, return_counts=True)
+            links = np.empty(len(fast), np.int32)
+            links[fast], links[~fast] = got["a"][fast], -1 - at  # an id of a, or a place among the slice's pairs
+        own = pa.record_batch({"key": piece.column("key"), "n_a": n_a, "n_b": n_b, "n_groups": groups, "groups_sha256": pa.array(digest)})
+        seen = np.flatnonzero(plain)
+        out = [piece.column("part")[0].as_py(), _table(own), groups, links.tobytes(), seen.astype(np.int32), plain[seen], pairs, pair_n]
+        yield pa.RecordBatch.from_arrays([pa.array([x], field.type) for x, field in zip(out, SLICE_SCHEMA, strict=True)], SLICE_SCHEMA.names)
+
+
 def align(docs: DataFrame, path_a: str, path_b: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``key``, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of every document."""
     pair_kind = docs.schema[key].dataType
     spark = docs.sparkSession
 
-    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = pair_of(path_a, path_b)
-        for piece in slices(batches, "text", SLICE):
-            texts = piece.column("text").fill_null("").to_pylist()
-            ids_a, ids_b = pair.encoded(texts)
-            real = [i for i, x in enumerate(ids_a) if x is not None]
-            n_a, n_b, groups, digest = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), [""] * len(texts)
-            links, pairs, pair_n, plain = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(pair.bytes_a), np.int64)
-            if real:
-                n_a[real], n_b[real] = [len(ids_a[i]) for i in real], [len(ids_b[i]) for i in real]
-                got = aligned(pair, np.concatenate([ids_a[i] for i in real]), np.concatenate([ids_b[i] for i in real]))
-                stops = np.cumsum([len(texts[i].encode()) + 1 for i in real])
-                upto = np.searchsorted(got["end"], stops) + 1  # groups to the end of each text
-                groups[real] = np.diff(upto, prepend=0)
-                spelled = pair.names[0].take(pa.array(got["codes"]))
-                offs, data = np.frombuffer(spelled.buffers()[1], np.int32), spelled.buffers()[2]
-                edges = [0, *offs[got["code_end"][upto - 1]].tolist()]
-                for i, lo, hi in zip(real, edges[:-1], edges[1:], strict=True):
-                    digest[i] = hashlib.sha256(data[lo : hi - 1]).hexdigest()
-                fast = got["plain"]
-                plain = np.bincount(got["a"][fast], minlength=len(plain))
-                keys = got["a"][~fast].astype(np.int64) << 32 | got["b"][~fast]
-                pairs, at, pair_n = np.unique(keys, return_inverse=True, return_counts=True)
-                links = np.empty(len(fast), np.int32)
-                links[fast], links[~fast] = got["a"][fast], -1 - at  # an id of a, or a place among the slice's pairs
-            own = pa.record_batch({"key": piece.column("key"), "n_a": n_a, "n_b": n_b, "n_groups": groups, "groups_sha256": pa.array(digest)})
-            seen = np.flatnonzero(plain)
-            out = [piece.column("part")[0].as_py(), _table(own), groups, links.tobytes(), seen.astype(np.int32), plain[seen], pairs, pair_n]
-            yield pa.RecordBatch.from_arrays([pa.array([x], field.type) for x, field in zip(out, SLICE_SCHEMA, strict=True)], SLICE_SCHEMA.names)
-
     # a slice goes by the place of its first row, so that a task made anew names it as before
     rows = small_batches(docs).select(F.col(key).alias("key"), F.col(text).alias("text")).withColumn("part", F.monotonically_increasing_id())
-    done = cut(rows.mapInArrow(sliced, SLICE_DDL), "alignment")
+    done = cut(rows.mapInArrow(lambda batches: sliced(batches, path_a, path_b), SLICE_DDL), "alignment")
 
     counts = done.select(F.explode(F.arrays_zip("pairs", "pair_n")).alias("p")).groupBy(F.col("p.pairs").alias("pair")).agg(F.sum("p.pair_n").alias("n"))
     counts = cut(counts, "pairs")
@@ -195,9 +199,6 @@ def align(docs: DataFrame, path_a: str, path_b: str, text: str = "text", key: st
     return both.mapInArrow(finished, ddl).withColumnRenamed("key", key)
 
 
-SLICE_SCHEMA = pa.schema([("part", pa.int64()), ("docs", pa.binary()), ("n_links", pa.list_(pa.int64())), ("links", pa.binary()), ("plain_ids", pa.list_(pa.int32())), ("plain_n", pa.list_(pa.int64())), ("pairs", pa.list_(pa.int64())), ("pair_n", pa.list_(pa.int64()))])
-
-
 def _table(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema) as writer:
