@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import semver
+
 KINDS = ("runtime", "build", "dev")  # strongest first
 
 
@@ -78,14 +80,29 @@ def role_from_usage(stats: DataFrame) -> DataFrame:
 
 
 def version_popularity(requirements: DataFrame, versions: DataFrame, deprecated: DataFrame) -> DataFrame:
-    """How much of a package's use a requirement's interval covers: mean of the share and of the ratio of maxima, plus one; 0 if deprecated."""
-    v = versions.select("package", "sort_key", "users")
-    both = requirements.join(v, "package").withColumn("in", (F.col("sort_key") >= F.col("low")) & (F.col("sort_key") < F.col("high")))
-    got, every = F.sum(F.when(F.col("in"), F.col("users")).otherwise(0)), F.sum("users")
-    best, top = F.max(F.when(F.col("in"), F.col("users")).otherwise(0)), F.max("users")
-    pop = ((got + 1) / (every + 1) + (best + 1) / (top + 1)) / 2
-    out = both.groupBy("dep_id", "package").agg(pop.alias("popularity"), F.max_by("in", "sort_key").alias("matches_latest"))
-    return out.join(deprecated.select("package", F.lit(True).alias("gone")), "package", "left").select("dep_id", "package", F.when(F.col("gone"), 0.0).otherwise(F.col("popularity")).alias("popularity"), "matches_latest")
+    """How much of a package's use a requirement covers, and whether it matches the latest version.
+
+    ``versions``: package, sort_key, users, is_pre, yanked. The popularity is the mean of two shares, of users and of the most
+    used version, covered against not covered, with one user added to the covered side; 0 if deprecated or nobody uses the
+    package. The latest version is the highest stable one or the highest of all, not yanked if there is such a one.
+    """
+    from . import ranges
+
+    v = versions.select("package", "sort_key", "users", "is_pre", "yanked").where("sort_key IS NOT NULL")
+    low, top = F.lit(""), F.lit(semver.TOP * 2)
+    asked = requirements.select("package", "low", "high").where("low < high").distinct()
+    around = asked.unionByName(asked.select("package", low.alias("low"), F.col("low").alias("high"))).unionByName(asked.select("package", F.col("high").alias("low"), top.alias("high"))).distinct()
+    found = ranges.aggregated(ranges.place(v.select("package", "sort_key", "users"), around), got=(F.col("users"), F.sum), best=(F.col("users"), F.max))
+    within, below, above = found, found.where(F.col("low") == low).select("package", F.col("high").alias("low"), F.col("best").alias("below")), found.where(F.col("high") == top).select("package", F.col("low").alias("high"), F.col("best").alias("above"))
+    last = v.groupBy("package").agg(F.sum("users").alias("every"), F.max(F.struct(~F.col("yanked") & ~F.col("is_pre"), "sort_key"))["sort_key"].alias("stable"), F.max(F.struct(~F.col("yanked"), "sort_key"))["sort_key"].alias("any"))
+    r = requirements.join(within, ["package", "low", "high"], "left").join(below, ["package", "low"], "left").join(above, ["package", "high"], "left").join(last, "package").join(deprecated.select("package", F.lit(True).alias("gone")), "package", "left")
+    got, best = F.coalesce("got", F.lit(0)) + 1, F.coalesce("best", F.lit(0)) + 1
+    valid = F.col("low") < F.col("high")
+    other = F.when(valid, F.coalesce(F.greatest("below", "above"), F.lit(0)))
+    share = (got / (F.col("every") + 1) + best / (best + other)) / 2
+    holds = lambda c: (F.col(c) >= F.col("low")) & (F.col(c) < F.col("high"))
+    popularity = F.when(F.col("gone") | (F.col("every") == 0), 0.0).otherwise(share)
+    return r.select("dep_id", "package", popularity.alias("popularity"), F.coalesce(~F.coalesce("gone", F.lit(False)) & (holds("stable") | holds("any")), F.lit(False)).alias("matches_latest"))
 
 
 def global_popularity(usage: DataFrame, n_packages: int) -> DataFrame:

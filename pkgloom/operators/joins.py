@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import semver
+from . import ranges
+
 DIGITS = 6  # sums of floats depend on their order; they are rounded before a threshold or a rank sees them
 
 
@@ -75,9 +78,9 @@ def in_external_list(packages: DataFrame, names: DataFrame, name: str = "name")
 
 def worst_advisory(releases: DataFrame, advisories: DataFrame) -> DataFrame:
     """C11: the most severe advisory whose affected range [low, high) holds the release; withdrawn and unrated ones are ignored."""
-    live = advisories.where(~F.col("withdrawn") & F.col("severity").isNotNull()).select("package", "advisory", "severity", "low", "high")
-    hit = releases.join(live, "package").where((F.col("sort_key") >= F.col("low")) & (F.col("sort_key") < F.col("high")))
-    return hit.groupBy("package", "release").agg(F.max(F.struct("severity", "advisory")).alias("w")).select("package", "release", F.col("w.advisory").alias("advisory"), F.col("w.severity").alias("severity"))
+    live = advisories.where(~F.col("withdrawn") & F.col("severity").isNotNull()).select("package", "low", "high", F.struct("severity", "advisory").alias("w"))
+    hit = ranges.stabbed(ranges.place(releases.select("package", "release", "sort_key"), live), live, "w")
+    return hit.groupBy("package", "release").agg(F.max("w").alias("w")).select("package", "release", F.col("w.advisory").alias("advisory"), F.col("w.severity").alias("severity"))
 
 
 def blocked_packages(owners: DataFrame, blocklist: DataFrame) -> DataFrame:
@@ -118,16 +121,18 @@ def common_owners(owners: DataFrame, pairs: DataFrame, excluded: DataFrame) -> D
 def resolve_dependency(deps: DataFrame, releases: DataFrame) -> DataFrame:
     """C20: the newest-published release in [low, high) that is not yanked, else the most recent release of the package."""
     r = releases.select("package", "release", "sort_key", "created", "yanked")
-    fits = (F.col("sort_key") >= F.col("low")) & (F.col("sort_key") < F.col("high")) & ~F.col("yanked")
-    both = deps.join(r, "package", "left")
-    newest = F.max(F.when(fits, F.struct("created", "release")))
-    return both.groupBy("dep_id", "package").agg(F.coalesce(newest, F.max(F.struct("created", "release"))).alias("r"), F.count(F.when(fits, 1)).alias("n_matching")).select("dep_id", "package", F.col("r.release").alias("release"), (F.col("n_matching") > 0).alias("matched"))
+    found = ranges.aggregated(ranges.place(r.where("NOT yanked"), deps), newest=(F.struct("created", "release"), F.max))
+    recent = r.groupBy("package").agg(F.max(F.struct("created", "release")).alias("recent"))
+    both = deps.join(found, ["package", "low", "high"], "left").join(recent, "package", "left")
+    return both.select("dep_id", "package", F.coalesce("newest", "recent")["release"].alias("release"), F.col("newest").isNotNull().alias("matched"))
 
 
 def matching_extremes(deps: DataFrame, releases: DataFrame) -> DataFrame:
-    """The highest and lowest matching release."""
-    both = deps.join(releases.select("package", "release", "sort_key"), "package").where((F.col("sort_key") >= F.col("low")) & (F.col("sort_key") < F.col("high")))
-    return both.groupBy("dep_id").agg(F.max_by("release", F.struct("sort_key", "release")).alias("highest"), F.min_by("release", F.struct("sort_key", "release")).alias("lowest"))
+    """The highest and lowest matching release; of releases with equal keys the larger one above and the smaller one below."""
+    one = F.struct("sort_key", "release")
+    found = ranges.aggregated(ranges.place(releases.select("package", "sort_key", "release"), deps), highest=(one, F.max), lowest=(one, F.min)).where("highest IS NOT NULL")
+    best = deps.join(found, ["package", "low", "high"]).groupBy("dep_id").agg(F.max("highest").alias("highest"), F.min("lowest").alias("lowest"))
+    return best.select("dep_id", F.col("highest.release").alias("highest"), F.col("lowest.release").alias("lowest"))
 
 
 def asof_version_downloads(selected: DataFrame, downloads: DataFrame) -> DataFrame:
@@ -139,10 +144,23 @@ def asof_version_downloads(selected: DataFrame, downloads: DataFrame) -> DataFra
     return dealt.groupBy("package", F.col("t.sort_key").alias("sort_key")).agg(F.sum("n").alias("downloads"))
 
 
-def upgrade_target(highest: DataFrame, releases: DataFrame) -> DataFrame:
-    """Per (dep_id, package, sort_key of the highest match) the newest stable release at or above it, else the newest pre-release."""
-    above = highest.join(releases.select("package", "release", F.col("sort_key").alias("candidate"), "is_pre"), "package").where("candidate >= sort_key")
-    return above.groupBy("dep_id").agg(F.max(F.struct(~F.col("is_pre"), "candidate", "release")).alias("t")).select("dep_id", F.col("t.release").alias("target"))
+def upgrade_target(deps: DataFrame, releases: DataFrame) -> DataFrame:
+    """The newest stable release at or above the highest match, else the newest pre-release; without a match, of all releases.
+
+    ``target_version`` has patch 0 for a stable target from 1.1 on whose patch is below 10.
+    All releases above are the package's last ones, so its newest stable and its newest release of all answer every requirement.
+    """
+    r = releases.where("sort_key IS NOT NULL").select("package", "release", "version", "sort_key", "is_pre")
+    highest = ranges.aggregated(ranges.place(r.select("package", "sort_key"), deps), matched=(F.col("sort_key"), F.max))
+    one = F.struct("sort_key", "release", "version")
+    last = r.groupBy("package").agg(F.max(F.when(~F.col("is_pre"), one)).alias("stable"), F.max(one).alias("any"))
+    both = deps.join(highest, ["package", "low", "high"], "left").join(last, "package")
+    stable = F.col("stable").isNotNull() & (F.col("matched").isNull() | (F.col("stable.sort_key") >= F.col("matched")))
+    v = semver.parse(F.col("t.version"))
+    short = v["pre"].isNull() & (v["major"] > 0) & (v["minor"] > 0) & (v["patch"] < 10)
+    plain = F.regexp_replace("t.version", r"\+.*$", "")
+    best = both.select("dep_id", F.when(stable, F.struct(F.lit(1).alias("is_stable"), "stable.*")).otherwise(F.struct(F.lit(0).alias("is_stable"), "any.*")).alias("t")).groupBy("dep_id").agg(F.max("t").alias("t"))
+    return best.select("dep_id", F.col("t.release").alias("target"), F.when(short, F.regexp_replace(plain, r"[0-9]+$", "0")).otherwise(plain).alias("target_version"))
 
 
 def rev_deps_table(deps: DataFrame, packages: DataFrame, n: int = 1000) -> DataFrame:

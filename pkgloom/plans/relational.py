@@ -187,12 +187,11 @@ def _(v: Views):
     return joins.asof_version_downloads(k.where("release % 2 = 0").select("package", "sort_key", "compat").distinct(), k.selectExpr("package", "sort_key", "compat", "CAST(release % 100 AS DOUBLE) AS n"))
 
 
-@query("c23_upgrade_target", """WITH top AS (SELECT dep_id, i.package, max(sort_key) AS sort_key FROM intervals i JOIN keyed k ON k.package = i.package AND sort_key >= low AND sort_key < high GROUP BY ALL)
-SELECT dep_id, max_by(release, (CASE WHEN is_pre THEN 0 ELSE 1 END, k.sort_key, release)) AS target FROM top t JOIN keyed k ON k.package = t.package AND k.sort_key >= t.sort_key GROUP BY dep_id""")
+@query("c23_upgrade_target", """WITH top AS (SELECT dep_id, i.package, max(CASE WHEN sort_key >= low AND sort_key < high THEN sort_key END) AS matched FROM intervals i JOIN keyed k ON k.package = i.package GROUP BY ALL),
+t AS (SELECT dep_id, max_by(release, (CASE WHEN is_pre THEN 0 ELSE 1 END, k.sort_key, release)) AS target, max_by(version, (CASE WHEN is_pre THEN 0 ELSE 1 END, k.sort_key, release)) AS version FROM top t JOIN keyed k ON k.package = t.package AND (matched IS NULL OR k.sort_key >= matched) GROUP BY dep_id)
+SELECT dep_id, target, CASE WHEN regexp_full_match(version, '[1-9][0-9]*\\.[1-9][0-9]*\\.[0-9]') THEN regexp_replace(version, '[0-9]$', '0') ELSE version END AS target_version FROM t""")
 def _(v: Views):
-    k = v.keyed
-    top = v.intervals.join(k.select("package", "sort_key"), "package").where("sort_key >= low AND sort_key < high").groupBy("dep_id", "package").agg(F.max("sort_key").alias("sort_key"))
-    return joins.upgrade_target(top, k)
+    return joins.upgrade_target(v.intervals.select("dep_id", "package", "low", "high"), v.keyed)
 
 
 @query("c24_rev_deps_table", """WITH one AS (SELECT u.package, depender, max(downloads) AS downloads, bool_and(optional) AS optional, min(u.kind) AS kind FROM uses u JOIN packages p ON p.package = depender GROUP BY ALL)

@@ -123,12 +123,13 @@ def _(v: Views):
     return graph.role_from_usage(graph.reverse_dependency_stats(c))
 
 
-@query("g5_version_popularity", """WITH u AS (SELECT package, sort_key, release % 37 AS users FROM keyed), b AS (SELECT dep_id, i.package, users, sort_key, sort_key >= low AND sort_key < high AS inside FROM intervals i JOIN u ON u.package = i.package)
-SELECT dep_id, package, round(CASE WHEN package % 13 = 0 THEN 0e0 ELSE ((coalesce(sum(users) FILTER (WHERE inside), 0) + 1) / (sum(users) + 1) + (coalesce(max(users) FILTER (WHERE inside), 0) + 1) / (max(users) + 1)) / 2 END, 6) AS popularity FROM b GROUP BY dep_id, package""")
+@query("g5_version_popularity", """WITH u AS (SELECT package, sort_key, release % 37 AS users, is_pre, yanked FROM keyed), b AS (SELECT dep_id, i.package, low, high, users, sort_key, is_pre, yanked, sort_key >= low AND sort_key < high AS inside FROM (SELECT DISTINCT dep_id, package, low, high FROM intervals) i JOIN u ON u.package = i.package),
+s AS (SELECT dep_id, package, coalesce(sum(users) FILTER (WHERE inside), 0) + 1 AS hit, coalesce(max(users) FILTER (WHERE inside), 0) + 1 AS hit_max, coalesce(sum(users) FILTER (WHERE NOT inside), 0) AS miss, coalesce(max(users) FILTER (WHERE NOT inside), 0) AS miss_max, max_by(inside, (NOT yanked AND NOT is_pre, sort_key)) OR max_by(inside, (NOT yanked, sort_key)) AS latest FROM b GROUP BY dep_id, package, low, high)
+SELECT dep_id, package, round(CASE WHEN package % 13 = 0 OR hit + miss = 1 THEN 0e0 ELSE (hit / (hit + miss) + hit_max / (hit_max + miss_max)) / 2 END, 6) AS popularity, latest AND package % 13 <> 0 AS matches_latest FROM s""")
 def _(v: Views):
-    users = v.keyed.selectExpr("package", "sort_key", "release % 37 AS users")
-    out = graph.version_popularity(v.intervals.select("dep_id", "package", "low", "high"), users, v.packages.where("package % 13 = 0").select("package"))
-    return rounded(out, "popularity").drop("matches_latest")
+    users = v.keyed.selectExpr("package", "sort_key", "release % 37 AS users", "is_pre", "yanked")
+    out = graph.version_popularity(v.intervals.select("dep_id", "package", "low", "high").distinct(), users, v.packages.where("package % 13 = 0").select("package"))
+    return rounded(out, "popularity")
 
 
 @query("g6_global_popularity", "SELECT package, version AS release, round(count(*) / (SELECT count(*) FROM part), 9) AS popularity FROM daily GROUP BY package, version")
