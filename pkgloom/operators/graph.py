@@ -8,7 +8,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -29,41 +29,132 @@ def settled(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dependency_closure(edges: DataFrame) -> DataFrame:
-    """G1: all transitive dependencies of every source with the strongest kind, and whether a path is default or direct.
+def _walk(starts: DataFrame, edges: DataFrame) -> DataFrame:
+    """Every (root, level, release, feature) that ``starts`` reach, with its kind; a state may stand there with weaker kinds too.
 
-    ``edges``: src, dst, kind (0 runtime, 1 build, 2 dev), optional. Dev edges
-    count at the root only; below a build edge everything is build, below a dev
-    edge dev. A state is (root, node, kind, default); states already seen are
-    not followed again, so cycles end, and there are finitely many. A round
-    writes its new states only.
+    ``edges``: release, feature, to_release, to_feature, edge_kind, least_level; an edge is followed on its level and above.
+    A state is walked again only if a stronger kind reaches it, so cycles end. A round writes its new states only. What is
+    known of a round's states is looked up from the round's side: where that is small, Spark broadcasts it by its size,
+    and all that was seen before is read but not shuffled.
     """
-    e = edges.groupBy("src", "dst", "kind").agg(F.bool_and("optional").alias("optional"))
-    front = settled(e.select(F.col("src").alias("root"), F.col("dst").alias("node"), "kind", (~F.col("optional")).alias("is_default"), F.lit(True).alias("direct")))
+    state = ["root", "level", "release", "feature"]
+    front = settled(starts.groupBy(*state).agg(F.min("kind").alias("kind")))
     seen = front
-    inner = e.where("kind < 2").select(F.col("src").alias("node"), F.col("dst").alias("next"), F.col("kind").alias("edge_kind"), "optional")
-    while True:
-        step = front.join(inner, "node").where("root != next").select("root", F.col("next").alias("node"), F.greatest("kind", "edge_kind").alias("kind"), (F.col("is_default") & ~F.col("optional")).alias("is_default"), F.lit(False).alias("direct")).distinct()
-        front = settled(step.join(seen, ["root", "node", "kind", "is_default"], "left_anti"))
-        if front.isEmpty():
-            break
+    while not front.isEmpty():
+        onward = front.join(edges, ["release", "feature"]).where((F.col("least_level") <= F.col("level")) & ((F.col("to_release") != F.col("root")) | (F.col("release") == F.col("root"))))
+        step = settled(onward.groupBy("root", "level", F.col("to_release").alias("release"), F.col("to_feature").alias("feature")).agg(F.min(F.greatest("kind", "edge_kind")).alias("kind")))
+        known = seen.withColumnRenamed("kind", "known").join(step, state).where("known <= kind").select(*state)
+        front = settled(step.join(known, state, "left_anti"))
         seen = seen.unionByName(front)
-    return seen.groupBy("root", "node").agg(F.min("kind").alias("kind"), F.max("is_default").alias("is_default"), F.max("direct").alias("direct"))
+    return seen
+
+
+def dependency_closure(edges: DataFrame) -> DataFrame:
+    """G1 without versions: all transitive dependencies of every source with the strongest kind, and whether a path is default or direct.
+
+    ``edges``: src, dst, kind (0 runtime, 1 build, 2 dev), optional. Dev edges count at the root only; below a build edge
+    everything is build, below a dev edge dev. Two walks, of the edges that are not optional and of all, with one state a node.
+    """
+    e = settled(edges.groupBy("src", "dst", "kind").agg(F.bool_and("optional").alias("optional")))
+    node = lambda c: [F.col(c).alias("release"), F.lit("").alias("feature")]
+    least = F.col("optional").cast("int")
+    starts = e.select(F.col("src").alias("root"), F.explode(F.sequence(least, F.lit(1))).alias("level"), *node("dst"), "kind")
+    inner = e.where("kind < 2").groupBy("src", "dst").agg(F.min("kind").alias("edge_kind"), F.min(F.when(F.col("kind") == 0, least)).alias("free"), F.min(least).alias("least_level"))
+    # a link of both kinds whose runtime side is optional stays two links
+    both = (F.col("edge_kind") == 0) & (F.col("free") > F.col("least_level"))
+    kinds = F.when(both, F.array(F.struct(F.lit(0).alias("edge_kind"), F.col("free").alias("least_level")), F.struct(F.lit(1).alias("edge_kind"), "least_level"))).otherwise(F.array(F.struct("edge_kind", "least_level")))
+    links = settled(inner.select(*node("src"), F.col("dst").alias("to_release"), F.lit("").alias("to_feature"), F.inline(kinds)))  # every round reads them
+    direct = e.select(F.col("src").alias("root"), F.col("dst").alias("release")).distinct().withColumn("direct", F.lit(True))
+    reached = _walk(starts, links).groupBy("root", "release").agg(F.min("kind").alias("kind"), (F.min("level") == 0).alias("is_default"))
+    return reached.join(direct, ["root", "release"], "left").select("root", F.col("release").alias("node"), "kind", "is_default", F.coalesce("direct", F.lit(False)).alias("direct"))
+
+
+def _named(enables: Column) -> tuple[Column, Column]:
+    """The dependency or feature that a descriptor names and the feature it hands on: ``x``, ``dep:x``, ``x/f``, ``dep:x/f``, ``x?/f`` (which enables x like ``x/f``)."""
+    first = F.split(enables, "/", 2)
+    return F.lower(F.regexp_replace(F.get(first, 0), r"^dep:|\?$", "")), F.lower(F.get(first, 1))
+
+
+def feature_edges(features: DataFrame, deps: DataFrame) -> DataFrame:
+    """What every (release, feature) of a registry brings along; feature "" is the release itself.
+
+    ``features``: release, feature, enables (a descriptor a row, null for a feature that enables nothing); ``deps``: release,
+    dep (name), kind, optional, target_specific, default_features, features (array), to_release (as C20 resolves it). An
+    optional dependency is brought by a feature that names it, or by a feature of its name if the release declares none.
+    Target-specific dependencies are of level 1. Names are compared in lower case.
+    """
+    f = features.select("release", F.lower("feature").alias("feature"), "enables").distinct()
+    name, handed = _named(F.col("enables"))
+    descriptors = f.where("enables IS NOT NULL").select("release", "feature", name.alias("key"), handed.alias("handed"), (F.col("enables").startswith("dep:") | handed.isNotNull()).alias("only_dep"))
+    declared = f.select("release", "feature").distinct()
+    wanted = F.array_distinct(F.concat(F.array(F.lit("")), F.transform(F.coalesce("features", F.array().cast("array<string>")), F.lower), F.when(F.col("default_features"), F.array(F.lit("default"))).otherwise(F.array().cast("array<string>"))))
+    d = deps.where("to_release IS NOT NULL").select("release", F.lower("dep").alias("key"), F.col("kind").alias("edge_kind"), "optional", F.col("target_specific").cast("int").alias("least_level"), "to_release", wanted.alias("wanted"))
+    brought = d.withColumn("to_feature", F.explode("wanted"))
+    out = ["release", "feature", "to_release", "to_feature", "edge_kind", "least_level"]
+    always = brought.where("NOT optional").withColumn("feature", F.lit("")).select(*out)
+    named = descriptors.join(brought.where("optional"), ["release", "key"]).select(*out)
+    hands = descriptors.where("handed IS NOT NULL").join(d.drop("wanted"), ["release", "key"]).withColumn("to_feature", F.col("handed")).select(*out)
+    inner = descriptors.where("NOT only_dep").join(declared.withColumnRenamed("feature", "key"), ["release", "key"]).select("release", "feature", F.col("release").alias("to_release"), F.col("key").alias("to_feature"), F.lit(0).alias("edge_kind"), F.lit(0).alias("least_level"))
+    implicit = brought.where("optional").withColumnRenamed("key", "feature").join(declared, ["release", "feature"], "left_anti").select(*out)
+    return always.unionByName(named).unionByName(hands).unionByName(inner).unionByName(implicit).groupBy("release", "feature", "to_release", "to_feature", "edge_kind").agg(F.min("least_level").alias("least_level"))
 
 
 def enabled_dependencies(releases: DataFrame, features: DataFrame, deps: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Dependencies of a release that its wanted features enable, and all that are not optional.
+    """Dependencies of a release that its wanted features enable, through features of any depth, and all that are not optional.
 
-    ``features``: release, feature, enables (one feature or dependency a row,
-    two levels deep); ``wanted``: release, feature.
+    ``features``: release, feature, enables (a descriptor a row); ``deps``: release, dep, optional, ...; ``wanted``: release, feature.
     """
-    first = wanted.join(features, ["release", "feature"])
-    second = first.select("release", F.col("enables").alias("feature")).join(features, ["release", "feature"])
-    names = first.select("release", "enables").unionByName(second.select("release", "enables")).withColumn("key", F.lower("enables")).select("release", "key").distinct()
+    f = features.select("release", F.lower("feature").alias("feature"), "enables").distinct()
+    name, handed = _named(F.col("enables"))
+    inner = f.where(handed.isNull() & ~F.col("enables").startswith("dep:")).select("release", "feature", F.col("release").alias("to_release"), name.alias("to_feature"), F.lit(0).alias("edge_kind"), F.lit(0).alias("least_level"))
+    starts = wanted.select(F.col("release").alias("root"), F.lit(0).alias("level"), "release", F.lower("feature").alias("feature"), F.lit(0).alias("kind"))
+    reached = _walk(starts, inner).select("release", "feature").distinct()
+    declared = f.select("release", "feature").distinct()
+    names = reached.join(f.where("enables IS NOT NULL"), ["release", "feature"]).select("release", name.alias("key")).unionByName(reached.join(declared, ["release", "feature"], "left_anti").select("release", F.col("feature").alias("key"))).distinct()
     optional = deps.where("optional").withColumn("key", F.lower("dep")).join(names, ["release", "key"], "left_semi").drop("key")
     return deps.where("NOT optional").unionByName(optional.select(*deps.columns)).join(releases.select("release"), "release", "left_semi")
 
 
+def resolved_closure(roots: DataFrame, features: DataFrame, deps: DataFrame) -> DataFrame:
+    """G1 with versions: (root, release) of every release that a root brings along, with the strongest kind, is_default and direct.
+
+    ``roots``: release, a package's own latest one; ``features`` and ``deps`` as for ``feature_edges``. A root asks twice: for
+    its default features, without target-specific dependencies anywhere, and for all its features, optional and dev
+    dependencies; what the first answer holds is default. Features reach the releases they are handed to and act there.
+    Dev dependencies count at the root only. Several releases of one package may be brought along.
+    """
+    every = settled(feature_edges(features, deps))
+    links = every.where("edge_kind < 2")
+    # features that bring nothing need no state
+    links = settled(links.join(links.select(F.col("release").alias("to_release"), F.col("feature").alias("to_feature")).distinct().withColumn("goes_on", F.lit(True)), ["to_release", "to_feature"], "left").where((F.col("to_feature") == "") | F.col("goes_on")).drop("goes_on"))
+    own = roots.select(F.col("release").alias("root"), "release").distinct()
+    plain = own.select("*", F.explode(F.expr("array(struct(0 AS level, '' AS feature), struct(0 AS level, 'default' AS feature), struct(1 AS level, '' AS feature), struct(1 AS level, 'default' AS feature))")).alias("s")).select("root", "s.level", "release", "s.feature", F.lit(0).alias("kind"))
+    declared = features.where("enables IS NOT NULL").select("release", F.lower("feature").alias("feature"))
+    optional = deps.where("optional").select("release", F.lower("dep").alias("feature"))
+    asked = own.join(declared.unionByName(optional).distinct(), "release").select("root", F.lit(1).alias("level"), "release", "feature", F.lit(0).alias("kind"))
+    # all optional dependencies are asked for by name, whether or not a feature has it
+    by_name = deps.where("optional AND to_release IS NOT NULL").select(F.col("release").alias("root"), F.col("to_release").alias("release"), F.col("kind"), F.explode(F.concat(F.array(F.lit("")), F.transform(F.coalesce("features", F.array().cast("array<string>")), F.lower), F.when(F.col("default_features"), F.array(F.lit("default"))).otherwise(F.array().cast("array<string>")))).alias("feature"))
+    dev = every.where("edge_kind = 2 AND feature = ''").select(F.col("release").alias("root"), F.col("to_release").alias("release"), F.lit(2).alias("kind"), F.col("to_feature").alias("feature"))
+    first = by_name.unionByName(dev).join(own.select("root"), "root", "left_semi").where("release <> root").select("root", F.lit(1).alias("level"), "release", "feature", "kind")
+    states = _walk(plain.unionByName(asked).unionByName(first), links)
+    at_root = states.where("release = root").select("root", "level", "feature").distinct()
+    near = at_root.join(links.withColumnRenamed("release", "root"), ["root", "feature"]).where("least_level <= level").select("root", F.col("to_release").alias("release")).unionByName(first.select("root", "release")).distinct().withColumn("direct", F.lit(True))
+    reached = states.where("release <> root").groupBy("root", "release").agg(F.min("kind").alias("kind"), (F.min("level") == 0).alias("is_default"))
+    return reached.join(near, ["root", "release"], "left").withColumn("direct", F.coalesce("direct", F.lit(False)))
+
+
+def flattened(closure: DataFrame, releases: DataFrame) -> DataFrame:
+    """One row a (root, package) of a closure over releases: flags united; the version is a direct one if there is one, of several the highest."""
+    r = releases.select("release", "package", "sort_key")
+    best = F.max(F.struct("direct", "sort_key", "release"))["release"]
+    return closure.join(r, "release").groupBy("root", "package").agg(F.min("kind").alias("kind"), F.bool_or("is_default").alias("is_default"), F.bool_or("direct").alias("direct"), best.alias("release"), F.count("*").alias("n_versions"))
+
+
+def version_counts(flat: DataFrame) -> DataFrame:
+    """How many roots use each release of a package."""
+    return flat.groupBy("package", "release").agg(F.count("*").alias("n_roots"))
+
+
 def reverse_dependency_stats(closure: DataFrame) -> DataFrame:
     """Per package its dependents by kind, default or not, and the direct ones."""
     kind = lambda k, d: F.count_if((F.col("kind") == k) & (F.col("is_default") == d))
