@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .graph import settled
 from .joins import top_n
 
 # The stop words of phrase extraction.
@@ -122,28 +123,88 @@ def search(index: DataFrame, docs: DataFrame, queries: DataFrame, key: str, limi
     return top_n(scored.withColumn("score", F.round(relevance * F.col("base_score"), 6)), ["query_id"], [F.desc("score"), F.col(key)], limit).select("query_id", key, "score", "pos")
 
 
-def dividing_keywords(results: DataFrame, keywords: DataFrame, least_sets: int = 25) -> DataFrame:
-    """Per query the keyword that best splits its results: held by more than two and at most three quarters of them."""
-    n = results.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= least_sets)
-    weight = F.when(F.col("pos") <= F.col("n") / 2, 2048).otherwise(1024) + F.floor(128 * F.col("score"))
-    k = results.join(n, "query_id").withColumn("weight", weight).join(keywords, "doc_id").groupBy("query_id", "keyword", "n").agg(F.count("*").alias("pop"), F.sum("weight").alias("weight"))
-    k = k.where((F.col("pop") > 2) & (F.col("pop") <= 0.75 * F.col("n"))).withColumn("value", F.col("weight") * F.when((F.col("pop") >= 10) & (F.col("pop") <= F.col("n") / 3), 2).otherwise(1))
-    return top_n(k, ["query_id"], [F.desc("value"), F.col("keyword")], 6).select("query_id", "keyword", "pop", "pos")
+# Keywords that say little.
+GENERIC, LESS, RESERVED = ("api", "cli"), ("api", "cli", "rust"), "reserved"
+DIVISIONS, LEAST_SETS = 10, 25
 
 
-def promote_representatives(results: DataFrame, dividing: DataFrame, keywords: DataFrame) -> DataFrame:
-    """The top three and the first hit of each dividing keyword come first."""
-    first = results.join(keywords, "doc_id").join(dividing.select("query_id", "keyword"), ["query_id", "keyword"]).groupBy("query_id", "keyword").agg(F.min(F.struct("pos", "doc_id")).alias("b")).select("query_id", F.col("b.doc_id").alias("doc_id")).distinct().withColumn("promoted", F.lit(True))
-    r = results.join(first, ["query_id", "doc_id"], "left").withColumn("front", (F.col("pos") <= 3) | F.coalesce("promoted", F.lit(False)))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("front"), "pos"))
-    return r.select("query_id", "doc_id", "front", place.alias("new_pos"))
+def _popular(sets: DataFrame, chosen: DataFrame, ignored: Column) -> DataFrame:
+    """Per query the keyword that splits its keyword sets best, and how many sets no chosen keyword covers yet.
 
-
-def search_also(dividing: DataFrame, queries: DataFrame, n: int = 4) -> DataFrame:
-    """Dividing keywords that neither begin nor end with the query or the other way round."""
-    q = dividing.join(queries.select("query_id", F.lower("text").alias("q")), "query_id")
-    alike = F.col("keyword").startswith(F.col("q")) | F.col("keyword").endswith(F.col("q")) | F.col("q").startswith(F.col("keyword")) | F.col("q").endswith(F.col("keyword"))
-    return q.where(~alike & (F.col("pos") <= n)).select("query_id", "keyword", "pos")
+    ``chosen``: query_id, taken (array), last. A chosen keyword leaves all sets; a set that held one weighs minus half. A
+    keyword "q-x" or "x-q" of an uncovered set also counts, twice, for x. Values tie by the smaller keyword.
+    """
+    s = sets.join(chosen, "query_id")
+    covered = F.arrays_overlap("keywords", "taken")
+    s = s.select("query_id", "n_sets", "q", "taken", "last", F.array_except("keywords", "taken").alias("left"), F.when(covered, F.expr("-(weight DIV 2)")).otherwise(F.col("weight")).alias("w"))
+    before, behind = F.concat("q", F.lit("-")), F.concat(F.lit("-"), "q")
+    rest = lambda k: F.when(F.startswith(k, before), F.substring(k, F.length(before) + 1, F.length(k))).when(F.endswith(k, behind), F.substring(k, F.lit(1), F.length(k) - F.length(behind)))
+    parts = F.when(F.col("w") > 0, F.filter(F.transform("left", rest), lambda r: r.isNotNull() & ~F.array_contains("left", r))).otherwise(F.array().cast("array<string>"))
+    one = lambda k, w: F.struct(k.alias("keyword"), w.cast("bigint").alias("w"))
+    votes = F.concat(F.transform("left", lambda k: one(k, F.col("w"))), F.transform(parts, lambda k: one(k, 2 * F.col("w"))), F.array(one(F.lit(None).cast("string"), (F.col("w") > 0).cast("bigint"))))
+    counts = s.select("query_id", "n_sets", "q", "taken", "last", F.inline(votes)).groupBy("query_id", "n_sets", "taken", "last", "keyword").agg(F.count("*").alias("pop"), F.sum("w").alias("w"))
+    weight = F.when(F.col("keyword").isin(*LESS), F.expr("w * 3 DIV 4")).otherwise(F.col("w"))
+    value = weight * F.when((F.col("pop") >= 10) & (F.col("pop") <= F.expr("n_sets DIV 3")), 2).otherwise(1)
+    fit = F.col("keyword").isNotNull() & (F.col("pop") > 2) & (F.col("pop") <= F.expr("n_sets * 3 DIV 4")) & ~ignored
+    best = F.min(F.when(fit, F.struct((-value).alias("v"), "keyword")))["keyword"]
+    return counts.groupBy("query_id", "taken", "last").agg(best.alias("next"), F.max(F.when(F.col("keyword").isNull(), F.col("w"))).alias("open"))
+
+
+def dividing_keywords(results: DataFrame, keywords: DataFrame, queries: DataFrame, limit: int, skipped: tuple[str, ...] = ()) -> DataFrame:
+    """Per query up to ten keywords that divide its results, found one after another.
+
+    ``results``: query_id, doc_id, pos, score; ``keywords``: doc_id, keyword; ``queries``: query_id, text, query_keywords
+    (array, left out of all sets). Results with the same keywords count once, those with a ``skipped`` keyword not at all;
+    queries with fewer than 25 sets have no answer. The most common keyword may be a synonym of the query, so the first
+    taken is the best beside it. Rounds run over all queries at once and end for a query when fewer than 25 sets are not
+    covered, no keyword is left or one returns.
+    """
+    bags = results.join(keywords, "doc_id", "left").groupBy("query_id", "doc_id", "pos", "score").agg(F.sort_array(F.collect_set("keyword")).alias("all"))  # a document's keywords
+    once = bags.groupBy("query_id", "all").agg(F.min(F.struct("pos", "doc_id", "score")).alias("b")).join(queries.select("query_id", F.lower("text").alias("q"), "query_keywords"), "query_id")
+    weight = F.when(F.col("b.pos") <= limit, 2048).otherwise(1024) + (128 * F.col("b.score")).cast("int")
+    sets = once.select("query_id", F.regexp_replace("q", "[ _]+", "-").alias("q"), F.array_except("all", F.coalesce("query_keywords", F.array().cast("array<string>"))).alias("keywords"), weight.cast("bigint").alias("weight"))
+    sets = sets.where(~F.arrays_overlap("keywords", F.array(*map(F.lit, skipped)).cast("array<string>")))
+    sizes = sets.groupBy("query_id").agg(F.count("*").alias("n_sets")).where(F.col("n_sets") >= LEAST_SETS)
+    sets = settled(sets.join(sizes, "query_id"))
+    none = F.array().cast("array<string>")
+    start = sizes.select("query_id", none.alias("taken"), F.lit(None).cast("string").alias("last"))
+    common = _popular(sets, start, F.col("keyword").isin(*GENERIC)).where("next IS NOT NULL").select("query_id", "taken", F.col("next").alias("last"))
+    now = settled(_popular(sets, common, F.col("keyword") == F.col("last")).where("next IS NOT NULL").select("query_id", F.array("next").alias("taken"), F.col("next").alias("last")))
+    found = now
+    for _ in range(DIVISIONS - 1):
+        onward = _popular(sets, now, F.col("keyword").isin(RESERVED) | (F.col("keyword") == F.col("last")))
+        onward = onward.where((F.col("open") >= LEAST_SETS) & F.col("next").isNotNull() & ~F.array_contains("taken", F.col("next")))
+        now = settled(onward.select("query_id", F.concat("taken", F.array("next")).alias("taken"), F.col("next").alias("last")))
+        if now.isEmpty():
+            break
+        found = found.unionByName(now)
+    return found.select("query_id", F.col("last").alias("keyword"), F.size("taken").alias("pos"))
+
+
+def promote_representatives(results: DataFrame, dividing: DataFrame, keywords: DataFrame, n: int = 6) -> DataFrame:
+    """The top three (of more than three) and the first hit of each of ``n`` dividing keywords come first, with no lower score than what follows."""
+    first = results.join(keywords, "doc_id").join(dividing.where(F.col("pos") <= n).select("query_id", "keyword"), ["query_id", "keyword"]).groupBy("query_id", "keyword").agg(F.min(F.struct("pos", "doc_id")).alias("b")).select("query_id", F.col("b.doc_id").alias("doc_id")).distinct().withColumn("promoted", F.lit(True))
+    per = Window.partitionBy("query_id")
+    r = results.join(first, ["query_id", "doc_id"], "left").withColumn("front", ((F.col("pos") <= 3) & (F.count("*").over(per) > 3)) | F.coalesce("promoted", F.lit(False)))
+    follows = F.max(F.when(~F.col("front"), F.col("score"))).over(per)
+    return r.select("query_id", "doc_id", "front", F.row_number().over(per.orderBy(F.desc("front"), "pos")).alias("new_pos"), F.when(F.col("front"), F.greatest("score", follows)).otherwise(F.col("score")).alias("score"))
+
+
+def _suggested(dividing: DataFrame, queries: DataFrame) -> DataFrame:
+    n = F.count("*").over(Window.partitionBy("query_id"))
+    return dividing.withColumn("n", n).join(queries.select("query_id", F.trim("text").alias("q")), "query_id").withColumn("search", F.concat_ws(" ", "q", "keyword"))
+
+
+def search_also(dividing: DataFrame, queries: DataFrame) -> DataFrame:
+    """The query with each dividing keyword, if there are three or more."""
+    return _suggested(dividing, queries).where("n >= 3").select("query_id", "keyword", "search", "pos")
+
+
+def did_you_mean(dividing: DataFrame, queries: DataFrame, n: int = 3) -> DataFrame:
+    """The first ``n`` dividing keywords that are not the query with a prefix or suffix; only if there are three and two more for each word of the query."""
+    words = F.size(F.split("q", " "))
+    fine = _suggested(dividing, queries).where((F.col("n") >= 3 + 2 * words) & ~F.startswith("keyword", F.concat("q", F.lit("-"))) & ~F.endswith("keyword", F.concat(F.lit("-"), "q")))
+    return top_n(fine, ["query_id"], [F.col("pos")], n, "place").select("query_id", "keyword", "search", "place")
 
 
 def synonym_candidates(keywords: DataFrame, least: int = 2) -> DataFrame:

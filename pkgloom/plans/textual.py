@@ -97,7 +97,35 @@ def _(v: Views):
     return rounded(_hits(v), "score", places=4).drop("pos")
 
 
-DIVIDE = "r AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS pos FROM (SELECT query_id, doc_id, score / 100000 AS score FROM results) z), k AS (SELECT package AS doc_id, keyword FROM keywords UNION SELECT package, kind FROM packages), n AS (SELECT query_id, count(*) AS n FROM r GROUP BY query_id HAVING count(*) >= 25), g AS (SELECT r.query_id, keyword, n, count(*) AS pop, sum(CASE WHEN pos <= n / 2 THEN 2048 ELSE 1024 END + floor(128 * score)) AS weight FROM r JOIN n ON n.query_id = r.query_id JOIN k ON k.doc_id = r.doc_id GROUP BY ALL), d AS (SELECT query_id, keyword, pop, row_number() OVER (PARTITION BY query_id ORDER BY weight * CASE WHEN pop >= 10 AND pop <= n / 3 THEN 2 ELSE 1 END DESC, keyword) AS pos FROM g WHERE pop > 2 AND pop <= 75e-2 * n)"
+def _division() -> str:
+    """The rounds of T10, one after another."""
+    steps = ["""r AS MATERIALIZED (SELECT query_id, doc_id, score / 1e5 AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS pos FROM results),
+k AS MATERIALIZED (SELECT DISTINCT doc_id, keyword FROM (SELECT p_partkey AS doc_id, unnest([lower(p_type), split_part(p_name, ' ', 1), split_part(p_name, ' ', 2), lower(p_brand), concat(split_part(p_name, ' ', 2), '-', p_size % 7)]) AS keyword FROM part) x),
+q AS (SELECT DISTINCT query_id, ['ring', 'bolt', 'gear', 'widget'][query_id % 4 + 1] AS q FROM results),
+bag AS (SELECT r.query_id, r.doc_id, pos, score, list_sort(list(keyword)) AS ks FROM r JOIN k ON k.doc_id = r.doc_id GROUP BY ALL),
+one AS (SELECT query_id, ks, min(pos) AS pos, min_by(score, pos) AS score FROM bag GROUP BY query_id, ks),
+st AS MATERIALIZED (SELECT query_id, row_number() OVER () AS set_id, q, list_filter(ks, lambda x: x <> q) AS ks, CASE WHEN pos <= 40 THEN 2048 ELSE 1024 END + CAST(trunc(128 * score) AS BIGINT) AS w0 FROM one JOIN q USING (query_id) WHERE NOT list_contains(ks, 'brand#13')),
+n AS (SELECT query_id, count(*) AS n FROM st GROUP BY query_id HAVING count(*) >= 25),
+ks AS MATERIALIZED (SELECT st.query_id, set_id, q, w0, unnest(ks) AS keyword FROM st JOIN n ON n.query_id = st.query_id),
+ch0 AS (SELECT query_id, '' AS keyword FROM n WHERE false)"""]
+
+    def popular(name: str, chosen: str, alive: str, ignored: str) -> None:
+        steps.append(f"""{name}w AS MATERIALIZED (SELECT st.query_id, set_id, q, CASE WHEN EXISTS (SELECT 1 FROM ks JOIN {chosen} c ON c.query_id = ks.query_id AND c.keyword = ks.keyword WHERE ks.set_id = st.set_id) THEN -(w0 // 2) ELSE w0 END AS w FROM st WHERE query_id IN (SELECT query_id FROM {alive})),
+{name}l AS MATERIALIZED (SELECT w.query_id, w.set_id, w.q, w.w, keyword FROM {name}w w JOIN ks ON ks.set_id = w.set_id WHERE NOT EXISTS (SELECT 1 FROM {chosen} c WHERE c.query_id = ks.query_id AND c.keyword = ks.keyword)),
+{name}v AS (SELECT query_id, keyword, w FROM {name}l UNION ALL SELECT query_id, rest, 2 * w FROM (SELECT *, CASE WHEN starts_with(keyword, q || '-') THEN keyword[length(q) + 2:] WHEN ends_with(keyword, '-' || q) THEN keyword[:-length(q) - 2] END AS rest FROM {name}l) x WHERE rest IS NOT NULL AND w > 0 AND NOT EXISTS (SELECT 1 FROM {name}l y WHERE y.set_id = x.set_id AND y.keyword = x.rest)),
+{name}c AS (SELECT v.query_id, keyword, n, count(*) AS pop, CASE WHEN keyword IN ('api', 'cli', 'rust') THEN CAST(sum(w) AS BIGINT) * 3 // 4 ELSE CAST(sum(w) AS BIGINT) END AS weight FROM {name}v v JOIN n ON n.query_id = v.query_id GROUP BY v.query_id, keyword, n),
+{name} AS MATERIALIZED (SELECT c.query_id, min_by(c.keyword, (-weight * CASE WHEN pop >= 10 AND pop <= c.n // 3 THEN 2 ELSE 1 END, c.keyword)) AS keyword FROM {name}c c JOIN {alive} a ON a.query_id = c.query_id WHERE pop > 2 AND pop <= c.n * 3 // 4 AND {ignored} GROUP BY c.query_id)""")
+
+    popular("p", "ch0", "n", "c.keyword NOT IN ('api', 'cli')")
+    popular("x1", "ch0", "p", "c.keyword <> a.keyword")
+    steps.append("ch1 AS (SELECT query_id, keyword, 1 AS pos FROM x1)")
+    for i in range(1, 10):
+        popular(f"y{i + 1}", f"ch{i}", f"x{i}", "c.keyword <> 'reserved' AND c.keyword <> a.keyword")
+        steps.append(f"x{i + 1} AS MATERIALIZED (SELECT * FROM y{i + 1} y WHERE (SELECT count(*) FROM y{i + 1}w w WHERE w.query_id = y.query_id AND w.w > 0) >= 25 AND NOT EXISTS (SELECT 1 FROM ch{i} c WHERE c.query_id = y.query_id AND c.keyword = y.keyword)), ch{i + 1} AS MATERIALIZED (SELECT query_id, keyword, pos FROM ch{i} UNION ALL SELECT query_id, keyword, {i + 1} FROM x{i + 1})")
+    return ", ".join([*steps, "d AS (SELECT query_id, keyword, pos FROM ch10)"])
+
+
+DIVIDE = _division()
 
 
 def _ranked(v: Views):
@@ -108,26 +136,36 @@ def _ranked(v: Views):
 
 
 def _labels(v: Views):
-    return v.keywords.selectExpr("package AS doc_id", "keyword").unionByName(v.packages.selectExpr("package AS doc_id", "kind AS keyword")).distinct()
+    words = "array(lower(p_type), split_part(p_name, ' ', 1), split_part(p_name, ' ', 2), lower(p_brand), concat(split_part(p_name, ' ', 2), '-', p_size % 7))"
+    return v.part.select(F.col("p_partkey").alias("doc_id"), F.explode(F.expr(words)).alias("keyword")).distinct()
 
 
-@query("t10_dividing_keywords", f"WITH {DIVIDE} SELECT * FROM d WHERE pos <= 6")
+def _divided(v: Views):
+    queries = v.results.select("query_id").distinct().withColumn("text", F.expr("array('ring', 'bolt', 'gear', 'widget')[query_id % 4]")).withColumn("query_keywords", F.array("text"))
+    return text.dividing_keywords(_ranked(v), _labels(v), queries, 40, ("brand#13",)), queries
+
+
+@query("t10_dividing_keywords", f"WITH {DIVIDE} SELECT * FROM d")
+def _(v: Views):
+    return _divided(v)[0]
+
+
+@query("t11_promote_representatives", f"""WITH {DIVIDE}, pr AS (SELECT DISTINCT query_id, doc_id FROM (SELECT r.query_id, d.keyword, min_by(r.doc_id, r.pos) AS doc_id FROM r JOIN k ON k.doc_id = r.doc_id JOIN d ON d.query_id = r.query_id AND d.keyword = k.keyword WHERE d.pos <= 6 GROUP BY ALL) x),
+f AS (SELECT r.query_id, r.doc_id, pos, score, pos <= 3 OR pr.doc_id IS NOT NULL AS front FROM r LEFT JOIN pr ON pr.query_id = r.query_id AND pr.doc_id = r.doc_id)
+SELECT query_id, doc_id, front, row_number() OVER (PARTITION BY query_id ORDER BY front DESC, pos) AS new_pos, round(CASE WHEN front THEN greatest(score, max(score) FILTER (WHERE NOT front) OVER (PARTITION BY query_id)) ELSE score END, 6) AS score FROM f""")
 def _(v: Views):
-    return text.dividing_keywords(_ranked(v), _labels(v))
+    return rounded(text.promote_representatives(_ranked(v), _divided(v)[0], _labels(v)), "score")
 
 
-@query("t11_promote_representatives", f"""WITH {DIVIDE}, p AS (SELECT DISTINCT query_id, doc_id FROM (SELECT r.query_id, d.keyword, min_by(r.doc_id, r.pos) AS doc_id FROM r JOIN k ON k.doc_id = r.doc_id JOIN d ON d.query_id = r.query_id AND d.keyword = k.keyword WHERE d.pos <= 6 GROUP BY ALL) x),
-f AS (SELECT r.query_id, r.doc_id, pos, pos <= 3 OR p.doc_id IS NOT NULL AS front FROM r LEFT JOIN p ON p.query_id = r.query_id AND p.doc_id = r.doc_id) SELECT query_id, doc_id, front, row_number() OVER (PARTITION BY query_id ORDER BY front DESC, pos) AS new_pos FROM f""")
+@query("t12_search_also", f"WITH {DIVIDE} SELECT d.query_id, keyword, concat(q, ' ', keyword) AS search, pos FROM d JOIN q ON q.query_id = d.query_id WHERE (SELECT count(*) FROM d e WHERE e.query_id = d.query_id) >= 3")
 def _(v: Views):
-    r = _ranked(v)
-    return text.promote_representatives(r, text.dividing_keywords(r, _labels(v)), _labels(v))
+    return text.search_also(*_divided(v))
 
 
-@query("t12_search_also", f"WITH {DIVIDE} SELECT query_id, keyword, pos FROM d WHERE pos <= 4 AND keyword NOT LIKE 'Brand#1%'")
+@query("t12_did_you_mean", f"""WITH {DIVIDE}, c AS (SELECT d.*, q, count(*) OVER (PARTITION BY d.query_id) AS n FROM d JOIN q ON q.query_id = d.query_id)
+SELECT query_id, keyword, concat(q, ' ', keyword) AS search, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS place FROM c WHERE n >= 5 AND NOT starts_with(keyword, q || '-') AND NOT ends_with(keyword, '-' || q)) x WHERE place <= 3""")
 def _(v: Views):
-    queries = v.results.select("query_id").distinct().withColumn("text", F.lit("Brand#1"))
-    divided = text.dividing_keywords(_ranked(v), _labels(v))
-    return text.search_also(divided.withColumn("keyword", F.regexp_replace("keyword", "^Brand", "brand")), queries).withColumn("keyword", F.regexp_replace("keyword", "^brand", "Brand"))
+    return text.did_you_mean(*_divided(v))
 
 
 @query("t14_synonym_candidates", """WITH v AS (SELECT CASE p_size % 4 WHEN 0 THEN replace(p_name, ' ', '-') WHEN 1 THEN replace(p_name, ' ', '') WHEN 2 THEN replace(p_name, ' ', '_') ELSE replace(p_name, ' ', '-') || 's' END AS keyword FROM part), n AS (SELECT keyword, count(*) AS n, regexp_replace(regexp_replace(keyword, '[-_ ]', '', 'g'), 's$', '') AS key FROM v GROUP BY keyword),
