@@ -151,10 +151,10 @@ def _(v: Views):
 
 
 @query("t11_promote_representatives", f"""WITH {DIVIDE}, pr AS (SELECT DISTINCT query_id, doc_id FROM (SELECT r.query_id, d.keyword, min_by(r.doc_id, r.pos) AS doc_id FROM r JOIN k ON k.doc_id = r.doc_id JOIN d ON d.query_id = r.query_id AND d.keyword = k.keyword WHERE d.pos <= 6 GROUP BY ALL) x),
-f AS (SELECT r.query_id, r.doc_id, pos, score, pos <= 3 OR pr.doc_id IS NOT NULL AS front FROM r LEFT JOIN pr ON pr.query_id = r.query_id AND pr.doc_id = r.doc_id)
-SELECT query_id, doc_id, front, row_number() OVER (PARTITION BY query_id ORDER BY front DESC, pos) AS new_pos, round(CASE WHEN front THEN greatest(score, max(score) FILTER (WHERE NOT front) OVER (PARTITION BY query_id)) ELSE score END, 6) AS score FROM f""")
+f AS (SELECT r.query_id, r.doc_id, pos, score, (pos <= 3 AND count(*) OVER (PARTITION BY r.query_id) > 3) OR pr.doc_id IS NOT NULL AS front FROM r LEFT JOIN pr ON pr.query_id = r.query_id AND pr.doc_id = r.doc_id)
+SELECT query_id, doc_id, front, row_number() OVER (PARTITION BY query_id ORDER BY front DESC, pos) AS new_pos, round(CASE WHEN front THEN greatest(score, max(score) FILTER (WHERE NOT front) OVER (PARTITION BY query_id)) ELSE score END, 8) AS score FROM f""")
 def _(v: Views):
-    return rounded(text.promote_representatives(_ranked(v), _divided(v)[0], _labels(v)), "score")
+    return rounded(text.promote_representatives(_ranked(v), _divided(v)[0], _labels(v)), "score", places=8)
 
 
 @query("t12_search_also", f"WITH {DIVIDE} SELECT d.query_id, keyword, concat(q, ' ', keyword) AS search, pos FROM d JOIN q ON q.query_id = d.query_id WHERE (SELECT count(*) FROM d e WHERE e.query_id = d.query_id) >= 3")
