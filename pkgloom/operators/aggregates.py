@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .joins import top_n
+from .joins import DIGITS, top_n
 
 
 def latest_timestamp(releases: DataFrame) -> DataFrame:
@@ -143,7 +143,7 @@ def dep_weighted_size(closure: DataFrame, sizes: DataFrame) -> DataFrame:
     rare = 1 - F.col("commonality")
     typical = F.col("size") * base * rare * F.when(F.col("is_macro"), 0.1).otherwise(1.0) * kind
     minimal = F.when(F.col("is_default") & ~F.col("is_macro") & (F.col("kind") == "runtime"), F.col("size") * rare * rare).otherwise(0.0)
-    return c.groupBy("package").agg(F.sum(typical).alias("typical"), F.sum(minimal).alias("minimal"))
+    return c.groupBy("package").agg(F.round(F.sum(typical), DIGITS).alias("typical"), F.round(F.sum(minimal), DIGITS).alias("minimal"))
 
 
 def release_counts(releases: DataFrame, as_of: Column, recent_days: int = 280) -> DataFrame:

@@ -41,14 +41,27 @@ def resolve_email(emails: DataFrame, users: DataFrame) -> DataFrame:
     return e.join(logins, "login", "left").join(exact, "email", "left").join(plain, "plain", "left").select("email", F.coalesce("by_login", "by_email", "by_plain").alias("account"))
 
 
-def nearest_ancestor(paths: DataFrame, repo: str = "repo", path: str = "path", package: str = "package") -> DataFrame:
-    """In a repository, the package at the longest proper path prefix."""
-    depth = F.size(F.split(path, "/"))
-    ups = paths.select(repo, package, path, F.explode(F.sequence(F.lit(1), depth)).alias("cut")).where(F.col("cut") < depth)
+def nearest_ancestor(paths: DataFrame, repos: DataFrame | None = None, repo: str = "repo", path: str = "path", package: str = "package") -> DataFrame:
+    """The package at the longest proper path prefix in a repository, "" being the root; else, with ``repos``, the one at the path of the repository's name, then its owner's.
+
+    ``repos``: repo, repo_name, owner_name. A path holds one package (the smallest of several); the only package of a
+    repository has no parent.
+    """
+    from .clean import unprefix
+
+    one = paths.groupBy(repo, path).agg(F.min(package).alias(package))
+    one = one.join(one.groupBy(repo).agg(F.count("*").alias("_n")), repo)
+    depth = F.when(F.col(path) == "", 0).otherwise(F.size(F.split(path, "/")))
+    ups = one.where(depth > 0).select(repo, package, path, F.explode(F.sequence(F.lit(0), depth - 1)).alias("cut"))
     ups = ups.withColumn("up", F.array_join(F.slice(F.split(path, "/"), 1, F.col("cut")), "/"))
-    parents = paths.select(repo, F.col(path).alias("up"), F.col(package).alias("parent"))
-    found = ups.join(parents, [repo, "up"]).groupBy(repo, package).agg(F.max_by("parent", "cut").alias("parent"))
-    return paths.select(repo, package).join(found, [repo, package], "left")
+    held = one.select(repo, F.col(path).alias("up"), F.col(package).alias("parent"))
+    above = ups.join(held, [repo, "up"]).groupBy(repo, path).agg(F.max_by("parent", "cut").alias("above"))
+    out = one.join(above, [repo, path], "left")
+    if repos is not None:
+        tries = repos.select(repo, F.posexplode(F.array("repo_name", unprefix(F.col("repo_name")), "owner_name", unprefix(F.col("owner_name")))).alias("try", "up"))
+        hits = tries.join(held, [repo, "up"]).groupBy(repo).agg(F.sort_array(F.collect_set(F.struct("try", "up", "parent"))).alias("hits"))  # four at most
+        out = out.join(hits, repo, "left").withColumn("above", F.coalesce("above", F.get(F.filter("hits", lambda h: h["up"] != F.col(path)), 0)["parent"]))
+    return out.select(repo, package, F.when(F.col("_n") > 1, F.col("above")).alias("parent"))
 
 
 def prefix_parent(names: DataFrame, name: str = "name") -> DataFrame:

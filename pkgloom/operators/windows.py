@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .graph import settled
 from .joins import top_n
 
 
@@ -164,12 +165,118 @@ def category_list_size(categories: DataFrame) -> DataFrame:
     return categories.groupBy("slug").agg(F.count("*").alias("n")).withColumn("listed", F.greatest(F.lit(100), F.least(F.lit(3000), F.floor((F.floor(n / 2) + 25) / 50) * 50)))
 
 
-def home_categories(categories: DataFrame, packages: DataFrame, n: int = 8) -> DataFrame:
-    """Each package is shown once, claimed by its least popular category; the best ``n`` of each category."""
-    c = categories.join(packages.select("package", "rank", "downloads"), "package")
-    size = c.groupBy("slug").agg(F.sum("downloads").alias("popularity"))
-    claimed = c.join(size, "slug").withColumn("claim", F.row_number().over(Window.partitionBy("package").orderBy("popularity", "slug"))).where("claim = 1")
-    return top_n(claimed, ["slug"], [F.desc(F.col("rank") * F.col("rank_weight")), F.col("package")], n).select("slug", "package", "pos")
+CANDIDATES, PLACES, LETTERS = 35, 8, 140
+
+
+def _claims(wanted: DataFrame, fits, taken: DataFrame | None = None) -> DataFrame:
+    """Packages go to categories one category after the other, each package once.
+
+    ``wanted``: turn (a category's place in the order), package, pos, ...; ``fits(open)`` is a condition on the rows of a
+    category that no other has taken, in the order of ``pos``. In a round every category moves whose open candidates no
+    earlier open category wants, so the outcome is that of the order and rounds are far fewer than categories.
+    """
+    left = wanted.join(taken.select("package"), "package", "left_anti") if taken is not None else wanted
+    left, done = settled(left), None
+    while not left.isEmpty():
+        first = F.min("turn").over(Window.partitionBy("package"))
+        ready = left.withColumn("first", first).withColumn("free", F.min((F.col("first") == F.col("turn")).cast("int")).over(Window.partitionBy("turn")) == 1)
+        moved = settled(fits(ready.where("free").drop("first", "free")))
+        done = moved if done is None else done.unionByName(moved)
+        left = settled(ready.where("NOT free").drop("first", "free").join(moved.select("package"), "package", "left_anti"))
+    return done if done is not None else fits(left)
+
+
+def category_turns(tree: DataFrame) -> DataFrame:
+    """The order in which categories choose: subtrees first, in their given order, then a level's categories from the least popular.
+
+    ``tree``: slug, parent (null at the top), place, own_popularity. A category is as popular as its most popular descendant.
+    """
+    level = tree.where("parent IS NULL").select("slug", F.array(F.struct("place", "slug")).alias("path"))
+    nodes = settled(level.withColumn("depth", F.lit(0)))
+    front, depth = nodes, 0
+    while not front.isEmpty():
+        depth += 1
+        below = tree.join(front.select(F.col("slug").alias("parent"), "path"), "parent").select("slug", F.concat("path", F.array(F.struct("place", "slug"))).alias("path"), F.lit(depth).alias("depth"))
+        front = settled(below)
+        nodes = nodes.unionByName(front)
+    named = nodes.join(tree, "slug")
+    popular = named.select(F.explode(F.transform("path", lambda p: p["slug"])).alias("slug"), "own_popularity").groupBy("slug").agg(F.max("own_popularity").alias("popularity"))
+    # subtrees sort as (0, place) before the level's own choice (1, popularity)
+    step = lambda kind, by, slug: F.struct(F.lit(kind).alias("kind"), by.cast("double").alias("by"), slug.alias("slug"))
+    above = F.transform(F.slice("path", F.lit(1), F.size("path") - 1), lambda p: step(0, p["place"], p["slug"]))
+    key = F.concat(above, F.array(step(1, F.col("popularity"), F.col("slug"))))
+    turns = named.join(popular, "slug").withColumn("key", key)
+    return turns.select("slug", "parent", "depth", "popularity", F.row_number().over(Window.orderBy("key")).alias("turn"))  # the categories of a site
+
+
+def home_choices(categories: DataFrame, packages: DataFrame, tree: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """E18, first half: in the order of ``category_turns`` each category takes, of its 35 best packages, the first 8 that no other took.
+
+    ``categories``: slug, package, pos (from 1, best first). Returns (slug, package, place, downloads) and the turns.
+    """
+    turns = settled(category_turns(tree))
+    best = categories.where(F.col("pos") <= CANDIDATES).join(turns.select("slug", "turn"), "slug").join(packages.select("package", "downloads"), "package").select("turn", "slug", "package", "pos", "downloads")
+    numbered = F.row_number().over(Window.partitionBy("turn").orderBy("pos", "package"))
+    return settled(_claims(best, lambda d: d.withColumn("place", numbered).where(F.col("place") <= PLACES)).select("slug", "package", "place", "downloads")), turns
+
+
+def home_categories(categories: DataFrame, packages: DataFrame, tree: DataFrame, adjust: dict[str, float] | None = None, pairs: tuple[tuple[str, str], ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """What a home page shows of each category, every package once.
+
+    After ``home_choices`` the categories add, children first and in the order of display, recently updated packages until
+    the names fill 140 letters (a letter between two), at least one. ``packages``: package, name, downloads, updated. A
+    category's display rank is its popularity times the downloads of its choice (or of its first child's, if more), times
+    ``adjust``; the ranks of ``pairs`` are drawn together.
+
+    Returns (slug, package, place, is_recent) and (slug, parent, rank, display).
+    """
+    top, turns = home_choices(categories, packages, tree)
+    own = top.groupBy("slug").agg(F.sum("downloads").alias("own_dl"))
+    ranked = None
+    for depth in range(turns.agg(F.max("depth")).first()[0] or 0, -1, -1):
+        here = turns.where(F.col("depth") == depth).join(own, "slug", "left")
+        if ranked is not None:
+            child = ranked.where(F.col("parent").isNotNull()).groupBy(F.col("parent").alias("slug")).agg(F.max(F.struct("rank", F.col("dl").alias("child_dl")))["child_dl"].alias("child_dl"))
+            here = here.join(child, "slug", "left")
+        else:
+            here = here.withColumn("child_dl", F.lit(None).cast("double"))
+        dl = F.greatest(F.coalesce("own_dl", F.lit(0)), F.coalesce("child_dl", F.lit(0)))
+        factor = F.coalesce(*[F.when(F.col("slug") == s, F.lit(float(x))) for s, x in (adjust or {}).items()], F.lit(1.0))
+        here = here.withColumn("dl", dl.cast("double")).withColumn("rank", F.col("dl") * F.col("popularity") * factor)
+        for a, b in pairs:
+            both = Window.partitionBy("parent")
+            of = lambda s: F.max(F.when(F.col("slug") == s, F.col("rank"))).over(both)
+            drawn = F.when(F.col("slug") == a, (of(a) * 17 + of(b) * 15) / 32).when(F.col("slug") == b, (of(a) * 15 + of(b) * 17) / 32)
+            here = here.withColumn("rank", F.coalesce(drawn, F.col("rank")))
+        here = here.select("slug", "parent", "depth", "dl", "rank")
+        ranked = settled(here if ranked is None else ranked.unionByName(here))
+    shown = ranked.withColumn("display", F.row_number().over(Window.partitionBy("parent").orderBy(F.desc("rank"), "slug")))
+    # children first: deeper chains of (display) sort before the category that ends them
+    paths = _display_paths(shown)
+    recent_turn = paths.select("slug", F.row_number().over(Window.orderBy("key")).alias("turn"))
+    used = top.join(packages.select("package", "name"), "package").groupBy("slug").agg(F.sum(F.length("name") + 1).alias("used"))
+    news = categories.join(packages.select("package", "name", "updated"), "package").join(recent_turn, "slug").join(used, "slug", "left")
+    news = news.withColumn("pos", F.row_number().over(Window.partitionBy("slug").orderBy(F.desc("updated"), "package"))).select("turn", "slug", "package", "pos", (F.length("name") + 1).alias("letters"), F.coalesce("used", F.lit(0)).alias("used"))
+
+    def filling(d: DataFrame) -> DataFrame:
+        w = Window.partitionBy("turn").orderBy("pos")
+        before = F.coalesce(F.sum("letters").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        return d.withColumn("n", F.row_number().over(w)).withColumn("before", F.col("used") + before).where((F.col("n") == 1) | (F.col("before") < LETTERS)).drop("before")
+
+    added = _claims(news, filling, top)
+    row = top.select("slug", "package", "place", F.lit(False).alias("is_recent")).unionByName(added.select("slug", "package", F.col("n").alias("place"), F.lit(True).alias("is_recent")))
+    return row, shown.select("slug", "parent", "rank", "display")
+
+
+def _display_paths(shown: DataFrame) -> DataFrame:
+    """Sort keys that put a category behind all its descendants, siblings in the order of display."""
+    last = F.lit(1 << 30)
+    front = shown.where("parent IS NULL").select("slug", F.array("display").alias("path"))
+    out = front = settled(front)
+    while not front.isEmpty():
+        front = settled(shown.join(front.select(F.col("slug").alias("parent"), "path"), "parent").select("slug", F.concat("path", F.array("display")).alias("path")))
+        out = out.unionByName(front)
+    return out.select("slug", F.concat("path", F.array(last)).alias("key"))
 
 
 def split_good_bad(results: DataFrame, share: float = 0.33) -> DataFrame:

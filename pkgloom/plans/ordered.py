@@ -127,11 +127,46 @@ def _(v: Views):
     return win.category_list_size(v.categories)
 
 
-@query("e18_home_categories", """WITH c AS (SELECT c.*, p.rank, downloads FROM categories c JOIN packages p ON p.package = c.package), s AS (SELECT slug, sum(downloads) AS pop FROM c GROUP BY slug),
-k AS (SELECT c.*, row_number() OVER (PARTITION BY package ORDER BY pop, c.slug) AS claim FROM c JOIN s ON s.slug = c.slug)
-SELECT slug, package, pos FROM (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY rank * rank_weight DESC, package) AS pos FROM k WHERE claim = 1) r WHERE pos <= 8""")
+HOME = {
+    "tree": "SELECT slug, CASE WHEN slug LIKE 'Brand#1%' THEN 'SMALL' WHEN slug LIKE 'Brand#2%' THEN 'Brand#1' END AS parent, row_number() OVER (ORDER BY slug) AS place, n AS own_popularity FROM (SELECT slug, count(*) AS n FROM {categories} GROUP BY slug) c",
+    "ranked": "SELECT c.slug, c.package, row_number() OVER (PARTITION BY c.slug ORDER BY p.rank * c.rank_weight DESC, c.package) AS pos FROM {categories} c JOIN {packages} p ON p.package = c.package",
+    "dated": "SELECT package, name, downloads, next_update AS updated FROM {packages}",
+}
+
+
+def _tables(v: Views):
+    return [v.spark.sql(HOME[k], **{n: getattr(v, n) for n in ("categories", "packages") if f"{{{n}}}" in HOME[k]}) for k in ("ranked", "dated", "tree")]
+
+
+def _choices() -> str:
+    """Turn after turn, for the 31 categories of the test tables."""
+    steps = [f"""WITH RECURSIVE tree AS ({HOME['tree']}), ranked AS ({HOME['ranked']}),
+walk(slug, path) AS (SELECT slug, [{{'kind': 0, 'at': CAST(place AS DOUBLE), 'slug': slug}}] FROM tree WHERE parent IS NULL UNION ALL SELECT t.slug, list_append(path, {{'kind': 0, 'at': CAST(place AS DOUBLE), 'slug': t.slug}}) FROM walk w JOIN tree t ON t.parent = w.slug),
+pop AS (SELECT u.a.slug AS slug, max(own_popularity) AS popularity FROM (SELECT slug, unnest(path) AS a FROM walk) u JOIN tree t ON t.slug = u.slug GROUP BY 1),
+turns AS MATERIALIZED (SELECT w.slug, row_number() OVER (ORDER BY list_append(path[:-2], {{'kind': 1, 'at': CAST(popularity AS DOUBLE), 'slug': w.slug}})) AS turn FROM walk w JOIN pop p ON p.slug = w.slug),
+best AS MATERIALIZED (SELECT turn, r.* FROM ranked r JOIN turns t ON t.slug = r.slug WHERE pos <= 35), c0 AS (SELECT slug, package, 0 AS place FROM best WHERE false)""".replace("{categories}", "categories").replace("{packages}", "packages")]
+    for i in range(1, 32):
+        steps.append(f"c{i} AS MATERIALIZED (SELECT * FROM c{i - 1} UNION ALL SELECT * FROM (SELECT slug, package, row_number() OVER (ORDER BY pos) AS place FROM best WHERE turn = {i} AND package NOT IN (SELECT package FROM c{i - 1})) n WHERE place <= 8)")
+    return ", ".join(steps) + " SELECT * FROM c31"
+
+
+@query("e18_home_choices", _choices())
+def _(v: Views):
+    return win.home_choices(*_tables(v))[0].drop("downloads")
+
+
+def _home(v: Views):
+    return win.home_categories(*_tables(v), {"Brand#3": 1.5, "ECONOMY": 0.25}, (("ECONOMY", "STANDARD"), ("Brand#10", "Brand#11")))
+
+
+@query("e18_home_categories")
+def _(v: Views):
+    return _home(v)[0]
+
+
+@query("e18_category_display")
 def _(v: Views):
-    return win.home_categories(v.categories, v.packages)
+    return rounded(_home(v)[1], "rank", places=3)
 
 
 @query("e19_split_good_bad", """WITH r AS (SELECT *, score >= 33e-2 * max(score) OVER (PARTITION BY query_id) AS good, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS place FROM results), n AS (SELECT *, count(*) FILTER (WHERE good) OVER (PARTITION BY query_id) AS ng FROM r)

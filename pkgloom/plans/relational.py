@@ -102,9 +102,19 @@ def _(v: Views):
     return joins.resolve_email(mails, users)
 
 
-@query("c6_nearest_ancestor", "SELECT a.repo, a.package, (SELECT max_by(b.package, length(b.path)) FROM paths b WHERE b.repo = a.repo AND starts_with(a.path, b.path || '/')) AS parent FROM paths a")
+TREES = """SELECT repo, package, path FROM {paths} UNION ALL SELECT concat('r', r), 1000000 + r, '' FROM (SELECT DISTINCT p_partkey % 40 AS r FROM {part}) x WHERE r % 8 = 0
+    UNION ALL SELECT concat('q', p_partkey % 50), p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'tool' WHEN 1 THEN 'lib/x' ELSE concat('y', p_partkey) END FROM {part} WHERE p_partkey % 50 < 20 AND p_partkey < 150"""
+REPOS = "SELECT repo, CASE WHEN package % 2 = 0 THEN 'rust-tool' ELSE 'other' END AS repo_name, CASE WHEN package % 5 = 0 THEN 'tool-rs' ELSE 'someone' END AS owner_name FROM (SELECT repo, min(package) AS package FROM trees GROUP BY repo) m"
+
+
+@query("c6_nearest_ancestor", f"""WITH trees AS ({TREES.replace('{', '').replace('}', '')}), one AS (SELECT repo, path, min(package) AS package FROM trees GROUP BY repo, path), names AS ({REPOS}), big AS (SELECT repo FROM one GROUP BY repo HAVING count(*) > 1),
+up AS (SELECT a.repo, a.package, max_by(b.package, length(b.path)) AS parent FROM one a JOIN big USING (repo) JOIN one b ON b.repo = a.repo AND b.path <> a.path AND (b.path = '' OR starts_with(a.path, b.path || '/')) GROUP BY ALL),
+by_name AS (SELECT o.repo, o.path, o.package, list_position([repo_name, regexp_replace(repo_name, '^rust[-_]|[-_]rs$', ''), owner_name, regexp_replace(owner_name, '^rust[-_]|[-_]rs$', '')], o.path) AS place FROM one o JOIN big USING (repo) JOIN names n ON n.repo = o.repo),
+named AS (SELECT a.repo, a.package, min_by(b.package, b.place) AS parent FROM one a JOIN by_name b ON b.repo = a.repo AND b.place > 0 AND b.path <> a.path GROUP BY ALL)
+SELECT o.repo, o.package, coalesce(u.parent, n.parent) AS parent FROM one o LEFT JOIN up u ON u.repo = o.repo AND u.package = o.package LEFT JOIN named n ON n.repo = o.repo AND n.package = o.package""")
 def _(v: Views):
-    return joins.nearest_ancestor(v.paths)
+    trees = v.spark.sql(TREES, paths=v.paths, part=v.part)
+    return joins.nearest_ancestor(trees, v.spark.sql(REPOS.replace("trees", "{trees}"), trees=trees))
 
 
 @query("c7_prefix_parent", """WITH names AS (SELECT DISTINCT replace(p_name, ' ', '-') AS name FROM part UNION SELECT DISTINCT split_part(p_name, ' ', 1) FROM part UNION SELECT DISTINCT concat(replace(p_name, ' ', '-'), '_', p_size % 3) FROM part)
@@ -288,8 +298,8 @@ def _(v: Views):
 
 
 @query("d19_dep_weighted_size", """WITH c AS (SELECT DISTINCT depender AS package, package AS dep, kind, optional FROM uses), s AS (SELECT package AS dep, downloads * 1000 AS size, rank / 100 AS commonality, downloads % 700 = 0 AS is_macro FROM packages)
-SELECT package, round(sum(size * CASE WHEN NOT optional THEN 1e0 WHEN kind < 2 THEN 25e-2 ELSE 15e-2 END * (1 - commonality) * CASE WHEN is_macro THEN 1e-1 ELSE 1e0 END * CASE WHEN kind = 0 THEN 1e0 WHEN kind = 1 AND NOT optional AND size > 1000000 THEN 1e0 ELSE 1e-1 END), 0) AS typical,
-round(sum(CASE WHEN NOT optional AND NOT is_macro AND kind = 0 THEN size * (1 - commonality) * (1 - commonality) ELSE 0e0 END), 0) AS minimal FROM c JOIN s USING (dep) GROUP BY package""")
+SELECT package, round(round(sum(size * CASE WHEN NOT optional THEN 1e0 WHEN kind < 2 THEN 25e-2 ELSE 15e-2 END * (1 - commonality) * CASE WHEN is_macro THEN 1e-1 ELSE 1e0 END * CASE WHEN kind = 0 THEN 1e0 WHEN kind = 1 AND NOT optional AND size > 1000000 THEN 1e0 ELSE 1e-1 END), 6), 0) AS typical,
+round(round(sum(CASE WHEN NOT optional AND NOT is_macro AND kind = 0 THEN size * (1 - commonality) * (1 - commonality) ELSE 0e0 END), 6), 0) AS minimal FROM c JOIN s USING (dep) GROUP BY package""")
 def _(v: Views):
     c = v.uses.selectExpr("depender AS package", "package AS dep", "CASE kind WHEN 0 THEN 'runtime' WHEN 1 THEN 'build' ELSE 'dev' END AS kind", "NOT optional AS is_default", "kind < 2 AS direct").distinct()
     s = v.packages.selectExpr("package AS dep", "downloads * 1000 AS size", "rank / 100 AS commonality", "downloads % 700 = 0 AS is_macro")
