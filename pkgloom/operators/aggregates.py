@@ -57,22 +57,27 @@ def replacements(changes: DataFrame, least: float = 20, n: int = 4) -> DataFrame
     return top_n(sums, ["package"], [F.desc("weight"), F.col("replacement")], n)
 
 
-def dependency_changes(history: DataFrame, as_of: Column) -> DataFrame:
-    """Replacement, removal and joint-addition weights from the dependency sets of consecutive commits.
+def dependency_changes(history: DataFrame, commits: int = 1000) -> DataFrame:
+    """Replacement, removal and joint-addition weights from a repository's last ``commits`` dependency sets.
 
-    ``history``: repo, committed, deps array, cut to a repository's last
-    thousand commits by the caller. Only the first addition of a package counts,
-    and only removals that are never undone.
+    ``history``: repo, committed, deps array; equal times are one commit, age 0 is the newest. Of a package's runs of
+    commits only the most recent counts: it is added at the commit before the run (never, if the history begins with it) and
+    removed at the run's last commit (never, if that is the newest). Runs are found per (repository, package), so no row
+    holds more than one commit's packages. Of many added together the first by name are paired, 8 with 5.
     """
-    w = Window.partitionBy("repo").orderBy("committed")
-    h = history.withColumn("older", F.coalesce(F.lag("deps").over(w), F.array().cast("array<string>")))
-    before = F.flatten(F.collect_set("deps").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    after = F.flatten(F.collect_set("deps").over(w.rowsBetween(0, Window.unboundedFollowing)))
-    c = h.select("repo", "committed", F.array_except("deps", before).alias("added"), F.array_except("older", after).alias("removed")).withColumns({"n": F.size("added"), "age": F.datediff(as_of, F.col("committed"))})
-    swap = c.where("size(removed) > 0 AND n > 0").select(F.explode("removed").alias("package"), "added", "n").select("package", F.explode("added").alias("replacement"), (8 / (7 + F.col("n"))).alias("weight"))
-    gone = c.where("size(removed) > 0").select(F.explode("removed").alias("package"), F.lit(None).cast("string").alias("replacement"), F.when(F.col("n") > 0, 8 / (7 + F.col("n"))).otherwise(0.95).alias("weight"))
-    joint_weight = 1 / (F.col("n") * F.col("n")) * 30 / (30 + F.col("age"))
-    joint = c.where("size(removed) = 0 AND n > 1").withColumn("weight", joint_weight).where("weight > 0.002").select(F.explode(F.slice("added", 1, 8)).alias("package"), "added", "weight")
+    ages = history.select("repo", "committed").distinct().withColumn("age", F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("committed"))) - 1).where(F.col("age") < commits)
+    known = ages.groupBy("repo").agg(F.max("age").alias("oldest"))
+    held = history.select("repo", "committed", F.explode("deps").alias("package")).distinct().join(ages, ["repo", "committed"])
+    per = Window.partitionBy("repo", "package").orderBy("age")
+    run = held.withColumn("skipped", F.col("age") - F.row_number().over(per) + 1).withColumn("newest", F.min("age").over(Window.partitionBy("repo", "package"))).where("skipped = newest")
+    runs = run.groupBy("repo", "package").agg(F.min("age").alias("removed_at"), (F.max("age") + 1).alias("added_at")).join(known, "repo")
+    moves = F.array(F.struct(F.lit(True).alias("is_added"), F.col("added_at").alias("age")), F.struct(F.lit(False).alias("is_added"), F.col("removed_at").alias("age")))
+    events = runs.select("repo", "package", "oldest", F.inline(moves)).where(F.when(F.col("is_added"), F.col("age") <= F.col("oldest")).otherwise(F.col("age") > 0))
+    names = lambda which: F.sort_array(F.collect_set(F.when(which, F.col("package"))))
+    c = events.groupBy("repo", "age").agg(names(F.col("is_added")).alias("added"), names(~F.col("is_added")).alias("removed")).withColumn("n", F.size("added"))  # one commit's packages
+    swap = c.select(F.explode("removed").alias("package"), "added", "n").select("package", F.explode("added").alias("replacement"), (8 / (7 + F.col("n"))).alias("weight"))
+    gone = c.select(F.explode("removed").alias("package"), F.lit(None).cast("string").alias("replacement"), F.when(F.col("n") > 0, 8 / (7 + F.col("n"))).otherwise(0.95).alias("weight"))
+    joint = c.where("size(removed) = 0 AND n > 1").withColumn("weight", 1 / (F.col("n") * F.col("n")) * 30 / (30 + F.col("age"))).where("weight > 0.002").select(F.explode(F.slice("added", 1, 8)).alias("package"), "added", "weight")
     joint = joint.select("package", F.explode(F.slice("added", 1, 5)).alias("replacement"), "weight").where("package != replacement")
     return swap.unionByName(gone).unionByName(joint)
 

@@ -101,10 +101,21 @@ def _(v: Views):
     return people.related_merged(_projects(v), p.selectExpr("package", "package + 1 AS other", "4e-1 AS weight"), p.selectExpr("package", "package * 2 AS other", "35e-2 AS weight"))
 
 
-@query("d9_dependency_changes")
-def _(v: Views):
-    h = v.lineitem.groupBy(F.concat(F.lit("r"), F.col("l_suppkey") % 50, F.lit("-"), F.col("l_orderkey") % 7).alias("repo"), F.date_trunc("quarter", F.col("l_shipdate")).alias("committed")).agg(F.collect_set((F.col("l_partkey") % 25).cast("string")).alias("deps"))
-    c = agg.dependency_changes(h, F.lit("2001-12-01").cast("date"))
+@query("d9_dependency_changes", """WITH h AS (SELECT DISTINCT concat('r', l_suppkey % 50, '-', l_orderkey % 7) AS repo, date_trunc('quarter', l_shipdate) AS committed, CAST(l_partkey % 60 AS VARCHAR) AS package FROM lineitem WHERE (l_partkey % 60) * 53 < date_diff('day', DATE '1992-01-01', l_shipdate) + 700 AND (l_partkey % 60 > 30 OR date_diff('day', DATE '1992-01-01', l_shipdate) < 60 * (l_partkey % 60) + 900)),
+g AS (SELECT repo, committed, row_number() OVER (PARTITION BY repo ORDER BY committed DESC) - 1 AS age FROM (SELECT DISTINCT repo, committed FROM h) x), o AS (SELECT repo, max(age) AS oldest FROM g GROUP BY repo),
+p AS (SELECT h.repo, package, age FROM h JOIN g ON g.repo = h.repo AND g.committed = h.committed),
+r AS (SELECT repo, package, min(age) AS newest FROM p GROUP BY ALL),
+e AS (SELECT r.repo, package, newest, (SELECT min(g.age) FROM g WHERE g.repo = r.repo AND g.age > r.newest AND NOT EXISTS (SELECT 1 FROM p WHERE p.repo = g.repo AND p.package = r.package AND p.age = g.age)) AS absent FROM r),
+a AS (SELECT repo, absent AS age, list_sort(list(package)) AS added FROM e WHERE absent IS NOT NULL GROUP BY repo, absent), d AS (SELECT repo, newest AS age, package FROM e WHERE newest > 0),
+w AS (SELECT d.package, unnest(added) AS replacement, 8 / (7 + len(added)) AS weight FROM d JOIN a ON a.repo = d.repo AND a.age = d.age
+UNION ALL SELECT d.package, NULL, CASE WHEN added IS NULL THEN 95e-2 ELSE 8 / (7 + len(added)) END FROM d LEFT JOIN a ON a.repo = d.repo AND a.age = d.age
+UNION ALL SELECT * FROM (SELECT x.package, unnest(added[:5]) AS replacement, weight FROM (SELECT unnest(added[:8]) AS package, added, 1 / (len(added) * len(added)) * 30 / (30 + age) AS weight FROM a WHERE len(added) > 1 AND NOT EXISTS (SELECT 1 FROM d WHERE d.repo = a.repo AND d.age = a.age)) x WHERE weight > 2e-3) y WHERE package <> replacement)
+SELECT package, replacement, round(sum(weight), 6) AS weight FROM w GROUP BY ALL""")
+def _(v: Views):
+    days = "datediff(l_shipdate, DATE '1992-01-01')"
+    some = v.lineitem.where(f"(l_partkey % 60) * 53 < {days} + 700 AND (l_partkey % 60 > 30 OR {days} < 60 * (l_partkey % 60) + 900)")
+    h = some.groupBy(F.concat(F.lit("r"), F.col("l_suppkey") % 50, F.lit("-"), F.col("l_orderkey") % 7).alias("repo"), F.date_trunc("quarter", F.col("l_shipdate")).alias("committed")).agg(F.collect_set((F.col("l_partkey") % 60).cast("string")).alias("deps"))
+    c = agg.dependency_changes(h)
     return rounded(c.groupBy("package", "replacement").agg(F.sum("weight").alias("weight")), "weight")
 
 

@@ -1,6 +1,7 @@
 """Small cases of the column expressions and helpers."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -137,8 +138,30 @@ def test_release_counts_and_names(spark):
 
 def test_dependency_changes(spark):
     h = spark.createDataFrame([("r", dt.datetime(2020, 1, 1), ["a", "b"]), ("r", dt.datetime(2020, 2, 1), ["b", "c"])], "repo string, committed timestamp, deps array<string>")
-    got = {(r.package, r.replacement): round(r.weight, 4) for r in aggregates.dependency_changes(h, F.lit("2020-02-01").cast("date")).collect()}
-    assert got[("a", "c")] == 1.0 and got[("a", None)] == 1.0 and ("a", "b") in got
+    got = {(r.package, r.replacement): round(r.weight, 4) for r in aggregates.dependency_changes(h).collect()}
+    assert got == {("a", "c"): 1.0, ("a", None): 1.0}  # what the history begins with was never added
+
+
+def test_dependency_changes_one_commit_after_another(spark):
+    rng = random.Random(8)
+    histories = {f"r{i}": [sorted(d for d in "abcdefghijklmn" if rng.random() < 0.3 + 0.4 * ((ord(d) + n // 3 + i) % 3 == 0)) for n in range(rng.randrange(1, 9))] for i in range(25)}
+    want = {}
+    for commits in histories.values():
+        state, newest_first = {}, commits[::-1][:6]
+        for age, deps in enumerate(newest_first):
+            added = sorted(d for d, open_ in state.items() if open_ and d not in deps)
+            state.update(dict.fromkeys(added, False))
+            removed = sorted(d for d in deps if d not in state and age)
+            state.update({d: True for d in deps if d not in state})
+            n = len(added)
+            pairs = [(a, b, 8 / (7 + n)) for a in removed for b in added] + [(a, None, 8 / (7 + n) if n else 0.95) for a in removed]
+            if not removed and n > 1:
+                pairs += [(a, b, 30 / n**2 / (30 + age)) for a in added[:8] for b in added[:5] if a != b]
+            for a, b, w in pairs:
+                want[a, b] = want.get((a, b), 0) + w
+    h = spark.createDataFrame([(r, dt.datetime(2020, 1, 1 + n), d) for r, commits in histories.items() for n, d in enumerate(commits)], "repo string, committed timestamp, deps array<string>")
+    got = {(r.package, r.replacement): r.weight for r in aggregates.dependency_changes(h, 6).groupBy("package", "replacement").agg(F.sum("weight").alias("weight")).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want) and len(want) > 50
 
 
 def test_top_result_keywords_and_lists(spark):
