@@ -215,6 +215,56 @@ def synonym_candidates(keywords: DataFrame, least: int = 2) -> DataFrame:
     return best.where((F.col("keyword") != F.col("best")) & (F.col("best_n") >= least)).select(F.col("keyword").alias("find"), F.col("best").alias("replace"), F.col("n").alias("votes"))
 
 
+# What each of the four steps of keyword_splits leaves out of sets, and whose results it leaves out.
+SPLIT_WORDS = (("rust", "api", "client", "macro", "proc-macro", "no-std", "cargo"), ("no-std", "cli", "rust", "client", "wasm"), ("api", "cli", "macro", "macros", "rust"), ("client", "api"))
+SPLIT_RESULTS = (("blockchain", "ethereum", "bitcoin", "cryptocurrency", "solana"), ("blockchain", "cryptocurrency"), (), ())
+SPLIT_ROUNDS, LEAST_LEFT = 5, 50
+
+
+def related_keywords(keywords: DataFrame, ranks: DataFrame, asked: DataFrame, rounds: int = SPLIT_ROUNDS, n: int = 300) -> DataFrame:
+    """Per asked keyword the most common other one of its results, and up to ``rounds`` more, each the most common of the sets that hold none before it.
+
+    ``keywords``: doc_id, keyword; ``ranks``: doc_id, rank; ``asked``: find, without, words, bad (arrays): results are the
+    ``n`` best documents with ``find`` and none of ``without``, 25 at least; those with a ``bad`` keyword and equal sets are
+    left out, ``words`` belong to no set. A round needs 50 sets. Returns find, keyword, pos (0 for the first).
+    """
+    k = keywords.distinct()
+    bags = k.groupBy("doc_id").agg(F.sort_array(F.collect_set("keyword")).alias("all"))  # a document's keywords
+    hits = asked.join(k.withColumnRenamed("keyword", "find"), "find").join(bags, "doc_id").where(~F.arrays_overlap("all", "without")).join(ranks, "doc_id")
+    best = top_n(hits, ["find"], [F.desc("rank"), F.col("doc_id")], n)
+    enough = best.groupBy("find").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_SETS).select("find")
+    sets = settled(best.join(enough, "find").where(~F.arrays_overlap("all", "bad")).select("find", F.array_except("all", "words").alias("keywords")).distinct())
+
+    def common(left: DataFrame, least: int) -> DataFrame:
+        votes = left.select("find", F.explode(F.concat("keywords", F.array(F.lit(None).cast("string")))).alias("keyword")).groupBy("find", "keyword").agg(F.count("*").alias("n"))
+        one = votes.groupBy("find").agg(F.min(F.when(F.col("keyword").isNotNull(), F.struct((-F.col("n")).alias("n"), "keyword")))["keyword"].alias("keyword"), F.max(F.when(F.col("keyword").isNull(), F.col("n"))).alias("left"))
+        return settled(one.where((F.col("left") >= least) & F.col("keyword").isNotNull()).select("find", "keyword"))
+
+    last = common(sets, 0)
+    found, left = last.withColumn("pos", F.lit(0)), sets
+    for i in range(1, rounds + 1):
+        left = left.join(last.withColumnRenamed("keyword", "taken"), "find").where(~F.array_contains("keywords", F.col("taken"))).drop("taken")
+        last = common(left, LEAST_LEFT)
+        found = found.unionByName(last.withColumn("pos", F.lit(i)))
+        if last.isEmpty():
+            break
+    return found
+
+
+def keyword_splits(keywords: DataFrame, ranks: DataFrame, asked: DataFrame) -> DataFrame:
+    """The keywords that split the results of ``find`` into groups: the most related one, then the most common beside it, beside that, and beside both; the last may be missing."""
+    texts = lambda *parts: F.array(*[F.lit(x) if isinstance(x, str) else x for x in parts]).cast("array<string>")
+    now, names = asked.select("find"), []
+    for step, (name, without, words, bad) in enumerate((("related", (), (), ()), ("first", ("related",), (), ("related",)), ("second", ("first",), ("related",), ("first",)), ("third", ("first", "second"), ("related",), ("first", "second")))):
+        known = now.where(F.col(names[-1]).isNotNull()) if names else now
+        column = lambda *c: [F.col(x) for x in c]
+        ask = known.select("find", texts(*column(*without)).alias("without"), texts(F.col("find"), *column(*words), *SPLIT_WORDS[step]).alias("words"), texts(*column(*bad), *SPLIT_RESULTS[step]).alias("bad"))
+        best = related_keywords(keywords, ranks, ask, rounds=0).select("find", F.col("keyword").alias(name))
+        now = settled(now.join(best, "find", "left"))
+        names.append(name)
+    return now.where("second IS NOT NULL")
+
+
 def keyword_page(keywords: DataFrame, packages: DataFrame, n: int = 250) -> DataFrame:
     """Per keyword its packages by base score."""
     return top_n(keywords.select("keyword", "package").distinct().join(packages.select("package", "rank"), "package"), ["keyword"], [F.desc("rank"), F.col("package")], n).select("keyword", "package", "pos")

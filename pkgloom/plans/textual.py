@@ -175,6 +175,54 @@ def _(v: Views):
     return text.synonym_candidates(k)
 
 
+BAGS = """k AS MATERIALIZED (SELECT DISTINCT doc_id, keyword FROM (SELECT p_partkey AS doc_id, unnest([lower(p_type), split_part(p_name, ' ', 1), split_part(p_name, ' ', 2), lower(p_brand), concat(split_part(p_name, ' ', 2), '-', p_size % 7)]) AS keyword FROM part) x),
+bag AS MATERIALIZED (SELECT doc_id, list_sort(list(keyword)) AS ks, max(p_retailprice) AS rank FROM k JOIN part ON p_partkey = doc_id GROUP BY doc_id)"""
+
+
+def _stage(name: str, asked: str, without: str, words: str, bad: str) -> str:
+    """Distinct sets of one step and their most common keyword."""
+    return f"""{name}h AS (SELECT a.find, ks, row_number() OVER (PARTITION BY a.find ORDER BY rank DESC, k.doc_id) AS place, {words} AS words, {bad} AS bad FROM {asked} a JOIN k ON k.keyword = a.find JOIN bag ON bag.doc_id = k.doc_id WHERE NOT list_has_any(ks, {without})),
+{name}s AS MATERIALIZED (SELECT DISTINCT find, list_filter(ks, lambda x: NOT list_contains(words, x)) AS ks FROM {name}h h WHERE place <= 300 AND NOT list_has_any(ks, bad) AND (SELECT count(*) FROM {name}h o WHERE o.find = h.find AND o.place <= 300) >= 25),
+{name} AS MATERIALIZED (SELECT find, min_by(keyword, (-n, keyword)) AS keyword FROM (SELECT find, keyword, count(*) AS n FROM (SELECT find, unnest(ks) AS keyword FROM {name}s) u GROUP BY ALL) v GROUP BY find)"""
+
+
+def _peeled(rounds: int = 5) -> str:
+    steps = [BAGS, "f AS (SELECT DISTINCT keyword AS find FROM k)", _stage("p0", "f", "CAST([] AS VARCHAR[])", "[a.find, 'small']", "['brand#13']")]
+    for i in range(1, rounds + 1):
+        steps.append(f"""p{i}s AS MATERIALIZED (SELECT s.* FROM p{i - 1}s s JOIN p{i - 1} p ON p.find = s.find WHERE NOT list_contains(ks, p.keyword)),
+p{i} AS MATERIALIZED (SELECT find, min_by(keyword, (-n, keyword)) AS keyword FROM (SELECT find, keyword, count(*) AS n FROM (SELECT find, unnest(ks) AS keyword FROM p{i}s) u GROUP BY ALL) v WHERE (SELECT count(*) FROM p{i}s s WHERE s.find = v.find) >= 50 GROUP BY find)""")
+    return "WITH " + ", ".join(steps) + " " + " UNION ALL ".join(f"SELECT find, keyword, {i} AS pos FROM p{i}" for i in range(rounds + 1))
+
+
+@query("t14_related_keywords", _peeled())
+def _(v: Views):
+    k = _labels(v)
+    asked = k.select(F.col("keyword").alias("find")).distinct().select("find", F.expr("CAST(array() AS array<string>)").alias("without"), F.array("find", F.lit("small")).alias("words"), F.array(F.lit("brand#13")).alias("bad"))
+    return text.related_keywords(k, v.part.selectExpr("p_partkey AS doc_id", "p_retailprice AS rank"), asked)
+
+
+def _list(*parts: str) -> str:
+    return f"CAST([{', '.join(parts)}] AS VARCHAR[])"
+
+
+def _splits() -> str:
+    fixed = lambda words: [f"'{w}'" for w in words]
+    w, b = text.SPLIT_WORDS, text.SPLIT_RESULTS
+    return "WITH " + ", ".join([
+        BAGS, "f AS (SELECT DISTINCT keyword AS find FROM k)",
+        _stage("a1", "f", _list(), _list("a.find", *fixed(w[0])), _list(*fixed(b[0]))), "f1 AS (SELECT find, keyword AS related FROM a1)",
+        _stage("a2", "f1", _list("related"), _list("a.find", *fixed(w[1])), _list("related", *fixed(b[1]))), "f2 AS (SELECT f1.*, keyword AS first FROM f1 JOIN a2 ON a2.find = f1.find)",
+        _stage("a3", "f2", _list("first"), _list("a.find", "related", *fixed(w[2])), _list("first", *fixed(b[2]))), "f3 AS (SELECT f2.*, keyword AS second FROM f2 JOIN a3 ON a3.find = f2.find)",
+        _stage("a4", "f3", _list("first", "second"), _list("a.find", "related", *fixed(w[3])), _list("first", "second", *fixed(b[3]))),
+    ]) + " SELECT f3.*, keyword AS third FROM f3 LEFT JOIN a4 ON a4.find = f3.find"
+
+
+@query("t14_keyword_splits", _splits())
+def _(v: Views):
+    k = _labels(v)
+    return text.keyword_splits(k, v.part.selectExpr("p_partkey AS doc_id", "p_retailprice AS rank"), k.select(F.col("keyword").alias("find")).distinct())
+
+
 @query("t15_keyword_page", "SELECT keyword, package, pos FROM (SELECT k.keyword, k.package, row_number() OVER (PARTITION BY k.keyword ORDER BY p.rank DESC, k.package) AS pos FROM (SELECT DISTINCT keyword, package FROM keywords) k JOIN packages p ON p.package = k.package) r WHERE pos <= 250")
 def _(v: Views):
     return text.keyword_page(v.keywords, v.packages)
