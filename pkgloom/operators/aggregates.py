@@ -34,7 +34,7 @@ def keyword_count(keywords: DataFrame, populated: int = 3, real: int = 5) -> Dat
 
 def popular_keywords(keywords: DataFrame, n: int) -> DataFrame:
     """Visible keywords by the sum of weights times uses."""
-    sums = keywords.where("visible").groupBy("keyword").agg((F.sum("weight") * F.count("*")).alias("score"))
+    sums = keywords.where("visible").groupBy("keyword").agg(F.round(F.sum("weight") * F.count("*"), DIGITS).alias("score"))
     return sums.orderBy(F.desc("score"), "keyword").limit(n)
 
 
@@ -53,7 +53,7 @@ def keywords_in_category(categories: DataFrame, keywords: DataFrame, obvious: Da
 
 def replacements(changes: DataFrame, least: float = 20, n: int = 4) -> DataFrame:
     """Per package what replaced it most."""
-    sums = changes.where("replacement IS NOT NULL").groupBy("package", "replacement").agg(F.sum("weight").alias("weight")).where(F.col("weight") > least)
+    sums = changes.where("replacement IS NOT NULL").groupBy("package", "replacement").agg(F.round(F.sum("weight"), DIGITS).alias("weight")).where(F.col("weight") > least)
     return top_n(sums, ["package"], [F.desc("weight"), F.col("replacement")], n)
 
 
@@ -178,7 +178,7 @@ def contribution_by_login(weeks: DataFrame) -> DataFrame:
 def author_keywords(owners: DataFrame, packages: DataFrame, keywords: DataFrame, n: int = 7) -> DataFrame:
     """Per owner keywords by the sum of (rank + .5) / (place + 2)."""
     rows = owners.select("owner", "package").distinct().join(packages.select("package", "rank"), "package").join(keywords.select("package", "keyword", "place"), "package")
-    sums = rows.groupBy("owner", "keyword").agg(F.sum((F.col("rank") + 0.5) / (F.col("place") + 2)).alias("score"))
+    sums = rows.groupBy("owner", "keyword").agg(F.round(F.sum((F.col("rank") + 0.5) / (F.col("place") + 2)), DIGITS).alias("score"))
     return top_n(sums, ["owner"], [F.desc("score"), F.col("keyword")], n)
 
 
@@ -186,13 +186,13 @@ def collaborators(owners: DataFrame, packages: DataFrame, n: int = 100) -> DataF
     """Per owner the others it shares packages with, by the sum of rank + .5."""
     o = owners.select("owner", "package").distinct().join(packages.select("package", "rank"), "package")
     pairs = o.join(o.select(F.col("owner").alias("other"), "package"), "package").where("owner != other")
-    return top_n(pairs.groupBy("owner", "other").agg(F.sum(F.col("rank") + 0.5).alias("score")), ["owner"], [F.desc("score"), F.col("other")], n)
+    return top_n(pairs.groupBy("owner", "other").agg(F.round(F.sum(F.col("rank") + 0.5), DIGITS).alias("score")), ["owner"], [F.desc("score"), F.col("other")], n)
 
 
 def top_result_keywords(results: DataFrame, most_share: float = 0.5, letters: int = 75) -> DataFrame:
     """Per query keywords of more than one result that are not obvious, while their texts fit ``letters``."""
     total = results.groupBy("query_id").agg(F.count_distinct("doc_id").alias("n_results"))
-    sums = results.groupBy("query_id", "keyword").agg(F.count("*").alias("n"), F.sum("score").alias("score")).join(total, "query_id").where((F.col("n") > 1) & (F.col("n") < F.col("n_results") * most_share))
+    sums = results.groupBy("query_id", "keyword").agg(F.count("*").alias("n"), F.round(F.sum("score"), DIGITS).alias("score")).join(total, "query_id").where((F.col("n") > 1) & (F.col("n") < F.col("n_results") * most_share))
     used = F.sum(F.length("keyword") + 1).over(Window.partitionBy("query_id").orderBy(F.desc("score"), "keyword"))
     return sums.withColumn("letters", used).where(F.col("letters") <= letters).select("query_id", "keyword", "score")
 

@@ -16,10 +16,10 @@ DEPRECATED_BEGIN = (
 DEPRECATED_WITHIN = ("this crate is abandoned", "this crate has been abandoned", "do not use", "this is a dummy package", "no longer maintained", "this tool is abandoned", "deprecated in favor", "project is deprecated")
 DEPRECATED_END = ("please dont use", "deprecated")
 # Phrases in descriptions of reserved names; the last list holds after openers are taken off.
-RESERVED_BEGIN = ("contact me if you want this name", "unused crate name", "unused. contact me", "crate name not in use")
+RESERVED_BEGIN = ("contact me if you want this name", "unused crate name", "unused. contact me", "crate name not in use", "if you want to use this crate name, please contact ")
 RESERVED_WITHIN = (
     "this crate is a placeholder", "reserving this crate", "only to reserve the name", "this crate has been retired", " if you want this crate name", "want to use this name", "this is a dummy package",
-    "if you would like to use this crate name, please contact", "if you want to use this crate name, please contact ", "if you want this name, please contact me", "this crate is reserved ",
+    "if you would like to use this crate name, please contact", "if you want this name, please contact me", "this crate is reserved ",
 )
 RESERVED_END = (" placeholder", " reserved for use")
 RESERVED_REST = (

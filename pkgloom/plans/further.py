@@ -136,8 +136,8 @@ def _(v: Views):
     return agg.name_capitalisation(s)
 
 
-@query("d25_top_result_keywords", """WITH r AS (SELECT query_id, doc_id, keyword, score FROM results JOIN (SELECT DISTINCT package, keyword FROM keywords) k ON k.package = doc_id), t AS (SELECT query_id, count(DISTINCT doc_id) AS nr FROM r GROUP BY query_id), s AS (SELECT r.query_id, keyword, round(sum(score), 2) AS score FROM r JOIN t ON t.query_id = r.query_id GROUP BY r.query_id, keyword, nr HAVING count(*) > 1 AND count(*) < nr * 5e-1)
-SELECT query_id, keyword, score FROM (SELECT *, sum(length(keyword) + 1) OVER (PARTITION BY query_id ORDER BY score DESC, keyword) AS letters FROM s) x WHERE letters <= 75""")
+@query("d25_top_result_keywords", """WITH r AS (SELECT query_id, doc_id, keyword, score FROM results JOIN (SELECT DISTINCT package, keyword FROM keywords) k ON k.package = doc_id), t AS (SELECT query_id, count(DISTINCT doc_id) AS nr FROM r GROUP BY query_id), s AS (SELECT r.query_id, keyword, round(sum(score), 6) AS score FROM r JOIN t ON t.query_id = r.query_id GROUP BY r.query_id, keyword, nr HAVING count(*) > 1 AND count(*) < nr * 5e-1)
+SELECT query_id, keyword, round(score, 2) AS score FROM (SELECT *, sum(length(keyword) + 1) OVER (PARTITION BY query_id ORDER BY score DESC, keyword) AS letters FROM s) x WHERE letters <= 75""")
 def _(v: Views):
     r = v.results.join(v.keywords.selectExpr("package AS doc_id", "keyword").distinct(), "doc_id")
     return rounded(agg.top_result_keywords(r), "score", places=2)

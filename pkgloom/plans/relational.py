@@ -231,7 +231,7 @@ def _(v: Views):
     return agg.keyword_count(v.keywords)
 
 
-@query("d5_popular_keywords", "SELECT keyword, round(sum(weight) * count(*), 6) AS score FROM keywords WHERE visible GROUP BY keyword ORDER BY sum(weight) * count(*) DESC, keyword LIMIT 40")
+@query("d5_popular_keywords", "SELECT keyword, round(sum(weight) * count(*), 6) AS score FROM keywords WHERE visible GROUP BY keyword ORDER BY round(sum(weight) * count(*), 6) DESC, keyword LIMIT 40")
 def _(v: Views):
     return rounded(agg.popular_keywords(v.keywords, 40), "score")
 
