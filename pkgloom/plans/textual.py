@@ -60,6 +60,16 @@ def _(v: Views):
     return text.normalise_sentences(v.documents).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("sentence")).alias("chars"), F.min("sentence").alias("first"), F.max("place").alias("last_place"))
 
 
+@query("t6_folded_sentences", r"""WITH RECURSIVE l AS (SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n FROM documents),
+f AS (SELECT doc_id, n, list_transform(regexp_split_to_array(regexp_replace(line, '^\s+|\s+$', '', 'g'), '[!?.;:] '), lambda x: translate(regexp_replace(x, '\b' || source || '\b|\bthe\b|[0-9]+', '_', 'gi'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS parts FROM l WHERE regexp_replace(line, '^\s+|\s+$', '', 'g') <> ''),
+walk(doc_id, n, parts, i, form, out) AS (SELECT doc_id, n, parts, 0, '', CAST(NULL AS VARCHAR) FROM f UNION ALL
+SELECT doc_id, n, parts, i + 1, CASE WHEN strlen(j) > 16 THEN '' ELSE j END, CASE WHEN strlen(j) > 16 OR (i + 1 = len(parts) AND j <> '') THEN j END FROM (SELECT *, form || CASE WHEN form <> '' THEN ' ' ELSE '' END || parts[i + 1] AS j FROM walk WHERE i < len(parts)) w)
+SELECT doc_id, count(*) AS n, CAST(sum(strlen(out)) AS BIGINT) AS n_bytes, min(out) AS first, max(out) AS last FROM walk WHERE out IS NOT NULL GROUP BY doc_id""")
+def _(v: Views):
+    d = v.documents.select("doc_id", "text", F.array("source", F.lit("the")).alias("own"))
+    return text.folded_sentences(d, variables="own").groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.octet_length("sentence")).alias("n_bytes"), F.min("sentence").alias("first"), F.max("sentence").alias("last"))
+
+
 @query("t7_unique_text", f"""WITH {SENTENCES}, r AS (SELECT f.*, row_number() OVER (PARTITION BY sentence ORDER BY n_chars DESC, f.doc_id) AS i, first_value(f.doc_id) OVER (PARTITION BY sentence ORDER BY n_chars DESC, f.doc_id) AS owner FROM fine f JOIN documents d ON d.doc_id = f.doc_id)
 SELECT doc_id, count(*) AS n_sentences, sum(length(sentence)) AS n_chars, min(sentence) AS first_sentence FROM r WHERE doc_id = owner GROUP BY doc_id""")
 def _(v: Views):
