@@ -136,25 +136,30 @@ def diversify(items: DataFrame, owners: DataFrame, keywords: DataFrame) -> DataF
     """Scores lowered for items whose owners and keywords came often before, in score order of each list.
 
     ``items``: list_id, item, score; ``owners`` and ``keywords``: item, place and
-    name, of which the first five count. ``seen`` before an item is a constant
-    times the rows before it, so running counts replace the loop.
+    name, of which the first five count. A list's most common keywords, a tenth
+    of its distinct ones within 2 to 10, count only together with an item's first
+    owner. ``seen`` before an item is a constant times the rows before it, so
+    running counts replace the loop.
     """
     ranked = items.withColumn("place_in_list", F.row_number().over(Window.partitionBy("list_id").orderBy(F.desc("score"), "item")))
     spot = ranked.select("list_id", "item", "place_in_list")
     o = spot.join(owners.where("place < 5").select("item", F.col("owner").alias("name"), F.col("place").alias("rank_of")), "item")
-    k = spot.join(keywords.where("place < 5").select("item", F.col("keyword").alias("name")), "item")
-    size = ranked.groupBy("list_id").agg(F.count("*").alias("n"))
-    common = k.groupBy("list_id", "name").agg(F.count("*").alias("uses")).join(size, "list_id").withColumn("most", F.row_number().over(Window.partitionBy("list_id").orderBy(F.desc("uses"), "name"))).where(F.col("most") <= F.greatest(F.lit(2), F.least(F.lit(10), F.floor(F.col("n") / 10)))).select("list_id", "name")
-    k = k.join(common, ["list_id", "name"], "left_anti")
-    pair = o.where("rank_of = 0").select("list_id", "item", "place_in_list", F.col("name").alias("owner")).join(k.select("list_id", "item", "name"), ["list_id", "item"]).withColumn("name", F.concat_ws("|", "owner", "name"))
+    all_k = spot.join(keywords.select("item", F.col("keyword").alias("name"), F.col("place").alias("rank_of")), "item")
+    by_list = Window.partitionBy("list_id")
+    uses = all_k.groupBy("list_id", "name").agg(F.count("*").alias("uses")).withColumns({"most": F.row_number().over(by_list.orderBy(F.desc("uses"), "name")), "n": F.count("*").over(by_list)})
+    common = uses.where(F.col("most") <= F.greatest(F.lit(2), F.least(F.lit(10), F.floor(F.col("n") / 10)))).select("list_id", "name")
+    first_five = all_k.where("rank_of < 5")
+    k = first_five.join(common, ["list_id", "name"], "left_anti")
+    primary = owners.where("place = 0").select("item", "owner")
+    pair = first_five.join(primary, "item", "left").withColumn("name", F.concat_ws("|", F.coalesce("owner", F.lit("")), "name"))
 
     def penalty(df: DataFrame, grows: int, free: int, weight: int) -> DataFrame:
         before = F.count("*").over(Window.partitionBy("list_id", "name").orderBy("place_in_list").rowsBetween(Window.unboundedPreceding, -1))
-        return df.select("list_id", "item", (F.greatest(before * grows - free, F.lit(0)) * weight).alias("penalty"), F.lit(weight).alias("weight"))
+        return df.select("list_id", "item", F.greatest(before * grows - free, F.lit(0)).alias("penalty"), F.lit(weight).alias("weight"))
 
     all_of = penalty(o, 2, 3, 2).unionByName(penalty(k, 1, 4, 1)).unionByName(penalty(pair, 3, 0, 2))
     dupe = all_of.groupBy("list_id", "item").agg((F.sum("penalty") / (F.sum("weight") + 10)).alias("dupe"))
-    new = F.col("score") / 2 + (F.col("score") + 7) / (7 + F.coalesce("dupe", F.lit(0.0)))
+    new = F.round(F.col("score") / 2 + (F.col("score") + 7) / (7 + F.coalesce("dupe", F.lit(0.0))), 6)
     out = ranked.join(dupe, ["list_id", "item"], "left").withColumn("new_score", new)
     return out.withColumn("pos", F.row_number().over(Window.partitionBy("list_id").orderBy(F.desc("new_score"), "item"))).select("list_id", "item", "new_score", "pos")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import windows as win
 from .registry import query, rounded
@@ -102,24 +103,31 @@ def _(v: Views):
     return rounded(win.most_popular(v.months, v.packages, v.packages.where("package % 9 = 0").select("package"), 40), "value", places=4)
 
 
-@query("e16_diversify", """WITH items AS (SELECT kind AS list_id, package AS item, rank AS score FROM packages), ranked AS (SELECT *, row_number() OVER (PARTITION BY list_id ORDER BY score DESC, item) AS pl FROM items),
-o AS (SELECT list_id, item, pl, CAST(owner AS VARCHAR) AS name, place FROM ranked JOIN (SELECT package AS item, owner, row_number() OVER (PARTITION BY package ORDER BY invited_at, owner) - 1 AS place FROM owners) x USING (item) WHERE place < 5),
-k0 AS (SELECT list_id, item, pl, keyword AS name FROM ranked JOIN (SELECT package AS item, keyword FROM keywords WHERE place < 5) x USING (item)), size AS (SELECT list_id, count(*) AS n FROM ranked GROUP BY list_id),
-common AS (SELECT list_id, name FROM (SELECT list_id, name, n, row_number() OVER (PARTITION BY list_id ORDER BY count(*) DESC, name) AS most FROM k0 JOIN size USING (list_id) GROUP BY list_id, name, n) c WHERE most <= greatest(2, least(10, floor(n / 10)))),
-k AS (SELECT * FROM k0 WHERE NOT EXISTS (SELECT 1 FROM common c WHERE c.list_id = k0.list_id AND c.name = k0.name)),
-pair AS (SELECT o.list_id, o.item, o.pl, o.name || '|' || k.name AS name FROM o JOIN k ON k.list_id = o.list_id AND k.item = o.item WHERE o.place = 0),
-pen AS (SELECT list_id, item, 2 * greatest(2 * (count(*) OVER (PARTITION BY list_id, name ORDER BY pl ROWS UNBOUNDED PRECEDING) - 1) - 3, 0) AS penalty, 2 AS weight FROM o
+ITEM_OWNERS = "SELECT package AS item, CAST(owner AS VARCHAR) AS owner, row_number() OVER (PARTITION BY package ORDER BY invited_at, owner) - 1 AS place FROM owners"
+# from ``items`` (list_id, item, score) to ``new`` (list_id, item, new_score)
+DIVERSE = f"""ranked AS (SELECT *, row_number() OVER (PARTITION BY list_id ORDER BY score DESC, item) AS pl FROM items), io AS ({ITEM_OWNERS}),
+o AS (SELECT list_id, item, pl, owner AS name FROM ranked JOIN io USING (item) WHERE place < 5),
+k0 AS (SELECT list_id, ranked.item, pl, keyword AS name, place FROM ranked JOIN keywords ON package = item),
+uses_of AS (SELECT list_id, name, row_number() OVER (PARTITION BY list_id ORDER BY count(*) DESC, name) AS most, count(*) OVER (PARTITION BY list_id) AS n FROM k0 GROUP BY list_id, name),
+k AS (SELECT k0.* FROM k0 JOIN uses_of USING (list_id, name) WHERE place < 5 AND most > greatest(2, least(10, floor(n / 10)))),
+pair AS (SELECT list_id, k0.item, pl, coalesce(owner, '') || '|' || name AS name FROM k0 LEFT JOIN (SELECT item, owner FROM io WHERE place = 0) f USING (item) WHERE place < 5),
+pen AS (SELECT list_id, item, greatest(2 * (count(*) OVER (PARTITION BY list_id, name ORDER BY pl ROWS UNBOUNDED PRECEDING) - 1) - 3, 0) AS penalty, 2 AS weight FROM o
  UNION ALL SELECT list_id, item, greatest((count(*) OVER (PARTITION BY list_id, name ORDER BY pl ROWS UNBOUNDED PRECEDING) - 1) - 4, 0), 1 FROM k
- UNION ALL SELECT list_id, item, 2 * 3 * (count(*) OVER (PARTITION BY list_id, name ORDER BY pl ROWS UNBOUNDED PRECEDING) - 1), 2 FROM pair),
+ UNION ALL SELECT list_id, item, 3 * (count(*) OVER (PARTITION BY list_id, name ORDER BY pl ROWS UNBOUNDED PRECEDING) - 1), 2 FROM pair),
 dupe AS (SELECT list_id, item, sum(penalty) / (sum(weight) + 10) AS dupe FROM pen GROUP BY ALL),
-new AS (SELECT r.list_id, r.item, score / 2 + (score + 7) / (7 + coalesce(dupe, 0)) AS new_score FROM ranked r LEFT JOIN dupe d ON d.list_id = r.list_id AND d.item = r.item)
-SELECT list_id, item, round(new_score, 6) AS new_score FROM new""")
+new AS (SELECT r.list_id, r.item, round(score / 2 + (score + 7) / (7 + coalesce(dupe, 0)), 6) AS new_score FROM ranked r LEFT JOIN dupe d ON d.list_id = r.list_id AND d.item = r.item)"""
+
+
+def item_owners(v: Views):
+    """Owners of packages as items, in the order of their invitations."""
+    place = F.row_number().over(Window.partitionBy("package").orderBy("invited_at", "owner")) - 1
+    return v.owners.select(F.col("package").alias("item"), F.col("owner").cast("string").alias("owner"), place.alias("place"))
+
+
+@query("e16_diversify", f"WITH items AS (SELECT kind AS list_id, package AS item, rank AS score FROM packages), {DIVERSE} SELECT * FROM new")
 def _(v: Views):
     items = v.packages.selectExpr("kind AS list_id", "package AS item", "rank AS score")
-    from pyspark.sql.window import Window
-
-    owners = v.owners.withColumn("place", F.row_number().over(Window.partitionBy("package").orderBy("invited_at", "owner")) - 1).selectExpr("package AS item", "CAST(owner AS STRING) AS owner", "place")
-    return rounded(win.diversify(items, owners, v.keywords.selectExpr("package AS item", "keyword", "place")), "new_score").drop("pos")
+    return win.diversify(items, item_owners(v), v.keywords.selectExpr("package AS item", "keyword", "place")).drop("pos")
 
 
 @query("e17_category_list_size", "SELECT slug, count(*) AS n, greatest(100, least(3000, CAST(floor((floor(count(*) / 2) + 25) / 50) * 50 AS BIGINT))) AS listed FROM categories GROUP BY slug")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from ..operators import compat, graph
 from ..operators import timeseries as ts
+from .ordered import DIVERSE, item_owners
 from .registry import query, rounded
 from .views import Views
 
@@ -70,13 +73,23 @@ def _(v: Views):
     return rounded(ts.year_over_year(v.daily), "this_year", "last_year")
 
 
-@query("w9_trending", f"""WITH d AS (SELECT package, n, date_diff('day', day, DATE '{AS_OF}') AS age FROM (SELECT package, day, sum(n) AS n FROM daily GROUP BY ALL) x WHERE n > 0),
-a AS (SELECT package, coalesce(sum(n) FILTER (WHERE age >= 0 AND age < 10), 0e0) / greatest(count(*) FILTER (WHERE age >= 0 AND age < 10), 7) AS tw, coalesce(sum(n) FILTER (WHERE age >= 10 AND age < 20), 0e0) / greatest(count(*) FILTER (WHERE age >= 10 AND age < 20), 8) AS pw, coalesce(sum(n) FILTER (WHERE age >= 0 AND age < 42), 0e0) / greatest(count(*) FILTER (WHERE age >= 0 AND age < 42), 7) AS t4, coalesce(sum(n) FILTER (WHERE age >= 42 AND age < 84), 0e0) / greatest(count(*) FILTER (WHERE age >= 42 AND age < 84), 14) AS p4 FROM d GROUP BY package),
-r AS (SELECT package, round((800 + tw) / (900 + pw) * least(sqrt(pw), 10), 6) AS ratio1, round(8e-1 * (700 + t4) / (600 + p4) * least(sqrt(p4), 9), 6) AS ratio4 FROM a),
-f AS (SELECT package, 'short' AS list, ratio1 AS ratio FROM r ORDER BY ratio1 DESC, package LIMIT 20), g AS (SELECT package, 'long' AS list, ratio4 AS ratio FROM r WHERE package NOT IN (SELECT package FROM f) ORDER BY ratio4 DESC, package LIMIT 20)
-SELECT * FROM f UNION ALL SELECT * FROM g""")
+# a year's downloads, denser and higher towards its last day
+LATELY = f"""SELECT package, CAST(DATE '{AS_OF}' - CAST(1 + floor(place * place / 90) AS INT) AS DATE) AS day, sum(n * CAST(floor(8000 / (10 + floor(place * place / 90))) AS INT)) AS n FROM (SELECT l_partkey AS package, l_orderkey % 90 AS place, CAST(l_quantity AS INT) AS n FROM {{lineitem}}) l GROUP BY ALL"""
+LISTS = f"""lately AS ({LATELY.replace('{lineitem}', 'lineitem')}), ld AS (SELECT package, n, date_diff('day', day, DATE '{AS_OF}') AS age FROM lately WHERE day >= DATE '2001-01-01' AND n > 0),
+la AS (SELECT package, coalesce(sum(n) FILTER (WHERE age <= 10), 0) / greatest(count(*) FILTER (WHERE age <= 10), 8) AS tw, coalesce(sum(n) FILTER (WHERE age > 10 AND age <= 20), 0) / greatest(count(*) FILTER (WHERE age > 10 AND age <= 20), 7) AS pw, coalesce(sum(n) FILTER (WHERE age <= 21), 0) / greatest(count(*) FILTER (WHERE age <= 21), 14) AS t4,
+ greatest(coalesce(sum(n) FILTER (WHERE age > 21 AND age <= 42), 0) / greatest(count(*) FILTER (WHERE age > 21 AND age <= 42), 7), coalesce(sum(n) FILTER (WHERE age > 42), 0) / greatest(count(*) FILTER (WHERE age > 42), 7)) AS p4 FROM ld GROUP BY package),
+lr AS (SELECT package, round((800 + tw) / (900 + pw) * least(sqrt(pw), 10), 6) AS ratio1, round(8e-1 * (700 + t4) / (600 + p4) * least(sqrt(p4), 9), 6) AS ratio4 FROM la WHERE pw >= 70 AND pw < tw AND p4 < least(t4, pw, tw)),
+lf AS (SELECT package, 'short' AS list, ratio1 AS ratio FROM lr ORDER BY ratio1 DESC, package LIMIT 20), ll AS (SELECT package, 'long' AS list, ratio4 AS ratio FROM lr WHERE package NOT IN (SELECT package FROM lf) ORDER BY ratio4 DESC, package LIMIT 20),
+lists AS (SELECT * FROM lf UNION ALL SELECT * FROM ll)"""
+
+
+def _lists(v: Views):
+    return ts.trending_lists(v.spark.sql(LATELY, lineitem=v.lineitem), dt.date.fromisoformat(AS_OF), 20)
+
+
+@query("w9_trending", f"WITH {LISTS} SELECT * FROM lists")
 def _(v: Views):
-    return ts.trending(v.daily, day(), 20)
+    return _lists(v)
 
 
 @query("w10_active_dependers")
@@ -85,17 +98,34 @@ def _(v: Views):
     return ts.active_dependers(v.releases, uses, v.owners.select("package", "owner"), day())
 
 
-@query("w11_traction", """WITH m AS (SELECT package AS dep, CAST(date_trunc('month', day) AS DATE) AS month, sum(n) AS users, sum(version % 2) AS removed, sum(version % 3) AS expired, count(*) AS crates FROM daily GROUP BY ALL),
+TRACTION = """WITH m AS (SELECT package AS dep, CAST(date_trunc('month', day) AS DATE) AS month, sum(n) AS users, sum(version % 2) AS removed, sum(version % 3) AS expired, count(*) AS crates FROM daily GROUP BY ALL),
 a AS (SELECT *, row_number() OVER w - 1 AS age, (users + lag(users) OVER w) / 2 AS pair FROM m WINDOW w AS (PARTITION BY dep ORDER BY month DESC)),
 g AS (SELECT dep, coalesce(max(pair), 0) AS peak, coalesce(max(users) FILTER (WHERE age = 0), 0) AS cur, coalesce(max(crates) FILTER (WHERE age = 0), 0) AS crates, coalesce(max(removed) FILTER (WHERE age = 0), 0) AS removed, coalesce(max(expired) FILTER (WHERE age = 0), 0) AS expired,
 coalesce(max(users) FILTER (WHERE age = 0), 0) + coalesce(max(users) FILTER (WHERE age = 1), 0) AS now, coalesce(max(users) FILTER (WHERE age = 4), 0) + coalesce(max(users) FILTER (WHERE age = 5), 0) AS past, coalesce(max(users) FILTER (WHERE age = 3), 0) AS quarter FROM a GROUP BY dep)
 SELECT dep, round(pow(least(1e0, (cur + 11) / (peak + 10)), 1 + 7e-1 * (1 - (expired + 10) / (removed + expired + 10)) + CASE WHEN quarter - cur > 2 THEN 5e-1 ELSE 0e0 END), 6) AS former_glory, round(CASE WHEN cur > 0 THEN (now + 15) / (past + 15) ELSE least((now + 15) / (past + 15), 1) END, 6) AS growth,
-round(least(1e0, greatest(pow((greatest(cur - 2, 0) + 5) * 16e-1 / (greatest(crates - 5, 0) + 5), 11e-1), cur / 400)), 6) AS external_usage, cur AS active_users FROM g""")
+round(least(1e0, greatest(pow((greatest(cur - 2, 0) + 5) * 16e-1 / (greatest(crates - 5, 0) + 5), 11e-1), cur / 400)), 6) AS external_usage, cur AS active_users FROM g"""
+
+
+@query("w11_traction", TRACTION)
 def _(v: Views):
+    return _traction(v)
+
+
+def _traction(v: Views):
     m = v.daily.groupBy(F.col("package").alias("dep"), F.to_date(F.trunc("day", "month")).alias("month")).agg(F.sum("n").alias("users"), F.sum(F.col("version") % 2).alias("removed"), F.sum(F.col("version") % 3).alias("expired"), F.count("*").alias("crates"))
     return rounded(ts.traction(m), "former_glory", "growth", "external_usage")
 
 
+@query("w9_trending_ranked", f"""WITH {LISTS}, traction AS ({TRACTION}), users_of AS (SELECT package, count(DISTINCT depender) AS n_users FROM uses GROUP BY package),
+scored AS (SELECT l.package, ratio * CASE WHEN n_users > 10 THEN 11e-1 ELSE 1e0 END * CASE WHEN n_users > 100 THEN 11e-1 ELSE 1e0 END * (3e-1 + coalesce(p.rank, 0)) * coalesce((100 + least(growth, 2e0) * least(1 + active_users, 50)) * least(growth, 11e-1) * external_usage * former_glory, 1e0) AS score
+ FROM lists l LEFT JOIN users_of u ON u.package = l.package LEFT JOIN packages p ON p.package = l.package LEFT JOIN traction t ON t.dep = l.package WHERE l.package NOT IN (SELECT dst FROM edges WHERE src IN (SELECT package FROM lists))),
+items AS (SELECT 0 AS list_id, package AS item, round(score, 6) AS score FROM scored WHERE round(score, 6) > 0), {DIVERSE}
+SELECT item AS package, new_score AS score, pos FROM (SELECT *, row_number() OVER (ORDER BY new_score DESC, item) AS pos FROM new) x WHERE pos <= 20""")
+def _(v: Views):
+    direct = v.uses.groupBy("package").agg(F.count_distinct("depender").alias("users"))
+    return ts.trending(_lists(v), v.edges.selectExpr("dst AS package", "src AS user"), direct, v.packages.select("package", "rank"), _traction(v), item_owners(v), v.keywords.selectExpr("package AS item", "keyword", "place"), 20)
+
+
 EDGES = "SELECT src, dst, (src + dst) % 3 AS kind, src % 4 = 0 AS optional FROM edges"
 
 
