@@ -122,14 +122,78 @@ def clean_people(people: DataFrame) -> DataFrame:
     return people.select("id", F.regexp_replace("email", r"\+[^@]*@", "@").alias("mail_key"), F.coalesce(used("profile_name"), used("login"), F.nullif(local, F.lit(""))).alias("display_name"))
 
 
+# Extensions and comment marks of languages that count as code (line, open, close, nested)
+LANGUAGES = {
+    "Rust": (["rs"], "//", "/*", "*/", True), "C": (["c"], "//", "/*", "*/", False), "C++": (["cc", "cpp", "cxx"], "//", "/*", "*/", False), "C#": (["cs"], "//", "/*", "*/", False),
+    "Go": (["go"], "//", "/*", "*/", False), "Java": (["java"], "//", "/*", "*/", False), "JavaScript": (["js", "mjs", "cjs"], "//", "/*", "*/", False), "TypeScript": (["ts"], "//", "/*", "*/", False),
+    "Kotlin": (["kt", "kts"], "//", "/*", "*/", True), "Scala": (["scala"], "//", "/*", "*/", True), "Swift": (["swift"], "//", "/*", "*/", True), "Zig": (["zig"], "//", "", "", False),
+    "Python": (["py", "pyw"], "#", '"""', '"""', False), "Bash": (["bash"], "#", "", "", False), "Shell": (["sh"], "#", "", "", False), "Ruby": (["rb"], "#", "=begin", "=end", False), "Perl": (["pl", "pm"], "#", "=pod", "=cut", False),
+    "R": (["r"], "#", "", "", False), "Lua": (["lua"], "--", "--[[", "]]", False), "Haskell": (["hs"], "--", "{-", "-}", True), "SQL": (["sql"], "--", "/*", "*/", False), "Assembly": (["asm", "s"], ";", "", "", False),
+}
+
+
 def code_stats(files: DataFrame) -> DataFrame:
-    """Code and comment lines per package and language by extension; tests, examples, docs and dot-files are left out."""
+    """Code and comment lines per package and language by extension.
+
+    ``files``: package, path, content. The top folders tests, benches, docs and
+    examples, files that begin with a dot, and languages that are no code are left
+    out. A file's lines are folded in order with the depth of open block comments
+    as state: a line is a comment if it begins in or with a comment and holds
+    nothing after its last end; string literals open no comments. Empty lines
+    count as neither; null content has no lines.
+    """
+    marks = F.create_map(*[x for name, (ends, *m) in LANGUAGES.items() for e in ends for x in (F.lit(e), F.struct(F.lit(name).alias("language"), *[F.lit(v).alias(n) for n, v in zip(("line", "open", "close", "nested"), m, strict=True)]))])
     ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
-    language = F.when(ext == "rs", "Rust").when(ext.isin("c", "h"), "C").when(ext.isin("cc", "cpp", "hpp"), "C++").when(ext == "py", "Python").when(ext == "js", "JavaScript").when(ext == "sh", "Bash")
-    skipped = F.col("path").rlike(r"(?i)(^|/)(tests?|bench(es)?|examples?|docs?)/|(^|/)\.")
-    lines = files.withColumn("language", language).where(F.col("language").isNotNull() & ~skipped).select("package", "language", F.explode(F.split("content", "\n")).alias("line")).withColumn("line", F.trim("line")).where("line != ''")
-    comment = F.when(F.col("language").isin("Python", "Bash"), F.col("line").startswith("#")).otherwise(F.col("line").rlike(r"^(//|/\*|\*)"))
-    return lines.groupBy("package", "language").agg(F.count_if(~comment).alias("code"), F.count_if(comment).alias("comments"))
+    skipped = F.col("path").rlike(r"^(tests|benches|examples|docs)/|(^|/)\.[^/]*$")
+    found = files.where(~skipped).select("package", F.try_element_at(marks, ext).alias("mark"), "content").where("mark IS NOT NULL")
+    line, start, end = F.col("mark.line"), F.col("mark.open"), F.col("mark.close")
+    blocks, same = start != "", start == end
+    at = lambda mark, t: F.call_function("locate", mark, t)
+    count = lambda t, mark: F.when(blocks, F.floor((F.length(t) - F.length(F.replace(t, mark, F.lit("")))) / F.length(mark))).otherwise(0).cast("int")
+    after = lambda t: F.when(blocks, F.trim(F.call_function("substring_index", t, end, F.lit(-1)))).otherwise(t)
+
+    def bare(t: Column) -> Column:  # outside of a comment: without string literals, then without a line comment that no block comment opened before
+        plain = F.when(same, t).otherwise(F.regexp_replace(t, r'"(?:\\.|[^"\\])*"', '""'))
+        cut = F.call_function("substring_index", plain, line, F.lit(1))
+        return F.when(blocks & (at(start, plain) > 0) & ((at(line, plain) == 0) | (at(start, plain) <= at(line, plain))), plain).otherwise(cut)
+
+    facts = lambda t: F.struct(count(t, start).alias("opens"), count(t, end).alias("closes"), after(t).alias("tail"), (blocks & (at(start, after(t)) > 0)).alias("reopens"))
+    lines = F.filter(F.transform(F.split("content", "\n"), lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", ""))), lambda t: t != "")
+    lines = F.transform(lines, lambda t: F.struct(t.alias("t"), bare(t).alias("bare")))
+    lines = F.transform(lines, lambda x: F.struct(
+        (x["t"].startswith(line) & ~(blocks & x["t"].startswith(start) & (F.length(start) > F.length(line)))).alias("remark"), (blocks & x["t"].startswith(start)).alias("begins"), facts(x["bare"]).alias("outside"), facts(x["t"]).alias("inside"),
+    ))
+
+    def step(state: Column, x: Column) -> Column:
+        within = state["depth"] > 0
+        quiet = ~within & x["remark"]
+        f = lambda name: F.when(within, x["inside"][name]).otherwise(x["outside"][name])
+        single = F.when(f("closes") > 0, f("reopens").cast("int")).otherwise((within | (f("opens") > 0)).cast("int"))
+        depth = F.when(quiet | ~blocks, state["depth"]).when(same, F.pmod(state["depth"] + f("opens"), F.lit(2))).when(F.col("mark.nested"), F.greatest(F.lit(0), state["depth"] + f("opens") - f("closes"))).otherwise(single)
+        ended = (f("tail") == "") | f("tail").startswith(line)
+        comment = quiet | ((within | x["begins"]) & ((f("closes") == 0) | ended | (depth > 0)))
+        return F.struct(depth.cast("int").alias("depth"), (state["code"] + (~comment).cast("int")).alias("code"), (state["comments"] + comment.cast("int")).alias("comments"))
+
+    zero = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("code"), F.lit(0).alias("comments"))
+    per_file = found.select("package", F.col("mark.language").alias("language"), F.aggregate(F.coalesce(lines, F.array().cast("array<struct<remark:boolean, begins:boolean, outside:struct<opens:int, closes:int, tail:string, reopens:boolean>, inside:struct<opens:int, closes:int, tail:string, reopens:boolean>>>")), zero, step).alias("n"))
+    return per_file.groupBy("package", "language").agg(F.sum("n.code").alias("code"), F.sum("n.comments").alias("comments")).where("code + comments > 0")
+
+
+def source_flags(files: DataFrame) -> DataFrame:
+    """Of a package's Rust sources: unstable features in the first 1000 lines of a root file, the old try in any, and the root's documentation.
+
+    Documentation are the lines begun by ``//!`` and blocks begun by ``/*!`` that end on a later line.
+    """
+    rust = files.where(F.col("path").endswith(".rs"))
+    lines = F.split(F.coalesce("content", F.lit("")), "\n")
+    cut = lambda t, mark: F.substring_index(t, mark, 1)
+    root = F.col("path").rlike(r"^src/(lib|main)\.rs$|^lib\.rs$")
+    unstable = root & F.exists(F.slice(lines, 1, 1000), lambda t: cut(cut(t, '"'), "//").contains("#![feature("))
+    old = F.exists(F.slice(lines, 1, 10_000), lambda t: cut(t, "//").contains("try!("))
+    blocks = F.regexp_extract_all(F.coalesce("content", F.lit("")), F.lit(r"(?m)^[ \t]*(//!.*|/\*!(?!.*\*/)[\s\S]*?(?:\*/|\z))"), F.lit(1))
+    docs = F.array_join(F.transform(blocks, lambda d: F.regexp_replace(F.regexp_replace(d, r"(?m)^[ \t]+", ""), r"\A(?://!|/\*!(?:[ \t]*\n)?)|\*/\z", "")), "\n")
+    per = rust.select("package", "path", unstable.alias("unstable"), old.alias("old"), F.when(F.col("path").rlike(r"^(src/)?lib\.rs$"), docs).alias("docs"))
+    return per.groupBy("package").agg(F.bool_or("unstable").alias("is_unstable"), F.bool_or("old").alias("has_old_try"), F.coalesce(F.max_by("docs", F.when(F.col("docs").isNotNull(), F.col("path"))), F.lit("")).alias("docs"))
 
 
 def clean_keyword(c: Column, weight: Column, stop_words: list[str]) -> Column:

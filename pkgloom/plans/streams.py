@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from ..streaming import feed
@@ -33,8 +35,7 @@ def _(v: Views):
 @query("x7_windowed_counts", "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL")
 def _(v: Views):
     out = feed.folder(v.spark, "windows")
-    keep = lambda batch, number: batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(out)
-    feed.consume(feed.windowed_counts(feed.events(v.spark, v.sf_dir)), keep, feed.folder(v.spark, "subscriber"), "update")
+    feed.consume(feed.windowed_counts(feed.events(v.spark, v.sf_dir)), feed.keeper(out), feed.folder(v.spark, "subscriber"), "update")
     return feed.latest(v.spark, out, ["start", "event_type"]).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
@@ -46,6 +47,16 @@ def _(v: Views):
     return v.spark.read.parquet(out).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+SESSIONS = "WITH e AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM e)"
+
+
+@query("x8_closed_sessions", f"{SESSIONS} SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, session HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 1 HOUR")
+def _(v: Views):
+    out = feed.folder(v.spark, "closed")
+    feed.consume(feed.sessions(feed.events(v.spark, v.sf_dir)), feed.keeper(out), feed.folder(v.spark, "subscriber"))
+    return v.spark.read.parquet(out).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
 @query("x9_without_duplicates", "SELECT count(DISTINCT (user_id, event_type)) AS n FROM events")
 def _(v: Views):
     out = feed.folder(v.spark, "unique")
@@ -56,6 +67,12 @@ def _(v: Views):
 @query("x10_last_state", "SELECT user_id, max(event_id) AS event_id, max_by(event_type, event_id) AS event_type, count(*) AS n FROM events GROUP BY user_id")
 def _(v: Views):
     out = feed.folder(v.spark, "state")
-    keep = lambda batch, number: batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(out)
-    feed.consume(feed.last_state(feed.events(v.spark, v.sf_dir)), keep, feed.folder(v.spark, "subscriber"), "update")
+    feed.consume(feed.last_state(feed.events(v.spark, v.sf_dir)), feed.keeper(out), feed.folder(v.spark, "subscriber"), "update")
     return feed.latest(v.spark, out, ["user_id"])
+
+
+@query("x10_quiet_users", "SELECT user_id, epoch_ms(max(ts)) AS last_ms, count(*) AS n FROM events GROUP BY user_id HAVING epoch_ms(max(ts)) + 24 * 3600 * 1000 <= (SELECT epoch_ms(max(ts)) FROM events) - 3600 * 1000")
+def _(v: Views):
+    out = feed.folder(v.spark, "quiet")
+    feed.consume(feed.quiet_users(feed.events(v.spark, v.sf_dir), dt.timedelta(days=1)), feed.keeper(out), feed.folder(v.spark, "subscriber"))
+    return v.spark.read.parquet(out).select("user_id", "last_ms", "n")

@@ -248,15 +248,59 @@ def _(v: Views):
     return categorise.candidate_categories(v.keywords, v.categories.where("relevance < 1"))
 
 
-@query("k2_adjust_categories")
+K2_RULES = [
+    {"kind": "any", "keywords": ["small", "economy"], "slug": "cheap", "mul": 1.1, "add": 0.2},
+    {"kind": "all", "keywords": ["promo", "brand#1-red"], "slug": "PROMO", "mul": 1.3, "add": 0.0},
+    {"kind": "not_any", "keywords": ["standard"], "slug": "STANDARD", "mul": 0.5, "add": 0.0},
+    {"kind": "any", "keywords": ["brand#1-red", "brand#1-blue", "brand#2-red", "brand#2-blue"], "slug": "Brand#1", "mul": 1.2, "add": 0.15},
+    {"kind": "not_any", "keywords": ["economy"], "slug": "cheap", "mul": 1.0, "add": 0.25},
+]
+K2_TREE = [("cheap", None), ("ECONOMY", "cheap"), ("SMALL", "cheap"), ("Brand#1", "SMALL"), ("PROMO", None)]
+K2_EXCLUDE, K2_RIVALS, K2_LATE, K2_LIKED = [("ECONOMY", "cheap"), ("cheap", "LARGE")], [("cheap", "Brand#1"), ("SMALL", "cheap")], [("Brand#1", "STANDARD"), ("SMALL", "Brand#1")], {"cheap": 0.9, "SMALL": 1.1}
+
+
+def _adjusted() -> str:
+    """The steps of K2 as one query, a CTE a step."""
+    names = lambda words: ", ".join(f"'{w}'" for w in words)
+    steps = [f"bag AS ({BAG})", "s0 AS (SELECT package, slug, CAST(max(relevance) AS DOUBLE) AS weight FROM categories GROUP BY package, slug)", "everyone AS (SELECT package FROM bag UNION SELECT package FROM s0)"]
+    at = 0
+
+    def add(sql: str) -> None:
+        nonlocal at
+        at += 1
+        steps.append(f"s{at} AS ({sql})")
+
+    for i, r in enumerate(K2_RULES):
+        hits = f"SELECT package, count(DISTINCT keyword) AS hits FROM bag WHERE keyword IN ({names(r['keywords'])}) GROUP BY package"
+        found = {"any": f"SELECT package, sqrt(hits) AS r FROM ({hits}) h", "all": f"SELECT package, 1e0 AS r FROM ({hits}) h WHERE hits = {len(r['keywords'])}", "not_any": f"SELECT package, 1e0 AS r FROM everyone WHERE package NOT IN (SELECT package FROM ({hits}) h)"}[r["kind"]]
+        steps.append(f"m{i} AS (SELECT package, '{r['slug']}' AS slug, r FROM ({found}) f)")
+        add(f"SELECT coalesce(s.package, m.package) AS package, coalesce(s.slug, m.slug) AS slug, CASE WHEN m.r IS NULL THEN s.weight ELSE coalesce(s.weight, 0e0) * pow({r['mul']}e0, m.r) + {r['add']}e0 * m.r + 1e-6 END AS weight FROM s{at} s FULL JOIN m{i} m ON m.package = s.package AND m.slug = s.slug")
+
+    def of(slug: str, alias: str) -> str:
+        return f"LEFT JOIN (SELECT package, weight AS w FROM s{at} WHERE slug = '{slug}') {alias} ON {alias}.package = s.package"
+
+    def exclude(pairs: list) -> None:
+        for a, b in pairs:
+            add(f"SELECT s.package, slug, weight - CASE WHEN slug = '{b}' AND a.w IS NOT NULL THEN least(a.w, weight / 3) ELSE 0e0 END AS weight FROM s{at} s {of(a, 'a')}")
+
+    exclude(K2_EXCLUDE)
+    own = at
+    for slug, parent in K2_TREE:
+        add(f"SELECT s.package, slug, weight + CASE WHEN slug = '{slug}' THEN least(weight, coalesce(a.w / 2, 0e0)) ELSE 0e0 END AS weight FROM s{at} s {of(parent or '', 'a')}")
+    steps.append("branch AS (SELECT * FROM (VALUES " + ", ".join(f"('{s}', '{p}')" for s, p in K2_TREE if p) + ") t(child, parent))")
+    add(f"SELECT s.package, s.slug, s.weight + coalesce(greatest(b.w, 0e0), 0e0) / 6 AS weight FROM s{at} s LEFT JOIN (SELECT package, parent, max(weight) AS w FROM s{own} JOIN branch ON child = slug GROUP BY package, parent) b ON b.package = s.package AND b.parent = s.slug")
+    for a, b in K2_RIVALS:
+        add(f"SELECT s.package, slug, CASE WHEN a.w * 66e-2 > b.w THEN CASE slug WHEN '{a}' THEN weight + b.w / 2 WHEN '{b}' THEN weight * 5e-1 ELSE weight END WHEN b.w * 66e-2 > a.w THEN CASE slug WHEN '{b}' THEN weight + a.w / 2 WHEN '{a}' THEN weight * 5e-1 ELSE weight END ELSE weight END AS weight FROM s{at} s {of(a, 'a')} {of(b, 'b')}")
+    exclude(K2_LATE)
+    liked = " ".join(f"WHEN '{s}' THEN {w}e0" for s, w in K2_LIKED.items())
+    steps.append(f"final AS (SELECT package, slug, round(weight * CASE slug {liked} ELSE 1e0 END, 6) AS weight FROM s{at})")
+    return "WITH " + ", ".join(steps) + " SELECT package, slug, weight FROM (SELECT *, round(greatest(1e-1, 951e-3 * max(weight) OVER (PARTITION BY package)), 6) AS least_weight, row_number() OVER (PARTITION BY package ORDER BY weight DESC, slug) AS pos FROM final) f WHERE weight >= least_weight AND pos <= 3"
+
+
+@query("k2_adjust_categories", _adjusted())
 def _(v: Views):
-    rules = [
-        {"kind": "any", "keywords": ["small", "economy"], "slug": "cheap", "mul": 1.1, "add": 0.2},
-        {"kind": "all", "keywords": ["promo", "brand#1-red"], "slug": "PROMO", "mul": 1.3, "add": 0.0},
-        {"kind": "not_any", "keywords": ["standard"], "slug": "STANDARD", "mul": 0.5, "add": 0.0},
-    ]
     cands = v.categories.groupBy("package", "slug").agg(F.max("relevance").alias("weight"))
-    return categorise.adjust_categories(cands, _bag(v), rules)
+    return categorise.adjust_categories(cands, _bag(v), K2_RULES, K2_EXCLUDE, tree=K2_TREE, rivals=K2_RIVALS, late_exclusions=K2_LATE, preference=K2_LIKED, most=3)
 
 
 @query("k3_category_weights", """SELECT package, slug, round(relevance / max(relevance) OVER (PARTITION BY package) * CASE WHEN relevance >= 5e-1 THEN 1e0 ELSE 4e-1 END * CASE WHEN slug LIKE 'Brand%' THEN 8e-1 ELSE 1e0 END, 6) AS rank_weight FROM categories""")

@@ -1,12 +1,14 @@
 """The event log as Structured Streaming.
 
 A subscriber is a checkpoint folder: it resumes after the last batch it
-finished, and a batch that failed comes again (at least once). Event times come
-without zone and are read as UTC timestamps.
+finished, and a batch that failed comes again (at least once). Results are kept
+in one folder per batch number that a repeated batch overwrites, so it counts
+once. Event times come without zone and are read as UTC timestamps.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,7 +16,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 KINDS = ("view", "click", "purchase", "signup", "error")
 
@@ -42,19 +44,24 @@ def append_events(stream: DataFrame, path: str, checkpoint: str) -> None:
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def dispatch(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Every kind of event to its own folder."""
+def keeper(path: str, by: list[str] = ()) -> Callable[[DataFrame, int], None]:
+    """A handler that keeps every batch in the folder of its number, however often it comes. Readers find the number as column ``batch``."""
 
     def handle(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("append").partitionBy("event_type").parquet(path)
+        batch.write.mode("overwrite").partitionBy(*by).parquet(f"{path}/batch={number}")
+
+    return handle
+
 
-    consume(stream, handle, checkpoint)
+def dispatch(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Every kind of event to its own folder of its batch."""
+    consume(stream, keeper(path, ["event_type"]), checkpoint)
 
 
 def incremental_totals(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Per batch the changed users with their new sums; the latest row of a user counts."""
     changed = stream.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("value"))
-    consume(changed, lambda batch, number: batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(path), checkpoint, "update")
+    consume(changed, keeper(path), checkpoint, "update")
 
 
 def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
@@ -70,7 +77,7 @@ def windowed_counts(stream: DataFrame, width: str = "1 day", late: str = "1 hour
 
 
 def sessions(stream: DataFrame, gap: str = "6 hours", late: str = "1 hour") -> DataFrame:
-    """A user's sessions, ended by a gap."""
+    """A user's sessions, ended by a gap. In append mode a session comes once, when the watermark has passed its end, and its state goes."""
     return stream.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), "n")
 
 
@@ -79,18 +86,79 @@ def without_duplicates(stream: DataFrame, keys: list[str], late: str = "1 hour")
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def last_state(stream: DataFrame) -> DataFrame:
-    """Per user the newest event and the number seen, kept as state."""
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class LastEvent(StatefulProcessor):
+    """Keeps a user's newest event and number of events; what nothing touches for ``keep`` of processing time is dropped."""
 
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        newest, kind, n = state.get if state.exists else (-1, "", 0)
-        for frame in frames:
+    def __init__(self, keep: dt.timedelta):
+        self.keep = keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("last", "event_id long, event_type string, n long", int(self.keep.total_seconds() * 1000))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        newest, kind, n = self.state.get() if self.state.exists() else (-1, "", 0)
+        for frame in rows:
             n += len(frame)
             top = frame.loc[frame["event_id"].idxmax()]
             if top["event_id"] > newest:
                 newest, kind = int(top["event_id"]), str(top["event_type"])
-        state.update((newest, kind, n))
+        self.state.update((newest, kind, n))
         yield pd.DataFrame([(key[0], newest, kind, n)], columns=["user_id", "event_id", "event_type", "n"])
 
+    def close(self) -> None:
+        pass
+
+
+class Quiet(StatefulProcessor):
+    """Keeps a user's last time and number of events with a timer ``idle`` later that gives them out and forgets the user."""
+
+    def __init__(self, idle: dt.timedelta):
+        self.idle = int(idle.total_seconds() * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("seen", "last long, n long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        old, n = self.state.get() if self.state.exists() else (None, 0)
+        last = old
+        for frame in rows:
+            n += len(frame)
+            newest = int(frame["ts_ms"].max())
+            last = newest if last is None else max(last, newest)
+        if old != last:
+            if old is not None:
+                self.handle.deleteTimer(old + self.idle)
+            self.handle.registerTimer(last + self.idle)
+        self.state.update((last, n))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        last, n = self.state.get()
+        self.state.clear()
+        yield pd.DataFrame([(key[0], last, n)], columns=["user_id", "last_ms", "n"])
+
+    def close(self) -> None:
+        pass
+
+
+def _keyed(stream: DataFrame) -> None:
+    """Keyed state with timers needs the store that keeps its state on disk."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+
+
+def last_state(stream: DataFrame, keep: dt.timedelta = dt.timedelta(days=30)) -> DataFrame:
+    """Per user the newest event and the number seen, kept as state that goes after ``keep`` without an event."""
+    _keyed(stream)
     rows = stream.select("user_id", "event_id", "event_type")
-    return rows.groupBy("user_id").applyInPandasWithState(update, "user_id long, event_id long, event_type string, n long", "event_id long, event_type string, n long", "update", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("user_id").transformWithStateInPandas(LastEvent(keep), "user_id long, event_id long, event_type string, n long", "update", "processingTime")
+
+
+def quiet_users(stream: DataFrame, idle: dt.timedelta, late: str = "1 hour") -> DataFrame:
+    """Users without an event for ``idle`` of event time, each once per quiet spell, by timers: user_id, last_ms, n of the spell."""
+    _keyed(stream)
+    rows = stream.withWatermark("ts", late).select("user_id", "ts", F.unix_millis("ts").alias("ts_ms"))
+    return rows.groupBy("user_id").transformWithStateInPandas(Quiet(idle), "user_id long, last_ms long, n long", "append", "eventTime")

@@ -192,3 +192,51 @@ def test_despam_raises_nothing(spark):
 def test_hot_key_top_n(spark):
     df = spark.range(1000).selectExpr("id", "1 AS k")
     assert [r.id for r in j.top_n(df, ["k"], [F.desc("id")], 3).orderBy("pos").collect()] == [999, 998, 997]
+
+
+def scan(text, nested=True):
+    """(code, comments) of a C-like text, character by character."""
+    depth = code = comments = 0
+    for raw in text.split("\n"):
+        t, i, in_string, has_code, has_comment = raw.strip(), 0, False, False, depth > 0
+        if not t:
+            continue
+        while i < len(t):
+            two = t[i : i + 2]
+            if depth:
+                step = 2 if two in ("/*", "*/") else 1
+                depth += (1 if nested else 0) if two == "/*" else -1 if two == "*/" else 0
+                i += step
+            elif in_string:
+                i += 2 if t[i] == "\\" else 1
+                in_string = t[i - 1] != '"' or t[i - 2 : i - 1] == "\\"
+            elif two == "//":
+                has_comment = True
+                break
+            elif two == "/*":
+                depth, has_comment, i = 1, True, i + 2
+            else:
+                has_code |= not t[i].isspace()
+                in_string = t[i] == '"'
+                i += 1
+        code += has_code
+        comments += not has_code and has_comment
+    return code, comments
+
+
+def test_code_lines_with_block_comments(spark):
+    rng = random.Random(4)
+    lines = ["/*", "*/", "/* a */", "// b", "x = 1;", 'y("/* no */");', 's("// no");', "", "  ", "z(); /* open", "text */", "done */ w();", "/* a */ v();", "u(); // /*", 't("\\" /* ");', "* star"]
+    texts = ["\n".join(rng.choices(lines, k=30)) for _ in range(80)]
+    files = spark.createDataFrame([(i, "src/a.rs", t) for i, t in enumerate(texts)] + [(99, "a.py", None)], "package int, path string, content string")
+    got = {r.package: (r.code, r.comments) for r in clean.code_stats(files).collect()}
+    assert got == {i: scan(t) for i, t in enumerate(texts) if sum(scan(t))}
+
+
+def test_docstrings_and_flags(spark):
+    files = spark.createDataFrame([
+        ("p", "a.py", '"""doc\n\nmore"""\nx = 1  # y\n# z\ndef f():\n    """one"""\n'), ("p", "src/lib.rs", '/*!\n  hello\nworld */ rest\n//! more\n/*! not */\n#![feature(x)]\nlet s = "#![feature(y)]";\n'),
+        ("q", "lib.rs", "// #![feature(x)]\nfn a() { try!(b) }\n"), ("q", "src/deep/tests/x.rs", "// try!(x)\nf();"), ("q", "x.h", "int a;"), ("r", "src/main.rs", None),
+    ], "package string, path string, content string")
+    assert {(x.package, x.language, x.code, x.comments) for x in clean.code_stats(files).collect()} == {("p", "Python", 2, 4), ("p", "Rust", 3, 4), ("q", "Rust", 2, 2)}
+    assert {tuple(x) for x in clean.source_flags(files).collect()} == {("p", True, False, "hello\nworld \n more"), ("q", False, True, ""), ("r", False, False, "")}
