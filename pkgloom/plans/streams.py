@@ -71,8 +71,10 @@ def _(v: Views):
     return feed.latest(v.spark, out, ["user_id"])
 
 
-@query("x10_quiet_users", "SELECT user_id, epoch_ms(max(ts)) AS last_ms, count(*) AS n FROM events GROUP BY user_id HAVING epoch_ms(max(ts)) + 24 * 3600 * 1000 <= (SELECT epoch_ms(max(ts)) FROM events) - 3600 * 1000")
+@query("x10_activity_spells", """WITH e AS (SELECT user_id, epoch_us(ts) // 1000 AS ms FROM events), g AS (SELECT *, CASE WHEN ms - lag(ms) OVER w >= 24 * 3600 * 1000 THEN 1 ELSE 0 END AS new FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ms)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ms) AS spell FROM g),
+p AS (SELECT user_id, spell, max(ms) AS last_ms, count(*) AS n FROM s GROUP BY user_id, spell), q AS (SELECT *, max(spell) OVER (PARTITION BY user_id) AS newest FROM p)
+SELECT user_id, last_ms, n FROM q WHERE spell < newest OR last_ms + 24 * 3600 * 1000 < (SELECT max(ms) FROM e) - 3600 * 1000""")
 def _(v: Views):
-    out = feed.folder(v.spark, "quiet")
-    feed.consume(feed.quiet_users(feed.events(v.spark, v.sf_dir), dt.timedelta(days=1)), feed.keeper(out), feed.folder(v.spark, "subscriber"))
+    out = feed.folder(v.spark, "spells")
+    feed.consume(feed.activity_spells(feed.events(v.spark, v.sf_dir), dt.timedelta(days=1)), feed.keeper(out), feed.folder(v.spark, "subscriber"))
     return v.spark.read.parquet(out).select("user_id", "last_ms", "n")

@@ -13,10 +13,11 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 KINDS = ("view", "click", "purchase", "signup", "error")
 
@@ -86,79 +87,61 @@ def without_duplicates(stream: DataFrame, keys: list[str], late: str = "1 hour")
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+def last_state(stream: DataFrame, keep: dt.timedelta = dt.timedelta(days=365), late: str = "1 hour") -> DataFrame:
+    """Per user the newest event and the number seen, kept as state that goes after ``keep`` of event time without an event.
 
+    Timers run on event time: with timers on processing time a run over all that
+    is there would not end, as every empty batch may be followed by another.
+    """
+    wait = int(keep.total_seconds() * 1000)
 
-class LastEvent(StatefulProcessor):
-    """Keeps a user's newest event and number of events; what nothing touches for ``keep`` of processing time is dropped."""
-
-    def __init__(self, keep: dt.timedelta):
-        self.keep = keep
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("last", "event_id long, event_type string, n long", int(self.keep.total_seconds() * 1000))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        newest, kind, n = self.state.get() if self.state.exists() else (-1, "", 0)
-        for frame in rows:
-            n += len(frame)
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        newest, kind, n, last = state.get if state.exists else (-1, "", 0, 0)
+        for frame in frames:
+            n, last = n + len(frame), max(last, int(frame["ts_ms"].max()))
             top = frame.loc[frame["event_id"].idxmax()]
             if top["event_id"] > newest:
                 newest, kind = int(top["event_id"]), str(top["event_type"])
-        self.state.update((newest, kind, n))
+        state.update((newest, kind, n, last))
+        state.setTimeoutTimestamp(max(last + wait, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame([(key[0], newest, kind, n)], columns=["user_id", "event_id", "event_type", "n"])
 
-    def close(self) -> None:
-        pass
-
-
-class Quiet(StatefulProcessor):
-    """Keeps a user's last time and number of events with a timer ``idle`` later that gives them out and forgets the user."""
-
-    def __init__(self, idle: dt.timedelta):
-        self.idle = int(idle.total_seconds() * 1000)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("seen", "last long, n long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        old, n = self.state.get() if self.state.exists() else (None, 0)
-        last = old
-        for frame in rows:
-            n += len(frame)
-            newest = int(frame["ts_ms"].max())
-            last = newest if last is None else max(last, newest)
-        if old != last:
-            if old is not None:
-                self.handle.deleteTimer(old + self.idle)
-            self.handle.registerTimer(last + self.idle)
-        self.state.update((last, n))
-        yield from ()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        last, n = self.state.get()
-        self.state.clear()
-        yield pd.DataFrame([(key[0], last, n)], columns=["user_id", "last_ms", "n"])
-
-    def close(self) -> None:
-        pass
-
-
-def _keyed(stream: DataFrame) -> None:
-    """Keyed state with timers needs the store that keeps its state on disk."""
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
-
-
-def last_state(stream: DataFrame, keep: dt.timedelta = dt.timedelta(days=30)) -> DataFrame:
-    """Per user the newest event and the number seen, kept as state that goes after ``keep`` without an event."""
-    _keyed(stream)
-    rows = stream.select("user_id", "event_id", "event_type")
-    return rows.groupBy("user_id").transformWithStateInPandas(LastEvent(keep), "user_id long, event_id long, event_type string, n long", "update", "processingTime")
-
+    rows = stream.withWatermark("ts", late).select("user_id", "event_id", "event_type", "ts", F.unix_millis("ts").alias("ts_ms"))
+    return rows.groupBy("user_id").applyInPandasWithState(update, "user_id long, event_id long, event_type string, n long", "event_id long, event_type string, n long, last long", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def activity_spells(stream: DataFrame, idle: dt.timedelta, late: str = "1 hour") -> DataFrame:
+    """A user's spells of activity, ended by ``idle`` of event time without an event: user_id, last_ms, n.
+
+    State holds the open spell's last time and number of events. A later event
+    at least ``idle`` after the last one gives the spell out and begins a new one;
+    without one a timer does when the watermark has passed, and the user is
+    forgotten. Within the watermark's delay, late events join the open spell.
+    """
+    wait = int(idle.total_seconds() * 1000)
+
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, n = state.get if state.exists else (None, 0)
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([(key[0], last, n)], columns=["user_id", "last_ms", "n"])
+            return
+        times = np.sort(np.concatenate([frame["ts_ms"].to_numpy() for frame in frames]))
+        before = np.concatenate(([times[0] if last is None else last], times[:-1]))
+        spells = np.split(times, np.flatnonzero(times - before >= wait))
+        if len(spells[0]) == 0 or last is None:  # the open spell, if any, got no event
+            done, spells = [] if last is None else [(last, n)], [s for s in spells if len(s)]
+            spells = [(int(s[-1]), len(s)) for s in spells]
+        else:
+            done, spells = [], [(max(last, int(spells[0][-1])), n + len(spells[0])), *((int(s[-1]), len(s)) for s in spells[1:])]
+        done += spells[:-1]
+        state.update(spells[-1])
+        # a timer lies after the watermark; one already due comes with the next batch
+        state.setTimeoutTimestamp(max(spells[-1][0] + wait, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([(key[0], *d) for d in done], columns=["user_id", "last_ms", "n"])
 
-def quiet_users(stream: DataFrame, idle: dt.timedelta, late: str = "1 hour") -> DataFrame:
-    """Users without an event for ``idle`` of event time, each once per quiet spell, by timers: user_id, last_ms, n of the spell."""
-    _keyed(stream)
     rows = stream.withWatermark("ts", late).select("user_id", "ts", F.unix_millis("ts").alias("ts_ms"))
-    return rows.groupBy("user_id").transformWithStateInPandas(Quiet(idle), "user_id long, last_ms long, n long", "append", "eventTime")
+    return rows.groupBy("user_id").applyInPandasWithState(update, "user_id long, last_ms long, n long", "last_ms long, n long", "append", GroupStateTimeout.EventTimeTimeout)
