@@ -94,14 +94,30 @@ def histogram(df: DataFrame, value: str, example: str, k: int = 5, order: list[C
     return df.groupBy(value).agg(F.count("*").alias("n")).join(few, value)
 
 
-def release_histograms(releases: DataFrame, as_of: Column) -> DataFrame:
-    """Histograms of releases per package, age, maintenance span and languish weeks in one long table."""
-    per = releases.groupBy("package").agg(F.count(F.when(~F.col("yanked"), 1)).alias("n"), F.min_by("created", "release").alias("first"), F.max_by("created", "release").alias("last"))
-    weeks = lambda a, b: F.floor(F.datediff(a, b) / 7).cast("bigint")
-    stacked = per.select("package", F.explode(F.create_map(
-        F.lit("releases"), F.col("n"), F.lit("age"), weeks(as_of, F.col("first")), F.lit("maintenance"), weeks(F.col("last"), F.col("first")), F.lit("languish"), weeks(as_of, F.col("last")),
-    )).alias("histogram", "bucket"))
-    return stacked.where(~((F.col("histogram") == "releases") & (F.col("bucket") == 0))).groupBy("histogram", "bucket").agg(F.count("*").alias("n"))
+def release_histograms(releases: DataFrame, deps: DataFrame, as_of: Column, k: int = 5) -> DataFrame:
+    """Seven histograms over packages with a live release, in one long table of histogram, bucket, n and k examples.
+
+    ``releases``: package, release, created, yanked, size, license; ``deps``:
+    release, n_deps. Age, maintenance and languish are weeks of the first and the
+    last release, yanked ones included; a package of two releases or more was
+    maintained for a week at least. Sizes are in thousands of bytes, above five
+    millions in steps of 500. Sizes, deps and licenses are the last release's; a
+    null size is left out. Buckets are text, as licenses are.
+    """
+    last = F.max_by(F.struct("release", "created", "size", "license"), "release")
+    per = releases.groupBy("package").agg(F.count_if(~F.col("yanked")).alias("live"), F.count("*").alias("n"), F.min_by("created", "release").alias("first"), last.alias("last")).where("live > 0")
+    per = per.withColumn("release", F.col("last.release")).join(deps, "release", "left")
+    weeks = lambda a, b: F.floor(F.datediff(a, b) / 7)
+    size, created = F.col("last.size"), F.col("last.created")
+    values = {
+        "releases": F.col("live"), "age": weeks(as_of, F.col("first")), "languish": weeks(as_of, created), "deps": F.coalesce("n_deps", F.lit(0)), "licenses": F.col("last.license"),
+        "maintenance": F.when(F.col("n") == 1, 0).otherwise(F.greatest(weeks(created, F.col("first")), F.lit(1))), "sizes": F.when(size > 5_000_000, F.floor(size / 500_000) * 500).otherwise(F.floor(size / 1000)),
+    }
+    stacked = per.select("package", F.explode(F.create_map(*[x for name, v in values.items() for x in (F.lit(name), v.cast("string"))])).alias("histogram", "bucket")).where("bucket IS NOT NULL")
+    keys = ["histogram", "bucket"]
+    placed = stacked.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("package")))
+    few = placed.where(F.col("_n") <= k).groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list("package")), lambda p: p.cast("string")), ",").alias("examples"))
+    return stacked.groupBy(*keys).agg(F.count("*").alias("n")).join(few, keys)
 
 
 def bucketize(hist: DataFrame, thresholds: list[int], value: str = "value", count: str = "n") -> DataFrame:

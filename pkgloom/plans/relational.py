@@ -266,11 +266,19 @@ def _(v: Views):
     return agg.histogram(v.packages, "downloads", "package")
 
 
-@query("d12_release_histograms", f"""WITH per AS (SELECT package, count(*) FILTER (WHERE NOT yanked) AS n, min_by(created, release) AS a, max_by(created, release) AS b FROM releases GROUP BY package),
-w AS (SELECT 'releases' AS histogram, n AS bucket FROM per WHERE n > 0 UNION ALL SELECT 'age', CAST(floor(date_diff('day', CAST(a AS DATE), DATE '{AS_OF}') / 7) AS BIGINT) FROM per UNION ALL SELECT 'maintenance', CAST(floor(date_diff('day', CAST(a AS DATE), CAST(b AS DATE)) / 7) AS BIGINT) FROM per UNION ALL SELECT 'languish', CAST(floor(date_diff('day', CAST(b AS DATE), DATE '{AS_OF}') / 7) AS BIGINT) FROM per)
-SELECT histogram, bucket, count(*) AS n FROM w GROUP BY ALL""")
+SIZED = "SELECT o_custkey AS package, o_orderkey AS release, o_orderdate AS created, o_orderstatus = 'P' AS yanked, CASE WHEN o_orderkey % 13 > 0 THEN CAST(floor(o_totalprice * 40) AS BIGINT) END AS size, o_orderpriority AS license FROM {orders}"
+
+
+@query("d12_release_histograms", f"""WITH sized AS ({SIZED.replace('{orders}', 'orders')}), per AS (SELECT package, count(*) FILTER (WHERE NOT yanked) AS live, count(*) AS n, min_by(created, release) AS a, max_by(created, release) AS b, max(release) AS release FROM sized GROUP BY package HAVING count(*) FILTER (WHERE NOT yanked) > 0),
+nd AS (SELECT l_orderkey AS release, count(*) AS n_deps FROM lineitem WHERE l_linenumber > 1 GROUP BY l_orderkey), x AS (SELECT per.*, size, license, coalesce(n_deps, 0) AS n_deps FROM per JOIN sized ON sized.release = per.release LEFT JOIN nd ON nd.release = per.release),
+w AS (SELECT package, 'releases' AS histogram, CAST(live AS VARCHAR) AS bucket FROM x UNION ALL SELECT package, 'age', CAST(date_diff('day', CAST(a AS DATE), DATE '{AS_OF}') // 7 AS VARCHAR) FROM x UNION ALL SELECT package, 'languish', CAST(date_diff('day', CAST(b AS DATE), DATE '{AS_OF}') // 7 AS VARCHAR) FROM x
+ UNION ALL SELECT package, 'maintenance', CAST(CASE WHEN n = 1 THEN 0 ELSE greatest(CAST(floor(date_diff('day', CAST(a AS DATE), CAST(b AS DATE)) / 7) AS BIGINT), 1) END AS VARCHAR) FROM x UNION ALL SELECT package, 'deps', CAST(n_deps AS VARCHAR) FROM x UNION ALL SELECT package, 'licenses', license FROM x
+ UNION ALL SELECT package, 'sizes', CAST(CASE WHEN size > 5000000 THEN size // 500000 * 500 ELSE size // 1000 END AS VARCHAR) FROM x WHERE size IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY histogram, bucket ORDER BY package) AS i FROM w)
+SELECT histogram, bucket, count(*) AS n, string_agg(CAST(package AS VARCHAR), ',' ORDER BY i) FILTER (WHERE i <= 5) AS examples FROM r GROUP BY ALL""")
 def _(v: Views):
-    return agg.release_histograms(v.releases, F.lit(AS_OF).cast("date"))
+    deps = v.lineitem.where("l_linenumber > 1").groupBy(F.col("l_orderkey").alias("release")).agg(F.count("*").alias("n_deps"))
+    return agg.release_histograms(v.spark.sql(SIZED, orders=v.orders), deps, F.lit(AS_OF).cast("date"))
 
 
 @query("d13_bucketize", "SELECT CASE WHEN downloads >= 4000 THEN 4000 WHEN downloads >= 2000 THEN 2000 WHEN downloads >= 500 THEN 500 ELSE 0 END AS bucket, count(*) AS n FROM packages GROUP BY 1")
