@@ -79,6 +79,16 @@ def sub_components(names: DataFrame, suffixes: list[str], name: str = "name") ->
     return cut.join(names.select(F.col(name).alias("stem")).distinct(), "stem", "left_semi").select(name, "stem")
 
 
+INTERNAL = ("private", "internals", "internal", "impl")  # fixed values
+
+
+def internal_packages(names: DataFrame, suffixes: tuple[str, ...] = INTERNAL) -> DataFrame:
+    """Names whose last part says that they are inner parts of a package that exists, the name before that part."""
+    whole = r"^(.+)[-_]([^-_]*)$"
+    told = names.select("name", F.regexp_extract("name", whole, 1).alias("parent"), F.regexp_extract("name", whole, 2).alias("suffix")).where(F.col("suffix").isin(*suffixes))
+    return told.join(names.select(F.col("name").alias("parent")).distinct(), "parent", "left_semi").select("name", "parent")
+
+
 def verified_repo(packages: DataFrame, repo_packages: DataFrame) -> DataFrame:
     """Packages whose repository lists them under their name."""
     return packages.join(repo_packages, ["repo", "name"], "left_semi")

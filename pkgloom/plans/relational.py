@@ -131,6 +131,14 @@ def _(v: Views):
     return joins.sub_components(names, ["ring", "bolt"])
 
 
+INNER = """SELECT replace(p_name, ' ', '-') AS name FROM {part} UNION SELECT split_part(p_name, ' ', 1) FROM {part} UNION SELECT concat(split_part(p_name, ' ', 1), '_', CASE p_size % 5 WHEN 0 THEN 'internal' WHEN 1 THEN 'impl' WHEN 2 THEN 'private' ELSE 'other' END) FROM {part} UNION SELECT concat('no', p_partkey, '-impl') FROM {part}"""
+
+
+@query("c8_internal_packages", f"WITH names AS ({INNER.replace('{part}', 'part')}) SELECT a.name, b.name AS parent FROM names a JOIN names b ON a.name IN (b.name || '_internal', b.name || '_impl', b.name || '_private', b.name || '_internals', b.name || '-internal', b.name || '-impl', b.name || '-private', b.name || '-internals')")
+def _(v: Views):
+    return joins.internal_packages(v.spark.sql(INNER, part=v.part))
+
+
 @query("c9_verified_repo", "SELECT repo, name, package FROM (SELECT concat('r', downloads) AS repo, name, package FROM packages) p WHERE (repo, name) IN (SELECT concat('r', downloads), name FROM packages WHERE package % 3 = 0)")
 def _(v: Views):
     p = v.packages.selectExpr("concat('r', downloads) AS repo", "name", "package")
