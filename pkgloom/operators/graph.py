@@ -29,26 +29,64 @@ def settled(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _walk(starts: DataFrame, edges: DataFrame) -> DataFrame:
-    """Every (root, level, release, feature) that ``starts`` reach, with its kind; a state may stand there with weaker kinds too.
+BITS = 64  # roots a block; a mask is one long
+MASKS = ("plain", "k0", "k1", "k2")  # roots of the default answer; roots that reach a state with at most kind 0, 1, 2
+COMPACT = 8  # rounds
 
-    ``edges``: release, feature, to_release, to_feature, edge_kind, least_level; an edge is followed on its level and above.
-    A state is walked again only if a stronger kind reaches it, so cycles end. A round writes its new states only. What is
-    known of a round's states is looked up from the round's side: where that is small, Spark broadcasts it by its size,
-    and all that was seen before is read but not shuffled.
+
+def _blocks(roots: DataFrame) -> DataFrame:
+    """Roots (column root) in their order, dealt to blocks of 64: root, block, bit (a mask with the root's own bit)."""
+    ids = roots.select("root").where("root IS NOT NULL").distinct().repartitionByRange("root").sortWithinPartitions("root").withColumn("id", F.monotonically_increasing_id())
+    return settled(ids.select("root", F.shiftright("id", 6).alias("block"), F.expr(f"shiftleft(1L, CAST(id & {BITS - 1} AS INT))").alias("bit")))
+
+
+def _united(df: DataFrame, keys: list[str], masks: tuple[str, ...] = MASKS) -> DataFrame:
+    return df.groupBy(*keys).agg(*[F.bit_or(m).alias(m) for m in masks])
+
+
+def _walk(starts: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """Every state (release, feature) that the roots of a block reach: block, release, feature and the masks of ``MASKS``; a state may stand there in several rows.
+
+    ``starts``: root, level, release, feature, kind; ``edges``: release, feature, to_release, to_feature, edge_kind,
+    least_level; ``roots`` as ``_blocks`` gives them. What a root reaches on level 0, the default, it reaches on level 1.
+    Roots next to each other reach much the same, so 64 roots walk as one row a state. Masks only gain bits and a round
+    hands on the bits gained in the last one, so cycles end. A root is not entered again from another release. A round is
+    one exchange, of its steps and of what was seen before, and writes its new bits only.
     """
-    state = ["root", "level", "release", "feature"]
-    front = settled(starts.groupBy(*state).agg(F.min("kind").alias("kind")))
-    seen = front
+    state = ["block", "release", "feature"]
+    none = F.lit(0).cast("bigint")
+    only = lambda when, what: F.when(when, what).otherwise(none)
+    s = starts.join(roots, "root")
+    start = s.select(*state, only(F.col("level") == 0, F.col("bit")).alias("plain"), *[only(F.col("kind") <= k, F.col("bit")).alias(f"k{k}") for k in range(3)])
+    front = settled(_united(start, state))
+    own = roots.select(F.col("root").alias("to_release"), F.col("block").alias("own_block"), F.col("bit").alias("own_bit"))
+    links = settled(edges.join(own, "to_release", "left").withColumn("own_block", F.when(F.col("to_release") != F.col("release"), F.col("own_block"))))  # every round reads them
+    fine = F.when(F.col("own_block") == F.col("block"), F.bitwise_not(F.col("own_bit"))).otherwise(F.lit(-1).cast("bigint"))
+    follows = {"plain": F.col("least_level") == 0, **{f"k{k}": F.col("edge_kind") <= k for k in range(3)}}
+    seen, i = front, 0
     while not front.isEmpty():
-        onward = front.join(edges, ["release", "feature"]).where((F.col("least_level") <= F.col("level")) & ((F.col("to_release") != F.col("root")) | (F.col("release") == F.col("root"))))
-        step = settled(onward.groupBy("root", "level", F.col("to_release").alias("release"), F.col("to_feature").alias("feature")).agg(F.min(F.greatest("kind", "edge_kind")).alias("kind")))
-        known = seen.withColumnRenamed("kind", "known").join(step, state).where("known <= kind").select(*state)
-        front = settled(step.join(known, state, "left_anti"))
-        seen = seen.unionByName(front)
+        onward = front.join(links, ["release", "feature"])
+        step = onward.select("block", F.col("to_release").alias("release"), F.col("to_feature").alias("feature"), *[only(follows[m], F.col(m).bitwiseAND(fine)).alias(m) for m in MASKS], *[none.alias(f"had_{m}") for m in MASKS])
+        both = step.unionByName(seen.select(*state, *[none.alias(m) for m in MASKS], *[F.col(m).alias(f"had_{m}") for m in MASKS]))
+        gained = _united(both, state, (*MASKS, *[f"had_{m}" for m in MASKS])).select(*state, *[F.col(m).bitwiseAND(F.bitwise_not(F.col(f"had_{m}"))).alias(m) for m in MASKS])
+        front = settled(gained.where(" OR ".join(f"{m} <> 0" for m in MASKS)))
+        seen, i = seen.unionByName(front), i + 1
+        if i % COMPACT == 0:
+            seen = settled(_united(seen, state))
     return seen
 
 
+def _told(states: DataFrame, direct: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, release, kind, is_default, direct) of masked states; ``direct``: root, release."""
+    none = F.lit(0).cast("bigint")
+    near = direct.join(roots, "root").select("block", "release", *[none.alias(m) for m in MASKS], F.col("bit").alias("near"))
+    flat = _united(states.select("block", "release", *MASKS, none.alias("near")).unionByName(near), ["block", "release"], (*MASKS, "near")).where("k2 <> 0")
+    members = roots.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("root", "bit"))).alias("members"))  # 64 at most
+    rows = flat.join(members, "block").select("release", *MASKS, "near", F.explode("members").alias("m")).select("*", "m.root", "m.bit")
+    has = lambda m: F.col(m).bitwiseAND(F.col("bit")) != 0
+    return rows.where(has("k2")).select("root", "release", F.when(has("k0"), 0).when(has("k1"), 1).otherwise(2).alias("kind"), has("plain").alias("is_default"), has("near").alias("direct"))
+
+
 def dependency_closure(edges: DataFrame) -> DataFrame:
     """G1 without versions: all transitive dependencies of every source with the strongest kind, and whether a path is default or direct.
 
@@ -63,10 +101,9 @@ def dependency_closure(edges: DataFrame) -> DataFrame:
     # a link of both kinds whose runtime side is optional stays two links
     both = (F.col("edge_kind") == 0) & (F.col("free") > F.col("least_level"))
     kinds = F.when(both, F.array(F.struct(F.lit(0).alias("edge_kind"), F.col("free").alias("least_level")), F.struct(F.lit(1).alias("edge_kind"), "least_level"))).otherwise(F.array(F.struct("edge_kind", "least_level")))
-    links = settled(inner.select(*node("src"), F.col("dst").alias("to_release"), F.lit("").alias("to_feature"), F.inline(kinds)))  # every round reads them
-    direct = e.select(F.col("src").alias("root"), F.col("dst").alias("release")).distinct().withColumn("direct", F.lit(True))
-    reached = _walk(starts, links).groupBy("root", "release").agg(F.min("kind").alias("kind"), (F.min("level") == 0).alias("is_default"))
-    return reached.join(direct, ["root", "release"], "left").select("root", F.col("release").alias("node"), "kind", "is_default", F.coalesce("direct", F.lit(False)).alias("direct"))
+    links = inner.select(*node("src"), F.col("dst").alias("to_release"), F.lit("").alias("to_feature"), F.inline(kinds))
+    roots = _blocks(e.select(F.col("src").alias("root")))
+    return _told(_walk(starts, links, roots), e.select(F.col("src").alias("root"), F.col("dst").alias("release")), roots).withColumnRenamed("release", "node")
 
 
 def _named(enables: Column) -> tuple[Column, Column]:
@@ -106,9 +143,13 @@ def enabled_dependencies(releases: DataFrame, features: DataFrame, deps: DataFra
     """
     f = features.select("release", F.lower("feature").alias("feature"), "enables").distinct()
     name, handed = _named(F.col("enables"))
-    inner = f.where(handed.isNull() & ~F.col("enables").startswith("dep:")).select("release", "feature", F.col("release").alias("to_release"), name.alias("to_feature"), F.lit(0).alias("edge_kind"), F.lit(0).alias("least_level"))
-    starts = wanted.select(F.col("release").alias("root"), F.lit(0).alias("level"), "release", F.lower("feature").alias("feature"), F.lit(0).alias("kind"))
-    reached = _walk(starts, inner).select("release", "feature").distinct()
+    inner = f.where(handed.isNull() & ~F.col("enables").startswith("dep:")).select("release", "feature", name.alias("to_feature"))
+    front = settled(wanted.select("release", F.lower("feature").alias("feature")).distinct())
+    reached = front
+    while not front.isEmpty():
+        step = front.join(inner, ["release", "feature"]).select("release", F.col("to_feature").alias("feature"))
+        front = settled(step.distinct().join(reached, ["release", "feature"], "left_anti"))
+        reached = reached.unionByName(front)
     declared = f.select("release", "feature").distinct()
     names = reached.join(f.where("enables IS NOT NULL"), ["release", "feature"]).select("release", name.alias("key")).unionByName(reached.join(declared, ["release", "feature"], "left_anti").select("release", F.col("feature").alias("key"))).distinct()
     optional = deps.where("optional").withColumn("key", F.lower("dep")).join(names, ["release", "key"], "left_semi").drop("key")
@@ -136,11 +177,11 @@ def resolved_closure(roots: DataFrame, features: DataFrame, deps: DataFrame) ->
     by_name = deps.where("optional AND to_release IS NOT NULL").select(F.col("release").alias("root"), F.col("to_release").alias("release"), F.col("kind"), F.explode(F.concat(F.array(F.lit("")), F.transform(F.coalesce("features", F.array().cast("array<string>")), F.lower), F.when(F.col("default_features"), F.array(F.lit("default"))).otherwise(F.array().cast("array<string>")))).alias("feature"))
     dev = every.where("edge_kind = 2 AND feature = ''").select(F.col("release").alias("root"), F.col("to_release").alias("release"), F.lit(2).alias("kind"), F.col("to_feature").alias("feature"))
     first = by_name.unionByName(dev).join(own.select("root"), "root", "left_semi").where("release <> root").select("root", F.lit(1).alias("level"), "release", "feature", "kind")
-    states = _walk(plain.unionByName(asked).unionByName(first), links)
-    at_root = states.where("release = root").select("root", "level", "feature").distinct()
-    near = at_root.join(links.withColumnRenamed("release", "root"), ["root", "feature"]).where("least_level <= level").select("root", F.col("to_release").alias("release")).unionByName(first.select("root", "release")).distinct().withColumn("direct", F.lit(True))
-    reached = states.where("release <> root").groupBy("root", "release").agg(F.min("kind").alias("kind"), (F.min("level") == 0).alias("is_default"))
-    return reached.join(near, ["root", "release"], "left").withColumn("direct", F.coalesce("direct", F.lit(False)))
+    blocks = _blocks(own)
+    states = _walk(plain.unionByName(asked).unionByName(first), links, blocks)
+    at_root = states.join(blocks.withColumnRenamed("root", "release"), ["release", "block"]).where(F.col("k2").bitwiseAND(F.col("bit")) != 0).select(F.col("release").alias("root"), "feature").distinct()
+    near = at_root.join(links.withColumnRenamed("release", "root"), ["root", "feature"]).select("root", F.col("to_release").alias("release")).unionByName(first.select("root", "release"))
+    return _told(states, near, blocks).where("root <> release")
 
 
 def flattened(closure: DataFrame, releases: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from pkgloom.operators import joins
+from pkgloom.operators import graph, joins
 
 
 def plain_related(keywords, packages, least, n):
@@ -38,3 +38,15 @@ def test_related_by_keyword_of_many_copies(spark):
     got = joins.related_by_keyword(k, p, 500, 0.5, 3)
     assert got.count() == 300_000
     assert [x.related for x in got.where("package = 1").orderBy("pos").collect()] == [0, 2, 3]
+
+
+def test_closure_of_many_roots_walks_as_few_rows(spark):
+    """2000 packages over one chain of 60: 120,000 pairs of root and node, but some 60 states for each block of 64 roots."""
+    chain, n = 60, 2000
+    e = spark.range(n).select((F.col("id") + 1000).alias("src"), F.lit(0).cast("long").alias("dst")).unionByName(spark.range(chain - 1).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")))
+    e = e.select("src", "dst", F.lit(0).alias("kind"), F.lit(False).alias("optional"))
+    starts = e.select(F.col("src").alias("root"), F.lit(1).alias("level"), F.col("dst").alias("release"), F.lit("").alias("feature"), "kind")
+    links = e.select(F.col("src").alias("release"), F.lit("").alias("feature"), F.col("dst").alias("to_release"), F.lit("").alias("to_feature"), F.lit(0).alias("edge_kind"), F.lit(1).alias("least_level"))
+    states = graph._walk(starts, links, graph._blocks(starts))
+    assert states.count() < 5000
+    assert graph.dependency_closure(e.where("src >= 1000 OR src > 40")).count() == 2000 + 18 * 19 // 2
