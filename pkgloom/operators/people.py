@@ -46,13 +46,22 @@ def namespace_related(pairs: DataFrame, owners: DataFrame, excluded: DataFrame,
 def same_project_candidates(packages: DataFrame, owners: DataFrame, n: int = 20) -> DataFrame:
     """Packages of the same repository (weight 1), and of a common owner under a common first name part (weight .5).
 
-    ``packages``: package, repo, prefix. Cut off below min(.2, best/3).
+    ``packages``: package, repo, prefix, one row a package. Cut off below min(.2, best/3). Of a group only the ``n + 1``
+    smallest members are made pairs of: apart from the package itself and those of a larger weight, which groups of owner,
+    prefix and repository bring, no more can be among its first ``n``.
     """
-    r = packages.select("package", "repo").where("repo IS NOT NULL")
-    by_repo = r.join(r.select(F.col("package").alias("other"), "repo"), "repo").select("package", "other", F.lit(1.0).alias("weight"))
-    o = owners.select("package", "owner").distinct().join(packages.select("package", "prefix"), "package")
-    by_owner = o.join(o.select(F.col("package").alias("other"), "owner", "prefix"), ["owner", "prefix"]).select("package", "other", F.lit(0.5).alias("weight")).distinct()
-    sums = by_repo.unionByName(by_owner).where("package != other").groupBy("package", "other").agg(F.sum("weight").alias("weight"))
+    p = packages.select("package", "repo", "prefix")
+    o = owners.select("package", "owner").distinct().join(p, "package")
+
+    def pairs(df: DataFrame, by: list[str]) -> DataFrame:
+        first = top_n(df, by, [F.col("package")], n + 1).groupBy(*by).agg(F.collect_list(F.struct(F.col("package").alias("other"), F.col("repo").alias("its_repo"))).alias("first"))
+        return df.select("package", "repo", *[c for c in by if c != "repo"]).join(first, by).select("package", "repo", F.inline("first"))
+
+    same = F.coalesce(F.col("repo") == F.col("its_repo"), F.lit(False))
+    by_owner = pairs(o, ["owner", "prefix"]).unionByName(pairs(o.where("repo IS NOT NULL"), ["owner", "prefix", "repo"])).select("package", "other", same.alias("same"), F.lit(True).alias("own"))
+    by_repo = pairs(p.where("repo IS NOT NULL"), ["repo"]).select("package", "other", F.lit(True).alias("same"), F.lit(False).alias("own"))
+    weight = F.when(F.bool_or("same"), 1.0).otherwise(0.0) + F.when(F.bool_or("own"), 0.5).otherwise(0.0)
+    sums = by_repo.unionByName(by_owner).where("package != other").groupBy("package", "other").agg(weight.alias("weight"))
     sums = sums.withColumn("best", F.max("weight").over(Window.partitionBy("package"))).where(F.col("weight") >= F.least(F.lit(0.2), F.col("best") / 3))
     return top_n(sums, ["package"], [F.desc("weight"), F.col("other")], n).select("package", "other", "weight", "pos")
 

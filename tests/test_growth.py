@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from pkgloom.operators import graph, joins
+from pkgloom.operators import graph, joins, people
 
 
 def plain_related(keywords, packages, least, n):
@@ -50,3 +50,20 @@ def test_closure_of_many_roots_walks_as_few_rows(spark):
     states = graph._walk(starts, links, graph._blocks(starts))
     assert states.count() < 5000
     assert graph.dependency_closure(e.where("src >= 1000 OR src > 40")).count() == 2000 + 18 * 19 // 2
+
+
+def test_same_project_candidates(spark):
+    """Groups far larger than the list, against all pairs."""
+    rng = random.Random(7)
+    packages = [(i, rng.choice(["a", "b", "c", None]), rng.choice(["x", "y"])) for i in range(120)]
+    owners = [(i, rng.randrange(6)) for i in range(120) for _ in range(rng.randrange(3))]
+    held = {p: {o for q, o in owners if q == p} for p in range(120)}
+    want = set()
+    for a, repo, prefix in packages:
+        weights = {b: (1.0 if repo and repo == r else 0) + (0.5 if prefix == x and held[a] & held[b] else 0) for b, r, x in packages if b != a}
+        best = sorted((-w, b) for b, w in weights.items() if w)[:20]
+        want |= {(a, b, -w, i) for i, (w, b) in enumerate(best, 1)}
+    p, o = spark.createDataFrame(packages, "package long, repo string, prefix string"), spark.createDataFrame(owners, "package long, owner long")
+    assert {tuple(x) for x in people.same_project_candidates(p, o).collect()} == want
+    many = spark.range(100_000).selectExpr("id AS package", "'r' AS repo", "'x' AS prefix")
+    assert people.same_project_candidates(many, many.selectExpr("package", "7 AS owner")).count() == 2_000_000
