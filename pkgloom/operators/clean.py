@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,16 +26,24 @@ def same_url(a: Column, b: Column) -> Column:
     return comparable_url(a) == comparable_url(b)
 
 
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` takes it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def parse_repo(url: Column) -> Column:
     """(host, owner, repo, path) of a hosted repository, lower-cased, without .git; null if it is none."""
+
+    def hosted(parts: Column) -> Column:
+        host = parts[0]
+        stop = F.array_min(F.array_compact(F.transform(F.array(F.lit("-"), F.lit("tree"), F.lit("blob"), F.lit("graphs")), lambda w: F.nullif(F.array_position(parts, w), F.lit(0)))))
+        last = F.when(host.contains("gitlab"), F.coalesce(stop - 1, F.size(parts))).otherwise(3).cast("int")
+        name = F.regexp_replace(F.array_join(F.slice(parts, 3, F.greatest(last - 2, F.lit(1))), "/"), r"\.git$", "")
+        ok = (F.size(parts) >= 3) & host.rlike(r"^(github|gitlab|bitbucket)\.")
+        return F.when(ok, _once(name, lambda n: F.when(n != "", F.struct(host.alias("host"), parts[1].alias("owner"), n.alias("repo")))))
+
     clean = F.regexp_replace(F.lower(url), r"^(?:git\+)?[a-z]+://(?:www\.)?", "")
-    parts = F.split(F.regexp_replace(clean, r"(\.git)?/?([#?].*)?$", ""), "/")
-    host = parts[0]
-    stop = F.array_min(F.array_compact(F.transform(F.array(F.lit("-"), F.lit("tree"), F.lit("blob"), F.lit("graphs")), lambda w: F.nullif(F.array_position(parts, w), F.lit(0)))))
-    last = F.when(host.contains("gitlab"), F.coalesce(stop - 1, F.size(parts))).otherwise(3).cast("int")
-    name = F.regexp_replace(F.array_join(F.slice(parts, 3, F.greatest(last - 2, F.lit(1))), "/"), r"\.git$", "")
-    ok = (F.size(parts) >= 3) & host.rlike(r"^(github|gitlab|bitbucket)\.") & (name != "")
-    return F.when(ok, F.struct(host.alias("host"), parts[1].alias("owner"), name.alias("repo")))
+    return _once(F.split(F.regexp_replace(clean, r"(\.git)?/?([#?].*)?$", ""), "/"), hosted)
 
 
 def repo_urls(repo: Column, directory: Column | None = None, revision: Column | None = None) -> Column:
@@ -41,6 +51,10 @@ def repo_urls(repo: Column, directory: Column | None = None, revision: Column |
 
     ``directory`` has no slash at its begin (none: the root), ``revision`` is HEAD where there is none.
     """
+    return _once(repo, lambda r: _urls(r, directory, revision))
+
+
+def _urls(repo: Column, directory: Column | None, revision: Column | None) -> Column:
     folder = F.lit("") if directory is None else F.coalesce(directory, F.lit(""))
     at = F.lit("HEAD") if revision is None else F.coalesce(revision, F.lit("HEAD"))
     path = F.concat(repo["owner"], F.lit("/"), repo["repo"])

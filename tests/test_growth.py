@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from pkgloom.operators import graph, joins, people
+from pkgloom.operators import clean, graph, joins, people
 
 
 def plain_related(keywords, packages, least, n):
@@ -67,3 +67,10 @@ def test_same_project_candidates(spark):
     assert {tuple(x) for x in people.same_project_candidates(p, o).collect()} == want
     many = spark.range(100_000).selectExpr("id AS package", "'r' AS repo", "'x' AS prefix")
     assert people.same_project_candidates(many, many.selectExpr("package", "7 AS owner")).count() == 2_000_000
+
+
+def test_expressions_of_a_repository_are_computed_once(spark):
+    u = clean.repo_urls(clean.parse_repo(F.col("url")), F.col("dir"))
+    d = spark.createDataFrame([("https://GitHub.com/Owner/Repo.git", "a"), ("https://gitlab.com/g/s/r/-/tree/main", None), ("https://example.org/a/b", None), (None, None)], "url string, dir string").select(u.alias("u")).select("u.*")
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert [x.git for x in d.collect()] == ["https://github.com/owner/repo.git", "https://gitlab.com/g/s/r.git", None, None]
