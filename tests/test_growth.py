@@ -1,10 +1,12 @@
 """Large groups of equal rows: the work must not grow with their pairs, and the results stay those of plain versions."""
 
+import datetime as dt
+import math
 import random
 
 from pyspark.sql import functions as F
 
-from pkgloom.operators import clean, compat, graph, joins, people
+from pkgloom.operators import clean, compat, graph, joins, people, timeseries, windows
 
 
 def plain_related(keywords, packages, least, n):
@@ -86,3 +88,45 @@ def test_fill_over_several_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert len(whole) >= len(m) and compat.fill(df.limit(0)).count() == 0
+
+
+def test_active_dependers_tell_owners_apart_only_in_crowded_buckets(spark):
+    """Against the walk of each owner's balance: dependencies with many owners and with one owner of many dependers."""
+    rng = random.Random(11)
+    owners = {(p, o) for p in range(40) for o in ([7] if p % 4 == 0 else rng.sample(range(200), rng.randrange(0, 12)))}
+    start = dt.date(2001, 1, 1)
+    releases = [(p, p * 10 + i, dt.datetime(2001, 1, 1) + dt.timedelta(rng.randrange(300)), f"{i}.1.0") for p in range(40) for i in range(3)]
+    uses = sorted({(p, r, rng.randrange(100, 104) if p % 3 else rng.randrange(12)) for p, r, _, _ in releases for _ in range(3)})
+    r = spark.createDataFrame(releases, "package long, release long, created timestamp, version string")
+    o = spark.createDataFrame(sorted(owners), "package long, owner long")
+    u = spark.createDataFrame(uses, "package long, release long, dep long")
+    as_of = dt.date(2001, 12, 1)
+    got = {(x.dep, x.day): (x.added, x.removed, x.expired, x.users) for x in timeseries.active_dependers(r, u, o, F.lit(as_of)).collect()}
+    of = {p: {x for q, x in owners if q == p} for p in range(110)}
+    spans = {(x.package, x.release): x for x in windows.half_life_intervals(r, o.groupBy("package").agg(F.count("*").alias("n_owners"))).collect()}
+    flows, deltas = {}, {}
+    for p, dep in {(p, d) for p, _, d in uses if p != d}:
+        held = [spans[p, q] for x, q, d in uses if (x, d) == (p, dep)]
+        end, how = max((x.end, x.how) for x in held)
+        for day, kind, sign in ((min(x.start for x in held), 0, 1), *([(end, 1 if how == "removed" else 2, -1)] if end <= as_of else [])):
+            flows.setdefault((dep, day), [0, 0, 0])[kind] += 1
+            for x in of[p] - of[dep]:
+                deltas.setdefault(dep, []).append((day, x, sign / len(of[p])))
+    want = {k: (*v, None) for k, v in flows.items()}
+    for dep, changes in deltas.items():
+        for day in {d for d, _, _ in changes}:
+            balance = {}
+            for d, x, delta in changes:
+                balance[x] = balance.get(x, 0) + (delta if d <= day else 0)
+            want[dep, day] = (*flows[dep, day], math.ceil(round(sum(min(round(b, 9), 1) for b in balance.values()), 6)))
+    assert got == want and any(v[3] is None for v in got.values()) and start <= min(d for _, d in got)
+
+
+def test_active_dependers_shuffle_no_row_for_each_owner(spark):
+    """300 dependers with 300 owners each: 90,000 pairs of use and owner, of which no balance nears 1."""
+    p = spark.range(300)
+    o = p.select(F.col("id").alias("package"), F.explode(F.sequence(F.col("id") * 1000, F.col("id") * 1000 + 299)).alias("owner"))
+    r = p.selectExpr("id AS package", "id AS release", "CAST('2001-01-01' AS timestamp) AS created", "'1.0.0' AS version")
+    got = timeseries.active_dependers(r, p.selectExpr("id AS package", "id AS release", "1000 AS dep"), o, F.lit("2001-12-01").cast("date"))
+    assert [tuple(x)[1:] for x in got.collect()] == [(dt.date(2001, 1, 1), 300, 0, 0, 300)]
+    assert [x.dep for x in timeseries._crowded(p.selectExpr("id AS package", "id % 2 AS dep"), timeseries._groups(o)).collect()] == []
