@@ -168,23 +168,31 @@ DIVISIONS, LEAST_SETS = 10, 25
 def _popular(sets: DataFrame, chosen: DataFrame, ignored: Column) -> DataFrame:
     """Per query the keyword that splits its keyword sets best, and how many sets no chosen keyword covers yet.
 
-    ``chosen``: query_id, taken (array), last. A chosen keyword leaves all sets; a set that held one weighs minus half. A
-    keyword "q-x" or "x-q" of an uncovered set also counts, twice, for x. Values tie by the smaller keyword.
+    ``chosen``: query_id, n_sets, taken (array), last. A chosen keyword leaves all sets; a set that held one weighs minus
+    half. A keyword "q-x" or "x-q" of an uncovered set also counts, twice, for x. Values tie by the smaller keyword.
     """
-    s = sets.join(chosen, "query_id")
-    covered = F.arrays_overlap("keywords", "taken")
-    s = s.select("query_id", "n_sets", "q", "taken", "last", F.array_except("keywords", "taken").alias("left"), F.when(covered, F.expr("-(weight DIV 2)")).otherwise(F.col("weight")).alias("w"))
-    before, behind = F.concat("q", F.lit("-")), F.concat(F.lit("-"), "q")
-    rest = lambda k: F.when(F.startswith(k, before), F.substring(k, F.length(before) + 1, F.length(k))).when(F.endswith(k, behind), F.substring(k, F.lit(1), F.length(k) - F.length(behind)))
-    parts = F.when(F.col("w") > 0, F.filter(F.transform("left", rest), lambda r: r.isNotNull() & ~F.array_contains("left", r))).otherwise(F.array().cast("array<string>"))
+    s = sets.join(chosen.select("query_id", "taken"), "query_id")
+    weight = F.when(F.arrays_overlap("keywords", "taken"), F.expr("-(weight DIV 2)")).otherwise(F.col("weight"))
+    s = s.select("query_id", "q", F.array_except("keywords", "taken").alias("left"), weight.alias("w"))
+    # a row without a keyword counts the open sets
+    s = s.select("*", F.explode(F.concat("left", F.array(F.lit(None).cast("string")))).alias("k"))
+    k, before, behind = F.col("k"), F.concat("q", F.lit("-")), F.concat(F.lit("-"), "q")
+    rest = F.when(F.startswith(k, before), F.substring(k, F.length(before) + 1, F.length(k))).when(F.endswith(k, behind), F.substring(k, F.lit(1), F.length(k) - F.length(behind)))
+    s = s.withColumn("rest", F.when(F.col("w") > 0, rest))
     one = lambda k, w: F.struct(k.alias("keyword"), w.cast("bigint").alias("w"))
-    votes = F.concat(F.transform("left", lambda k: one(k, F.col("w"))), F.transform(parts, lambda k: one(k, 2 * F.col("w"))), F.array(one(F.lit(None).cast("string"), (F.col("w") > 0).cast("bigint"))))
-    counts = s.select("query_id", "n_sets", "q", "taken", "last", F.inline(votes)).groupBy("query_id", "n_sets", "taken", "last", "keyword").agg(F.count("*").alias("pop"), F.sum("w").alias("w"))
+    own = one(k, F.when(k.isNull(), (F.col("w") > 0).cast("bigint")).otherwise(F.col("w")))
+    votes = F.when(F.col("rest").isNotNull() & ~F.array_contains("left", F.col("rest")), F.array(own, one(F.col("rest"), 2 * F.col("w")))).otherwise(F.array(own))
+    counts = s.select("query_id", F.inline(votes)).groupBy("query_id", "keyword").agg(F.count("*").alias("pop"), F.sum("w").alias("w")).join(chosen, "query_id")
     weight = F.when(F.col("keyword").isin(*LESS), F.expr("w * 3 DIV 4")).otherwise(F.col("w"))
     value = weight * F.when((F.col("pop") >= 10) & (F.col("pop") <= F.expr("n_sets DIV 3")), 2).otherwise(1)
     fit = F.col("keyword").isNotNull() & (F.col("pop") > 2) & (F.col("pop") <= F.expr("n_sets * 3 DIV 4")) & ~ignored
     best = F.min(F.when(fit, F.struct((-value).alias("v"), "keyword")))["keyword"]
-    return counts.groupBy("query_id", "taken", "last").agg(best.alias("next"), F.max(F.when(F.col("keyword").isNull(), F.col("w"))).alias("open"))
+    return counts.groupBy("query_id", "n_sets", "taken", "last").agg(best.alias("next"), F.max(F.when(F.col("keyword").isNull(), F.col("w"))).alias("open"))
+
+
+def _bags(keywords: DataFrame) -> DataFrame:
+    """A document's keywords as one sorted array: doc_id, all."""
+    return keywords.where("keyword IS NOT NULL").groupBy("doc_id").agg(F.sort_array(F.collect_set("keyword")).alias("all"))
 
 
 def dividing_keywords(results: DataFrame, keywords: DataFrame, queries: DataFrame, limit: int, skipped: tuple[str, ...] = ()) -> DataFrame:
@@ -195,23 +203,28 @@ def dividing_keywords(results: DataFrame, keywords: DataFrame, queries: DataFram
     queries with fewer than 25 sets have no answer. The most common keyword may be a synonym of the query, so the first
     taken is the best beside it. Rounds run over all queries at once and end for a query when fewer than 25 sets are not
     covered, no keyword is left or one returns.
+
+    Results carry the number of their set, the smallest document that has it; keywords are only put to the distinct sets
+    of a query, and what a round asks for is a row a query.
     """
-    bags = results.join(keywords, "doc_id", "left").groupBy("query_id", "doc_id", "pos", "score").agg(F.sort_array(F.collect_set("keyword")).alias("all"))  # a document's keywords
-    once = bags.groupBy("query_id", "all").agg(F.min(F.struct("pos", "doc_id", "score")).alias("b")).join(queries.select("query_id", F.lower("text").alias("q"), "query_keywords"), "query_id")
-    weight = F.when(F.col("b.pos") <= limit, 2048).otherwise(1024) + (128 * F.col("b.score")).cast("int")
-    sets = once.select("query_id", F.regexp_replace("q", "[ _]+", "-").alias("q"), F.array_except("all", F.coalesce("query_keywords", F.array().cast("array<string>"))).alias("keywords"), weight.cast("bigint").alias("weight"))
-    sets = sets.where(~F.arrays_overlap("keywords", F.array(*map(F.lit, skipped)).cast("array<string>")))
-    sizes = sets.groupBy("query_id").agg(F.count("*").alias("n_sets")).where(F.col("n_sets") >= LEAST_SETS)
-    sets = settled(sets.join(sizes, "query_id"))
     none = F.array().cast("array<string>")
-    start = sizes.select("query_id", none.alias("taken"), F.lit(None).cast("string").alias("last"))
-    common = _popular(sets, start, F.col("keyword").isin(*GENERIC)).where("next IS NOT NULL").select("query_id", "taken", F.col("next").alias("last"))
-    now = settled(_popular(sets, common, F.col("keyword") == F.col("last")).where("next IS NOT NULL").select("query_id", F.array("next").alias("taken"), F.col("next").alias("last")))
+    bags = settled(_bags(keywords))
+    classes = settled(bags.groupBy("all").agg(F.min("doc_id").alias("bag")))
+    numbered = results.join(bags.join(classes, "all").select("doc_id", "bag"), "doc_id", "left")
+    once = numbered.groupBy("query_id", "bag").agg(F.min("pos").alias("pos"), F.min_by("score", "pos").alias("score"))
+    asked = settled(queries.select("query_id", F.regexp_replace(F.lower("text"), "[ _]+", "-").alias("q"), F.coalesce("query_keywords", none).alias("own")))
+    weight = F.when(F.col("pos") <= limit, 2048).otherwise(1024) + (128 * F.col("score")).cast("int")
+    sets = once.join(classes, "bag", "left").join(asked, "query_id").select("query_id", "q", F.array_except(F.coalesce("all", none), "own").alias("keywords"), weight.cast("bigint").alias("weight"))
+    sets = settled(sets.where(~F.arrays_overlap("keywords", F.array(*map(F.lit, skipped)).cast("array<string>"))))
+    sizes = sets.groupBy("query_id").agg(F.count("*").alias("n_sets")).where(F.col("n_sets") >= LEAST_SETS)
+    start = settled(sizes.select("query_id", "n_sets", none.alias("taken"), F.lit(None).cast("string").alias("last")))
+    common = settled(_popular(sets, start, F.col("keyword").isin(*GENERIC)).where("next IS NOT NULL").select("query_id", "n_sets", "taken", F.col("next").alias("last")))
+    now = settled(_popular(sets, common, F.col("keyword") == F.col("last")).where("next IS NOT NULL").select("query_id", "n_sets", F.array("next").alias("taken"), F.col("next").alias("last")))
     found = now
     for _ in range(DIVISIONS - 1):
         onward = _popular(sets, now, F.col("keyword").isin(RESERVED) | (F.col("keyword") == F.col("last")))
         onward = onward.where((F.col("open") >= LEAST_SETS) & F.col("next").isNotNull() & ~F.array_contains("taken", F.col("next")))
-        now = settled(onward.select("query_id", F.concat("taken", F.array("next")).alias("taken"), F.col("next").alias("last")))
+        now = settled(onward.select("query_id", "n_sets", F.concat("taken", F.array("next")).alias("taken"), F.col("next").alias("last")))
         if now.isEmpty():
             break
         found = found.unionByName(now)
@@ -220,7 +233,10 @@ def dividing_keywords(results: DataFrame, keywords: DataFrame, queries: DataFram
 
 def promote_representatives(results: DataFrame, dividing: DataFrame, keywords: DataFrame, n: int = 6) -> DataFrame:
     """The top three (of more than three) and the first hit of each of ``n`` dividing keywords come first, with no lower score than what follows."""
-    first = results.join(keywords, "doc_id").join(dividing.where(F.col("pos") <= n).select("query_id", "keyword"), ["query_id", "keyword"]).groupBy("query_id", "keyword").agg(F.min(F.struct("pos", "doc_id")).alias("b")).select("query_id", F.col("b.doc_id").alias("doc_id")).distinct().withColumn("promoted", F.lit(True))
+    taken = settled(dividing.where(F.col("pos") <= n).groupBy("query_id").agg(F.collect_set("keyword").alias("taken")))  # n at most
+    shared = results.join(_bags(keywords), "doc_id").select("query_id", "doc_id", "pos", "all").join(taken, "query_id").select("query_id", "doc_id", "pos", F.explode(F.array_intersect("all", "taken")).alias("keyword"))
+    first = shared.groupBy("query_id", "keyword").agg(F.min_by("doc_id", "pos").alias("doc_id")).select("query_id", "doc_id").distinct().withColumn("promoted", F.lit(True))
+    first = settled(first)  # n rows a query
     per = Window.partitionBy("query_id")
     r = results.join(first, ["query_id", "doc_id"], "left").withColumn("front", ((F.col("pos") <= 3) & (F.count("*").over(per) > 3)) | F.coalesce("promoted", F.lit(False)))
     follows = F.max(F.when(~F.col("front"), F.col("score"))).over(per)

@@ -93,3 +93,24 @@ def test_promotion_keeps_scores_monotone(spark):
     d = spark.createDataFrame([(1, "x", 1), (1, "late", 7), (2, "x", 1)], "query_id int, keyword string, pos int")
     got = [(x.query_id, x.doc_id, x.front, round(x.score, 3)) for x in text.promote_representatives(r, d, k).orderBy("query_id", "new_pos").collect()]
     assert got == [(1, 11, True, 0.9), (1, 12, True, 0.8), (1, 13, True, 0.7), (1, 16, True, 0.6), (1, 14, False, 0.6), (1, 15, False, 0.5), (1, 17, False, 0.3), (2, 51, True, 0.5), (2, 50, False, 0.5)]
+
+
+@pytest.fixture
+def written(monkeypatch):
+    """The physical plans and columns of all frames that an operator of ``text`` settles."""
+    out, settled = [], text.settled
+    monkeypatch.setattr(text, "settled", lambda df: out.append((df.columns, df._jdf.queryExecution().executedPlan().toString())) or settled(df))
+    return out
+
+
+def test_results_are_hashed_by_the_number_of_their_set(spark, written):
+    """No aggregate sorts the results, and no result is paired with its keywords; documents without keywords share one set."""
+    n = 400
+    r = spark.createDataFrame([(1, i, i + 1, 1.0 / (i + 1)) for i in range(n)], "query_id int, doc_id int, pos int, score double")
+    k = spark.createDataFrame([(i, f"k{i % 7}") for i in range(0, n, 2)] + [(i, f"m{i % 60}") for i in range(0, n, 2)] + [(1, None)], "doc_id int, keyword string")
+    q = spark.createDataFrame([(1, "web", ["web"])], "query_id int, text string, query_keywords array<string>")
+    got = text.dividing_keywords(r, k, q, 50).orderBy("pos").collect()
+    sets = [({f"k{i % 7}", f"m{i % 60}"}, 1.0 / (i + 1)) if i % 2 == 0 else (set(), 1.0 / (i + 1)) for i in range(n)]
+    assert [x.keyword for x in got] == divide(sets, "web", ["web"], 50, ()) and len(got) > 1
+    plan = next(p for c, p in written if c == ["query_id", "q", "keywords", "weight"])
+    assert "SortAggregate" not in plan and "Generate" not in plan
