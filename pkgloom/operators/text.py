@@ -281,12 +281,21 @@ def related_keywords(keywords: DataFrame, ranks: DataFrame, asked: DataFrame, ro
     ``n`` best documents with ``find`` and none of ``without``, 25 at least; those with a ``bad`` keyword and equal sets are
     left out, ``words`` belong to no set. A round needs 50 sets. Returns find, keyword, pos (0 for the first).
     """
-    k = keywords.distinct()
-    bags = k.groupBy("doc_id").agg(F.sort_array(F.collect_set("keyword")).alias("all"))  # a document's keywords
-    hits = asked.join(k.withColumnRenamed("keyword", "find"), "find").join(bags, "doc_id").where(~F.arrays_overlap("all", "without")).join(ranks, "doc_id")
-    best = top_n(hits, ["find"], [F.desc("rank"), F.col("doc_id")], n)
+    return _related(_bags_by_rank(keywords, ranks), asked, rounds, n)
+
+
+def _bags_by_rank(keywords: DataFrame, ranks: DataFrame) -> DataFrame:
+    return settled(_bags(keywords).join(ranks.select("doc_id", "rank"), "doc_id"))
+
+
+def _related(docs: DataFrame, asked: DataFrame, rounds: int, n: int = 300) -> DataFrame:
+    """``related_keywords`` over ``docs``: doc_id, all, rank. Only places are sorted; a hit gets its keywords back once it is among the best."""
+    asked = settled(asked)
+    hits = docs.select("doc_id", "rank", "all", F.explode("all").alias("find")).join(asked.select("find", "without"), "find").where(~F.arrays_overlap("all", "without")).select("find", "doc_id", "rank")
+    best = settled(top_n(hits, ["find"], [F.desc("rank"), F.col("doc_id")], n).select("find", "doc_id"))
     enough = best.groupBy("find").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_SETS).select("find")
-    sets = settled(best.join(enough, "find").where(~F.arrays_overlap("all", "bad")).select("find", F.array_except("all", "words").alias("keywords")).distinct())
+    kept = best.join(enough, "find").join(docs.select("doc_id", "all"), "doc_id").join(asked, "find")
+    sets = settled(kept.where(~F.arrays_overlap("all", "bad")).select("find", F.array_except("all", "words").alias("keywords")).distinct())
 
     def common(left: DataFrame, least: int) -> DataFrame:
         votes = left.select("find", F.explode(F.concat("keywords", F.array(F.lit(None).cast("string")))).alias("keyword")).groupBy("find", "keyword").agg(F.count("*").alias("n"))
@@ -307,12 +316,13 @@ def related_keywords(keywords: DataFrame, ranks: DataFrame, asked: DataFrame, ro
 def keyword_splits(keywords: DataFrame, ranks: DataFrame, asked: DataFrame) -> DataFrame:
     """The keywords that split the results of ``find`` into groups: the most related one, then the most common beside it, beside that, and beside both; the last may be missing."""
     texts = lambda *parts: F.array(*[F.lit(x) if isinstance(x, str) else x for x in parts]).cast("array<string>")
+    docs = _bags_by_rank(keywords, ranks)
     now, names = asked.select("find"), []
     for step, (name, without, words, bad) in enumerate((("related", (), (), ()), ("first", ("related",), (), ("related",)), ("second", ("first",), ("related",), ("first",)), ("third", ("first", "second"), ("related",), ("first", "second")))):
         known = now.where(F.col(names[-1]).isNotNull()) if names else now
         column = lambda *c: [F.col(x) for x in c]
         ask = known.select("find", texts(*column(*without)).alias("without"), texts(F.col("find"), *column(*words), *SPLIT_WORDS[step]).alias("words"), texts(*column(*bad), *SPLIT_RESULTS[step]).alias("bad"))
-        best = related_keywords(keywords, ranks, ask, rounds=0).select("find", F.col("keyword").alias(name))
+        best = _related(docs, ask, rounds=0).select("find", F.col("keyword").alias(name))
         now = settled(now.join(best, "find", "left"))
         names.append(name)
     return now.where("second IS NOT NULL")

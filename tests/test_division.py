@@ -114,3 +114,21 @@ def test_results_are_hashed_by_the_number_of_their_set(spark, written):
     assert [x.keyword for x in got] == divide(sets, "web", ["web"], 50, ()) and len(got) > 1
     plan = next(p for c, p in written if c == ["query_id", "q", "keywords", "weight"])
     assert "SortAggregate" not in plan and "Generate" not in plan
+
+
+def test_only_places_of_related_results_are_sorted(spark, written):
+    """Keywords come back to the best results alone."""
+    docs = [(i, w) for i in range(200) for w in {"web", f"a{i % 3}", f"b{i % 5}", *(["out"] if i % 10 == 0 else [])}]
+    k, ranks = spark.createDataFrame(docs, "doc_id int, keyword string"), spark.createDataFrame([(i, float(i % 50)) for i in range(200)], "doc_id int, rank double")
+    asked = spark.createDataFrame([("web", ["out"], ["web"], ["b4"]), ("a1", [], ["a1"], [])], "find string, without array<string>, words array<string>, bad array<string>")
+    got = {(x.find, x.pos): x.keyword for x in text.related_keywords(k, ranks, asked, rounds=0, n=30).collect()}
+    of = {i: {w for d, w in docs if d == i} for i in range(200)}
+
+    def plain(find, without, words, bad):
+        hits = sorted((i for i in of if find in of[i] and not of[i] & without), key=lambda i: (-(i % 50), i))[:30]
+        sets = {frozenset(of[i] - words) for i in hits if not of[i] & bad}
+        counts = {w: sum(w in s for s in sets) for s in sets for w in s}
+        return min((-n, w) for w, n in counts.items())[1]
+
+    assert got == {("web", 0): plain("web", {"out"}, {"web"}, {"b4"}), ("a1", 0): plain("a1", set(), {"a1"}, set())}
+    assert any(c == ["find", "doc_id"] for c, _ in written)
