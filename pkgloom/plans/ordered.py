@@ -26,7 +26,7 @@ CHANGES = "SELECT package AS dep, version AS owner, day, CASE WHEN day < DATE '1
 s AS (SELECT *, now - coalesce(lag(now) OVER (PARTITION BY dep, owner ORDER BY day), 0e0) AS step FROM r), t AS (SELECT dep, day, sum(step) AS step FROM s GROUP BY dep, day)
 SELECT dep, day, CAST(ceil(round(sum(step) OVER (PARTITION BY dep ORDER BY day), 6)) AS BIGINT) AS users FROM t""")
 def _(v: Views):
-    return win.running_active_users(v.daily.selectExpr("package AS dep", "version AS owner", "day", "CASE WHEN day < DATE '1998-06-01' THEN 25e-2 ELSE -125e-3 END AS delta"))
+    return win.running_active_users(v.daily.selectExpr("package AS dep", "version AS owner", "day", "CASE WHEN day < DATE '1998-06-01' THEN 25e-2 ELSE -125e-3 END AS delta"), v.partitions)
 
 
 @query("e3_monthly_running_totals", """WITH m AS (SELECT package AS dep, CAST(date_trunc('month', day) AS DATE) AS month, sum(version) AS added, sum(version % 2) AS removed, sum(version % 3) AS expired, max_by(n, (day, version)) AS users FROM (SELECT package, day, max(version) AS version, max(n) AS n FROM daily GROUP BY package, day) x GROUP BY ALL),

@@ -3,10 +3,13 @@
 import datetime as dt
 import math
 import random
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from pkgloom.operators import clean, compat, graph, joins, people, timeseries, windows
+from pkgloom.plans import QUERIES, views
 
 
 def plain_related(keywords, packages, least, n):
@@ -130,3 +133,15 @@ def test_active_dependers_shuffle_no_row_for_each_owner(spark):
     got = timeseries.active_dependers(r, p.selectExpr("id AS package", "id AS release", "1000 AS dep"), o, F.lit("2001-12-01").cast("date"))
     assert [tuple(x)[1:] for x in got.collect()] == [(dt.date(2001, 1, 1), 300, 0, 0, 300)]
     assert [x.dep for x in timeseries._crowded(p.selectExpr("id AS package", "id % 2 AS dep"), timeseries._groups(o)).collect()] == []
+
+
+@pytest.mark.parametrize("name", ["a9_reload_ownership", "d23_author_keywords", "d25_top_result_keywords", "e2_running_active_users"])
+def test_large_tables_are_dealt_to_more_tasks(spark, data, monkeypatch, name):
+    """Tasks hold so many rows of a large table whatever its size, with the rows of the small one."""
+    small = QUERIES[name](spark, data)
+    assert "REPARTITION_BY_NUM" not in small._jdf.queryExecution().executedPlan().toString()
+    want = sorted(map(tuple, small.collect()))
+    monkeypatch.setattr(views, "ROWS", 500)
+    large = QUERIES[name](spark, data)
+    assert re.search(r"hashpartitioning\(l_partkey#\d+L?, 1[0-9]\), REPARTITION_BY_NUM", large._jdf.queryExecution().executedPlan().toString())
+    assert sorted(map(tuple, large.collect())) == want
