@@ -248,15 +248,15 @@ def pagerank(edges: DataFrame, initial: DataFrame, damping: float = 0.85, rounds
     ``edges``: src, dst; ``initial``: node, score.
     """
     e = edges.select("src", "dst").distinct()
-    e = e.withColumn("n", F.count("*").over(Window.partitionBy("src")))
+    e = settled(e.withColumn("n", F.count("*").over(Window.partitionBy("src"))))  # every round reads it
     total = initial.agg(F.sum("score")).scalar()
-    start = initial.select("node", (F.col("score") / total).alias("share"))
-    now = start.withColumn("score", F.col("share"))
+    sources = e.select(F.col("src").alias("node")).distinct().withColumn("source", F.lit(True))
+    start = initial.select("node", (F.col("score") / total).alias("share")).join(sources, "node", "left")
+    now = settled(start.select("node", "share", F.col("source").isNull().alias("sink"), F.col("share").alias("score")))
     for i in range(rounds):
-        out = now.join(e.select(F.col("src").alias("node"), "dst", "n"), "node", "left")
-        spread = out.where("dst IS NOT NULL").groupBy(F.col("dst").alias("node")).agg(F.sum(damping * F.col("score") / F.col("n")).alias("got"))
-        pool = out.where("dst IS NULL").agg(F.coalesce(F.sum(damping * F.col("score")), F.lit(0.0))).scalar()
-        now = now.join(spread, "node", "left").select("node", "share", ((1 - damping) * F.col("score") + F.coalesce("got", F.lit(0.0)) + pool * F.col("share")).alias("score"))
+        spread = e.join(now.select(F.col("node").alias("src"), "score"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(damping * F.col("score") / F.col("n")).alias("got"))
+        pool = now.where("sink").agg(F.coalesce(F.sum(damping * F.col("score")), F.lit(0.0))).scalar()
+        now = now.join(spread, "node", "left").select("node", "share", "sink", ((1 - damping) * F.col("score") + F.coalesce("got", F.lit(0.0)) + pool * F.col("share")).alias("score"))
         if (i + 1) % settle_every == 0:
             now = settled(now)
     return now.select("node", "score")

@@ -145,3 +145,19 @@ def test_large_tables_are_dealt_to_more_tasks(spark, data, monkeypatch, name):
     large = QUERIES[name](spark, data)
     assert re.search(r"hashpartitioning\(l_partkey#\d+L?, 1[0-9]\), REPARTITION_BY_NUM", large._jdf.queryExecution().executedPlan().toString())
     assert sorted(map(tuple, large.collect())) == want
+
+
+def test_importance_makes_its_edges_once(spark, monkeypatch):
+    plans, settled = [], graph.settled
+    monkeypatch.setattr(graph, "settled", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or settled(df))
+    edges = [(1, 2), (1, 3), (2, 3), (2, 3), (4, 1)]
+    e, start = spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame([(i, float(i)) for i in range(1, 6)], "node long, score double")
+    got = {x.node: x.score for x in graph.pagerank(e, start, rounds=3).collect()}
+    out = {n: {b for a, b in edges if a == n} for n in range(1, 6)}
+    share = {n: n / 15 for n in out}
+    now = share
+    for _ in range(3):
+        pool = sum(0.85 * now[n] for n in out if not out[n])
+        now = {n: 0.15 * now[n] + sum(0.85 * now[m] / len(out[m]) for m in out if n in out[m]) + pool * share[n] for n in out}
+    assert got == pytest.approx(now)
+    assert sum("Window" in p for p in plans) == 1
