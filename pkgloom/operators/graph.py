@@ -222,9 +222,9 @@ def version_popularity(requirements: DataFrame, versions: DataFrame, deprecated:
 
     v = versions.select("package", "sort_key", "users", "is_pre", "yanked").where("sort_key IS NOT NULL")
     low, top = F.lit(""), F.lit(semver.TOP * 2)
-    asked = requirements.select("package", "low", "high").where("low < high").distinct()
+    asked = settled(requirements.select("package", "low", "high").where("low < high").distinct())
     around = asked.unionByName(asked.select("package", low.alias("low"), F.col("low").alias("high"))).unionByName(asked.select("package", F.col("high").alias("low"), top.alias("high"))).distinct()
-    found = ranges.aggregated(ranges.place(v.select("package", "sort_key", "users"), around), got=(F.col("users"), F.sum), best=(F.col("users"), F.max))
+    found = settled(ranges.aggregated(ranges.place(v.select("package", "sort_key", "users"), around), got=(F.col("users"), F.sum), best=(F.col("users"), F.max)))  # read for a range, what is below and what is above
     within, below, above = found, found.where(F.col("low") == low).select("package", F.col("high").alias("low"), F.col("best").alias("below")), found.where(F.col("high") == top).select("package", F.col("low").alias("high"), F.col("best").alias("above"))
     last = v.groupBy("package").agg(F.sum("users").alias("every"), F.max(F.struct(~F.col("yanked") & ~F.col("is_pre"), "sort_key"))["sort_key"].alias("stable"), F.max(F.struct(~F.col("yanked"), "sort_key"))["sort_key"].alias("any"))
     r = requirements.join(within, ["package", "low", "high"], "left").join(below, ["package", "low"], "left").join(above, ["package", "high"], "left").join(last, "package").join(deprecated.select("package", F.lit(True).alias("gone")), "package", "left")

@@ -161,3 +161,12 @@ def test_importance_makes_its_edges_once(spark, monkeypatch):
         now = {n: 0.15 * now[n] + sum(0.85 * now[m] / len(out[m]) for m in out if n in out[m]) + pool * share[n] for n in out}
     assert got == pytest.approx(now)
     assert sum("Window" in p for p in plans) == 1
+
+
+def test_popularity_searches_its_ranges_once(spark):
+    """What is within, below and above a requirement comes from one written search."""
+    r = spark.createDataFrame([(1, 7, "b", "d"), (2, 7, "a", "b")], "dep_id long, package long, low string, high string")
+    v = spark.createDataFrame([(7, k, n, False, False) for k, n in (("a", 5), ("b", 3), ("c", 4), ("d", 9))], "package long, sort_key string, users long, is_pre boolean, yanked boolean")
+    out = graph.version_popularity(r, v, spark.createDataFrame([], "package long"))
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {x.dep_id: (round(x.popularity, 6), x.matches_latest) for x in out.collect()} == {1: (round((8 / 22 + 5 / 14) / 2, 6), False), 2: (round((6 / 22 + 6 / 15) / 2, 6), False)}
