@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -81,6 +81,9 @@ def normalise_sentences(docs: DataFrame, key: str = "doc_id", text: str = "text"
     return s.select(key, "place", clean.alias("sentence")).where(F.length("sentence") > least)
 
 
+PIECE = 1_000_000  # letters of a batch of sentences
+
+
 def folded_sentences(docs: DataFrame, key: str = "doc_id", text: str = "text", variables: str | None = None, longer_than: int = 16) -> DataFrame:
     """T6 with a package's own names: sentences in a form that equals that of other packages' boilerplate.
 
@@ -106,12 +109,24 @@ def folded_sentences(docs: DataFrame, key: str = "doc_id", text: str = "text", v
             if form:
                 yield form, original
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = [(k, n, *pair) for k, body, names in zip(frame[key], frame["_text"], frame["_variables"], strict=True) for n, pair in enumerate(folded(body, [] if names is None else list(names)))]
-            yield pd.DataFrame(out, columns=[key, "place", "sentence", "original"])
-
-    return rows.mapInPandas(run, f"`{key}` {kind}, place int, sentence string, original string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        letters, schema = 0, None
+        flat = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types, strict=True)], schema=schema)
+        for batch in batches:
+            schema = pa.schema([(key, batch.schema.field(0).type), ("place", pa.int32()), ("sentence", pa.string()), ("original", pa.string())])
+            # texts become Python's one by one, and sentences leave by the megabyte
+            for k, body, names in zip(*batch.columns, strict=True):
+                for n, (form, original) in enumerate(folded(body.as_py(), names.as_py() or [])):
+                    out.append((k.as_py(), n, form, original))
+                    letters += len(form) + len(original)
+                    if letters > PIECE:
+                        yield flat()
+                        out, letters = [], 0
+        if out:
+            yield flat()
+
+    return rows.mapInArrow(run, f"`{key}` {kind}, place int, sentence string, original string")
 
 
 def unique_text(sentences: DataFrame, scores: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -28,3 +28,15 @@ def test_names_digits_and_short_fragments(spark):
     assert got[3] == [("c++ is c++ fine", "C++ is c++ Fine")]  # no word ends behind a plus sign
     assert text.folded_sentences(df.limit(0), variables="own").count() == 0
     assert text.folded_sentences(df.where("doc_id = 5")).first().sentence == "labore bore bore"
+
+
+def test_sentences_leave_in_small_batches(spark, monkeypatch):
+    """400 texts of 20 sentences in one batch: no batch that leaves holds more than its share of letters."""
+    rows = [(i, "\n".join(f"Sentence number {n} of this text is long enough" for n in range(20)), ["text", None]) for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id int, text string, own array<string>")
+    want = sorted(map(tuple, text.folded_sentences(d, variables="own").collect()))
+    monkeypatch.setattr(text, "PIECE", 10_000)
+    monkeypatch.setattr(type(d), "mapInArrow", lambda self, run, schema: list(run(self.toArrow().to_batches())))
+    got = text.folded_sentences(d, variables="own")
+    assert len(got) > 60 and max(b.num_rows for b in got) < 120
+    assert sorted(tuple(x.values()) for b in got for x in b.to_pylist()) == want and len(want) == 8000
