@@ -140,20 +140,27 @@ def enabled_dependencies(releases: DataFrame, features: DataFrame, deps: DataFra
     """Dependencies of a release that its wanted features enable, through features of any depth, and all that are not optional.
 
     ``features``: release, feature, enables (a descriptor a row); ``deps``: release, dep, optional, ...; ``wanted``: release, feature.
+    No feature leads to another release, and a registry's record holds all features of a release in one map. So they are
+    brought to one row a release, which walks them by itself; dependencies stay rows and are joined to it once.
     """
-    f = features.select("release", F.lower("feature").alias("feature"), "enables").distinct()
     name, handed = _named(F.col("enables"))
-    inner = f.where(handed.isNull() & ~F.col("enables").startswith("dep:")).select("release", "feature", name.alias("to_feature"))
-    front = settled(wanted.select("release", F.lower("feature").alias("feature")).distinct())
-    reached = front
-    while not front.isEmpty():
-        step = front.join(inner, ["release", "feature"]).select("release", F.col("to_feature").alias("feature"))
-        front = settled(step.distinct().join(reached, ["release", "feature"], "left_anti"))
-        reached = reached.unionByName(front)
-    declared = f.select("release", "feature").distinct()
-    names = reached.join(f.where("enables IS NOT NULL"), ["release", "feature"]).select("release", name.alias("key")).unionByName(reached.join(declared, ["release", "feature"], "left_anti").select("release", F.col("feature").alias("key"))).distinct()
-    optional = deps.where("optional").withColumn("key", F.lower("dep")).join(names, ["release", "key"], "left_semi").drop("key")
-    return deps.where("NOT optional").unionByName(optional.select(*deps.columns)).join(releases.select("release"), "release", "left_semi")
+    described = F.struct(F.lower("feature").alias("feature"), name.alias("key"), (handed.isNull() & ~F.col("enables").startswith("dep:")).alias("inner"))
+    no_row, no_name, no = F.lit(None).cast("struct<feature: string, key: string, inner: boolean>").alias("row"), F.lit(None).cast("string").alias("asked"), F.lit(False).alias("known")
+    parts = features.where("feature IS NOT NULL").select("release", described.alias("row"), no_name, no).unionByName(wanted.select("release", no_row, F.lower("feature").alias("asked"), no)).unionByName(releases.select("release", no_row, no_name, F.lit(True).alias("known")))
+    one = parts.where("release IS NOT NULL").groupBy("release").agg(F.collect_set("row").alias("rows"), F.collect_set("asked").alias("asked"), F.bool_or("known").alias("known")).where("known")
+    rows = F.col("rows")
+
+    def onward(walk: Column, _: Column) -> Column:
+        """A round, from what the last one reached; there are at most as many as rows, those after the end do nothing."""
+        found = F.transform(F.filter(rows, lambda x: x["inner"] & F.array_contains(walk["front"], x["feature"])), lambda x: x["key"])
+        fresh = F.array(F.array_except(found, walk["reached"]))
+        return F.when(F.size(walk["front"]) == 0, walk).otherwise(F.get(F.transform(fresh, lambda n: F.struct(F.array_union(walk["reached"], n).alias("reached"), n.alias("front"))), F.lit(0)))
+
+    walked = one.select("release", "rows", F.aggregate(rows, F.struct(F.col("asked").alias("reached"), F.col("asked").alias("front")), onward, lambda walk: walk["reached"]).alias("reached"))
+    keys = F.transform(F.filter(rows, lambda x: F.array_contains("reached", x["feature"]) & x["key"].isNotNull()), lambda x: x["key"])
+    undeclared = F.array_except("reached", F.transform(rows, lambda x: x["feature"]))
+    names = walked.select("release", F.array_union(keys, undeclared).alias("_names"))
+    return deps.join(names, "release").where(~F.col("optional") | (F.col("optional") & F.array_contains("_names", F.lower("dep")))).select(*deps.columns)
 
 
 def resolved_closure(roots: DataFrame, features: DataFrame, deps: DataFrame) -> DataFrame:

@@ -170,3 +170,40 @@ def test_popularity_searches_its_ranges_once(spark):
     out = graph.version_popularity(r, v, spark.createDataFrame([], "package long"))
     assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
     assert {x.dep_id: (round(x.popularity, 6), x.matches_latest) for x in out.collect()} == {1: (round((8 / 22 + 5 / 14) / 2, 6), False), 2: (round((6 / 22 + 6 / 15) / 2, 6), False)}
+
+
+def plain_enabled(releases, features, deps, wanted):
+    low = lambda x: None if x is None else x.lower()
+    keep = []
+    for release, dep, optional in deps:
+        rows = [(low(f), e) for r, f, e in features if r == release and f is not None]
+        reached, names = {low(f) for r, f in wanted if r == release and f is not None}, set()
+        while True:
+            more = {e.lower() for f, e in rows if f in reached and e is not None and "/" not in e and not e.startswith("dep:")} - reached
+            if not more:
+                break
+            reached |= more
+        names = {re.sub(r"^dep:|\?$", "", e.split("/", 1)[0]).lower() for f, e in rows if f in reached and e is not None} | (reached - {f for f, _ in rows})
+        if release in releases and optional is not None and (not optional or low(dep) in names):
+            keep.append((release, dep, optional))
+    return sorted(keep, key=str)
+
+
+def test_features_of_a_release_are_walked_in_its_row(spark, monkeypatch):
+    """Random features with cycles, nulls and repeated rows, and a chain of 200: no round of the walk is a job of its own."""
+    rng, rounds = random.Random(9), []
+    monkeypatch.setattr(graph, "settled", lambda df: rounds.append(df) or df)
+    feature = lambda: rng.choice(["a", "B", "b", "c", "d", None])
+    enables = lambda: rng.choice(["a", "b", "C", "d", "dep:X", "dep:y", "x/std", "Y?/std", "dep:z/a", "z", "", None])
+    release = lambda: rng.choice([None, *range(12)])
+    features = [(release(), feature(), enables()) for _ in range(90)] + [(20, f"f{i}", f"F{i + 1}") for i in range(200)] + [(20, "f200", "f0"), (20, "f199", "dep:x")]
+    deps = [(release(), rng.choice(["x", "Y", "z", "d", "", None]), rng.choice([True, True, True, False, None])) for _ in range(150)] + [(20, "x", True), (20, "y", True), (21, "y", False), (22, "y", True), (22, "y", True)]
+    wanted = [(release(), feature()) for _ in range(20)] + [(20, "F0"), (22, "y")]
+    releases = [None, *range(2, 12), 5, 20, 21, 22]
+    got = graph.enabled_dependencies(
+        spark.createDataFrame([(r,) for r in releases], "release int"), spark.createDataFrame(features, "release int, feature string, enables string"),
+        spark.createDataFrame(deps, "release int, dep string, optional boolean"), spark.createDataFrame(wanted, "release int, feature string"),
+    )
+    want = plain_enabled(set(releases) - {None}, features, deps, wanted)
+    assert len(want) > 30 and sorted((tuple(x) for x in got.collect()), key=str) == want
+    assert not rounds and got._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
