@@ -53,15 +53,23 @@ def conditional_stopwords(bag: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def auto_keywords(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 25, longest: int = 3) -> DataFrame:
-    """T4: phrases between stop words and punctuation, scored by their words' degree over frequency; the best ``n`` per text."""
-    stop = "|".join(STOP_WORDS)
-    chunks = F.split(F.regexp_replace(F.lower(text), rf"\b(?:{stop})\b", "|"), r"[^\p{L}\p{N}\s-]+|\n")
-    phrases = docs.select(key, F.explode(chunks).alias("p")).select(key, F.split(F.trim("p"), r"\s+").alias("words")).where((F.size("words") <= longest) & (F.length(F.col("words")[0]) > 2))
-    counted = phrases.groupBy(key, "words").agg(F.count("*").alias("n"))
-    words = counted.select(key, F.explode("words").alias("word"), "n", F.size("words").alias("size")).groupBy(key, "word").agg((F.sum(F.col("n") * F.col("size")) / F.sum("n")).alias("ratio"))
-    scored = counted.select(key, "words", F.explode("words").alias("word"), "n").join(words, [key, "word"]).groupBy(key, "words").agg(F.round(F.sum("ratio"), 6).alias("score"), F.max("n").alias("n"))
-    ranked = scored.select(key, F.array_join("words", " ").alias("phrase"), "score", "n").groupBy(key, "phrase").agg(F.max("score").alias("score"), F.max("n").alias("n"))
-    return top_n(ranked, [key], [F.desc("n"), F.desc("score"), F.col("phrase")], n)
+    """T4: phrases between stop words and punctuation, scored by their words' degree over frequency; the best ``n`` per text.
+
+    ``key`` names a text. Texts are exchanged once, whole, by it; phrases and words are counted where their text is. The
+    number of tasks is given, as Spark would join tasks by the size of the texts, and their words take ten times as much.
+    """
+    chunks = F.split(F.lower(text), rf"\b(?:{'|'.join(STOP_WORDS)})\b|[^\p{{L}}\p{{N}}\s-]+|\n")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = docs.select(key, text).where(F.col(key).isNotNull()).repartition(tasks, key)
+    # up to ``longest`` words, the first of three letters at least; a split by this white space would compile its pattern for every chunk
+    short = rf"\A\S{{3,}}+(?:\s++\S*+){{0,{longest - 1}}}+\z"
+    phrases = placed.select(key, F.explode(chunks).alias("p")).select(key, F.trim("p").alias("p")).where(F.col("p").rlike(short))
+    counted = phrases.select(key, F.regexp_replace("p", r"\s+", " ").alias("phrase")).groupBy(key, "phrase").agg(F.count("*").alias("n"))
+    words = counted.withColumn("words", F.split("phrase", " ")).select(key, "phrase", "n", F.size("words").alias("size"), F.explode("words").alias("word"))
+    of_word = Window.partitionBy(key, "word")
+    rated = words.withColumn("ratio", F.sum(F.col("n") * F.col("size")).over(of_word) / F.sum("n").over(of_word))
+    scored = rated.groupBy(key, "phrase").agg(F.round(F.sum("ratio"), 6).alias("score"), F.max("n").alias("n"))
+    return top_n(scored, [key], [F.desc("n"), F.desc("score"), F.col("phrase")], n)
 
 
 def section_phrases(sections: DataFrame, budget: int = 300) -> DataFrame:

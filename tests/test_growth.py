@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from pkgloom.operators import clean, compat, graph, joins, people, timeseries, windows
+from pkgloom.operators import clean, compat, graph, joins, people, text, timeseries, windows
 from pkgloom.plans import QUERIES, views
 
 
@@ -207,3 +207,32 @@ def test_features_of_a_release_are_walked_in_its_row(spark, monkeypatch):
     want = plain_enabled(set(releases) - {None}, features, deps, wanted)
     assert len(want) > 30 and sorted((tuple(x) for x in got.collect()), key=str) == want
     assert not rounds and got._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
+
+
+def plain_keywords(docs, n):
+    counted = {}
+    for key, body in docs:
+        if key is not None and body is not None:
+            for p in re.split(r"[^a-z0-9\s-]+|\n", re.sub(rf"\b(?:{'|'.join(text.STOP_WORDS)})\b", "|", body.lower())):
+                words = re.split(r"\s+", p.strip(" "))
+                if len(words) <= 3 and len(words[0]) > 2:
+                    of = counted.setdefault(key, {})
+                    of[tuple(words)] = of.get(tuple(words), 0) + 1
+    out = []
+    for key, of in counted.items():
+        ratio = lambda w: sum(m * len(p) * p.count(w) for p, m in of.items()) / sum(m * p.count(w) for p, m in of.items())  # noqa: E731, B023
+        best = sorted((-m, -round(sum(ratio(w) for w in p), 6), " ".join(p)) for p, m in of.items())[:n]
+        out += [(key, p, -s, -m, i) for i, (m, s, p) in enumerate(best, 1)]
+    return sorted(out)
+
+
+def test_keywords_are_counted_where_their_text_is(spark):
+    """Texts of repeated and null keys, tabs at a phrase's ends, stop words at hyphens and separators: one exchange, of texts."""
+    rng = random.Random(11)
+    bits = ["fast", "parser", "table", "x-a", "a-b", "the", "of", "The", "and", "no", "log", "log", "\t", "\n", ",", ", ", ".", "  ", "-", "r2"]
+    docs = [(rng.choice([None, 1, 2, 3, 4]), rng.choice(["", " "]).join(f"{rng.choice(bits)} " for _ in range(rng.randrange(200)))) for _ in range(20)]
+    docs += [(5, "fast \t"), (5, "\tfast"), (6, "the, of; fast\t parser"), (7, None), (8, "")]
+    got = text.auto_keywords(spark.createDataFrame(docs, "doc_id int, text string"), n=9)
+    rows = sorted(tuple(x[c] for c in ("doc_id", "phrase", "score", "n", "pos")) for x in got.collect())
+    assert len(rows) > 30 and rows == plain_keywords(docs, 9)
+    assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange ") == 1
