@@ -3,7 +3,9 @@
 Vectors are rotated by a fixed random orthogonal matrix and dealt to lists by
 their nearest centroid (k-means on a bounded sample; every vector is indexed).
 A list's vectors are packed in rows of at most ``PACK``, column blocks side by
-side. A query visits its ``probes`` nearest lists first, and then every other
+side; packs are written once and dealt to as many shares as their list needs,
+and queries go to these shares in blocks that leave their task one by one, so
+neither grows with the tables. A query visits its ``probes`` nearest lists first, and then every other
 list that may hold a vector as near as the ``k``-th found: a list's vectors lie
 on their centroid's side of the plane halfway to the query's nearest centroid,
 so the distance to that plane excludes lists without a loss. There, partial
@@ -20,6 +22,7 @@ than ``k`` candidates all of them are returned.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,9 +33,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import cut, small_batches
 
-PACK, QUERIES, STEP, SALT = 1024, 64, 16, 16
+PACK, QUERIES, STEP, SALT = 1024, 256, 16, 16
+BATCH = 4 << 20  # bytes of blocks in a record batch
+PACKED = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
 EPSILON = 2.1  # margin of the hypothesis test
 
 
@@ -91,28 +96,55 @@ def _binary(m: np.ndarray) -> bytes:
     return np.ascontiguousarray(m).tobytes()
 
 
+def _blocks(visits: np.ndarray, shares: dict[int, list[int]], ids: np.ndarray, x: np.ndarray, limit: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Queries (rows of ``visits``) for every share of each list (columns) they visit, in record batches of about ``BATCH`` bytes."""
+    batch = lambda out: pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(PACKED)], ["list", "salt", "qids", "q", "limits"])
+    out, held = [], 0
+    for c in np.flatnonzero(visits.any(0)):
+        rows = np.flatnonzero(visits[:, c])
+        for a in range(0, len(rows), QUERIES):
+            p = rows[a : a + QUERIES]
+            for s in shares.get(int(c), []):
+                out.append((int(c), s, _binary(ids[p]), _binary(x[p]), _binary(limit[p])))
+                held += sum(map(len, out[-1][2:]))
+                if held >= BATCH:
+                    yield batch(out)
+                    out, held = [], 0
+    yield batch(out)
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = 10, vector: str = "embedding", key: str = "vec_id", index: Index | None = None) -> DataFrame:
     """(query_id, rank, key, score): the ``k`` nearest found of every query row, by Euclidean distance."""
-    fine = valid(vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), is_query.alias("is_query")), "v")
+    fine = valid(small_batches(vectors).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), is_query.alias("is_query")), "v")
     index = index or fit(fine, "v", "id")
     handle = vectors.sparkSession.sparkContext.broadcast(index)
     exact = np.float32 if vectors.schema[vector].dataType.elementType.simpleString() == "float" else np.float64  # as given, without a loss
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = handle.value
         for batch in batches:
-            if not batch.num_rows:
+            if batch.num_rows:
+                own = _nearest(_matrix(batch.column("v"), np.float64), ix.centroids, 1)[:, 0]
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), batch.column("id"), batch.column("v")], ["list", "id", "v"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Packs of vectors that come list by list; a list's last ones in a batch wait for more of it."""
+        ix, rest = handle.value, None
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                rest = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            if rest is None or not rest.num_rows:
                 continue
-            x = _matrix(batch.column("v"), np.float64)
-            ids, own = batch.column("id").to_numpy(), _nearest(x, ix.centroids, 1)[:, 0]
-            turned = (x @ ix.rotation).astype(np.float32)
-            order = np.argsort(own, kind="stable")
-            out = []
-            for part in np.split(order, np.flatnonzero(np.diff(own[order])) + 1):
-                for a in range(0, len(part), PACK):
-                    p = part[a : a + PACK]
-                    out.append((int(own[p[0]]), int(ids[p[0]]) % SALT, _binary(ids[p]), _binary(x[p].astype(exact)), _binary(turned[p])))
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["list", "salt", "ids", "x", "turned"])
+            own, ids = rest["list"].to_numpy(), rest["id"].to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
+            spans = [(a, min(a + PACK, hi)) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True) for a in range(lo, hi, PACK)]
+            if batch is not None and spans[-1][1] - spans[-1][0] < PACK:
+                spans.pop()
+            for a, z in spans:
+                x = _matrix(rest["v"].slice(a, z - a).combine_chunks(), np.float64)
+                out = (int(own[a]), int(ids[a]) % SALT, _binary(ids[a:z]), _binary(x.astype(exact)), _binary((x @ ix.rotation).astype(np.float32)))
+                yield pa.RecordBatch.from_arrays([pa.array([o], t) for o, t in zip(out, PACKED, strict=True)], ["list", "salt", "ids", "x", "turned"])
+            rest = rest.slice(spans[-1][1] if spans else 0).combine_chunks()
 
     def probing(further: bool):
         """Queries of the lists they visit: the nearest ones, or ``further`` those of the others that ``limit`` does not exclude."""
@@ -125,13 +157,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, vector: str = "emb
                 np.put_along_axis(visits, _nearest(x, ix.centroids, ix.probes), True, 1)
                 if further:
                     visits = ~visits & (_least(x, ix.centroids) <= limit[:, None] * (1 + 1e-6))
-                out = []
-                for c in np.flatnonzero(visits.any(0)):
-                    rows = np.flatnonzero(visits[:, c])
-                    for a in range(0, len(rows), QUERIES):
-                        p = rows[a : a + QUERIES]
-                        out += [(int(c), s, _binary(ids[p]), _binary(x[p]), _binary(limit[p])) for s in range(SALT)]
-                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["list", "salt", "qids", "q", "limits"])
+                yield from _blocks(visits, shares, ids, x, limit)
 
         return run
 
@@ -154,7 +180,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, vector: str = "emb
         if best:
             yield found()
 
-    lists = fine.select("id", "v").mapInArrow(packed, "list int, salt int, ids binary, x binary, turned binary")
+    # a list is cut only where a partition ends, so its packs are full whatever the number of lists
+    rows = fine.select("id", "v").mapInArrow(listed, f"list int, id bigint, v {fine.schema['v'].dataType.simpleString()}")
+    ordered = rows.repartitionByRange("list", "id").sortWithinPartitions("list", "id")
+    lists = cut(ordered.mapInArrow(packed, "list int, salt int, ids binary, x binary, turned binary"), "lists")
+    shares = {x["list"]: sorted(x["salts"]) for x in lists.groupBy("list").agg(F.collect_set("salt").alias("salts")).toLocalIterator()}  # a row a list
     queries = fine.where("is_query").select("id", "v")
 
     def visited(queries: DataFrame, further: bool) -> DataFrame:

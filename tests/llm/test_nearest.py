@@ -63,3 +63,34 @@ def test_double_vectors_keep_their_precision(spark):
     got = nearest.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, k=3).collect()
     assert [(r.rank, r.vec_id) for r in sorted(got, key=lambda r: r.rank)] == [(1, 1), (2, 2), (3, 3)]
     assert [r.score for r in sorted(got, key=lambda r: r.rank)] == [abs(rows[i][1][0] - 1.0) for i in (1, 2, 3)]
+
+
+def test_blocks_of_queries_leave_one_by_one():
+    """1024 queries of every share of 200 lists: 1.7 GB in batches of a few MB, and only shares that hold vectors."""
+    x, ids, limit = np.ones((1024, 64)), np.arange(1024), np.ones(1024)
+    shares = {c: [c % 16] for c in range(199)} | {199: list(range(16))}
+    seen, most = {}, 0
+    for b in nearest._blocks(np.ones((1024, 200), bool), shares, ids, x, limit):
+        most = max(most, b.nbytes)
+        for c, s, q in zip(*(b.column(n).to_pylist() for n in ("list", "salt", "qids")), strict=True):
+            seen.setdefault((c, s), []).extend(np.frombuffer(q, np.int64).tolist())
+    assert most < 2 * nearest.BATCH and seen == {(c, s): ids.tolist() for c, held in shares.items() for s in held}
+
+
+def test_packs_are_full_whatever_the_number_of_lists(spark, monkeypatch):
+    """Packs as the batches of the input cut them held a vector or two of a list."""
+    written, real = {}, nearest.cut
+    monkeypatch.setattr(nearest, "cut", lambda df, name: written.setdefault(name, real(df, name)))
+    monkeypatch.setattr(nearest, "PACK", 64)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        x, ids = np.random.default_rng(4).standard_normal((3000, 8)).astype(np.float32).astype(float), np.arange(3000)
+        rows = spark.createDataFrame(pd.DataFrame({"vec_id": ids, "embedding": x.tolist()})).selectExpr("vec_id", "CAST(embedding AS array<float>) AS embedding")
+        index = nearest.fit(nearest.valid(rows, "embedding"), "embedding", "vec_id", lists=20)
+        got = nearest.search(rows, F.col("vec_id") % 100 == 0, index=index).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = brute(x, ids, range(0, 3000, 100))
+    assert sum(len(set(g.vec_id) & set(want[q])) for q, g in got.groupby("query_id")) >= 0.97 * 300
+    packs = [np.frombuffer(r.ids, np.int64) for r in written["lists"].collect()]
+    assert sorted(np.concatenate(packs)) == ids.tolist() and max(map(len, packs)) <= 64 and len(packs) <= 3000 / 64 + 20 + 4
