@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from .common import cut, field_ddl, slices, small_batches
 
 SLICE = 512 << 10  # bytes of text in a slice; its row is half as large again
+GROUP = 16  # slices that a reader or writer of their table holds at once
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -165,7 +166,8 @@ def align(docs: DataFrame, path_a: str, path_b: str, text: str = "text", key: st
 
     # a slice goes by the place of its first row, so that a task made anew names it as before
     rows = small_batches(docs).select(F.col(key).alias("key"), F.col(text).alias("text")).withColumn("part", F.monotonically_increasing_id())
-    done = cut(rows.mapInArrow(lambda batches: sliced(batches, path_a, path_b), SLICE_DDL), "alignment")
+    # Spark reads a row group in one batch, so a group of the usual 128 MB takes several times that in every task
+    done = cut(rows.mapInArrow(lambda batches: sliced(batches, path_a, path_b), SLICE_DDL), "alignment", **{"parquet.block.row.count.limit": GROUP})
 
     counts = done.select(F.explode(F.arrays_zip("pairs", "pair_n")).alias("p")).groupBy(F.col("p.pairs").alias("pair")).agg(F.sum("p.pair_n").alias("n"))
     counts = cut(counts, "pairs")

@@ -35,15 +35,16 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, **options: object) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     The plan above it then starts from replicated files, so a lost executor
-    costs a reread and never a recomputation of the whole lineage.
+    costs a reread and never a recomputation of the whole lineage. ``options``
+    are those of the writer.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pkgloom-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -4,6 +4,7 @@ import hashlib
 from collections import Counter, defaultdict
 
 import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 
 from pkgloom.llm import alignment, queries
@@ -105,3 +106,16 @@ def test_ranked_encoder_is_the_library(tokenizers):
             c = chr(low)
             text = f" a{c}a1{c}1 {c} .{c}.{c}{c}  a\n{c}'{c}s"
             assert pair.encode_a([text])[0] == tokenizers[0].encode(text, add_special_tokens=False).ids
+
+
+def test_slices_are_written_in_small_groups(spark, tokenizers, monkeypatch):
+    """A reader takes a row group as one batch: with hundreds of slices in a group, a task held them all."""
+    written, real = {}, alignment.cut
+    monkeypatch.setattr(alignment, "SLICE", 100)
+    monkeypatch.setattr(alignment, "cut", lambda df, name, **options: written.setdefault(name, real(df, name, **options)))
+    docs = [(i, f"text {i} of some words " * 4) for i in range(300)]
+    got = alignment.align(spark.createDataFrame(docs, "doc_id int, text string").coalesce(1), tokenizer_path(A), tokenizer_path(B))
+    assert rows(got.collect()) == rows(brute(docs, tokenizers))
+    sizes = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in written["alignment"].inputFiles()]
+    groups = [m.row_group(i).num_rows for m in sizes for i in range(m.num_row_groups)]
+    assert sum(groups) >= 300 and max(groups) <= alignment.GROUP
