@@ -124,3 +124,28 @@ def test_plain_closure_keeps_optional_runtime_beside_build(spark):
     got = {(x.root, x.node): (x.kind, x.is_default, x.direct) for x in graph.dependency_closure(e).collect() if x.root in (1, 2)}
     assert got == {(1, 2): (0, True, True), (1, 3): (0, True, False), (1, 4): (2, True, True), (1, 5): (2, True, False), (2, 3): (0, True, True), (2, 1): (0, True, False)}
     assert graph.dependency_closure(e.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_versions_are_counted_without_rows_of_roots(spark, seed):
+    """With cycles, several releases a package and direct ones among them, against the closure told in rows."""
+    deps, features = registry(seed)
+    f, d = frames(spark, deps, features)
+    roots, releases = spark.createDataFrame([(r,) for r in range(14)], "release int"), spark.createDataFrame([(r, r % 5, f"{r // 5}") for r in range(14)], "release int, package int, sort_key string")
+    want = graph.version_counts(graph.flattened(graph.resolved_closure(roots, f, d), releases))
+    got = graph.resolved_version_counts(roots, f, d, releases)
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+
+
+def test_a_state_goes_on_once_however_many_roads_lead_to_it(spark):
+    """Of a ladder every release is reached over roads of many lengths, of which each round used to find one."""
+    edges = [(i, i + j) for i in range(12) for j in (1, 2, 3)]
+    links = spark.createDataFrame([(a, "", b, "", 0, 0) for a, b in edges], "release int, feature string, to_release int, to_feature string, edge_kind int, least_level int")
+    starts = spark.createDataFrame([(r, 0, r, "", 0) for r in range(4)], "root int, level int, release int, feature string, kind int")
+    states = [x.release for x in graph._walk(starts, links, graph._blocks(starts)).collect() if x.release < 12]
+    assert sorted(states) == list(range(12))
+    level, n, cyclic = graph._levels(links)
+    assert ({x.release: x.level for x in level.collect()}, n, cyclic) == ({i: i for i in range(12)}, 12, False)
+    around = links.unionByName(links.limit(1).selectExpr("14 AS release", "feature", "5 AS to_release", "to_feature", "edge_kind", "least_level"))
+    level, n, cyclic = graph._levels(around)
+    assert ({x.release: x.level for x in level.collect()}, n, cyclic) == ({**{i: min(i, 5) for i in range(12)}, 14: 5}, 5, True)
