@@ -49,17 +49,14 @@ link AS (
 )"""
 
 
-def closure(v: Views):
-    releases, features, deps = roles(v)
-    return graph.resolved_closure(releases.where("sort_key = 1"), features, deps), releases
-
-
 @query("g1_resolved_closure", f"{WALK} SELECT root, release, kind, is_default, direct FROM closure")
 def _(v: Views):
-    return closure(v)[0]
+    releases, features, deps = roles(v)
+    return graph.resolved_closure(releases.where("sort_key = 1"), features, deps)
 
 
 @query("g3_version_counts", f"""{WALK}, flat AS (SELECT root, package, max_by(c.release, (direct, sort_key, c.release)) AS release FROM closure c JOIN rel r ON r.release = c.release GROUP BY root, package)
 SELECT package, release, count(*) AS n_roots FROM flat GROUP BY ALL""")
 def _(v: Views):
-    return graph.version_counts(graph.flattened(*closure(v)))
+    releases, features, deps = roles(v)
+    return graph.resolved_version_counts(releases.where("sort_key = 1"), features, deps, releases)
