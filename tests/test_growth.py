@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from pkgloom.operators import clean, compat, graph, joins, people, text, timeseries, windows
+from pkgloom.operators import aggregates, clean, compat, graph, joins, people, text, timeseries, windows
 from pkgloom.plans import QUERIES, views
 
 
@@ -236,3 +236,24 @@ def test_keywords_are_counted_where_their_text_is(spark):
     rows = sorted(tuple(x[c] for c in ("doc_id", "phrase", "score", "n", "pos")) for x in got.collect())
     assert len(rows) > 30 and rows == plain_keywords(docs, 9)
     assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange ") == 1
+
+
+def test_a_pair_of_collaborators_is_summed_once(spark):
+    """Random owners, repeated rows and nulls; a package of 40 owners sends each of them those behind it only, cut from one list."""
+    rng = random.Random(13)
+    rows = [(rng.choice([None, *range(12)]), rng.choice([None, *range(30)])) for _ in range(200)] + [(50, i) for i in range(40)]
+    ranks = {**{p: rng.randrange(9) / 4 for p in range(11)}, 3: None, 50: 0.25}
+    o, p = spark.createDataFrame(rows, "package int, owner int"), spark.createDataFrame(list(ranks.items()), "package int, rank double")
+    held, sums = {q: {y for x, y in rows if x == q and y is not None} for q in ranks}, {}
+    for q, members in held.items():
+        for a in members:
+            for b in members - {a}:
+                sums.setdefault((a, b), []).append(ranks[q])
+    score = {k: (round(sum(r + 0.5 for r in v if r is not None), 6) if any(r is not None for r in v) else None) for k, v in sums.items()}
+    want = set()
+    for a in {a for a, _ in score}:
+        best = sorted(((b, s) for (x, b), s in score.items() if x == a), key=lambda x: (x[1] is None, -(x[1] or 0), x[0]))[:5]
+        want |= {(a, b, s, i) for i, (b, s) in enumerate(best, 1)}
+    got = aggregates.collaborators(o, p, 5)
+    assert {tuple(x[c] for c in ("owner", "other", "score", "pos")) for x in got.collect()} == want
+    assert "slice(others" in got._jdf.queryExecution().optimizedPlan().toString()
